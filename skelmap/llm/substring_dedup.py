@@ -6,7 +6,7 @@ two-way division of symbols and its right one on the right side, so inside equal
 each symbol goes its support: the words that decide that it is made. A symbol whose support lies in a window is made in
 every window of the same words. Each window is known by one such symbol of the highest level that has any: that with the least
 hash, the leftmost on ties. Single words are the lowest level, so each window has one. Only windows whose symbol occurs twice can repeat; these are compared by
-128-bit hashes of all their words.
+96-bit hashes of all their words.
 """
 
 from __future__ import annotations
@@ -180,16 +180,18 @@ def _groups(rows: Iterator[tuple], text_at: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def _packed(bucket: np.ndarray, buckets: int, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """One row for each bucket: its rows' columns as bytes."""
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    some = np.flatnonzero(bounds[1:] > bounds[:-1])
-    out = [pa.array(some.astype(np.int32))]
-    for c in columns:
-        c = c[order]
-        out.append(pa.array([c[bounds[b] : bounds[b + 1]].tobytes() for b in some], pa.binary()))
-    return pa.RecordBatch.from_arrays(out, names=["bucket", *names])
+def _packed(buckets: int, columns: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row for each bucket: the bytes of its part of each column, which comes with the bucket of each value."""
+    parts = []
+    some = np.zeros(buckets, bool)
+    for bucket, values in columns.values():
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        some |= bounds[1:] > bounds[:-1]
+        parts.append((values[order], bounds))
+    at = np.flatnonzero(some)
+    out = [pa.array([v[b[i] : b[i + 1]].tobytes() for i in at], pa.binary()) for v, b in parts]
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *out], names=["bucket", *columns])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], kinds: list) -> Iterator[list[np.ndarray]]:
@@ -208,6 +210,9 @@ def _unpacked(batches: Iterator[pa.RecordBatch], kinds: list) -> Iterator[list[n
 
 
 SYMBOL = np.dtype((np.void, 5))
+#: 96 bits of a window's hash.
+CONTENT = np.dtype([("a", "<u8"), ("b", "<u4")])
+ASKED = [np.dtype("<i8"), np.dtype("<u4"), np.dtype("u1"), np.dtype("<u8"), np.dtype("<u8"), CONTENT]
 SEEN = [SYMBOL, np.dtype("<i8"), np.dtype("<u4"), np.dtype("u1"), np.dtype("u1")]
 
 
@@ -274,7 +279,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                 key = np.array([k for k, _ in group], np.int64)[doc]
                 count, first, _ = _counted(name)
                 kind = np.where(count > 1, np.where(first, 2, 3), 1).astype(np.uint8)  # once, repeats: its first, repeats: others
-                yield _packed(_bucket(name, buckets), buckets, [_short(name), key, (lo - base[doc]).astype(np.uint32), n.astype(np.uint8), kind], ["name", "key", "lo", "n", "kind"])
+                cols = {"name": _short(name), "key": key, "lo": (lo - base[doc]).astype(np.uint32), "n": n.astype(np.uint8), "kind": kind}
+                bucket = _bucket(name, buckets)
+                yield _packed(buckets, {k: (bucket, v) for k, v in cols.items()})
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, key, lo, n, kind in _unpacked(batches, SEEN):
@@ -287,43 +294,52 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             at = np.minimum(np.searchsorted(twice, wide), max(len(twice) - 1, 0))
             ok = twice[at] == wide if len(twice) else np.zeros(len(wide), bool)
             if ok.any():
-                cols = [key[ok], lo[ok].astype(np.int32), n[ok].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "lo", "n"])
+                cols = [key[ok], lo[ok].astype(np.int32), n[ok].astype(np.int32), wide[ok].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "lo", "n", "name"])
 
     seen = rows.select("key", "text").mapInArrow(see, "bucket int, name binary, key binary, lo binary, n binary, kind binary")
-    found = seen.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "key long, lo int, n int")
-    asked = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("lo", "n"))).alias("ask"))
-
-    WINDOWS = [np.dtype("<u8"), np.dtype("<u8"), np.dtype("<i8"), np.dtype("<u4"), np.dtype("u1")]
+    found = seen.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "key long, lo int, n int, name long")
+    asked = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("lo", "n", "name"))).alias("ask"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes of the windows that are asked for, each once a group."""
+        """Hashes of the windows that are asked for, by symbol; those that repeat within a group come once, the others as a mark."""
         one, two = Hasher(1), Hasher(2)
-        each = ((k, t.encode("utf-8", "surrogatepass"), a) for b in batches for k, t, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)))
+        each = ((k, t.encode("utf-8", "surrogatepass"), a) for b in batches for k, t, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)))
         with np.errstate(over="ignore"):
             for group in _groups(each, 1):
-                h1, h2, key, pos = [], [], [], []
+                parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
                 for k, t, a in group:
-                    lo, n = a.values.field(0).to_numpy(), a.values.field(1).to_numpy()
-                    start = np.unique(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
-                    h1.append(one.windows(one.words(t), start, window))
-                    h2.append(two.windows(two.words(t), start, window))
-                    key.append(np.full(len(start), k, np.int64))
-                    pos.append(start.astype(np.uint32))
-                h1, h2, key, pos = map(np.concatenate, (h1, h2, key, pos))
+                    lo, n, name = (a.values.field(i).to_numpy() for i in range(3))
+                    start = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    for c, x in zip(parts, (one.windows(one.words(t), start, window), two.windows(two.words(t), start, window), np.full(len(lo), k, np.int64), lo, n, name)):
+                        c.append(x)
+                h1, h2, key, lo, n, name = map(np.concatenate, parts)
                 count, first, _ = _counted(h1 ^ _mix(h2))
-                kind = np.where(count > 1, np.where(first, 2, 3), 1).astype(np.uint8)
-                yield _packed((h1 % _U(buckets)).astype(np.int64), buckets, [h1, h2, key, pos, kind], ["h1", "h2", "key", "pos", "kind"])
+                again = (count > 1) & ~first
+                start = np.cumsum(n) - n
+                bit = _U(1) << (np.arange(len(h1)) - np.repeat(start, n)).astype(_U)
+                marks = [np.bitwise_or.reduceat(np.where(m, bit, _U(0)), start) for m in (again, (count > 1) & first)]
+                content = np.empty((~again).sum(), CONTENT)
+                content["a"], content["b"] = h1[~again], h2[~again].astype(np.uint32)
+                bucket = (_mix(name.view(_U)) % _U(buckets)).astype(np.int64)
+                cols = {"key": key, "lo": lo.astype(np.uint32), "n": n.astype(np.uint8), "again": marks[0], "twice": marks[1]}
+                yield _packed(buckets, {k: (bucket, v) for k, v in cols.items()} | {"content": (np.repeat(bucket, n)[~again], content)})
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h1, h2, key, pos, kind in _unpacked(batches, WINDOWS):
-            order = np.lexsort((h2, h1))
+        for key, lo, n, again, twice, content in _unpacked(batches, ASKED):
+            n = n.astype(np.int64)
+            of = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(of)) - (np.cumsum(n) - n)[of]
+            ok = (again[of] >> place.astype(_U) & _U(1)).astype(bool)
+            weight = 1 + (twice[of] >> place.astype(_U) & _U(1)).astype(np.int64)[~ok]
+            order = np.lexsort((content["b"], content["a"]))
             new = np.ones(len(order), bool)
-            new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+            new[1:] = content[order][1:] != content[order][:-1]
             cls = np.cumsum(new) - 1
-            ok = np.empty(len(order), bool)
-            ok[order] = np.bincount(cls, np.where(kind[order] == 3, 1, kind[order]))[cls] > 1
-            key, pos = key[ok], pos[ok]
+            more = np.empty(len(order), bool)
+            more[order] = np.bincount(cls, weight[order], minlength=1)[cls] > 1
+            ok[~ok] = more
+            key, pos = key[of[ok]], (lo[of] + place)[ok]
             if len(key):
                 order = np.lexsort((pos, key))
                 key, pos = key[order], pos[order]
@@ -331,7 +347,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                 ends = np.concatenate([start[1:], [len(key)]])
                 yield pa.RecordBatch.from_arrays([pa.array(key[start]), pa.array([pos[i:j].astype("<u4").tobytes() for i, j in zip(start, ends)], pa.binary())], names=["key", "pos"])
 
-    windows = rows.join(asked, "key").select("key", "text", "ask").mapInArrow(hashed, "bucket int, h1 binary, h2 binary, key binary, pos binary, kind binary")
+    # both joins read one exchange of the texts: they ask for the same columns of it
+    windows = rows.join(asked, "key").select("doc_id", "key", "text", "ask").mapInArrow(hashed, "bucket int, key binary, lo binary, n binary, again binary, twice binary, content binary")
     again = windows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(repeated, "key long, pos binary")
     gone = again.groupBy("key").agg(F.collect_list("pos").alias("gone"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * emit_text
@@ -339,7 +356,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for text, where in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for text, where in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 words = text.encode("utf-8", "surrogatepass").split()
                 kept = words
                 if where:
@@ -355,4 +372,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             cols = [b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(out[3], pa.string())] * emit_text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * emit_text)
 
-    return rows.join(gone, "key", "left").select("doc_id", "text", "gone").mapInArrow(finish, schema)
+    return rows.join(gone, "key", "left").select("doc_id", "key", "text", "gone").mapInArrow(finish, schema)

@@ -22,10 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: a short lineage that outlives executors."""
+def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: a short lineage that outlives executors.
+
+    Numbers that hardly shrink are better written uncompressed: each file's codec holds buffers outside the heap.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -40,7 +43,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     equi-join, whose hot keys adaptive execution splits; no neighbour list is ever collected. Each round is
     written to the shared folder, and the rounds stop when the edges no longer change.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc", "none")
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -50,7 +53,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: u and its neighbours below u go to their minimum
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(low, F.col("a") == F.col("u")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = cut(small, "cc")
+        edges = cut(small, "cc", "none")
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:
             break

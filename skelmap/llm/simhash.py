@@ -16,7 +16,7 @@ SEED = 42
 MAX_BITS = 3
 #: Runs of one anchor up to this long are compared by shifts, longer ones in blocks.
 SHORT = 48
-BLOCK = 2048
+BLOCK = 1024
 
 
 def simhash(text: str | None, words: int = 3) -> int:
@@ -182,12 +182,13 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     one point, so copies cost a count; repeated rows are all returned. A null id is returned with its class but names none,
     unless a class has null ids only: then component_id is null. An empty table gives no rows. Other columns are not read.
     """
-    fps = cut(fingerprints(docs, text_col, id_col, words), "simhash")
+    fps = cut(fingerprints(docs, text_col, id_col, words), "simhash", "none")
     points = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    links = _replicas(points.select("fp")).select("anchor", "fp").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a long, b long").distinct()
-    linked = cut(components(links), "simhash-cc")
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the anchors are many times the points
+    links = _replicas(points.select("fp").repartition(spread, "fp")).select("anchor", "fp").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a long, b long").distinct()
+    linked = cut(components(links), "simhash-cc", "none")
     named = points.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = cut(named, "simhash-points")
+    named = cut(named, "simhash-points", "none")
     names = named.join(linked.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"))
     classes = named.join(names, "root", "left").select(F.col("fp").alias("_fp"), F.coalesce("least", "rep").alias("component_id"))
     out = fps.join(classes, F.col("fp") == F.col("_fp"), "left")

@@ -35,57 +35,65 @@ class Forest:
 
     def __init__(self, vectors: np.ndarray, top_norm: float, trees: int = TREES):
         self.x, self.trees, self.norm = vectors.astype(np.float64), trees, top_norm
+        self.near = vectors.astype(np.float32)  # for the first look at candidates
         lift = np.sqrt(np.maximum(top_norm**2 - np.einsum("ij,ij->i", self.x, self.x), 0))
         labels = _labels(np.concatenate([self.x, lift[:, None]], axis=1), trees)
         self.order = np.argsort(labels, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(labels, self.order, axis=1)
-
-    def _ranges(self, labels: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each tree and query the range of rows that share the query's first `length` bits."""
-        shift = np.uint64(BITS - length)
-        head = labels.astype(np.uint64) >> shift << shift
-        low = [np.searchsorted(s, h) for s, h in zip(self.sorted.astype(np.uint64), head)]
-        high = [np.searchsorted(s, h + (np.uint64(1) << shift)) for s, h in zip(self.sorted.astype(np.uint64), head)]
-        return np.array(low), np.array(high)
+        self.sorted = np.take_along_axis(labels, self.order, axis=1).astype(np.uint64)
+
+    def _ranges(self, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By length, tree and query: the range of rows that share the query's first `length` bits."""
+        low = np.zeros((BITS + 1, self.trees, labels.shape[1]), np.int32)
+        high = np.full_like(low, len(self.x))
+        for length in range(1, BITS + 1):
+            shift = np.uint64(BITS - length)
+            head = labels.astype(np.uint64) >> shift << shift
+            for t in range(self.trees):
+                low[length, t] = np.searchsorted(self.sorted[t], head[t])
+                high[length, t] = np.searchsorted(self.sorted[t], head[t] + (np.uint64(1) << shift))
+        return low, high
 
     def search(self, queries: np.ndarray, k: int, enough: int, miss: float = MISS) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Places and scores of the found rows of each query, at least the k best of them.
+        """Places and exact scores of the k best rows found for each query, and of those that tie with the k-th.
 
         Each query descends to its longest-prefix matches; then all trees ascend together, one bit at a time, until
         `enough` rows are found and a row as near as the enough-th best would hardly be missed. At length 0 all rows are found.
         """
         q = queries.astype(np.float64)
         labels = _labels(np.concatenate([q, np.zeros((len(q), 1))], axis=1), self.trees)
+        low, high = self._ranges(labels)
         size = np.sqrt(np.einsum("ij,ij->i", q, q)) * self.norm
-        n, need = len(self.x), min(enough, len(self.x))
-        found = [np.empty(0, np.int64)] * len(q)
-        scores = [np.empty(0)] * len(q)
-        seen = np.zeros((len(q), n), bool)
-        active = np.arange(len(q))
-        for length in range(BITS, -1, -1):
-            low, high = self._ranges(labels[:, active], length) if length else (np.zeros((1, len(active)), int), np.full((1, len(active)), n))
-            going = []
-            for a, i in enumerate(active):
-                mine = seen[i]
-                if length == 0:
-                    new = np.flatnonzero(~mine)
-                else:
-                    hit = np.concatenate([self.order[t, low[t, a] : high[t, a]] for t in np.flatnonzero(high[:, a] > low[:, a])] or [np.empty(0, np.int64)])
-                    new = np.unique(hit[~mine[hit]])
-                if len(new):
-                    mine[new] = True
-                    found[i] = np.concatenate([found[i], new])
-                    scores[i] = np.concatenate([scores[i], (self.x[new] * q[i]).sum(axis=1)])
-                if length == 0 or len(found[i]) < need:
-                    going.append(i)
-                    continue
-                cos = np.clip(np.partition(scores[i], len(scores[i]) - need)[len(scores[i]) - need] / size[i], -1, 1)
-                if (1 - (1 - math.acos(cos) / math.pi) ** length) ** self.trees > miss:
-                    going.append(i)
-            active = np.array(going, int)
-            if not len(active):
+        need = min(enough, len(self.x))
+        longest = BITS - np.argmax(((high - low).sum(axis=1) >= need)[::-1], axis=0)
+        return [self._ascend(q[i], low[:, :, i], high[:, :, i], int(longest[i]), size[i], k, need, miss) for i in range(len(q))]
+
+    def _ascend(self, q: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, size: float, k: int, need: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
+        seen = np.zeros(len(self.x), bool)
+        found, rough = np.empty(0, np.int64), np.empty(0, np.float32)
+        q32 = q.astype(np.float32)
+        while True:
+            now = np.ones(len(seen), bool)
+            if length:
+                now[:] = False
+                for t in np.flatnonzero(high[length] > low[length]):
+                    now[self.order[t, low[length, t] : high[length, t]]] = True
+            new = np.flatnonzero(now & ~seen)
+            seen |= now
+            if len(new):
+                found = np.concatenate([found, new])
+                rough = np.concatenate([rough, self.near[new] @ q32])
+            if not length:
                 break
-        return list(zip(found, scores))
+            if len(found) >= need:
+                cos = min(max(float(np.partition(rough, len(rough) - need)[len(rough) - need]) / size, -1), 1)
+                if (1 - (1 - math.acos(cos) / math.pi) ** length) ** self.trees <= miss:
+                    break
+            length -= 1
+        # the first look rounds; what comes near the k-th score is scored again in double precision
+        if len(found) > k:
+            edge = np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-4 * size
+            found = found[rough >= edge]
+        return found, (self.x[found] * q).sum(axis=1)
 
 
 def _checked(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
@@ -141,7 +149,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         if len(d_ids) and len(q_ids):
             forest = Forest(d_x, float(table.column("top")[0].as_py()), trees)
             for at in range(0, len(q_ids), 512):
-                for qid, (found, score) in zip(q_ids[at : at + 512], forest.search(q_x[at : at + 512], k, enough, miss)):
+                for qid, (found, score) in zip(q_ids[at : at + 512], forest.search(q_x[at : at + 512], k + 1, enough, miss)):
                     cand = d_ids[found]
                     cand, score = cand[cand != qid], score[cand != qid]
                     best = np.lexsort((cand, -score))[:k]

@@ -14,7 +14,7 @@ BLOCK_DOCS = 8
 MAX_SOURCES = 1000
 MAX_SLOTS = 1_000_000
 #: Rows that one (source, bucket) group numbers, at the mean.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 
 
 def pattern(weights: dict[str, int]) -> list[str]:

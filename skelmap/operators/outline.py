@@ -38,18 +38,21 @@ def decoded(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def grammar_decls(files: DataFrame, depth: int = 1, parity: bool = False) -> DataFrame:
-    """file_id, imports, decls, truncated of files (file_id, fmt, text) that have a grammar; one pass, no shuffle."""
+def grammar_decls(files: DataFrame, depth: int = 1, parity: bool = False, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """file_id, the columns keep, imports, decls, truncated of files (file_id, fmt, text) that have a grammar; one pass, no shuffle."""
+    kept = ["file_id", *keep]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from skelmap.functions.parse import parse
 
         for pdf in parts:
             found = [parse(f, t, depth, parity) for f, t in zip(pdf["fmt"], pdf["text"])]
-            yield pd.DataFrame({"file_id": pdf["file_id"], "imports": [x.imports for x in found], "decls": [[{"start": a, "end": b, "indent": i, "text": s} for a, b, i, s in x.decls] for x in found], "truncated": [x.truncated for x in found]})
+            decls = [[{"start": a, "end": b, "indent": i, "text": s} for a, b, i, s in x.decls] for x in found]
+            yield pd.DataFrame({**{k: pdf[k] for k in kept}, "imports": [x.imports for x in found], "decls": decls, "truncated": [x.truncated for x in found]})
 
-    rows = files.where(F.col("fmt").isin(list(GRAMMARS))).select("file_id", "fmt", "text")
-    return rows.mapInPandas(run, f"file_id bigint, imports array<string>, decls {DECLS}, truncated boolean")
+    rows = files.where(F.col("fmt").isin(list(GRAMMARS))).select(*dict.fromkeys([*kept, "fmt", "text"]))
+    schema = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in kept)
+    return rows.mapInPandas(run, f"{schema}, imports array<string>, decls {DECLS}, truncated boolean")
 
 
 def line_decls(files: DataFrame, parity: bool = False) -> DataFrame:

@@ -14,27 +14,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-MAX_CACHED = 500_000
+MAX_CACHED = 700_000
 MAX_CACHED_CHARS = 48
 
 
 class Cache(dict):
-    """Chunk to its little-endian ids and what these decode to; long chunks are worked out again each time."""
+    """Chunk to its little-endian ids; long chunks are worked out again each time.
+
+    Each new chunk is decoded as well. odd has the chunks that decode to anything but themselves: a text without one decodes to itself.
+    """
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
         self.fresh: list[tuple[str, bytes]] = []
+        self.odd: set[str] = set()
 
-    def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
+    def __missing__(self, chunk: str) -> bytes:
         ids = self.codec.piece_ids(chunk)
-        found = b"".join([i.to_bytes(4, "little") for i in ids]), b"".join([self.codec.pieces[i] for i in ids])
-        self.fresh.append((chunk, found[0]))
+        found = array("I", ids).tobytes()
+        if b"".join(map(self.codec.pieces.__getitem__, ids)) != chunk.replace(SPACE, " ").encode():
+            self.odd.add(chunk)
+        self.fresh.append((chunk, found))
         if len(chunk) <= MAX_CACHED_CHARS:
             self[chunk] = found
         return found
 
 
+class Words(dict):
+    """Word, with the space before it, to the ids of its chunks."""
+
+    def __init__(self, codec: Codec):
+        super().__init__({"": b""})
+        self.codec = codec
+
+    def __missing__(self, word: str) -> bytes:
+        found = b"".join(map(self.codec.cache.__getitem__, self.codec.split.findall(word)))
+        if len(word) <= MAX_CACHED_CHARS:
+            self[word] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder of one model file; the model gives pieces, scores and kinds, the merging is done here."""
 
@@ -64,13 +84,34 @@ class Codec:
         order = {x: r for r, x in enumerate(scores)}
         self.rank = {p: order[sp.get_score(i)] for p, i in self.ids.items()}
         self.bos, self.eos, self.unk = sp.bos_id(), sp.eos_id(), sp.unk_id()
-        if any(a != SPACE and b == SPACE for p in self.ids for a, b in zip(p, p[1:])):
-            alone, self.split = "", re.compile(r"(?s).+")
-        else:  # no piece crosses from a character to a space after it, nor holds a control character: merges stay within
-            alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
-            self.split = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        alone, self.split = self._splitter()
         self.whole = "\n" not in alone
-        self.cache = Cache(self)
+        self.cache, self.words = Cache(self), Words(self)
+        self.ends = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little")
+
+    def _splitter(self) -> tuple[str, re.Pattern]:
+        """Line breaks and the like that are in no piece, and a pattern that cuts a text where no piece goes across.
+
+        A cut is safe between two characters that stand side by side in no piece. If no piece has a space after another
+        character, each run of spaces begins a chunk. Marks that no piece has in front of other characters end one; after a
+        character that some piece has in front of a mark the chunk goes on to the next space.
+        """
+        sides = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
+        if any(a != SPACE and b == SPACE for a, b in sides):
+            return "", re.compile(r"(?s).+")
+        alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
+        marks = {c for p in self.ids for c in p if not c.isalnum() and c != SPACE} - set(alone)
+        while True:
+            front = [b for a, b in sides if b in marks and a not in marks and a != SPACE]
+            joined = {a for a, b in sides if a in marks and b not in marks and b != SPACE} | {b for b in front if front.count(b) > 2}
+            if not joined:
+                break
+            marks -= joined
+        tied = {a for a, b in sides if b in marks and a not in marks and a != SPACE}
+        each = lambda chars: "".join(map(re.escape, sorted(chars)))
+        word = f"{SPACE}*[^{SPACE}{alone}{each(marks)}]+"
+        word += f"(?:(?<=[{each(tied)}])[{each(marks)}][^{SPACE}{alone}]*)?" if tied and marks else ""
+        return alone, re.compile("|".join([word, *([f"{SPACE}*[{each(marks)}]+"] if marks else []), f"{SPACE}+", *([f"[{alone}]"] if alone else [])]))
 
     def merge(self, chunk: str) -> list[str]:
         """Symbols of chunk after all merges: of the adjacent pairs that form a piece, the best score first, leftmost on ties.
@@ -120,11 +161,18 @@ class Codec:
 
     def code(self, text: str | None) -> tuple[bytes, str]:
         """encode(text), and decode() of that, in one pass."""
-        if len(self.cache) > MAX_CACHED:
-            self.cache.clear()
-        pairs = list(map(self.cache.__getitem__, self.chunks(text or "")))
-        ids = self.bos.to_bytes(4, "little") + b"".join([p[0] for p in pairs]) + self.eos.to_bytes(4, "little")
-        return ids, b"".join([p[1] for p in pairs])[1:].decode("utf-8", "replace")
+        for held in (self.cache, self.words):
+            if len(held) > MAX_CACHED:
+                held.clear()
+                held.update({} if held is self.cache else {"": b""})
+        text = text or ""
+        if self.whole or not text or text[0] == " " or "  " in text or SPACE in text:
+            ids = b"".join(map(self.cache.__getitem__, self.chunks(text)))
+        else:  # no runs of spaces: words are what stands between single spaces and line breaks
+            words = (SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n ")).split(" ")
+            ids = b"".join(map(self.words.__getitem__, words))
+        ids = self.ends[0] + ids + self.ends[1]
+        return ids, self.decode(ids) if self.cache.odd else text.replace(SPACE, " ")
 
     def check(self, texts: list[str], ids: list[bytes]) -> None:
         """Hold what was worked out since the last check against the library; a difference raises an error.
@@ -143,8 +191,7 @@ class Codec:
 
     def decode(self, ids: bytes) -> str:
         """Text of little-endian ids; the space that encoding puts in front goes."""
-        table = self.pieces
-        raw = b"".join([table[i] for i in memoryview(ids).cast("I")])
+        raw = b"".join(map(self.pieces.__getitem__, memoryview(ids).cast("I")))
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 

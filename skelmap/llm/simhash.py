@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut
@@ -184,25 +184,119 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     fps = cut(fingerprints(docs, text_col, id_col, words), "simhash", "none")
     points = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the anchors are many times the points
-    links = _replicas(points.select("fp").repartition(spread, "fp")).select("anchor", "fp").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a long, b long").distinct()
-    linked = cut(components(links), "simhash-cc", "none")
+    return _classes(fps, points, _anchor_links(points))
+
+
+def _anchor_links(points: DataFrame) -> DataFrame:
+    """Links of fingerprints within MAX_BITS, enough to join all that are linked."""
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the anchors are many times the points
+    spaced = points.select("fp").repartition(spread, F.xxhash64("fp"))
+    return _replicas(spaced).select("anchor", "fp").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a long, b long")
+
+
+def _classes(fps: DataFrame, points: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id of rows (doc_id, fp), by the links of their fingerprints."""
+    linked = cut(components(links.distinct()), "simhash-cc", "none")
     named = points.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = cut(named, "simhash-points", "none")
+    named = cut(named, "simhash-named", "none")
     names = named.join(linked.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"))
     classes = named.join(names, "root", "left").select(F.col("fp").alias("_fp"), F.coalesce("least", "rep").alias("component_id"))
     out = fps.join(classes, F.col("fp") == F.col("_fp"), "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5) -> DataFrame:
-    """The rows of docs that stay, one of each class: that with the class's smallest id, with its own columns.
+# --- similarity of 0.8 ----------------------------------------------------------------------------------------------------
+#
+# Texts with a Jaccard similarity of 0.8 differ in about 10 bits of 64, far beyond what anchors can cover. So where a similarity is
+# asked for, min-hashes name more candidates and judge them; links within 3 bits come from the anchors as before.
+
+HASHES = 256
+BANDS, BAND = 16, 5
+
+
+def _multipliers() -> np.ndarray:
+    return np.random.default_rng(SEED).integers(1 << 62, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
+
+
+def sketch(text: str | None, words: int, multipliers: np.ndarray) -> tuple[int, bytes, np.ndarray]:
+    """SimHash, a byte of each min-hash, and the keys of the bands of min-hashes, of the word shingles."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest, join = xxhash.xxh64_digest, b" ".join
+    counts, least, n = np.zeros(64, np.int64), np.full(HASHES, np.iinfo(np.uint64).max, np.uint64), 0
+    last = max(len(w) - words + 1, min(len(w), 1))
+    for at in range(0, last, 1 << 12):
+        part = w[at : min(at + (1 << 12), last) + words - 1]
+        shingles = zip(*(part[i:] for i in range(words))) if len(w) >= words else [w]
+        raw = np.frombuffer(b"".join([digest(join(t), SEED) for t in shingles]), np.uint8).reshape(-1, 8)
+        n += len(raw)
+        counts += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+        h = np.unique(raw.view(">u8")[:, 0].astype(np.uint64))
+        for k in range(0, len(h), 512):
+            np.minimum(least, (h[k : k + 512, None] * multipliers).min(axis=0), out=least)
+    fp = int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big") if n else 0
+    mixed = least ^ (least >> np.uint64(29))
+    keys = [xxhash.xxh64_intdigest(bytes([b]) + least[b * BAND : (b + 1) * BAND].tobytes()) for b in range(BANDS)]
+    return fp, (mixed & np.uint64(255)).astype(np.uint8).tobytes(), np.array(keys, np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame, text_col: str, id_col: str, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        multipliers = _multipliers()
+        for b in batches:
+            with np.errstate(over="ignore"):
+                rows = [sketch(t.as_py(), words, multipliers) for t in b.column(1)]
+            fp = np.array([r[0] for r in rows], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "fp", "sig", "bands"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, "doc_id long, fp long, sig binary, bands array<bigint>")
+
+
+def _similar(points: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of points (fp, rep, sig, bands) whose min-hashes agree in a share of `similarity` or more.
+
+    In each of BANDS groupings by equal bands a point meets the point of the group's smallest id, and its neighbour in an order of
+    its own to that band: at most two pairs a row, however large a group is.
+    """
+    rows = points.select("fp", "rep", F.posexplode("bands").alias("band", "key"))
+    order = [F.xxhash64("band", "fp"), F.col("fp")]
+    group = Window.partitionBy("key")
+    before = F.lag("fp").over(group.orderBy(*order))
+    first = F.min(F.struct(F.coalesce("rep", F.lit((1 << 63) - 1)).alias("r"), "fp")).over(group)
+    met = rows.select("fp", before.alias("x"), first["fp"].alias("y"))
+    pairs = met.select("fp", F.explode(F.array("x", "y")).alias("to")).where("`to` IS NOT NULL AND `to` <> fp")
+    pairs = pairs.select(F.greatest("fp", "to").alias("a"), F.least("fp", "to").alias("b")).distinct()
+    left, right = points.select(F.col("fp").alias("a"), F.col("sig").alias("sa")), points.select(F.col("fp").alias("b"), F.col("sig").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
+            share = (x == y).mean(axis=1)
+            ok = (share - 1 / 256) / (1 - 1 / 256) >= similarity  # bytes agree by chance once in 256
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """near_groups() that also links texts whose shingle sets have a Jaccard similarity of `similarity` or more.
+
+    The similarity is that of HASHES min-hashes, with a standard error of 0.025 at 0.8; a pair of that similarity shares a band with
+    a chance of 0.998. Cases are as in near_groups().
+    """
+    rows = cut(sketches(docs, text_col, id_col, words), "simhash-sketches")
+    points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min(F.struct("sig", "bands")).alias("s")).select("fp", "rep", "s.sig", "s.bands"), "simhash-points")
+    return _classes(rows.select("doc_id", "fp"), points.select("fp", "rep"), _anchor_links(points).unionByName(_similar(points, similarity)))
+
+
+def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that stay, one of each class of similar_groups(): that with the smallest id, with its own columns.
 
     Rows that are repeated with one id are one document: one of them stays. Rows with a null id all stay if nothing names
     their class, and go otherwise.
     """
     own = docs.columns
-    keep = near_groups(docs, text_col, id_col, words).where("component_id IS NULL OR doc_id = component_id")
+    keep = similar_groups(docs, text_col, id_col, words, similarity).where("component_id IS NULL OR doc_id = component_id")
     ids = keep.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_sm_id")).agg(F.count("*").alias("_sm_rows"))
     rows = docs.withColumn("_sm_own", F.col(id_col).cast("long"))
     joined = rows.join(ids, F.col("_sm_own") == F.col("_sm_id"))

@@ -207,3 +207,65 @@ def test_components(spark):
         up[y] = x
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
     assert components(spark.createDataFrame([], "a long, b long").select("a", F.col("b"))).count() == 0
+
+
+def shingles(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
+
+
+def near_table(seed=11):
+    """Texts with copies that differ in some words; unlike ones share common words only."""
+    rng = random.Random(seed)
+    table, kin = [], {}
+    for g in range(40):
+        base = [f"{rng.choice('abcdef')}{rng.randrange(400)}" for _ in range(rng.randrange(60, 250))]
+        for c in range(rng.randrange(1, 5)):
+            w = list(base)
+            for _ in range(0 if c == 0 else rng.randrange(1, max(2, len(w) // 90))):
+                w[rng.randrange(len(w))] = "edit" + str(rng.randrange(1000))
+            kin[len(table)] = g
+            table.append((len(table), " ".join(w), None, None, None))
+    return table, kin
+
+
+def test_similar_groups(spark):
+    table, kin = near_table()
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(table, DOCS)).collect()}
+    sets = [shingles(r[1]) for r in table]
+    for i in range(len(table)):
+        for j in range(i):
+            jaccard = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if jaccard >= 0.88:
+                assert got[i] == got[j], jaccard
+            if kin[i] != kin[j]:
+                assert got[i] != got[j]
+
+
+def test_sketch_is_the_simhash_and_estimates_the_similarity():
+    table, _ = near_table(3)
+    m = simhash._multipliers()
+    with np.errstate(over="ignore"):
+        made = [simhash.sketch(t, 5, m) for _, t, *_ in table] + [simhash.sketch(t, 5, m) for t in (None, "", "one", "a b c d e", "x " * 9000)]
+    for (fp, _, _), t in zip(made, [r[1] for r in table] + [None, "", "one", "a b c d e", "x " * 9000]):
+        assert fp == simhash.simhash(t, 5)
+    errors = []
+    for i in range(len(table) - 1):
+        a, b = shingles(table[i][1]), shingles(table[i + 1][1])
+        share = np.mean(np.frombuffer(made[i][1], np.uint8) == np.frombuffer(made[i + 1][1], np.uint8))
+        errors.append(abs((share - 1 / 256) / (1 - 1 / 256) - len(a & b) / len(a | b)))
+    assert max(errors) < 0.13 and np.mean(errors) < 0.03
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies of one text, each with a word of its own: linked whole."""
+    base = [f"w{i}" for i in range(300)]
+    rng = random.Random(1)
+    table = []
+    for i in range(400):
+        w = list(base)
+        if i:
+            w[rng.randrange(300)] = f"own{i}"
+        table.append((i, " ".join(w), None, None, None))
+    kept = simhash.drop_near_copies(spark.createDataFrame(table, DOCS))
+    assert [r.doc_id for r in kept.collect()] == [0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,23 @@ def tables_dir(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lowest_hashed(pool: DataFrame, by: str, n: int, max_groups: int) -> DataFrame:
+    """At most n rows of each group of pool: those with the least h, a hash of 64 bits that pool has.
+
+    Groups are counted first; then a bound on h lets through about twice what is wanted, whatever the size of the group, so
+    the ranking that follows handles few rows. A sample that comes out short of n by chance is left so.
+    """
+    counts = pool.groupBy(by).agg(F.count("*").alias("n")).limit(max_groups + 1).collect()
+    if len(counts) > max_groups:
+        raise ValueError(f"more than {max_groups} values of {by}")
+    bound = F.lit(None).cast("long")
+    for r in counts:
+        share = min(1.0, (2 * n + 200) / r.n)
+        bound = F.when(F.col(by) == r[by], F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1))).otherwise(bound)
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("h", *[c for c in pool.columns if c not in (by, "h")]))
+    return pool.where(F.col("h") <= bound).withColumn("nth", nth).where(F.col("nth") <= n)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (node, root), root the smallest node reached.
 

@@ -8,9 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lowest_hashed
+
 #: Bounds of the fitting sample: labelled rows, and among them landmarks, of each language.
 SAMPLE_PER_LANGUAGE = 300
 LANDMARKS_PER_LANGUAGE = 24
@@ -109,17 +111,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     The sample, at most MAX_LANGUAGES * per_language rows, is the only thing that the driver holds.
     """
-    # the smaller batch bounds the gram sets that are gathered; texts without letters teach nothing
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
-    pool = own.where(f"_id IS NOT NULL AND _l IS NOT NULL AND _t RLIKE '\\\\p{{L}}'").where(~held_out("_id"))
-    nth = F.row_number().over(Window.partitionBy("_l").orderBy("h", "_id"))
-    sample = pool.select("_id", "_l", F.xxhash64("_id").alias("h")).withColumn("nth", nth).where(F.col("nth") <= per_language)
-    langs = sample.select("_l").distinct().orderBy("_l").limit(MAX_LANGUAGES + 1).collect()
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t"), F.col(lang_col).alias("_l"))
+    pool = own.where("_id IS NOT NULL AND _l IS NOT NULL").where(~held_out("_id")).select("_id", "_l", F.xxhash64("_id").alias("h"))
+    sample = lowest_hashed(pool, "_l", per_language, MAX_LANGUAGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ok = [has_letter(t) for t in b.column(2).to_pylist()]  # others teach nothing
+            b = b.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([grams(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["nth", "lang", "x"])
 
     wanted = F.broadcast(sample.select("nth", "_l", F.col("_id").alias("_w")))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lowest_hashed
+
 BITS = 18
 #: Bound of the fitting sample: labelled rows of each grade.
 SAMPLE_PER_GRADE = 3000
@@ -124,11 +126,8 @@ def train(docs: DataFrame, graded: DataFrame, n_grades: int = 3, per_grade: int
     graded: doc_id, grade (0 to n_grades - 1). The sample is the only thing that the driver holds: its ids are broadcast, at
     most n_grades * per_grade of them, and its features are gathered up to MAX_NONZEROS.
     """
-    pool = graded.where(~held_out()).select("doc_id", "grade", F.xxhash64("doc_id").alias("h"))
-    sample = None
-    for g in range(n_grades):
-        part = pool.where(F.col("grade") == g).orderBy("h", "doc_id").limit(per_grade)
-        sample = part if sample is None else sample.unionByName(part)
+    pool = graded.where(~held_out()).where("doc_id IS NOT NULL AND grade IS NOT NULL").select("doc_id", "grade", F.xxhash64("doc_id").alias("h"))
+    sample = lowest_hashed(pool, "grade", per_grade, n_grades)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
@@ -115,25 +115,40 @@ class Forest:
         return up
 
 
-def _link_run(v: np.ndarray, bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the distinct fingerprints of one anchor."""
-    f, n = Forest(len(v)), len(v)
-    if n > 4 * BLOCK:  # a dense group joins by flips of one and two bits, without comparing all with all
-        order = np.argsort(v)
-        s = v[order]
-        one = [np.uint64(1 << i) for i in range(64)]
-        for flip in one + [a ^ b for k, a in enumerate(one) for b in one[:k]]:
-            x = s ^ flip
-            at = np.minimum(np.searchsorted(s, x), n - 1)
-            for i in np.flatnonzero((s[at] == x) & (f.roots()[order] != f.roots()[order[at]])):
-                f.join(order[i], order[at[i]])
-    roots = f.roots().copy()
-    largest = np.bincount(roots, minlength=n).argmax()
-    few = np.flatnonzero(roots != largest) if n > 4 * BLOCK else np.arange(n)
-    for p in range(0, len(few), BLOCK):
-        rows = few[p : p + BLOCK]
-        for q in range(0, n, BLOCK):
-            i, j = np.nonzero(np.bitwise_count(v[rows][:, None] ^ v[None, q : q + BLOCK]) <= bits)
+def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Are fingerprints within MAX_BITS of one another? Shapes as numpy broadcasts them."""
+    return np.bitwise_count(x ^ y) <= MAX_BITS
+
+
+def _flips(v: np.ndarray, f: Forest) -> None:
+    """Join fingerprints that differ in one or two bits, without comparing all with all: most of a dense group."""
+    order = np.argsort(v)
+    s = v[order]
+    one = [np.uint64(1 << i) for i in range(64)]
+    for flip in one + [a ^ b for k, a in enumerate(one) for b in one[:k]]:
+        x = s ^ flip
+        at = np.minimum(np.searchsorted(s, x), len(s) - 1)
+        for i in np.flatnonzero((s[at] == x) & (f.roots()[order] != f.roots()[order[at]])):
+            f.join(order[i], order[at[i]])
+
+
+def _link_run(v: np.ndarray, close=_close, ahead=_flips, dense: int = 4 * BLOCK, block: int = BLOCK) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the rows of one group.
+
+    All are compared with all, block by block. A group of over `dense` is joined ahead as far as that goes cheaply; then only what
+    is outside its largest part is compared with all.
+    """
+    n = len(v)
+    f = Forest(n)
+    rest = np.arange(n)
+    if n > dense:
+        ahead(v, f)
+        roots = f.roots()
+        rest = np.flatnonzero(roots != np.bincount(roots, minlength=n).argmax())
+    for p in range(0, len(rest), block):
+        rows = rest[p : p + block]
+        for q in range(0, n, block):
+            i, j = np.nonzero(close(v[rows][:, None], v[None, q : q + block]))
             i, j = rows[i], j + q
             new = f.roots()[i] != f.roots()[j]
             for a, b in zip(i[new], j[new]):
@@ -141,37 +156,54 @@ def _link_run(v: np.ndarray, bits: int = MAX_BITS) -> list[tuple[int, int]]:
     return f.links
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor. Emits links of distinct fingerprints that together join all that are linked."""
-    held_a, held_v = np.empty(0, np.int64), np.empty(0, np.uint64)
+def _link_groups(batches: Iterator[pa.RecordBatch], load, close, link_run) -> Iterator[pa.RecordBatch]:
+    """Links that together join all rows of one group that are close. Rows come sorted by group, in column 0.
+
+    load: batch to ids and what is compared. Short groups are compared by shifts, many at once, long ones by link_run.
+    """
+    held: list[np.ndarray] = []
 
-    def done(a: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        xs, ys = [], []
-        start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
-        size = np.diff(np.r_[start, len(a)])
+    def done(a: np.ndarray, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        size = np.diff(np.concatenate([start, [len(a)]]))
         small = np.repeat(size <= SHORT, size)
         for shift in range(1, int(size[size <= SHORT].max(initial=0))):
-            at = np.flatnonzero((a[shift:] == a[:-shift]) & small[shift:] & (np.bitwise_count(v[shift:] ^ v[:-shift]) <= MAX_BITS))
-            xs.append(v[at])
-            ys.append(v[at + shift])
+            at = np.flatnonzero((a[shift:] == a[:-shift]) & small[shift:])
+            at = at[close(v[at], v[at + shift])]
+            xs.append(ids[at])
+            ys.append(ids[at + shift])
         for k in np.flatnonzero(size > SHORT):
-            run = v[start[k] : start[k] + size[k]]
-            links = np.array(_link_run(run), np.int64).reshape(-1, 2)
-            xs.append(run[links[:, 0]])
-            ys.append(run[links[:, 1]])
-        x, y = (np.concatenate(z or [np.empty(0, np.uint64)]) for z in (xs, ys))
-        both = np.unique(np.stack([np.maximum(x.view(np.int64), y.view(np.int64)), np.minimum(x.view(np.int64), y.view(np.int64))], axis=1), axis=0)
+            here = slice(start[k], start[k] + size[k])
+            links = np.array(link_run(v[here]), np.int64).reshape(-1, 2)
+            xs.append(ids[here][links[:, 0]])
+            ys.append(ids[here][links[:, 1]])
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)
+        both = both[both[:, 0] != both[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     for b in batches:
-        a = np.concatenate([held_a, b.column(0).to_numpy(zero_copy_only=False)])
-        v = np.concatenate([held_v, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-        last = int(np.searchsorted(a, a[-1])) if len(a) else 0
+        if not b.num_rows:
+            continue
+        new = [b.column(0).to_numpy(zero_copy_only=False), *load(b)]
+        held = [np.concatenate(c) for c in zip(held, new)] if held else new
+        last = int(np.searchsorted(held[0], held[0][-1]))
         if last:
-            yield done(a[:last], v[:last])
-        held_a, held_v = a[last:].copy(), v[last:].copy()
-    if len(held_a):
-        yield done(held_a, held_v)
+            yield done(*(c[:last] for c in held))
+            held = [c[last:].copy() for c in held]
+    if held:
+        yield done(*held)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the fingerprints of each anchor."""
+
+    def load(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids = b.column(1).to_numpy(zero_copy_only=False)
+        return ids, ids.view(np.uint64)
+
+    return _link_groups(batches, load, _close, _link_run)
 
 
 def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3) -> DataFrame:
@@ -252,30 +284,33 @@ def sketches(docs: DataFrame, text_col: str, id_col: str, words: int) -> DataFra
 
 
 def _similar(points: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of points (fp, rep, sig, bands) whose min-hashes agree in a share of `similarity` or more.
+    """Links (a, b) of points (fp, sig, bands) that share a band and whose min-hashes agree in a share of `similarity` or more.
 
-    In each of BANDS groupings by equal bands a point meets the point of the group's smallest id, and its neighbour in an order of
-    its own to that band: at most two pairs a row, however large a group is.
+    Points of a band that no other has drop out before their min-hashes are sent. A group sends a spanning forest of its links.
     """
-    rows = points.select("fp", "rep", F.posexplode("bands").alias("band", "key"))
-    order = [F.xxhash64("band", "fp"), F.col("fp")]
-    group = Window.partitionBy("key")
-    before = F.lag("fp").over(group.orderBy(*order))
-    first = F.min(F.struct(F.coalesce("rep", F.lit((1 << 63) - 1)).alias("r"), "fp")).over(group)
-    met = rows.select("fp", before.alias("x"), first["fp"].alias("y"))
-    pairs = met.select("fp", F.explode(F.array("x", "y")).alias("to")).where("`to` IS NOT NULL AND `to` <> fp")
-    pairs = pairs.select(F.greatest("fp", "to").alias("a"), F.least("fp", "to").alias("b")).distinct()
-    left, right = points.select(F.col("fp").alias("a"), F.col("sig").alias("sa")), points.select(F.col("fp").alias("b"), F.col("sig").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    # bytes agree by chance once in 256
+    enough = HASHES * (similarity * (1 - 1 / 256) + 1 / 256)
+
+    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x == y).sum(axis=-1, dtype=np.int16) >= enough
+
+    def ahead(v: np.ndarray, f: Forest) -> None:
+        """Join each with the first, and with the one before it."""
+        for i in np.flatnonzero(close(v, v[:1])):
+            f.join(0, int(i))
+        for i in np.flatnonzero(close(v[1:], v[:-1])):
+            f.join(int(i), int(i) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
-            share = (x == y).mean(axis=1)
-            ok = (share - 1 / 256) / (1 - 1 / 256) >= similarity  # bytes agree by chance once in 256
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
+        def load(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            return b.column(1).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, HASHES)
+
+        return _link_groups(batches, load, close, lambda v: _link_run(v, close, ahead, dense=256, block=128))
 
-    return both.mapInArrow(run, "a long, b long")
+    rows = points.select("fp", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = rows.join(shared, "key", "left_semi").join(points.select("fp", "sig"), "fp").select("key", "fp", "sig")
+    return met.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:

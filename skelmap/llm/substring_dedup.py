@@ -26,6 +26,9 @@ RUN_EVERY = 8
 #: Texts are taken together up to so many bytes; a longer one is taken alone.
 GROUP_BYTES = 3 << 20
 PIECE = 1 << 20
+#: Input to a bucket, and the most buckets.
+BUCKET_BYTES = 8 << 20
+MAX_BUCKETS = 200_000
 _U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -261,7 +264,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     if not 2 <= window <= 63:
         raise ValueError("window must be from 2 to 63 words")
     rows = _keyed(docs, text_col, id_col)
-    buckets = buckets or max(64, 2 * rows.rdd.getNumPartitions())
+    if buckets is None:  # so that a bucket's symbols fit a task; by the planner's size of the input, which runs nothing
+        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size > 1 << 59:  # the planner can't tell, as for rows from the driver
+            size = rows.rdd.getNumPartitions() * BUCKET_BYTES
+        buckets = max(64, min(MAX_BUCKETS, size // BUCKET_BYTES))
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Symbols of all texts; of those that repeat within a group, the first tells the bucket so."""

@@ -124,6 +124,14 @@ f AS (
 SELECT host, page_id, size, is_read, skipped FROM f""",
     "page_order": f"""
 WITH {PAGES} SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY rel, page_id) AS place FROM p SEMI JOIN small USING (host)""",
+    "doc_markdown_outline": f"""
+WITH {LINES}, h AS (SELECT doc_id, r, last, length(line) % 3 + 1 AS level, {squash("(repeat('#', CAST(length(line) % 3 + 1 AS INT)) || ' ' || line)")} AS t FROM l WHERE length(line) < 40),
+d AS (SELECT *, (SELECT count(*) FROM h g WHERE g.doc_id = h.doc_id AND g.r < h.r AND g.level < h.level AND NOT EXISTS (SELECT 1 FROM h m WHERE m.doc_id = h.doc_id AND m.r > g.r AND m.r < h.r AND m.level <= g.level)) AS depth,
+                coalesce((SELECT min(m.r) - 1 FROM h m WHERE m.doc_id = h.doc_id AND m.r > h.r AND m.level <= h.level), last) AS e FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS n, '[' || (r + 1) || '-' || (greatest(e, r) + 1) || ']' AS span FROM d WHERE depth <= 2),
+b AS (SELECT doc_id, string_agg(repeat('  ', CAST(depth + 1 AS INT)) || span || repeat(' ', CAST(greatest(0, 10 - length(span)) AS INT)) || ' ' || t || chr(10), '' ORDER BY r) FILTER (n <= 500) AS body, max(n) AS n FROM n GROUP BY doc_id)
+SELECT doc_id, 'doc.md' || chr(10) || coalesce(body, '  (no imports or top-level declarations found)' || chr(10)) || CASE WHEN n > 500 THEN '  … (output truncated at 500 entries — read the file directly for the rest)' || chr(10) ELSE '' END AS text, false AS is_error
+FROM documents LEFT JOIN b USING (doc_id)""",
     "conv_sections": """
 SELECT conv_id, turn, end_turn FROM (
   SELECT conv_id, turn, role, coalesce(min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, max(turn) OVER (PARTITION BY conv_id)) AS end_turn FROM conversations) WHERE role = 'user'""",

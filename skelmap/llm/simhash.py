@@ -244,6 +244,8 @@ def _classes(fps: DataFrame, points: DataFrame, links: DataFrame) -> DataFrame:
 
 HASHES = 256
 BANDS, BAND = 16, 5
+#: Standard error of the similarity that HASHES min-hashes tell, near 0.8; so much less than asked for still links.
+ERROR = 0.025
 
 
 def _multipliers() -> np.ndarray:
@@ -289,7 +291,7 @@ def _similar(points: DataFrame, similarity: float) -> DataFrame:
     Points of a band that no other has drop out before their min-hashes are sent. A group sends a spanning forest of its links.
     """
     # bytes agree by chance once in 256
-    enough = HASHES * (similarity * (1 - 1 / 256) + 1 / 256)
+    enough = HASHES * ((similarity - ERROR) * (1 - 1 / 256) + 1 / 256)
 
     def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return (x == y).sum(axis=-1, dtype=np.int16) >= enough
@@ -316,8 +318,8 @@ def _similar(points: DataFrame, similarity: float) -> DataFrame:
 def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """near_groups() that also links texts whose shingle sets have a Jaccard similarity of `similarity` or more.
 
-    The similarity is that of HASHES min-hashes, with a standard error of 0.025 at 0.8; a pair of that similarity shares a band with
-    a chance of 0.998. Cases are as in near_groups().
+    The similarity is that of HASHES min-hashes, with a standard error of ERROR at 0.8; a link is made from that much below. A pair of
+    a similarity of 0.8 shares a band with a chance of 0.998. Cases are as in near_groups().
     """
     rows = cut(sketches(docs, text_col, id_col, words), "simhash-sketches")
     points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min(F.struct("sig", "bands")).alias("s")).select("fp", "rep", "s.sig", "s.bands"), "simhash-points")

@@ -18,6 +18,7 @@ MAX_DEPTH = 8
 MAX_FILE_BYTES = 2 * 1024 * 1024
 DECLS = "array<struct<start:bigint,end:bigint,indent:int,text:string>>"
 
+# The messages.
 NOTHING = {
     "dotenv": "  (no keys found)\n",
     "INI": "  (no sections or keys found)\n",
@@ -27,6 +28,13 @@ NOTHING = {
 VALUES_OMITTED = "  (values omitted — .env may contain secrets)\n"
 TOO_LARGE = "index: file is %d bytes (> 2 MB limit) — too large to outline. Fall back to `read` (use offset/limit to page through it)."
 UNSUPPORTED = 'index: unsupported file type ".%s" — no tree-sitter grammar for it. Fall back to `read` for this file.'
+UNREADABLE = "index: cannot read %s. Fall back to `read`."
+NO_DECLS = "  (no imports or top-level declarations found)\n"
+BINARY = "  (looks binary — use `read`)\n"
+CSV_HEAD, CSV_NO_HEAD = "  header: %s (%d columns)\n", "  header: (none detected) — %d columns\n"
+CSV_ROWS, CSV_FOOT = '  ~%d rows (delimiter: "%s")\n', "  (~rows is a raw line count; use `read` offset/limit to page)\n"
+LOG_HEAD, LOG_FIRST, LOG_LAST = "  lines: %d   bytes: %s\n", "  first: [%d] %s\n", "  last:  [%d] %s\n"
+LOG_MATCHES, LOG_ERROR, LOG_FOOT = "  matches: ", "  (first ERROR at [%d])", "  (use `read` offset/limit to page through it)\n"
 TRUNCATED = f"  … (output truncated at {MAX_DECLS} entries — read the file directly for the rest)\n"
 
 
@@ -78,15 +86,16 @@ def decl_lines(decls: Column, truncated: Column) -> Column:
 
 
 def _csv_text() -> Column:
-    head = F.when(F.col("header").isNull(), F.format_string("  header: (none detected) — %d columns\n", "n_cols")).otherwise(F.format_string("  header: %s (%d columns)\n", "header", "n_cols"))
-    return F.concat(head, F.format_string('  ~%d rows (delimiter: "%s")\n', "n_rows", "delimiter"), F.lit("  (~rows is a raw line count; use `read` offset/limit to page)\n"))
+    head = F.when(F.col("header").isNull(), F.format_string(CSV_NO_HEAD, "n_cols")).otherwise(F.format_string(CSV_HEAD, "header", "n_cols"))
+    return F.concat(head, F.format_string(CSV_ROWS, "n_rows", "delimiter"), F.lit(CSV_FOOT))
 
 
 def _log_text() -> Column:
     found = F.array_join(F.array_compact(F.array(*[F.when(F.col(w.lower()) > 0, F.concat(F.col(w.lower()).cast("string"), F.lit(f" {w}"))) for w in line_formats.SEVERITIES])), ", ")
-    matches = F.when(found == "", "").otherwise(F.concat(F.lit("  matches: "), found, F.when(F.col("first_error_row").isNull(), "").otherwise(F.format_string("  (first ERROR at [%d])", "first_error_row")), F.lit("\n")))
-    ends = F.when(F.col("first_row").isNull(), "").otherwise(F.concat(F.format_string("  first: [%d] %s\n", "first_row", "first_text"), F.format_string("  last:  [%d] %s\n", "last_row", "last_text")))
-    return F.concat(F.format_string("  lines: %d   bytes: %s\n", "n_lines", "size_text"), ends, matches, F.lit("  (use `read` offset/limit to page through it)\n"))
+    error = F.when(F.col("first_error_row").isNull(), "").otherwise(F.format_string(LOG_ERROR, "first_error_row"))
+    matches = F.when(found == "", "").otherwise(F.concat(F.lit(LOG_MATCHES), found, error, F.lit("\n")))
+    ends = F.when(F.col("first_row").isNull(), "").otherwise(F.concat(F.format_string(LOG_FIRST, "first_row", "first_text"), F.format_string(LOG_LAST, "last_row", "last_text")))
+    return F.concat(F.format_string(LOG_HEAD, "n_lines", "size_text"), ends, matches, F.lit(LOG_FOOT))
 
 
 def outline(files: DataFrame, depth: int | None = 1, parity: bool = False) -> DataFrame:
@@ -104,7 +113,7 @@ def outline(files: DataFrame, depth: int | None = 1, parity: bool = False) -> Da
 
     g = grammar_decls(known, depth, parity)
     imports = F.when(F.size("imports") > 0, F.concat(F.lit("  imports: "), F.array_join("imports", ", "), F.lit("\n"))).otherwise("")
-    nothing = F.when((F.size("imports") == 0) & (F.size("decls") == 0), "  (no imports or top-level declarations found)\n").otherwise("")
+    nothing = F.when((F.size("imports") == 0) & (F.size("decls") == 0), NO_DECLS).otherwise("")
     bodies = g.select("file_id", F.concat(imports, decl_lines(F.col("decls"), F.col("truncated")), nothing).alias("body"))
 
     scanned = clear.where(F.col("fmt").isin(list(NOTHING))).select("file_id", "fmt").join(line_decls(clear, parity), "file_id", "left")
@@ -113,12 +122,12 @@ def outline(files: DataFrame, depth: int | None = 1, parity: bool = False) -> Da
     bodies = bodies.unionByName(scanned.select("file_id", F.concat(F.coalesce(decl_lines(F.col("decls"), F.col("truncated")), F.lit("")), foot).alias("body")))
     bodies = bodies.unionByName(line_formats.csv_digest(clear.where("fmt = 'CSV'")).select("file_id", _csv_text().alias("body")))
     bodies = bodies.unionByName(line_formats.log_digest(clear.where("fmt = 'log/text'")).select("file_id", _log_text().alias("body")))
-    bodies = bodies.unionByName(known.where(is_line & F.col("binary")).select("file_id", F.lit("  (looks binary — use `read`)\n").alias("body")))
+    bodies = bodies.unionByName(known.where(is_line & F.col("binary")).select("file_id", F.lit(BINARY).alias("body")))
 
     good = rows.select("file_id", "name", "fmt").join(bodies, "file_id").select("file_id", "name", "fmt", F.concat("name", F.lit("\n"), "body").alias("text"), F.lit(False).alias("is_error"))
     bad = rows.where(F.col("content").isNull() | (F.col("size") > MAX_FILE_BYTES) | F.col("fmt").isNull())
     message = (
-        F.when(F.col("content").isNull(), F.concat(F.lit("index: cannot read "), F.col("name"), F.lit(". Fall back to `read`.")))
+        F.when(F.col("content").isNull(), F.format_string(UNREADABLE, "name"))
         .when(F.col("size") > MAX_FILE_BYTES, F.format_string(TOO_LARGE, "size"))
         .otherwise(F.format_string(UNSUPPORTED, extension(base_name(F.col("name")))))
     )

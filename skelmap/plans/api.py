@@ -14,6 +14,22 @@ from ..operators.limits import within_budget
 from ..operators.outline import MAX_FILE_BYTES, TOO_LARGE, bounded_depth, decoded, outline
 from ..sources import tree
 
+# The messages.
+NO_PATH = "index: missing `path` argument."
+OUTSIDE = "index: {path} is outside the workspace; `index` is confined to the project directory. Use `read` for files outside it (host `read` can be unjailed), or copy the file in first."
+NO_ANCESTOR = "index: cannot access {asked} (No such file or directory (os error 2)). No directory above it exists inside the workspace; use `glob` to locate the file."
+NOT_LISTED = "index: no such path {asked} — `{missing}` is not in {here}, which could not be listed. Use `glob` to locate the file."
+EMPTY_FOLDER = "index: no such path {asked} — {here} is empty."
+MISSING = "index: no such path {asked} — `{missing}` is not in {here}, which contains: {entries}"
+MORE_ENTRIES = " Use `glob` if the file you want is not listed."
+TAIL = "  … and {more} more ({total} total)."
+NOTHING_HERE = "index: {display} contains no supported source files to outline.{contents} Use `grep`/`read` to explore it."
+CUT_SHORT = " — walk stopped at {limit} entries, so this is a LOWER BOUND; index a subdirectory for a complete view"
+SHOWN = " (showing {k}; index a specific file or subdirectory for the rest)"
+MAP_HEAD = "(map only — `index <file>` or `index <subdir>` for skeletons)"
+ROLLUP_HEAD = "(rolled up — `index <subdir>` to descend)"
+UNREAD = "({n} line counts skipped past a {budget} read budget — sizes above are exact)"
+
 
 def inside(path: str, roots: list[str]) -> bool:
     """Is the real path one of the roots or under one?"""
@@ -32,7 +48,7 @@ def workspace_display(path: str, cwd: str | None) -> str:
 
 
 def _listed(names: list[str], total: int) -> str:
-    tail = f"  … and {total - len(names)} more ({total} total)." if total > len(names) else ""
+    tail = TAIL.format(more=total - len(names), total=total) if total > len(names) else ""
     return "  ".join(names) + tail
 
 
@@ -59,18 +75,17 @@ def miss_message(path: str, roots: list[str], cwd: str | None) -> str:
     asked = workspace_display(path, cwd)
     found = nearest_existing_ancestor(path, roots)
     if found is None:
-        return f"index: cannot access {asked} (No such file or directory (os error 2)). No directory above it exists inside the workspace; use `glob` to locate the file."
+        return NO_ANCESTOR.format(asked=asked)
     folder, missing = found
     shown = workspace_display(folder, cwd)
     here = "the workspace root" if shown == "." else f"{shown}/"
     entries = list_entries(folder)
     if entries is None:
-        return f"index: no such path {asked} — `{missing}` is not in {here}, which could not be listed. Use `glob` to locate the file."
+        return NOT_LISTED.format(asked=asked, missing=missing, here=here)
     names, total = entries
     if not total:
-        return f"index: no such path {asked} — {here} is empty."
-    more = " Use `glob` if the file you want is not listed." if total > len(names) else ""
-    return f"index: no such path {asked} — `{missing}` is not in {here}, which contains: {_listed(names, total)}{more}"
+        return EMPTY_FOLDER.format(asked=asked, here=here)
+    return MISSING.format(asked=asked, missing=missing, here=here, entries=_listed(names, total)) + MORE_ENTRIES * (total > len(names))
 
 
 def files_table(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -90,7 +105,7 @@ def outline_tree(spark: SparkSession, path: str, depth: int | None = 1, parity:
 
 
 def _note(cut: bool) -> str:
-    return f" — walk stopped at {tree.MAX_ENTRIES} entries, so this is a LOWER BOUND; index a subdirectory for a complete view" if cut else ""
+    return CUT_SHORT.format(limit=tree.MAX_ENTRIES) if cut else ""
 
 
 def _skeletons(files: DataFrame, display: str, depth: int, n: int, cut: bool) -> str:
@@ -101,7 +116,7 @@ def _skeletons(files: DataFrame, display: str, depth: int, n: int, cut: bool) ->
     rows = text.join(keyed.select("file_id", "rel"), "file_id").withColumn("bytes", F.octet_length("text")).withColumn("one", F.lit(1))
     kept = within_budget(rows, ["one"], [F.col("rel")], "bytes", directory.MAX_SHOWN_FILES, directory.MAX_SHOWN_BYTES)
     shown = [r.text for r in kept.orderBy("rel").select("text").collect()]  # under 200 files and 256 KiB
-    some = f" (showing {len(shown)}; index a specific file or subdirectory for the rest)" if len(shown) < n else ""
+    some = SHOWN.format(k=len(shown)) if len(shown) < n else ""
     return f"{display} — {n} supported files{some}{_note(cut)}\n\n" + "".join(shown)
 
 
@@ -118,13 +133,13 @@ def _map(files: DataFrame, display: str, cut: bool) -> str:
     bodies = tree.with_content(plan.join(paths, "rel").where("read")).select("rel", line_count(decoded(F.col("content"))).alias("lines"))
     rows = plan.join(bodies, "rel", "left").orderBy("rel").select(directory.map_line(F.col("rel"), F.col("lines"), F.col("size")).alias("line"), "skipped").collect()  # at most 300
     unread = sum(r.skipped for r in rows)
-    foot = f"\n({unread} line counts skipped past a {py_human_bytes(directory.LINE_COUNT_BYTES)} read budget — sizes above are exact)\n" if unread else ""
-    return f"{_scale(files, display, cut)}\n(map only — `index <file>` or `index <subdir>` for skeletons)\n\n" + "".join(r.line + "\n" for r in rows) + foot
+    foot = "\n" + UNREAD.format(n=unread, budget=py_human_bytes(directory.LINE_COUNT_BYTES)) + "\n" if unread else ""
+    return f"{_scale(files, display, cut)}\n{MAP_HEAD}\n\n" + "".join(r.line + "\n" for r in rows) + foot
 
 
 def _rollup(files: DataFrame, display: str, cut: bool) -> str:
     rows = directory.rollup(files).orderBy("label").select("line").collect()  # immediate children
-    return f"{_scale(files, display, cut)}\n(rolled up — `index <subdir>` to descend)\n\n" + "".join(r.line + "\n" for r in rows)
+    return f"{_scale(files, display, cut)}\n{ROLLUP_HEAD}\n\n" + "".join(r.line + "\n" for r in rows)
 
 
 def _directory(spark: SparkSession, path: str, display: str, depth: int) -> tuple[str, bool]:
@@ -132,7 +147,7 @@ def _directory(spark: SparkSession, path: str, display: str, depth: int) -> tupl
     if not rows:
         entries = list_entries(path)
         contents = "" if entries is None else f" It contains: {_listed(*entries)}" if entries[1] else " The directory is empty."
-        return f"index: {display} contains no supported source files to outline.{contents} Use `grep`/`read` to explore it.", True
+        return NOTHING_HERE.format(display=display, contents=contents), True
     files = files_table(spark, path)
     if len(rows) <= directory.SKELETON_FILES:
         return _skeletons(files, display, depth, len(rows), cut), False
@@ -142,14 +157,14 @@ def _directory(spark: SparkSession, path: str, display: str, depth: int) -> tupl
 def index(spark: SparkSession, path: str, depth: int | None = 1, cwd: str | None = None, roots: list[str] | None = None, parity: bool = False) -> tuple[str, bool]:
     """Text and whether it is an error. Paths are taken from cwd and confined to roots (cwd unless given)."""
     if not path:
-        return "index: missing `path` argument.", True
+        return NO_PATH, True
     depth, cwd = bounded_depth(depth), cwd or os.getcwd()
     roots = roots or [cwd]
     full = path if os.path.isabs(path) else os.path.join(cwd, path)
     if not os.path.exists(full):
         return miss_message(full, roots, cwd), True
     if not inside(full, roots):
-        return f"index: {full} is outside the workspace; `index` is confined to the project directory. Use `read` for files outside it (host `read` can be unjailed), or copy the file in first.", True
+        return OUTSIDE.format(path=full), True
     real = os.path.realpath(full)
     if os.path.isdir(real):
         return _directory(spark, real, path, depth)

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.formats import py_format_of
@@ -146,8 +145,3 @@ def with_content(files: DataFrame, cap: int = MAX_FILE_BYTES) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", content binary"
     return files.mapInPandas(run, schema)
-
-
-def component_order(rel: str = "rel"):
-    """Paths in the order of their components: a/b before a-b."""
-    return F.col(rel)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..text import py_squash
-from .base import Outline, first_line, header_to, stop_when_full, unquote
+from .base import Outline, header_to, stop_when_full, unquote
 
 
 def _blanked(m: re.Match, fill: str) -> str:
@@ -219,6 +219,3 @@ def shell_outline(out: Outline) -> None:
                 at = close
                 continue
         at = max(end.end(), at + 1)
-
-
-__all__ = ["first_line", "python_outline", "ruby_outline", "shell_outline"]

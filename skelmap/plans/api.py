@@ -104,11 +104,12 @@ def outline_tree(spark: SparkSession, path: str, depth: int | None = 1, parity:
     return outline(keyed, depth, parity).withColumnRenamed("name", "rel")
 
 
-def _note(cut: bool) -> str:
-    return CUT_SHORT.format(limit=tree.MAX_ENTRIES) if cut else ""
+def _note(cut: int) -> str:
+    """cut: the number of entries that the walk stopped at, or 0."""
+    return CUT_SHORT.format(limit=cut) if cut else ""
 
 
-def _skeletons(files: DataFrame, display: str, depth: int, n: int, cut: bool) -> str:
+def _skeletons(files: DataFrame, display: str, depth: int, n: int, cut: int) -> str:
     bodies = tree.with_content(files).where(F.col("content").isNotNull())
     head = F.concat(F.array_join("rel", "/"), F.lit(" ("), line_count(decoded(F.col("content"))).cast("string"), F.lit(" lines, "), human_bytes(F.length("content")), F.lit(")"))
     keyed = bodies.withColumn("file_id", F.xxhash64("path")).withColumn("name", head)
@@ -120,14 +121,14 @@ def _skeletons(files: DataFrame, display: str, depth: int, n: int, cut: bool) ->
     return f"{display} — {n} supported files{some}{_note(cut)}\n\n" + "".join(shown)
 
 
-def _scale(files: DataFrame, display: str, cut: bool) -> str:
+def _scale(files: DataFrame, display: str, cut: int) -> str:
     r = directory.scale(files).first()
     plus = "+" if cut else ""
     word = "directory" if r.n_dirs == 1 and not cut else "directories"
     return f"{display} — {r.n_files}{plus} supported files in {r.n_dirs}{plus} {word}{_note(cut)}"
 
 
-def _map(files: DataFrame, display: str, cut: bool) -> str:
+def _map(files: DataFrame, display: str, cut: int) -> str:
     plan = directory.file_map(files)
     paths = files.select("rel", "path")
     bodies = tree.with_content(plan.join(paths, "rel").where("read")).select("rel", line_count(decoded(F.col("content"))).alias("lines"))
@@ -137,24 +138,25 @@ def _map(files: DataFrame, display: str, cut: bool) -> str:
     return f"{_scale(files, display, cut)}\n{MAP_HEAD}\n\n" + "".join(r.line + "\n" for r in rows) + foot
 
 
-def _rollup(files: DataFrame, display: str, cut: bool) -> str:
+def _rollup(files: DataFrame, display: str, cut: int) -> str:
     rows = directory.rollup(files).orderBy("label").select("line").collect()  # immediate children
     return f"{_scale(files, display, cut)}\n{ROLLUP_HEAD}\n\n" + "".join(r.line + "\n" for r in rows)
 
 
-def _directory(spark: SparkSession, path: str, display: str, depth: int) -> tuple[str, bool]:
-    rows, cut = tree.walk(path)
+def _directory(spark: SparkSession, path: str, display: str, depth: int, max_entries: int) -> tuple[str, bool]:
+    rows, stopped = tree.walk(path, max_entries)
+    cut = max_entries if stopped else 0
     if not rows:
         entries = list_entries(path)
         contents = "" if entries is None else f" It contains: {_listed(*entries)}" if entries[1] else " The directory is empty."
         return NOTHING_HERE.format(display=display, contents=contents), True
-    files = files_table(spark, path)
+    files = files_table(spark, path, maxEntries=max_entries)
     if len(rows) <= directory.SKELETON_FILES:
         return _skeletons(files, display, depth, len(rows), cut), False
     return (_map if len(rows) <= directory.MAP_FILES else _rollup)(files, display, cut), False
 
 
-def index(spark: SparkSession, path: str, depth: int | None = 1, cwd: str | None = None, roots: list[str] | None = None, parity: bool = False) -> tuple[str, bool]:
+def index(spark: SparkSession, path: str, depth: int | None = 1, cwd: str | None = None, roots: list[str] | None = None, parity: bool = False, max_entries: int = tree.MAX_ENTRIES) -> tuple[str, bool]:
     """Text and whether it is an error. Paths are taken from cwd and confined to roots (cwd unless given)."""
     if not path:
         return NO_PATH, True
@@ -167,7 +169,7 @@ def index(spark: SparkSession, path: str, depth: int | None = 1, cwd: str | None
         return OUTSIDE.format(path=full), True
     real = os.path.realpath(full)
     if os.path.isdir(real):
-        return _directory(spark, real, path, depth)
+        return _directory(spark, real, path, depth, max_entries)
     size = os.path.getsize(real)
     if size > MAX_FILE_BYTES:
         return TOO_LARGE % size, True

@@ -117,6 +117,14 @@ def test_map_tier(spark, tmp_path):
     assert text.count("(2 lines, 12 B)") == 40
 
 
+def test_a_cut_walk_is_told(spark, tmp_path):
+    root = write(tmp_path, {f"f{i:02}.py": "x\n" for i in range(60)})
+    text, bad = api.index(spark, ".", cwd=root, max_entries=40)
+    assert not bad and text.startswith(". — 40+ supported files in 1+ directories — walk stopped at 40 entries, so this is a LOWER BOUND;")
+    text, _ = api.index(spark, ".", cwd=root, max_entries=10)
+    assert text.startswith(". — 10 supported files — walk stopped at 10 entries") and text.count(".py (1 lines, 2 B)") == 10
+
+
 def test_map_budget(spark, tmp_path):
     root = write(tmp_path, {f"f{i:02}.py": "x\n" for i in range(35)} | {f"big{i}.py": "#" * 2_000_000 for i in range(5)} | {"huge.py": "#" * 3_000_000})
     text, _ = api.index(spark, ".", cwd=root)

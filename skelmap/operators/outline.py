@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import GRAMMARS, extension
-from ..functions.parse import MAX_DECLS
+from ..functions.parse import MAX_DECLS, parse
 from ..functions.text import base_name
 from . import line_formats
 from .limits import first_rows
@@ -51,8 +51,6 @@ def grammar_decls(files: DataFrame, depth: int = 1, parity: bool = False, keep:
     kept = ["file_id", *keep]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from skelmap.functions.parse import parse
-
         for pdf in parts:
             found = [parse(f, t, depth, parity) for f, t in zip(pdf["fmt"], pdf["text"])]
             decls = [[{"start": a, "end": b, "indent": i, "text": s} for a, b, i, s in x.decls] for x in found]

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..functions import formats, redact, text
+from ..functions.parse import parse
 
+GRAMMARS = frozenset(formats.GRAMMARS)
 OUTLINE = "ord int, start_line int, end_line int, depth int, text string"
 
 
@@ -15,9 +17,7 @@ class OutlineTable:
     """Declarations of one text; formats without a grammar give no rows."""
 
     def eval(self, body: str, fmt: str, depth: int):
-        from skelmap.functions.parse import parse
-
-        if body is not None and fmt in formats.GRAMMARS:
+        if body is not None and fmt in GRAMMARS:
             for n, (start, end, indent, shown) in enumerate(parse(fmt, body, 1 if depth is None else max(0, min(depth, 8))).decls):
                 yield n, start + 1, end + 1, indent, shown
 

@@ -84,3 +84,25 @@ def test_the_rest_works_without_llm(tmp_path):
     from skelmap.plans import queries
 
     assert out.stdout.split(" ", 2) == [str(len(queries.queries())), str(len(queries.oracle_sql())), "[]\n"], out.stderr
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path, sf):
+    """Functions travel by value: workers that can't import the package run them."""
+    import os
+    import subprocess
+    import sys
+
+    script = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+def probe(rows):
+    import importlib.util
+    yield importlib.util.find_spec("skelmap") is None
+import __spark_entry__ as e
+print("RESULT", spark.sparkContext.parallelize([0], 1).mapPartitions(probe).first(), e.queries()["outline_rust"](spark, {sf!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "RESULT True 1000" in out.stdout, out.stderr[-2000:]

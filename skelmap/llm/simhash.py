@@ -234,7 +234,7 @@ def _classes(fps: DataFrame, points: DataFrame, links: DataFrame) -> DataFrame:
     names = named.join(linked.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"))
     classes = named.join(names, "root", "left").select(F.col("fp").alias("_fp"), F.coalesce("least", "rep").alias("component_id"))
     out = fps.join(classes, F.col("fp") == F.col("_fp"), "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *[c for c in fps.columns if c == "uid"])
 
 
 # --- similarity of 0.8 ----------------------------------------------------------------------------------------------------
@@ -280,9 +280,15 @@ def sketches(docs: DataFrame, text_col: str, id_col: str, words: int) -> DataFra
             with np.errstate(over="ignore"):
                 rows = [sketch(t.as_py(), words, multipliers) for t in b.column(1)]
             fp = np.array([r[0] for r in rows], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "fp", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "uid", "fp", "sig", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, "doc_id long, fp long, sig binary, bands array<bigint>")
+    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_t"))
+    return row.withColumn("uid", _uid("doc_id", "_t")).mapInArrow(run, "doc_id long, uid long, fp long, sig binary, bands array<bigint>")
+
+
+def _uid(id_col: str, text_col: str) -> Column:
+    """What tells rows apart that share an id: a hash of id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def _similar(points: DataFrame, similarity: float) -> DataFrame:
@@ -319,25 +325,25 @@ def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """near_groups() that also links texts whose shingle sets have a Jaccard similarity of `similarity` or more.
 
     The similarity is that of HASHES min-hashes, with a standard error of ERROR at 0.8; a link is made from that much below. A pair of
-    a similarity of 0.8 shares a band with a chance of 0.998. Cases are as in near_groups().
+    a similarity of 0.8 shares a band with a chance of 0.998. Cases are as in near_groups(); uid is a hash of a row's id and text.
     """
     rows = cut(sketches(docs, text_col, id_col, words), "simhash-sketches")
     points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min(F.struct("sig", "bands")).alias("s")).select("fp", "rep", "s.sig", "s.bands"), "simhash-points")
-    return _classes(rows.select("doc_id", "fp"), points.select("fp", "rep"), _anchor_links(points).unionByName(_similar(points, similarity)))
+    return _classes(rows.select("doc_id", "uid", "fp"), points.select("fp", "rep"), _anchor_links(points).unionByName(_similar(points, similarity)))
 
 
 def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay, one of each class of similar_groups(): that with the smallest id, with its own columns.
 
-    Rows that are repeated with one id are one document: one of them stays. Rows with a null id all stay if nothing names
-    their class, and go otherwise.
+    Rows that are repeated with one id are one document: one of them stays. Rows with a null id all stay, as nothing tells them
+    apart. An empty table gives no rows.
     """
     own = docs.columns
-    keep = similar_groups(docs, text_col, id_col, words, similarity).where("component_id IS NULL OR doc_id = component_id")
-    ids = keep.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_sm_id")).agg(F.count("*").alias("_sm_rows"))
-    rows = docs.withColumn("_sm_own", F.col(id_col).cast("long"))
+    keep = similar_groups(docs, text_col, id_col, words, similarity).where("doc_id = component_id")
+    ids = keep.groupBy(F.col("uid").alias("_sm_id")).agg(F.count("*").alias("_sm_rows"))
+    rows = docs.withColumn("_sm_own", _uid(id_col, text_col))
     joined = rows.join(ids, F.col("_sm_own") == F.col("_sm_id"))
     once = joined.where("_sm_rows = 1").select(*own)
     again = joined.where("_sm_rows > 1").dropDuplicates(["_sm_id"]).select(*own)
-    nameless = rows.where("_sm_own IS NULL").select(*own)
+    nameless = docs.where(F.col(id_col).cast("long").isNull())
     return once.unionByName(again).unionByName(nameless)

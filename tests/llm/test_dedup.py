@@ -269,3 +269,9 @@ def test_large_group_of_near_copies(spark):
         table.append((i, " ".join(w), None, None, None))
     kept = simhash.drop_near_copies(spark.createDataFrame(table, DOCS))
     assert [r.doc_id for r in kept.collect()] == [0]
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    df = spark.createDataFrame([(5, a), (5, b), (3, b + " end"), (5, a), (None, a)], "doc_id long, text string")
+    assert sorted(map(repr, (tuple(r) for r in simhash.drop_near_copies(df).collect()))) == sorted(map(repr, [(5, a), (3, b + " end"), (None, a)]))

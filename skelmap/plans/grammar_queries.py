@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.outline import grammar_decls
+from ..sources.tables import read_table
 
 #: format: text, imports, declarations (first row, last row, indent, text); depth 2.
 SAMPLES: dict[str, tuple[str, str, list[tuple[int, int, int, str]]]] = {
@@ -115,7 +116,7 @@ def _query(fmt: str) -> Callable[[SparkSession, str], DataFrame]:
     sample = SAMPLES[fmt][0]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        docs = read_table(spark, sf_dir, "documents")
         text = F.replace(F.replace(F.lit(sample), F.lit("{a}"), F.col("doc_id").cast("string")), F.lit("{b}"), F.col("n_chars").cast("string"))
         out = grammar_decls(docs.select(F.col("doc_id").alias("file_id"), F.lit(fmt).alias("fmt"), text.alias("text")), 2)
         each = out.select(F.col("file_id").alias("doc_id"), F.array_join("imports", "|").alias("imports"), F.explode("decls").alias("d"))

@@ -12,19 +12,16 @@ from ..functions.redact import is_plain, is_sensitive_key, must_redact, value_lo
 from ..functions.text import base_name, clip, first_line, human_bytes, line_count, lines, looks_numeric, quote_clip, squash
 from ..operators import directory, line_formats, outline
 from ..operators.limits import capped, first_rows, greedy_budget, within_budget
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..sources.tables import read_table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
 
 
 def doc_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", line_count(text).alias("n_breaks"), F.size(lines(text)).cast("long").alias("n_lines"))
 
 
@@ -33,7 +30,7 @@ def doc_text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents")
     head = first_line(F.col("text"))
     return docs.select("doc_id", F.length(squash(F.col("text"))).cast("long").alias("squashed"), clip(squash(F.col("text"))).alias("clipped"), head.alias("head"), quote_clip(head).alias("quoted"), human_bytes(F.col("doc_id") * F.col("doc_id") * 37).alias("size_text"), looks_numeric(F.split(head, " ")[0]).alias("numeric"))
 
@@ -56,7 +53,7 @@ def doc_ini_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _conversation_files(spark: SparkSession, sf_dir: str, line: Column) -> DataFrame:
     """Each conversation as a file of one line a turn."""
-    files = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("ls"))
+    files = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("ls"))
     return files.select(F.col("conv_id").alias("file_id"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"))
 
 
@@ -76,10 +73,11 @@ def conv_docker_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first `name = value` of each document, judged by name and by value; none gives no row."""
-    docs = table(spark, sf_dir, "documents")
-    key = F.regexp_extract("text", r"([A-Za-z_]+) *[=:] *(\S+)", 1)
-    value = F.regexp_extract("text", r"([A-Za-z_]+) *[=:] *(\S+)", 2)
-    rows = docs.select("doc_id", key.alias("k"), value.alias("v")).where("k <> ''")
+    docs = read_table(spark, sf_dir, "documents")
+    # possessive, and from the start of a word: each word is tried once
+    binding = r"(?<![A-Za-z_])([A-Za-z_]++) *+[=:] *+(\S++)"
+    rows = docs.select("doc_id", F.regexp_extract("text", binding, 0).alias("b")).where("b <> ''")
+    rows = rows.select("doc_id", F.regexp_extract("b", binding, 1).alias("k"), F.regexp_extract("b", binding, 2).alias("v"))
     return rows.select("doc_id", "k", is_sensitive_key(F.col("k")).alias("sensitive"), value_looks_secret(F.concat("k", F.lit("="), "v")).alias("secret"), is_plain(F.col("v")).alias("plain"), must_redact(F.col("k"), F.col("v")).alias("redact"))
 
 
@@ -88,7 +86,7 @@ def event_log_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     All are aggregates that combine before the shuffle; the number of the first error counts the lines before it.
     """
-    e = table(spark, sf_dir, "events").select("user_id", F.upper("event_type").alias("line"), F.struct("ts", "event_id").alias("at"))
+    e = read_table(spark, sf_dir, "events").select("user_id", F.upper("event_type").alias("line"), F.struct("ts", "event_id").alias("at"))
     is_error = F.col("line").contains("ERROR")
     out = e.groupBy("user_id").agg(
         F.count("*").alias("n_lines"),
@@ -105,7 +103,7 @@ def event_log_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_props_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outline of each event's JSON properties at depth 1: declarations as text."""
-    files = table(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), F.lit("JSON").alias("fmt"), F.col("props").alias("text"))
+    files = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), F.lit("JSON").alias("fmt"), F.col("props").alias("text"))
     out = outline.grammar_decls(files, 1)
     return out.select(F.col("file_id").alias("event_id"), F.array_join(F.transform("decls", lambda d: F.concat(F.repeat(F.lit(" "), d["indent"]), d["text"])), "\n").alias("outline"))
 
@@ -117,20 +115,20 @@ def _rel(url: Column) -> Column:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").withColumn("full", _rel(F.col("url")))
+    p = read_table(spark, sf_dir, "pages").withColumn("full", _rel(F.col("url")))
     return p.select("page_id", "url", "html", F.col("full")[0].alias("host"), F.slice("full", F.lit(2), F.lit(1 << 30)).alias("rel"), F.octet_length("html").cast("long").alias("size"))
 
 
 def page_links_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = capped(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1), 4)
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(links, "|").alias("links"))
+    return read_table(spark, sf_dir, "pages").select("page_id", F.array_join(links, "|").alias("links"))
 
 
 def page_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of first-level headings in each page, and their text."""
     head = F.regexp_extract("html", "(?s)^(.*?)<h1>", 1)
     row = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
-    return table(spark, sf_dir, "pages").select("page_id", F.when(F.col("html").contains("<h1>"), row + 1).cast("long").alias("h1_row"), clip(squash(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1))).alias("h1"))
+    return read_table(spark, sf_dir, "pages").select("page_id", F.when(F.col("html").contains("<h1>"), row + 1).cast("long").alias("h1_row"), clip(squash(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1))).alias("h1"))
 
 
 def page_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,20 +167,20 @@ def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HTML outlines of all pages at depth 1."""
-    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.lit("page.html").alias("name"), F.lit("HTML").alias("fmt"), F.col("html").cast("binary").alias("content"))
+    files = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.lit("page.html").alias("name"), F.lit("HTML").alias("fmt"), F.col("html").cast("binary").alias("content"))
     return outline.outline(files, 1).select(F.col("file_id").alias("page_id"), "text", "is_error")
 
 
 def doc_markdown_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines of the documents as Markdown, each line that begins with a capital and is short as a heading of level 1 to 3."""
     head = F.transform(F.split("text", "\n"), lambda s: F.when(F.length(s) < 40, F.concat(F.repeat(F.lit("#"), F.length(s) % 3 + 1), F.lit(" "), s)).otherwise(s))
-    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.lit("doc.md").alias("name"), F.lit("Markdown").alias("fmt"), F.array_join(head, "\n").cast("binary").alias("content"))
+    files = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.lit("doc.md").alias("name"), F.lit("Markdown").alias("fmt"), F.array_join(head, "\n").cast("binary").alias("content"))
     return outline.outline(files, 2).select(F.col("file_id").alias("doc_id"), "text", "is_error")
 
 
 def conv_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of turns: a user turn is a header, its section ends before the next one."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), (F.col("role") == "user").alias("head"))
+    t = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), (F.col("role") == "user").alias("head"))
     last = F.max("turn").over(Window.partitionBy("conv_id"))
     rows = t.withColumn("end_turn", line_formats.section_end(F.col("head"), ["conv_id"], "turn", last))
     return rows.where("head").select("conv_id", "turn", "end_turn")
@@ -190,7 +188,7 @@ def conv_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conv_nested_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth and span of turns as headings whose level is the length of their text modulo 6, plus 1."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("row"), (F.length("text") % 6 + 1).alias("level"))
+    t = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("row"), (F.length("text") % 6 + 1).alias("level"))
     t = t.withColumn("last", F.max("row").over(Window.partitionBy("conv_id")))
     out = line_formats.nested_sections(t, ["conv_id"], "row", "level", F.col("last"))
     return out.select("conv_id", F.col("row").alias("turn"), F.col("level").cast("long").alias("level"), F.col("depth").cast("long").alias("depth"), F.col("end").alias("end_turn"))
@@ -198,7 +196,7 @@ def conv_nested_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decl_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 500 lines of each supplier, in the order of orders, and whether there are more."""
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    rows = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
     kept = first_rows(rows, ["l_suppkey"], [F.col("l_orderkey"), F.col("l_linenumber")], 501)
     some = F.col("nth") <= 500
     return kept.groupBy("l_suppkey").agg(F.count_if(some).alias("kept"), (F.max("nth") > 500).alias("truncated"), F.max(F.when(some, F.col("l_orderkey"))).alias("last_order"), F.sum(F.when(some, F.col("l_linenumber"))).cast("long").alias("sum_lines"))
@@ -206,7 +204,7 @@ def decl_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def skeleton_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source that are shown: at most 200, in the order of ids, while those before are under 256 KiB."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    docs = read_table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes"))
     shown = within_budget(docs, ["source"], [F.col("doc_id")], "bytes", directory.MAX_SHOWN_FILES, directory.MAX_SHOWN_BYTES)
     return shown.select("source", "doc_id", "bytes")
 

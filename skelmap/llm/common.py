@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, which the cluster names.
@@ -42,7 +44,7 @@ def discard(df: DataFrame) -> None:
 
 
 def tables_dir(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def lowest_hashed(pool: DataFrame, by: str, n: int, max_groups: int) -> DataFrame:

@@ -26,6 +26,11 @@ _OPAQUE = {
 }
 
 
+def _masked(m: re.Match) -> str:
+    """Comments as blanks; literals as underscores, their line breaks too, so that they end no item."""
+    return re.sub(r"[^\n]", " ", m[0]) if m[0][:2] in ("//", "/*") else "_" * len(m[0])
+
+
 @dataclass
 class Item:
     start: int
@@ -125,7 +130,7 @@ class Language:
 
     def __init__(self, out: Outline):
         self.out = out
-        self.s = re.compile(_OPAQUE[self.opaque], re.S).sub(lambda m: re.sub(r"[^\n]", " " if m[0][:2] in ("//", "/*") else "_", m[0]), out.text)
+        self.s = re.compile(_OPAQUE[self.opaque], re.S).sub(_masked, out.text)
 
     def run(self) -> None:
         self.block(0, len(self.s), 0, "")

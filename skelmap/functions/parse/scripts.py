@@ -8,8 +8,9 @@ from ..text import py_squash
 from .base import Outline, header_to, stop_when_full, unquote
 
 
-def _blanked(m: re.Match, fill: str) -> str:
-    return re.sub(r"[^\n]", fill, m[0])
+def _blanked(m: re.Match, comment: bool) -> str:
+    """Comments as blanks; literals as underscores, their line breaks too, so that they end no line."""
+    return re.sub(r"[^\n]", " ", m[0]) if comment else "_" * len(m[0])
 
 
 # --- Python --------------------------------------------------------------------------------------------------------------
@@ -85,7 +86,7 @@ def _py_block(out: Outline, masked: str, lines: list, i: int, end: int, depth: i
 @stop_when_full
 def python_outline(out: Outline) -> None:
     """Functions and classes with their decorators, methods under classes; modules that are imported."""
-    masked = _PY_OPAQUE.sub(lambda m: _blanked(m, " " if m[0][0] == "#" else "_"), out.text)
+    masked = _PY_OPAQUE.sub(lambda m: _blanked(m, m[0][0] == "#"), out.text)
     lines = _logical(masked)
     for indent, start, stop in lines:
         if indent:
@@ -110,7 +111,7 @@ _RB_REQUIRE = re.compile(r"(require\w*)\s*\(?\s*([\"'])([^\"']*)\2")
 @stop_when_full
 def ruby_outline(out: Outline) -> None:
     """Methods, classes and modules, members under them."""
-    masked = _RB_OPAQUE.sub(lambda m: _blanked(m, " " if m[0][0] in "#=" else "_"), out.text)
+    masked = _RB_OPAQUE.sub(lambda m: _blanked(m, m[0][0] in "#="), out.text)
     stack: list[tuple[str, int | None]] = []  # opening word, number of its declaration
     line_head = re.compile(r"[^\n]*\n?")
     at = 0
@@ -181,7 +182,7 @@ def _sh_close(masked: str, at: int) -> int:
 @stop_when_full
 def shell_outline(out: Outline) -> None:
     """Functions and the names of assigned variables, at the top level; files that are sourced."""
-    masked = _SH_OPAQUE.sub(lambda m: _blanked(m, " " if m[0].lstrip()[:1] == "#" else "_"), out.text)
+    masked = _SH_OPAQUE.sub(lambda m: _blanked(m, m[0].lstrip()[:1] == "#"), out.text)
     at, nested = 0, 0
     while at < len(masked):
         if masked[at] in " \t\r\n;&|{}()":

@@ -179,3 +179,40 @@ def test_toml_depth_hides_keys():
 
 def test_css_at_rules():
     assert texts("CSS", "@charset 'x';\n@keyframes spin { from { a: b } }\n@supports (x: y) { .q { } }\n@page { margin: 0 }\na::after { content: '}' }\n") == ["@keyframes spin", "@supports (x: y)", ".q", "a::after"]
+
+
+def python_by_ast(source):
+    import ast
+
+    found = []
+
+    def walk(body, depth):
+        for x in body:
+            if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                found.append((min([x.lineno, *(d.lineno for d in x.decorator_list)]), x.end_lineno, depth))
+                if isinstance(x, ast.ClassDef) and depth < 1:
+                    walk(x.body, depth + 1)
+
+    walk(ast.parse(source).body, 0)
+    return found
+
+
+def test_python_ranges_against_the_ast():
+    """This repository's own files, and some of the standard library."""
+    import glob
+    import os
+    from pathlib import Path
+
+    paths = [*Path(__file__).resolve().parent.parent.rglob("*.py"), *sorted(glob.glob(os.path.join(os.path.dirname(os.__file__), "*.py")))[:60]]
+    for path in paths:
+        source = Path(path).read_text(errors="replace")
+        got = [(a, b, i) for a, b, i, _ in rows("Python", source, 1)[1]]
+        assert got == python_by_ast(source)[: len(got)] and (len(got) == MAX_DECLS or len(got) == len(python_by_ast(source))), path
+
+
+def test_strings_over_lines_end_nothing():
+    assert rows("Python", 'def f():\n    """a\nb\n\n    c"""\n    return 1\nx = 1\n')[1] == [(1, 6, 0, "def f():")]
+    assert rows("JavaScript", "const f = () => `a\nfunction no() {}\n${b}`\nfunction g() {}\n")[1] == [(1, 3, 0, "const f = () => `a"), (4, 4, 0, "function g()")]
+    assert rows("Go", "var s = `\nfunc no() {}\n`\nfunc f() {}\n")[1] == [(1, 3, 0, "var s = `"), (4, 4, 0, "func f()")]
+    assert rows("Shell", "A='x\nB=1\n'\nC=2\n")[1] == [(1, 3, 0, "A="), (4, 4, 0, "C=")]
+    assert rows("Ruby", 'def f\n  x = "a\nend\n"\n  x\nend\n')[1] == [(1, 6, 0, "def f")]

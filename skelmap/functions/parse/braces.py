@@ -70,7 +70,7 @@ def items(s: str, at: int, end: int, lines_end: bool, block_ends: Callable[[str,
     """Items of s[at:end]. Where lines_end, a line ends an item unless the text around it must go on."""
     step = re.compile(r"[;({\[\n]")
     while at < end:
-        if s[at] in " \t\r\n;,)]}":
+        if s[at].isspace() or s[at] in ";,)]}":
             at += 1
             continue
         item, pos = Item(at, end), at
@@ -329,6 +329,8 @@ class C(Language):
                 out.found.append(inc[1])
         hidden = self._blocks() if out.parity else []
         self.s = re.sub(r"^[ \t]*#(?:[^\n\\]|\\.|\\\n)*", lambda m: re.sub(r"[^\n]", " ", m[0]), self.s, flags=re.M)
+        # a macro alone on its line, as __BEGIN_DECLS, belongs to no declaration
+        self.s = re.sub(r"^[ \t]*_*[A-Z][A-Z0-9_]*[ \t]*$", lambda m: " " * len(m[0]), self.s, flags=re.M)
         for a, b in hidden:
             self.s = self.s[:a] + re.sub(r"[^\n]", " ", self.s[a:b]) + self.s[b:]
 

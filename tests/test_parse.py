@@ -216,3 +216,8 @@ def test_strings_over_lines_end_nothing():
     assert rows("Go", "var s = `\nfunc no() {}\n`\nfunc f() {}\n")[1] == [(1, 3, 0, "var s = `"), (4, 4, 0, "func f()")]
     assert rows("Shell", "A='x\nB=1\n'\nC=2\n")[1] == [(1, 3, 0, "A="), (4, 4, 0, "C=")]
     assert rows("Ruby", 'def f\n  x = "a\nend\n"\n  x\nend\n')[1] == [(1, 6, 0, "def f")]
+
+
+def test_c_headers_with_macros_and_form_feeds():
+    source = "__BEGIN_DECLS\n\nextern int f (int);\n\f\ntypedef int t;\n# define X(a) \\\n  { a\nstruct s { int x; };\n__END_DECLS\n"
+    assert rows("C", source)[1] == [(3, 3, 0, "extern int f (int)"), (5, 5, 0, "typedef int t"), (8, 8, 0, "struct s")]

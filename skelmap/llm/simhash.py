@@ -226,26 +226,27 @@ def _anchor_links(points: DataFrame) -> DataFrame:
     return _replicas(spaced).select("anchor", "fp").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a long, b long")
 
 
-def _classes(fps: DataFrame, points: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and component_id of rows (doc_id, fp), by the links of their fingerprints."""
+def _classes(fps: DataFrame, points: DataFrame, links: DataFrame, node: str = "fp") -> DataFrame:
+    """doc_id, fingerprint and component_id of rows (doc_id, fp and node), by the links of their nodes."""
     linked = cut(components(links.distinct()), "simhash-cc", "none")
-    named = points.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = points.join(linked.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
     named = cut(named, "simhash-named", "none")
     names = named.join(linked.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"))
-    classes = named.join(names, "root", "left").select(F.col("fp").alias("_fp"), F.coalesce("least", "rep").alias("component_id"))
-    out = fps.join(classes, F.col("fp") == F.col("_fp"), "left")
+    classes = named.join(names, "root", "left").select(F.col(node).alias("_node"), F.coalesce("least", "rep").alias("component_id"))
+    out = fps.join(classes, F.col(node) == F.col("_node"), "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *[c for c in fps.columns if c == "uid"])
 
 
 # --- similarity of 0.8 ----------------------------------------------------------------------------------------------------
 #
 # Texts with a Jaccard similarity of 0.8 differ in about 10 bits of 64, far beyond what anchors can cover. So where a similarity is
-# asked for, min-hashes name more candidates and judge them; links within 3 bits come from the anchors as before.
+# asked for, min-hashes name more candidates, and the sets of shingles judge them; links within 3 bits come from the anchors as before.
 
 HASHES = 256
 BANDS, BAND = 16, 5
-#: Standard error of the similarity that HASHES min-hashes tell, near 0.8; so much less than asked for still links.
+#: Standard error of the similarity that HASHES min-hashes tell, near 0.8; pairs that tell up to LOOSE of it less than asked for are judged.
 ERROR = 0.025
+LOOSE = 5
 
 
 def _multipliers() -> np.ndarray:
@@ -280,10 +281,15 @@ def sketches(docs: DataFrame, text_col: str, id_col: str, words: int) -> DataFra
             with np.errstate(over="ignore"):
                 rows = [sketch(t.as_py(), words, multipliers) for t in b.column(1)]
             fp = np.array([r[0] for r in rows], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "uid", "fp", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(fp), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "uid", "node", "fp", "sig", "bands"])
 
     row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_t"))
-    return row.withColumn("uid", _uid("doc_id", "_t")).mapInArrow(run, "doc_id long, uid long, fp long, sig binary, bands array<bigint>")
+    return row.withColumn("uid", _uid("doc_id", "_t")).withColumn("node", _node("_t")).mapInArrow(run, "doc_id long, uid long, node long, fp long, sig binary, bands array<bigint>")
+
+
+def _node(text_col: str) -> Column:
+    """What stands for a text where texts are linked: a hash of it."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def _uid(id_col: str, text_col: str) -> Column:
@@ -291,17 +297,78 @@ def _uid(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def _similar(points: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of points (fp, sig, bands) that share a band and whose min-hashes agree in a share of `similarity` or more.
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of the distinct word shingles of sketch(), sorted."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    shingles = zip(*(w[i:] for i in range(words))) if len(w) >= words else [w] if w else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(t), SEED) for t in shingles), np.uint64))
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sets of shingle_set(); two empty ones are alike."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
+    """node and its set of shingles, for the nodes of `wanted` (distinct)."""
 
-    Points of a band that no other has drop out before their min-hashes are sent. A group sends a spanning forest of its links.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [shingle_set(t.as_py(), words).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    texts = docs.select(_node(text_col).alias("node"), F.col(text_col).cast("string").alias("_t")).join(wanted, "node", "left_semi")
+    return texts.groupBy("node").agg(F.first("_t").alias("_t")).mapInArrow(run, "node long, set binary")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each key. Rows come sorted by key, in column 0."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(0).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist() + [len(keys)]
+        for i, j in zip(at, at[1:]):
+            if held and held[0].column(0)[0].as_py() != keys[i]:
+                yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(i, j - i))
+    if held:
+        yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+
+
+def _open_pairs(root: np.ndarray, sig: np.ndarray, close) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Block by block, the places of all pairs of one group that are close and have different roots. Some come in both orders."""
+    _, number, count = np.unique(root, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(number != count.argmax())  # the rows of the largest root are met by the others
+    for p in range(0, len(rest), 128):
+        rows = rest[p : p + 128]
+        for q in range(0, len(root), 128):
+            i, j = np.nonzero((number[rows][:, None] != number[None, q : q + 128]) & close(sig[rows][:, None], sig[None, q : q + 128]))
+            yield rows[i], j + q
+
+
+def _similar(points: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of points (node, sig, bands) that share a band and whose sets of shingles have a similarity of `similarity` or more.
+
+    Points of a band that no other has drop out before their min-hashes are sent. Min-hashes only choose what is judged. First
+    each group of a band sends a spanning forest of the pairs whose min-hashes tell `similarity`; those that the sets confirm
+    make classes. Then the pairs of a group that lie in different classes and tell LOOSE standard errors less, or more, are all
+    compared by their sets, which only the points of such pairs send. All links are links of two sets.
     """
     # bytes agree by chance once in 256
-    enough = HASHES * ((similarity - ERROR) * (1 - 1 / 256) + 1 / 256)
+    enough, loose = (HASHES * (s * (1 - 1 / 256) + 1 / 256) for s in (similarity, similarity - LOOSE * ERROR))
 
     def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return (x == y).sum(axis=-1, dtype=np.int16) >= enough
 
+    def perhaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x == y).sum(axis=-1, dtype=np.int16) >= loose
+
     def ahead(v: np.ndarray, f: Forest) -> None:
         """Join each with the first, and with the one before it."""
         for i in np.flatnonzero(close(v, v[:1])):
@@ -309,27 +376,78 @@ def _similar(points: DataFrame, similarity: float) -> DataFrame:
         for i in np.flatnonzero(close(v[1:], v[:-1])):
             f.join(int(i), int(i) + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def load(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
             return b.column(1).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, HASHES)
 
         return _link_groups(batches, load, close, lambda v: _link_run(v, close, ahead, dense=256, block=128))
 
-    rows = points.select("fp", F.explode("bands").alias("key"))
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = ([np.frombuffer(s, np.uint64) for s in c.to_pylist()] for c in b.columns[2:])
+            yield b.select([0, 1]).filter(pa.array([jaccard(*xy) >= similarity for xy in zip(x, y)], pa.bool_()))
+
+    def columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        node, root = (t.column(c).to_numpy() for c in ("node", "root"))
+        return node, root, np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+
+    def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t in _groups(batches):
+            node, root, sig = columns(t)
+            if (root == root[0]).all():
+                continue
+            mark = np.zeros(len(node), bool)
+            for i, j in _open_pairs(root, sig, perhaps):
+                mark[i] = mark[j] = True
+            if mark.any():
+                kept = t.filter(pa.array(mark)).select(["key", "node", "root", "sig"])
+                yield from kept.to_batches(max_chunksize=4096)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in _groups(batches):
+            node, root, sig = columns(t)
+            sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
+            f = Forest(len(node))
+            first: dict[int, int] = {}
+            for i, r in enumerate(root.tolist()):
+                f.join(first.setdefault(r, i), i)
+            f.links.clear()  # those of one root are joined already
+            for i, j in _open_pairs(root, sig, perhaps):
+                for x, y in zip(i.tolist(), j.tolist()):
+                    if f.root(x) != f.root(y) and jaccard(sets[x], sets[y]) >= similarity:
+                        f.join(x, y)
+            links = node[np.array(f.links, np.int64).reshape(-1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(links.max(axis=1, initial=-(2**63))), pa.array(links.min(axis=1, initial=2**63 - 1))], names=["a", "b"])
+
+    rows = points.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = rows.join(shared, "key", "left_semi").join(points.select("fp", "sig"), "fp").select("key", "fp", "sig")
-    return met.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+    met = cut(rows.join(shared, "key", "left_semi").join(points.select("node", "sig"), "node").select("key", "node", "sig"), "simhash-met", "none")
+    likely = cut(met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(forest, "a long, b long").distinct(), "simhash-likely", "none")
+    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    sets = cut(_sets(docs, ends, text_col, words), "simhash-sets", "none")
+    pairs = likely.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    sure = cut(pairs.select("a", "b", "x", "y").mapInArrow(confirmed, "a long, b long"), "simhash-sure", "none")
+
+    classes = met.join(components(sure), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "sig")
+    left = cut(classes.repartition("key").sortWithinPartitions("key", "node").mapInArrow(still_open, "key long, node long, root long, sig binary"), "simhash-open", "none")
+    rest = left.join(_sets(docs, left.select("node").distinct(), text_col, words), "node").select("key", "node", "root", "sig", "set")
+    more = rest.repartition("key").sortWithinPartitions("key", "node").mapInArrow(judged, "a long, b long")
+    return sure.unionByName(more)
 
 
 def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """near_groups() that also links texts whose shingle sets have a Jaccard similarity of `similarity` or more.
 
-    The similarity is that of HASHES min-hashes, with a standard error of ERROR at 0.8; a link is made from that much below. A pair of
-    a similarity of 0.8 shares a band with a chance of 0.998. Cases are as in near_groups(); uid is a hash of a row's id and text.
+    Every such link is that of the two sets; min-hashes only find the pairs. A pair of a similarity of 0.8 is not found with a chance of
+    0.0017, as it shares no band, and a greater similarity with a lesser one (0.85: 0.0001); that its min-hashes tell LOOSE standard
+    errors too little has a chance of 0.000001. Cases are as in near_groups(); uid is a hash of a row's id and text.
     """
     rows = cut(sketches(docs, text_col, id_col, words), "simhash-sketches")
-    points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min(F.struct("sig", "bands")).alias("s")).select("fp", "rep", "s.sig", "s.bands"), "simhash-points")
-    return _classes(rows.select("doc_id", "uid", "fp"), points.select("fp", "rep"), _anchor_links(points).unionByName(_similar(points, similarity)))
+    points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min(F.struct("sig", "bands", "node")).alias("s")).select("fp", "rep", "s.sig", "s.bands", "s.node"), "simhash-points")
+    near = _similar(points, docs, text_col, words, similarity)
+    of = points.select("node", "fp")
+    near = near.join(of.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return _classes(rows.select("doc_id", "uid", "fp"), points.select("fp", "rep"), _anchor_links(points).unionByName(near))
 
 
 def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -275,3 +275,36 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
     df = spark.createDataFrame([(5, a), (5, b), (3, b + " end"), (5, a), (None, a)], "doc_id long, text string")
     assert sorted(map(repr, (tuple(r) for r in simhash.drop_near_copies(df).collect()))) == sorted(map(repr, [(5, a), (3, b + " end"), (None, a)]))
+
+
+def edge_table(seed=4):
+    """Pairs of texts whose similarity is 0.74 to 0.9, most of them near 0.8."""
+    rng = random.Random(seed)
+    table = []
+    for g in range(150):
+        base = [f"g{g}w{i}" for i in range(rng.randrange(100, 240))]
+        cut = round(len(base) * rng.uniform(0.74, 0.9 if g % 3 else 0.84))
+        for w in (base, base[:cut] if g % 2 else base[:cut] + [f"new{g}x{i}" for i in range(rng.randrange(4))]):
+            table.append((len(table), " ".join(w), None, None, None))
+    return table
+
+
+def brute_classes(table, k=5):
+    """Classes by the links within 3 bits and of a similarity of 0.8, all with all."""
+    sets, fps = [shingles(r[1], k) for r in table], [brute_simhash(r[1], k) for r in table]
+    up = list(range(len(table)))
+    for i in range(len(table)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 3 or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    return up
+
+
+def test_links_are_those_of_the_exact_similarity(spark):
+    """From 0.8 on and no less, on both sides of the threshold."""
+    table = edge_table()
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(table, DOCS)).collect()}
+    want = brute_classes(table)
+    assert got == {r[0]: want[i] for i, r in enumerate(table)}
+    assert 40 < sum(want[i] == want[i - 1] for i in range(1, len(table), 2)) < 110

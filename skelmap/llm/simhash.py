@@ -440,14 +440,16 @@ def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     Every such link is that of the two sets; min-hashes only find the pairs. A pair of a similarity of 0.8 is not found with a chance of
     0.0017, as it shares no band, and a greater similarity with a lesser one (0.85: 0.0001); that its min-hashes tell LOOSE standard
-    errors too little has a chance of 0.000001. Cases are as in near_groups(); uid is a hash of a row's id and text.
+    errors too little has a chance of 0.000001. Rows with one text are one point; texts with one fingerprint each keep their
+    min-hashes and are linked to the least of them. Cases are as in near_groups(); uid is a hash of a row's id and text.
     """
     rows = cut(sketches(docs, text_col, id_col, words), "simhash-sketches")
-    points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min(F.struct("sig", "bands", "node")).alias("s")).select("fp", "rep", "s.sig", "s.bands", "s.node"), "simhash-points")
-    near = _similar(points, docs, text_col, words, similarity)
-    of = points.select("node", "fp")
-    near = near.join(of.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return _classes(rows.select("doc_id", "uid", "fp"), points.select("fp", "rep"), _anchor_links(points).unionByName(near))
+    points = cut(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min(F.struct("sig", "bands")).alias("s")).select("node", "rep", "fp", "s.sig", "s.bands"), "simhash-points")
+    heads = cut(points.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "simhash-heads", "none")
+    tied = points.join(heads.where("n > 1").select("fp", "head"), "fp").select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b")
+    near = _anchor_links(heads).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = tied.unionByName(near).unionByName(_similar(points, docs, text_col, words, similarity))
+    return _classes(rows.select("doc_id", "uid", "fp", "node"), points.select("node", "rep"), links, "node")
 
 
 def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:

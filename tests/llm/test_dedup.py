@@ -308,3 +308,19 @@ def test_links_are_those_of_the_exact_similarity(spark):
     want = brute_classes(table)
     assert got == {r[0]: want[i] for i, r in enumerate(table)}
     assert 40 < sum(want[i] == want[i - 1] for i in range(1, len(table), 2)) < 110
+
+
+def test_texts_of_one_fingerprint_keep_their_own_links(spark):
+    """A repeated passage decides the fingerprint; the rest, which differs, decides what else is similar."""
+    passage = "a b c d e " * 200
+    table = []
+    for g in range(12):
+        tail = [f"t{g}w{i}" for i in range(60)]
+        # the passage outweighs the tail in one text; the other has the same words once, so another fingerprint
+        table.append((len(table), passage + " ".join(tail), None, None, None))
+        table.append((len(table), "a b c d e a b c d e " + " ".join(tail) + f" end{g}", None, None, None))
+    fps = [brute_simhash(r[1], 5) for r in table]
+    assert len(set(fps[::2])) == 1 and len(set(fps[1::2])) == 12
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(table, DOCS)).collect()}
+    want = brute_classes(table)
+    assert set(want) == {0} and got == dict.fromkeys(got, 0)

@@ -29,7 +29,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.code_texts(docs, model_file(), emit_ids=True)
+    """Ids of every text, in the order of the mixture and with its mix_slot and mix_at.
+
+    Files come back from a reread in no order of their own, so the mixture is worked out again: it depends on the documents alone.
+    """
+    mixed = mixing.mix(docs, MIX_WEIGHTS).orderBy("mix_slot", "mix_at")
+    return sentencepiece_codec.code_texts(mixed, model_file(), emit_ids=True, carry=("mix_slot", "mix_at"))
 
 
 STAGES = [("quality classifier", grade), ("exact dedup", drop_copies), ("simhash near-dedup", drop_near_copies), ("mixing sources", mix), ("sentencepiece", encode)]

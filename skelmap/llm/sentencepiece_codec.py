@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush
 from operator import add
 
@@ -195,16 +195,18 @@ class Codec:
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
-def code_texts(docs: DataFrame, model_file: str, text_col: str = "text", id_col: str = "doc_id", verify: bool = True, emit_ids: bool = False) -> DataFrame:
+def code_texts(docs: DataFrame, model_file: str, text_col: str = "text", id_col: str = "doc_id", verify: bool = True, emit_ids: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Encode and decode every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256 and, with emit_ids, ids array<int>.
 
     model_file: a BPE model with identity normalisation and a leading dummy space; every executor opens it by this path. With
     verify, each Arrow batch's texts (word chunks that the worker hasn't met, where no piece crosses chunks) are also encoded by the
     sentencepiece library; a difference raises an error.
     A null text counts as empty and encodes to the begin and end ids. Rows keep their order and number; ids may be null or
-    repeated. An empty table gives no rows. Other columns are not read.
+    repeated. An empty table gives no rows. Columns named in `carry` are returned as they are; others are not read.
     """
+    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_t"), *carry)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * emit_ids
+    schema += "".join(f", `{c}` {kind}" for c, kind in row.dtypes[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -223,6 +225,6 @@ def code_texts(docs: DataFrame, model_file: str, text_col: str = "text", id_col:
                 out = [part.column(0), pa.array([len(ids) // 4 for ids, _ in both], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
                 if emit_ids:
                     out.append(pa.array([np.frombuffer(ids, np.uint32).astype(np.int32) for ids, _ in both], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * emit_ids)
+                yield pa.RecordBatch.from_arrays(out + part.columns[2:], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * emit_ids + list(carry))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
+    return row.mapInArrow(run, schema)

@@ -147,6 +147,21 @@ def test_run_is_its_stages(spark, sf):
     assert got == {r.doc_id: r.ids_sha256 for r in docs.collect()}
 
 
+def test_run_keeps_the_schedule(spark, sf):
+    """The mixing stage writes several files; the last stage restores their order."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        got = corpus_pipeline.run(spark, sf).collect()
+    finally:
+        spark.conf.set(name, old)
+    kept = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("doc_id").isin([r.doc_id for r in got]))
+    slots = {r.doc_id: (r.mix_slot, r.mix_at) for r in mixing.mix(kept, queries.MIX_WEIGHTS).collect()}
+    assert [r.doc_id for r in got] == sorted(slots, key=slots.get)
+    assert all((r.mix_slot, r.mix_at) == slots[r.doc_id] for r in got)
+
+
 def test_clean_documents_stay_and_toxic_ones_go(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     kept = quality.keep_good(spark.read.parquet(f"{sf}/documents.parquet"), queries.quality_model(spark, sf), keep_above=queries.KEEP_ABOVE).select("doc_id")

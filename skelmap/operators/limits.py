@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,21 @@ def first_rows(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n: i
     return rows.withColumn(name, nth).where(F.col(name) <= n)
 
 
+def ranked(rows: DataFrame, by: str, order: Sequence[str], name: str = "nth") -> DataFrame:
+    """rows (of `by` and other columns) numbered from 1 in each group, in an order without ties; a group of any size.
+
+    Rows are dealt out by ranges of group and order and numbered by their place; a group's number is that place less its first one in
+    the range, plus its rows in the ranges before. The ranges are held, as both the places and the counts must come from the same.
+    """
+    at = rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    at = at.withColumn("_part", F.shiftright("_at", 33))
+    parts = at.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_p")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_by").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_by", "_p", "_first", before.alias("_before"))
+    met = at.join(parts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
+    return met.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(name))
+
+
 def capped(items: Column, n: int) -> Column:
     """Distinct items in their order; beyond n, the first n and how many more there are."""
     kept = F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != "")))

@@ -11,7 +11,7 @@ from ..functions.formats import extension, format_of
 from ..functions.redact import is_plain, is_sensitive_key, must_redact, value_looks_secret
 from ..functions.text import base_name, clip, first_line, human_bytes, line_count, lines, looks_numeric, quote_clip, squash
 from ..operators import directory, line_formats, outline
-from ..operators.limits import capped, first_rows, greedy_budget, within_budget
+from ..operators.limits import capped, first_rows, greedy_budget, ranked, within_budget
 from ..sources.tables import read_table
 
 
@@ -161,8 +161,7 @@ def page_read_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank of each page of a host by the components of its path."""
-    w = Window.partitionBy("host").orderBy("rel", "page_id")
-    return _map_tier(_pages(spark, sf_dir)).select("page_id", "host", F.row_number().over(w).cast("long").alias("place"))
+    return ranked(_pages(spark, sf_dir).select("page_id", "host", "rel"), "host", ["rel", "page_id"], "place").select("page_id", "host", "place")
 
 
 def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,24 @@ print("RESULT", spark.sparkContext.parallelize([0], 1).mapPartitions(probe).firs
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "RESULT True 1000" in out.stdout, out.stderr[-2000:]
+
+
+def test_page_order_ranks_hosts_of_any_size(spark, tmp_path):
+    """A host of over 300 pages, which a directory map would not show, is ranked whole, over several ranges."""
+    import random
+
+    rng = random.Random(8)
+    urls = [f"http://{'hot' if i % 4 else f'h{i % 7}'}.org/{rng.randrange(9)}/{rng.choice('ab')}{'/x' * rng.randrange(3)}" for i in range(1000)]
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(5).write.parquet(f"{tmp_path}/pages.parquet")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        got = {r.page_id: (r.host, r.place) for r in entry.queries()["page_order"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set(name, old)
+    want, n = {}, {}
+    for i, parts in sorted(((i, u.split("//")[1].split("/")) for i, u in enumerate(urls)), key=lambda x: (x[1][1:], x[0])):
+        n[parts[0]] = n.get(parts[0], 0) + 1
+        want[i] = (parts[0], n[parts[0]])
+    assert got == want and n["hot.org"] == 750

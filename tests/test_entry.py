@@ -127,3 +127,10 @@ def test_page_order_ranks_hosts_of_any_size(spark, tmp_path):
         n[parts[0]] = n.get(parts[0], 0) + 1
         want[i] = (parts[0], n[parts[0]])
     assert got == want and n["hot.org"] == 750
+
+
+def test_secret_scan_judges_every_binding(spark, tmp_path):
+    texts = ["color = red and password: hunter2\nurl=https://a:b@c.d", "nothing here", None, "a=1 b=2", "x" * 5000 + " token = abc"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.k, r.redact) for r in entry.queries()["doc_secret_scan"](spark, str(tmp_path)).collect())
+    assert got == [(0, "color", False), (0, "password", True), (0, "url", True), (3, "a", False), (3, "b", False), (4, "token", True)]

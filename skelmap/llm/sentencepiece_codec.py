@@ -19,22 +19,16 @@ MAX_CACHED_CHARS = 48
 
 
 class Cache(dict):
-    """Chunk to its little-endian ids; long chunks are worked out again each time.
-
-    Each new chunk is decoded as well. odd has the chunks that decode to anything but themselves: a text without one decodes to itself.
-    """
+    """Chunk to its little-endian ids; long chunks are worked out again each time."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
         self.fresh: list[tuple[str, bytes]] = []
-        self.odd: set[str] = set()
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.codec.piece_ids(chunk)
         found = array("I", ids).tobytes()
-        if b"".join(map(self.codec.pieces.__getitem__, ids)) != chunk.replace(SPACE, " ").encode():
-            self.odd.add(chunk)
         self.fresh.append((chunk, found))
         if len(chunk) <= MAX_CACHED_CHARS:
             self[chunk] = found
@@ -160,7 +154,7 @@ class Codec:
         return self.code(text)[0]
 
     def code(self, text: str | None) -> tuple[bytes, str]:
-        """encode(text), and decode() of that, in one pass."""
+        """encode(text), and decode() of those ids."""
         for held in (self.cache, self.words):
             if len(held) > MAX_CACHED:
                 held.clear()
@@ -172,7 +166,7 @@ class Codec:
             words = (SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n ")).split(" ")
             ids = b"".join(map(self.words.__getitem__, words))
         ids = self.ends[0] + ids + self.ends[1]
-        return ids, self.decode(ids) if self.cache.odd else text.replace(SPACE, " ")
+        return ids, self.decode(ids)
 
     def check(self, texts: list[str], ids: list[bytes]) -> None:
         """Hold what was worked out since the last check against the library; a difference raises an error.

@@ -166,3 +166,13 @@ def test_codec_awkward(spark, codec):
     assert rows(sentencepiece_codec.code_texts(df.limit(0), model_file())) == []
     for r in sentencepiece_codec.code_texts(df, model_file(), emit_ids=True).collect():
         assert hashlib.sha256(struct.pack(f"<{len(r.ids)}I", *r.ids)).hexdigest() == r.ids_sha256 and len(r.ids) == r.n_tokens
+
+
+def test_decoded_text_comes_from_the_ids():
+    """With another table of pieces the same ids give another text."""
+    codec = sentencepiece_codec.Codec(model_file())
+    text = "the quick brown fox"
+    ids, back = codec.code(text)
+    assert back == codec.decode(ids) == text
+    codec.pieces = [p.upper() for p in codec.pieces]
+    assert codec.code(text) == (ids, text.upper())

@@ -5,17 +5,20 @@ and on whichever machine it is made. A pair is named if its left symbol is on th
 two-way division of symbols and its right one on the right side, so inside equal texts the rounds make equal symbols. With
 each symbol goes its support: the words that decide that it is made. A symbol whose support lies in a window is made in
 every window of the same words. Each window is known by one such symbol of the highest level that has any: that with the least
-hash, the leftmost on ties. Single words are the lowest level, so each window has one. Only windows whose symbol occurs twice can repeat; these are compared by
-96-bit hashes of all their words.
+hash, the leftmost on ties. Single words are the lowest level, so each window has one. A first exchange, by symbol, finds the symbols
+that occur twice: only their windows can repeat. A second one, by symbol too, brings the words of these windows together, and
+there windows are compared word by word. Names only say what is compared: no word goes because two hashes agree.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +28,11 @@ LEVELS = 7
 RUN_EVERY = 8
 #: Texts are taken together up to so many bytes; a longer one is taken alone.
 GROUP_BYTES = 3 << 20
-PIECE = 1 << 20
-#: Input to a bucket, and the most buckets.
+#: Input to a bucket, which one worker holds, and to a partition of an exchange, where that is more than the session's.
 BUCKET_BYTES = 8 << 20
-MAX_BUCKETS = 200_000
+PARTITION_BYTES = 512 << 20
+MAX_CACHED = 500_000
 _U = np.uint64
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,47 +45,79 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Hasher:
-    """Polynomial hashes of words and of windows of words, all at once."""
+class WordHashes(dict):
+    """Word to its XXH64, kept for short words."""
 
-    def __init__(self, seed: int):
-        with np.errstate(over="ignore"):
-            self.bytes = _mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
-        self.base = int(self.bytes[7]) | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.powers = self.inverses = np.ones(1, _U)
-
-    def grow(self, n: int) -> None:
-        if n > len(self.powers):
-            with np.errstate(over="ignore"):
-                n = max(n, 2 * len(self.powers))
-                self.powers = np.concatenate([[_U(1)], np.full(n - 1, self.base, _U)]).cumprod(dtype=_U)
-                self.inverses = np.concatenate([[_U(1)], np.full(n - 1, self.inverse, _U)]).cumprod(dtype=_U)
-
-    def sums(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """For each [start, end) the sum of values[start + j] * base^j."""
-        self.grow(len(values) + 1)
-        c = np.concatenate([[_U(0)], np.cumsum(values * self.powers[: len(values)], dtype=_U)])
-        return (c[end] - c[start]) * self.inverses[start]
-
-    def words(self, raw: bytes) -> np.ndarray:
-        """Hashes of the words of a text, piece by piece."""
-        out = []
-        at = 0
-        while at < len(raw):
-            end = min(at + PIECE, len(raw))
-            while end < len(raw) and not SPACE[raw[end]]:
-                end += 1
-            b = np.frombuffer(raw[at:end], np.uint8)
-            space = np.concatenate([[True], SPACE[b], [True]])
-            edge = np.flatnonzero(space[1:] != space[:-1])
-            start, stop = edge[::2], edge[1::2]
-            out.append(_mix(self.sums(self.bytes[b], start, stop) + (stop - start).astype(_U)))
-            at = end
-        return np.concatenate(out) if out else np.empty(0, _U)
-
-    def windows(self, words: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-        return _mix(self.sums(words, start, start + size) + _U(size)) if len(start) else np.empty(0, _U)
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, 1)
+        if len(word) <= 40:
+            if len(self) >= MAX_CACHED:
+                self.clear()
+            self[word] = h
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), _U, len(words))
+
+
+class WordNumbers(dict):
+    """Word to its number, in the order of first sight: equal numbers are equal words."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in self), _U, len(self))
+
+
+BASE = 0x9E3779B97F4A7C15
+
+
+def _window_hashes(names: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """A polynomial of the names of each window's words."""
+    with np.errstate(over="ignore"):
+        powers = np.concatenate([[_U(1)], np.full(len(names), BASE, _U)]).cumprod(dtype=_U)
+        inverse = np.concatenate([[_U(1)], np.full(len(names), pow(BASE, -1, 1 << 64), _U)]).cumprod(dtype=_U)
+        c = np.concatenate([[_U(0)], np.cumsum(names * powers[:-1], dtype=_U)])
+        return _mix((c[start + size] - c[start]) * inverse[start])
+
+
+def _classes(words: np.ndarray, names: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """The class of each window, numbered from 0: windows of one class have the same words.
+
+    words: numbers of words, names: a hash of each. Hashes bring windows together; each is then compared, word by word, with the
+    first of its hash, and where one differs, the windows of that hash are told apart by their words alone.
+    """
+    n = len(start)
+    if not n:
+        return np.empty(0, np.int64)
+    h = _window_hashes(names, start, size)
+    order = np.argsort(h, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    at = np.cumsum(new) - 1
+    lead = order[np.flatnonzero(new)][at]  # the first of its hash, for each place of order
+    rest = np.flatnonzero(~new)
+    a, b = start[order[rest]], start[lead[rest]]
+    differs = np.zeros(len(rest), bool)
+    for k in range(size):
+        differs |= words[a + k] != words[b + k]
+    if differs.any():
+        wrong = np.isin(at, at[rest[differs]])
+        seen: dict[tuple[int, bytes], int] = {}
+        fresh = numbers(int(at[-1]) + 1)
+        for i in np.flatnonzero(wrong):
+            key = (int(at[i]), words[start[order[i]] : start[order[i]] + size].tobytes())
+            if key not in seen:
+                seen[key] = next(fresh)
+            at[i] = seen[key]
+    out = np.empty(n, np.int64)
+    out[order] = at
+    return out
 
 
 def _level_up(level: tuple, number: int, edges: tuple[np.ndarray, np.ndarray]) -> tuple:
@@ -213,14 +246,13 @@ def _unpacked(batches: Iterator[pa.RecordBatch], kinds: list) -> Iterator[list[n
 
 
 SYMBOL = np.dtype((np.void, 5))
-#: 96 bits of a window's hash.
-CONTENT = np.dtype([("a", "<u8"), ("b", "<u4")])
-ASKED = [np.dtype("<i8"), np.dtype("<u4"), np.dtype("u1"), np.dtype("<u8"), np.dtype("<u8"), CONTENT]
-SEEN = [SYMBOL, np.dtype("<i8"), np.dtype("<u4"), np.dtype("u1"), np.dtype("u1")]
+KEY = np.dtype([("a", "<i8"), ("b", "<i4")])
+SEEN = [SYMBOL, KEY, np.dtype("<u4"), np.dtype("u1"), np.dtype("u1")]
+ASKED = [KEY, np.dtype("<u4"), np.dtype("u1"), np.dtype("<u8"), np.dtype("<u8"), np.dtype("<u4")]
 
 
 def _short(names: np.ndarray) -> np.ndarray:
-    """40 bits of a name, apart from those that choose the bucket; what they confuse, the window hashes tell apart."""
+    """40 bits of a name, which with the bucket tell most symbols apart; what they confuse, the words tell apart."""
     return np.ascontiguousarray(names.view(np.uint8).reshape(-1, 8)[:, :5]).view(SYMBOL).ravel()
 
 
@@ -230,26 +262,48 @@ def _wide(short: np.ndarray) -> np.ndarray:
     return out.view(_U).ravel()
 
 
-def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of equal values at each place, whether it is the first of them there, and the number of its class."""
-    order = np.argsort(values, kind="stable")
-    new = np.ones(len(values), bool)
-    new[1:] = values[order][1:] != values[order][:-1]
-    cls = np.cumsum(new) - 1
-    size = np.bincount(cls, minlength=1)
-    count, first, klass = np.empty(len(values), np.int64), np.empty(len(values), bool), np.empty(len(values), np.int64)
-    count[order], first[order], klass[order] = size[cls], new, cls
-    return count, first, klass
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of equal values at each place, and whether it is the first of them there."""
+    _, first, place, n = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+    is_first = np.zeros(len(values), bool)
+    is_first[first] = True
+    return n[place], is_first
 
 
 def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
-    return ((names >> _U(40)) % _U(buckets)).astype(np.int64)
+    return (_mix(names) % _U(buckets)).astype(np.int64)
+
+
+def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), KEY)
+    out["a"], out["b"] = a, b
+    return out
+
+
+def _row_key(own, text, salt: int) -> list:
+    """96 bits that stand for a row's id and text: two hash functions that have nothing in common."""
+    return [F.xxhash64(F.lit(salt), own, text).alias("ka"), F.hash(F.lit(salt), own, text).alias("kb")]
 
 
 def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """doc_id, text and a key (ka, kb) of each row that no other id or text has.
+
+    That is made sure of: ids and SHA-256 digests of all rows are grouped by key, and where a key has two of them, another
+    salt is tried. Rows of one id and one text share a key.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = F.col(id_col).cast("long")
-    return docs.select(own.alias("doc_id"), text.alias("text"), F.xxhash64(own, text).alias("key"))
+    for salt in numbers():
+        rows = docs.select(own.alias("doc_id"), text.alias("text"), *_row_key(own, text, salt))
+        each = rows.select("ka", "kb", "doc_id", F.sha2("text", 256).alias("digest")).distinct()
+        if each.groupBy("ka", "kb").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return rows
+
+
+def _size(rows: DataFrame) -> int:
+    """Bytes of the input by the planner's estimate, which runs nothing."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 59 else rows.rdd.getNumPartitions() * BUCKET_BYTES  # it can't tell, as for rows from the driver
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, levels: int = LEVELS, buckets: int | None = None, emit_text: bool = False) -> DataFrame:
@@ -257,126 +311,173 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     Columns: doc_id, n_words, n_removed, kept_sha256 (of the kept words with one space between) and, with emit_text, kept_text.
     A null, empty or blank text has no words. Repeated rows count as places of their own, so of two equal texts of a window
-    or more both lose all words; ids may be null. Texts shorter than a window keep all. An empty table gives no rows. Other columns
-    are not read. Groups of symbols and windows go through buckets; what occurs twice within one map task is known there, and it
-    sends each symbol and window once, so a passage that all documents share sends a few rows a task.
+    or more both lose all words; ids may be null. Texts shorter than a window keep all; a very long text is taken alone and whole, by
+    one worker. An empty table gives no rows. Other columns are not read. Groups of symbols and windows go through buckets; what
+    occurs twice within one group of texts is known there: such symbols and windows are sent to their bucket once a group, and the
+    other places of them, which need no more proof, are dealt out by row.
     """
     if not 2 <= window <= 63:
         raise ValueError("window must be from 2 to 63 words")
     rows = _keyed(docs, text_col, id_col)
-    if buckets is None:  # so that a bucket's symbols fit a task; by the planner's size of the input, which runs nothing
-        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        if size > 1 << 59:  # the planner can't tell, as for rows from the driver
-            size = rows.rdd.getNumPartitions() * BUCKET_BYTES
-        buckets = max(64, min(MAX_BUCKETS, size // BUCKET_BYTES))
+    size = _size(rows)
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES)
+    buckets = buckets or max(partitions, size // BUCKET_BYTES)
+    texts = rows.repartition(partitions, "ka", "kb")  # both joins read this exchange: they ask for the same columns of it
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Symbols of all texts; of those that repeat within a group, the first tells the bucket so."""
-        hasher = Hasher(1)
-        each = ((k, t.encode("utf-8", "surrogatepass")) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        """Symbols of all texts. Of those that repeat within a group, the first tells the bucket so; the others go by row."""
+        hashes = WordHashes()
+        each = (((a, b), t.encode("utf-8", "surrogatepass")) for c in batches for a, b, t in zip(*(c.column(i).to_pylist() for i in range(3))))
         with np.errstate(over="ignore"):
             for group in _groups(each, 1):
-                hashes = [hasher.words(t) for _, t in group]
-                size = np.array([len(h) for h in hashes])
-                name, lo, n = choose(np.concatenate(hashes), size, window, levels)
+                words = [hashes.of(t.split()) for _, t in group]
+                size = np.array([len(w) for w in words])
+                name, lo, n = choose(np.concatenate(words), size, window, levels)
                 if not len(name):
                     continue
                 base = np.cumsum(size) - size
                 doc = np.searchsorted(base + size, lo, "right")
-                key = np.array([k for k, _ in group], np.int64)[doc]
-                count, first, _ = _counted(name)
+                key = np.array([k for k, _ in group], KEY)[doc]
+                count, first = _counted(name)
                 kind = np.where(count > 1, np.where(first, 2, 3), 1).astype(np.uint8)  # once, repeats: its first, repeats: others
+                bucket = np.where(kind == 3, _bucket(key["a"].view(_U) + _U(0), buckets), _bucket(name, buckets))
                 cols = {"name": _short(name), "key": key, "lo": (lo - base[doc]).astype(np.uint32), "n": n.astype(np.uint8), "kind": kind}
-                bucket = _bucket(name, buckets)
                 yield _packed(buckets, {k: (bucket, v) for k, v in cols.items()})
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, key, lo, n, kind in _unpacked(batches, SEEN):
             wide = _wide(name)
-            here = kind < 3
-            order = np.argsort(wide[here], kind="stable")
-            value, weight = wide[here][order], np.minimum(kind[here][order], 2).astype(np.int64)
-            start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-            twice = value[start][np.add.reduceat(weight, start) > 1]
-            at = np.minimum(np.searchsorted(twice, wide), max(len(twice) - 1, 0))
-            ok = twice[at] == wide if len(twice) else np.zeros(len(wide), bool)
+            ok = kind == 3
+            here = np.flatnonzero(~ok)
+            order = here[np.argsort(wide[here], kind="stable")]
+            if len(order):
+                start = np.flatnonzero(np.concatenate([[True], wide[order][1:] != wide[order][:-1]]))
+                weight = np.add.reduceat(kind[order].astype(np.int64), start)
+                ok[order] = np.repeat(weight > 1, np.diff(np.append(start, len(order))))
             if ok.any():
-                cols = [key[ok], lo[ok].astype(np.int32), n[ok].astype(np.int32), wide[ok].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "lo", "n", "name"])
+                cols = [key["a"][ok], key["b"][ok], lo[ok].astype(np.int32), n[ok].astype(np.int32), wide[ok].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["ka", "kb", "lo", "n", "name"])
 
-    seen = rows.select("key", "text").mapInArrow(see, "bucket int, name binary, key binary, lo binary, n binary, kind binary")
-    found = seen.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "key long, lo int, n int, name long")
-    asked = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("lo", "n", "name"))).alias("ask"))
+    seen = rows.select("ka", "kb", "text").mapInArrow(see, "bucket int, name binary, key binary, lo binary, n binary, kind binary")
+    found = seen.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "ka long, kb int, lo int, n int, name long")
+    asked = found.groupBy("ka", "kb").agg(F.collect_list(F.struct("lo", "n", "name")).alias("ask"))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes of the windows that are asked for, by symbol; those that repeat within a group come once, the others as a mark."""
-        one, two = Hasher(1), Hasher(2)
-        each = ((k, t.encode("utf-8", "surrogatepass"), a) for b in batches for k, t, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)))
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of the windows that are asked for, by symbol. A window that repeats within a group comes once, marked so."""
+        each = ((a, t.encode("utf-8", "surrogatepass"), k) for c in batches for *k, t, a in zip(c.column(1).to_pylist(), c.column(2).to_pylist(), c.column(3).to_pylist(), c.column(4)))
         with np.errstate(over="ignore"):
             for group in _groups(each, 1):
-                parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
-                for k, t, a in group:
+                table, texts, words = WordNumbers(), [], []
+                parts: list[list[np.ndarray]] = [[], [], [], [], []]
+                base = 0
+                for a, t, k in group:
+                    texts.append(t.split())
+                    words.append(table.of(texts[-1]))
                     lo, n, name = (a.values.field(i).to_numpy() for i in range(3))
-                    start = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    for c, x in zip(parts, (one.windows(one.words(t), start, window), two.windows(two.words(t), start, window), np.full(len(lo), k, np.int64), lo, n, name)):
+                    _, once = np.unique(lo, return_index=True)  # rows of one key ask alike
+                    for c, x in zip(parts, (lo[once] + base, n[once], name[once], np.full(len(once), len(texts) - 1), lo[once])):
                         c.append(x)
-                h1, h2, key, lo, n, name = map(np.concatenate, parts)
-                count, first, _ = _counted(h1 ^ _mix(h2))
-                again = (count > 1) & ~first
-                start = np.cumsum(n) - n
-                bit = _U(1) << (np.arange(len(h1)) - np.repeat(start, n)).astype(_U)
-                marks = [np.bitwise_or.reduceat(np.where(m, bit, _U(0)), start) for m in (again, (count > 1) & first)]
-                content = np.empty((~again).sum(), CONTENT)
-                content["a"], content["b"] = h1[~again], h2[~again].astype(np.uint32)
-                bucket = (_mix(name.view(_U)) % _U(buckets)).astype(np.int64)
-                cols = {"key": key, "lo": lo.astype(np.uint32), "n": n.astype(np.uint8), "again": marks[0], "twice": marks[1]}
-                yield _packed(buckets, {k: (bucket, v) for k, v in cols.items()} | {"content": (np.repeat(bucket, n)[~again], content)})
+                    base += len(texts[-1])
+                start, n, name, doc, lo = (np.concatenate(p) for p in parts)
+                words = np.concatenate(words)
+                first_of = np.cumsum(n) - n
+                each_start = np.repeat(start - first_of, n) + np.arange(n.sum())
+                count, first = _counted(_classes(words, table.hashes()[words], each_start, window))
+                bit = _U(1) << (np.arange(len(each_start)) - np.repeat(first_of, n)).astype(_U)
+                known, sent = (np.bitwise_or.reduceat(np.where(m, bit, _U(0)), first_of) for m in (count > 1, first))
+                place = np.where(first, np.arange(len(first)) - np.repeat(first_of, n), -1)
+                last = np.maximum.reduceat(place, first_of)
+                some = last >= 0
+                begin = np.minimum.reduceat(np.where(first, place, 64), first_of)
+                sent >>= np.where(some, begin, 0).astype(_U)
+                length = np.where(some, last - begin + window, 0)
+                key = np.array([tuple(k) for _, _, k in group], KEY)[doc]
+                bucket = np.where(some, _bucket(name.view(_U), buckets), _bucket(key["a"].view(_U) + _U(0), buckets))
+                skip = np.where(some, begin, 0).astype(np.uint8)
+                cols = {"key": key, "lo": lo.astype(np.uint32), "skip": skip, "known": known, "sent": sent, "length": length.astype(np.uint32)}
+                packed = _packed(buckets, {k: (bucket, v) for k, v in cols.items()})
+                order = np.argsort(bucket, kind="stable")
+                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                blobs = []
+                for b in packed.column(0).to_numpy():
+                    mine = order[bounds[b] : bounds[b + 1]]
+                    mine = mine[some[mine]]
+                    blobs.append(b" ".join(w for d, i, j in zip(doc[mine].tolist(), (lo[mine] + begin[mine]).tolist(), (lo[mine] + last[mine] + window).tolist()) for w in texts[d][i:j]))
+                yield packed.append_column("words", pa.array(blobs, pa.binary()))
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, lo, n, again, twice, content in _unpacked(batches, ASKED):
-            n = n.astype(np.int64)
-            of = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(of)) - (np.cumsum(n) - n)[of]
-            ok = (again[of] >> place.astype(_U) & _U(1)).astype(bool)
-            weight = 1 + (twice[of] >> place.astype(_U) & _U(1)).astype(np.int64)[~ok]
-            order = np.lexsort((content["b"], content["a"]))
-            new = np.ones(len(order), bool)
-            new[1:] = content[order][1:] != content[order][:-1]
-            cls = np.cumsum(new) - 1
-            more = np.empty(len(order), bool)
-            more[order] = np.bincount(cls, weight[order], minlength=1)[cls] > 1
-            ok[~ok] = more
-            key, pos = key[of[ok]], (lo[of] + place)[ok]
-            if len(key):
-                order = np.lexsort((pos, key))
-                key, pos = key[order], pos[order]
-                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                ends = np.concatenate([start[1:], [len(key)]])
-                yield pa.RecordBatch.from_arrays([pa.array(key[start]), pa.array([pos[i:j].astype("<u4").tobytes() for i, j in zip(start, ends)], pa.binary())], names=["key", "pos"])
-
-    # both joins read one exchange of the texts: they ask for the same columns of it
-    windows = rows.join(asked, "key").select("doc_id", "key", "text", "ask").mapInArrow(hashed, "bucket int, key binary, lo binary, n binary, again binary, twice binary, content binary")
-    again = windows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(repeated, "key long, pos binary")
-    gone = again.groupBy("key").agg(F.collect_list("pos").alias("gone"))
+        for records, words, names in _with_words(batches):
+            key, lo, skip, known, sent, length = records
+            at = np.cumsum(length.astype(np.int64)) - length
+            bits = np.flatnonzero(sent)
+            wide = (sent[bits][:, None] >> np.arange(window, dtype=_U)) & _U(1)
+            of, place = np.nonzero(wide)
+            of = bits[of]
+            cls = _classes(words, names, at[of] + place, window)
+            shift = (place + skip[of]).astype(_U)
+            weight = 1 + (known[of] >> shift & _U(1)).astype(np.int64)
+            more = np.bincount(cls, weight, minlength=1)[cls] > 1 if len(cls) else np.zeros(0, bool)
+            np.bitwise_or.at(known, of[more], _U(1) << shift[more])
+            some = np.flatnonzero(known)
+            if len(some):
+                some = some[np.lexsort((lo[some], key["b"][some], key["a"][some]))]
+                out = np.empty(len(some), RUN)
+                out["lo"], out["mask"] = lo[some], known[some]
+                k = key[some]
+                start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                ends = np.append(start[1:], len(some))
+                cols = [pa.array(k["a"][start]), pa.array(k["b"][start]), pa.array([out[i:j].tobytes() for i, j in zip(start, ends)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["ka", "kb", "runs"])
+
+    kinds = "key binary, lo binary, skip binary, known binary, sent binary, length binary, words binary"
+    windows = texts.join(asked, ["ka", "kb"]).select("doc_id", "ka", "kb", "text", "ask").mapInArrow(spans, f"bucket int, {kinds}")
+    again = windows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(repeated, "ka long, kb int, runs binary")
+    gone = again.groupBy("ka", "kb").agg(F.collect_list("runs").alias("gone"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * emit_text
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for text, where in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for text, where in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
                 words = text.encode("utf-8", "surrogatepass").split()
                 kept = words
                 if where:
+                    runs = np.frombuffer(b"".join(where), RUN)
+                    of, place = np.nonzero((runs["mask"][:, None] >> np.arange(window, dtype=_U)) & _U(1))
+                    start = np.unique(runs["lo"][of].astype(np.int64) + place)
                     mark = np.zeros(len(words) + 1, np.int64)
-                    start = np.unique(np.frombuffer(b"".join(where), "<u4"))
-                    np.add.at(mark, start, 1)
-                    np.add.at(mark, start + window, -1)
-                    stay = np.cumsum(mark[:-1]) == 0
-                    kept = [words[i] for i in np.flatnonzero(stay)]
+                    mark[start] += 1
+                    mark[start + window] -= 1
+                    kept = [words[i] for i in np.flatnonzero(np.cumsum(mark[:-1]) == 0)]
                 joined = b" ".join(kept)
                 for c, x in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if emit_text else None)):
                     c.append(x)
             cols = [b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(out[3], pa.string())] * emit_text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * emit_text)
 
-    return rows.join(gone, "key", "left").select("doc_id", "key", "text", "gone").mapInArrow(finish, schema)
+    return texts.join(gone, ["ka", "kb"], "left").select("doc_id", "ka", "kb", "text", "gone").mapInArrow(finish, schema)
+
+
+#: First window of a run and which of the windows from there repeat.
+RUN = np.dtype([("lo", "<u4"), ("mask", "<u8")])
+
+
+def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Rows come sorted by bucket: for each bucket its records, and number and hash of each of their words."""
+    held: list[list[bytes]] = []
+    table, words, now = WordNumbers(), [], None
+
+    def done() -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        all_words = np.concatenate(words)
+        return [np.frombuffer(b"".join(c), k).copy() for c, k in zip(zip(*held), ASKED)], all_words, table.hashes()[all_words]
+
+    for b in batches:
+        for row in zip(*(b.column(i).to_pylist() for i in range(len(ASKED) + 2))):
+            if row[0] != now and held:
+                yield done()
+                held, table, words = [], WordNumbers(), []
+            now = row[0]
+            held.append(row[1:-1])
+            words.append(table.of(row[-1].split()))
+    if held:
+        yield done()

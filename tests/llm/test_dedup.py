@@ -186,6 +186,67 @@ def test_substring_planted(spark):
             substring_dedup.GROUP_BYTES = old
 
 
+def check_repeats(spark, texts, window=35, **options):
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS).repartition(3)
+    want = sorted([(i, *x) for i, x in enumerate(brute_repeats(texts, window))], key=repr)
+    assert rows(substring_dedup.remove_repeats(df, window=window, **options)) == want
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    """Thue-Morse words collide in every polynomial hash modulo a power of two."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [" ".join([f"w{i}" for i in range(17)] + [w] + [f"v{i}" for i in range(17)]) for w in (word, other)]
+    assert {x[1] for x in brute_repeats(texts, 35)} == {0}
+    check_repeats(spark, texts)
+    check_repeats(spark, [*texts, texts[0]])
+
+
+def half_repeated(seed):
+    """Texts that share passages and differ in a word here and there."""
+    rng = random.Random(seed)
+    passages = [[f"p{p}x{rng.randrange(50)}" for _ in range(60)] for p in range(4)]
+    texts = []
+    for i in range(40):
+        words = [f"own{i}y{rng.randrange(9)}" for _ in range(rng.randrange(20))] + list(rng.choice(passages))
+        if i % 3 == 0:
+            words[rng.randrange(len(words))] = f"odd{i}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_windows_are_compared_by_their_words(spark, monkeypatch):
+    """Whatever the hashes of windows say: here all are alike."""
+    monkeypatch.setattr(substring_dedup, "_window_hashes", lambda names, start, size: np.zeros(len(start), np.uint64))
+    check_repeats(spark, half_repeated(1))
+
+
+def test_rows_whose_keys_collide_are_told_apart(spark, monkeypatch):
+    """Keys that two texts share are not used: another salt is."""
+    own, tried = substring_dedup._row_key, []
+
+    def forced(i, text, salt):
+        tried.append(salt)
+        if salt < 2:
+            return [F.lit(7).cast("long").alias("ka"), (F.length(text) % (salt + 1)).cast("int").alias("kb")]
+        return own(i, text, salt)
+
+    monkeypatch.setattr(substring_dedup, "_row_key", forced)
+    check_repeats(spark, half_repeated(2))
+    assert tried == [0, 1, 2]
+
+
+def test_one_passage_in_every_text(spark):
+    """A hot passage, in more texts than a group holds, and a hot text."""
+    passage = " ".join(f"h{i}" for i in range(45))
+    texts = [f"s{i} " * (i % 7) + passage + f" e{i}" * (i % 5) for i in range(150)] + [passage] * 50
+    old, substring_dedup.GROUP_BYTES = substring_dedup.GROUP_BYTES, 2000
+    try:
+        check_repeats(spark, texts, buckets=5)
+    finally:
+        substring_dedup.GROUP_BYTES = old
+
+
 def test_kept_text(spark):
     line = " ".join(f"p{i}" for i in range(40))
     df = spark.createDataFrame([(1, "a " + line + " b"), (2, line + " c"), (3, "short")], "doc_id long, text string")

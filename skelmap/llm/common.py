@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,20 +12,43 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 
+#: Input to a bucket, which one worker holds, and to a partition of an exchange, where that is more than the session's.
+BUCKET_BYTES = 8 << 20
+PARTITION_BYTES = 512 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, which the cluster names.
 
-    Where it is unset, a local session gets a temporary folder and any other one a folder in the warehouse.
+    Where it is unset, a local session, whose driver is its executor, gets a temporary folder that goes when the driver ends; any other session
+    must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        found = tempfile.mkdtemp(prefix="skelmap-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_cut"
+        if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="skelmap-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Bytes of df by the planner's estimate, which runs nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 59 else df.rdd.getNumPartitions() * BUCKET_BYTES  # it can't tell, as for rows from the driver
+
+
+def partitions_of(df: DataFrame) -> int:
+    """Partitions of an exchange of df: the session's number, or more where these would be over PARTITION_BYTES of input each."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), planned_bytes(df) // PARTITION_BYTES)
+
+
+def buckets_of(df: DataFrame) -> int:
+    """Buckets of BUCKET_BYTES of df, at least one a partition."""
+    return max(partitions_of(df), planned_bytes(df) // BUCKET_BYTES)
+
+
 def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: a short lineage that outlives executors.
 

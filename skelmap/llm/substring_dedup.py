@@ -22,15 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import buckets_of, partitions_of
+
 WINDOW = 35
 LEVELS = 7
 #: A round of runs, which widens every support, comes once in so many rounds; the others name pairs.
 RUN_EVERY = 8
 #: Texts are taken together up to so many bytes; a longer one is taken alone.
 GROUP_BYTES = 3 << 20
-#: Input to a bucket, which one worker holds, and to a partition of an exchange, where that is more than the session's.
-BUCKET_BYTES = 8 << 20
-PARTITION_BYTES = 512 << 20
 MAX_CACHED = 500_000
 _U = np.uint64
 
@@ -300,12 +299,6 @@ def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
             return rows
 
 
-def _size(rows: DataFrame) -> int:
-    """Bytes of the input by the planner's estimate, which runs nothing."""
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 59 else rows.rdd.getNumPartitions() * BUCKET_BYTES  # it can't tell, as for rows from the driver
-
-
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, levels: int = LEVELS, buckets: int | None = None, emit_text: bool = False) -> DataFrame:
     """Remove each word that is covered by a window of `window` words whose words also start anywhere else.
 
@@ -319,9 +312,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     if not 2 <= window <= 63:
         raise ValueError("window must be from 2 to 63 words")
     rows = _keyed(docs, text_col, id_col)
-    size = _size(rows)
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES)
-    buckets = buckets or max(partitions, size // BUCKET_BYTES)
+    partitions, buckets = partitions_of(rows), buckets or buckets_of(rows)
     texts = rows.repartition(partitions, "ka", "kb")  # both joins read this exchange: they ask for the same columns of it
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,13 +52,60 @@ def test_exact_dedup_awkward(spark):
     assert Counter(r.text or "" for r in kept.collect()) == Counter({(r.text or ""): 1 for r in df.collect()})
 
 
+def test_equal_texts_are_told_by_their_contents(spark, monkeypatch):
+    """Digests that two texts share are not used: another salt is."""
+    df = docs(spark)
+    want = brute_exact([tuple(r) for r in df.collect()])
+    own, tried = exact_dedup._digest, []
+
+    def forced(text, salt=0):
+        tried.append(salt)
+        return F.unhex(F.sha2((F.length(text) % 3).cast("string"), 256)) if salt == 1 else own(text, salt)
+
+    # salt 0 is asked for as the real digest of the output too, so the first that the groups try is made to be 1
+    monkeypatch.setattr(exact_dedup, "_digest", forced)
+    monkeypatch.setattr(exact_dedup, "numbers", lambda: iter(range(1, 9)))
+    assert rows(exact_dedup.exact_dedup(df).drop("n_keep")) == want
+    assert {1, 2} <= set(tried)
+
+
 def test_index_updates(spark):
     df = spark.createDataFrame([(i, f"t{i % 3}") for i in range(9)], "doc_id long, text string")
     d = exact_dedup.digests(df)
     index = exact_dedup.build_index(d)
     after = exact_dedup.update_index(index, deleted=d.where("doc_id % 3 = 1"), added=exact_dedup.digests(spark.createDataFrame([(20, "t0"), (21, "new")], df.schema)))
-    got = sorted((r.keep_id, r.n) for r in after.collect())
+    got = sorted((r.keep_id, r.n) for r in exact_dedup.groups_of(after).collect())
     assert got == [(8, 3), (20, 4), (21, 1)]
+    # the kept row goes, and the next one is named
+    less = exact_dedup.update_index(after, deleted=d.where("doc_id = 8"))
+    assert sorted((r.keep_id, r.n) for r in exact_dedup.groups_of(less).collect()) == [(5, 2), (20, 4), (21, 1)]
+
+
+def test_index_takes_changes_in_any_order(spark):
+    """Random additions and deletions in several batches and partitions against a dictionary; deletions may come first."""
+    rng = random.Random(4)
+    live, batches = Counter(), []
+    for _ in range(4):
+        batch = []
+        for _ in range(300):
+            key = (rng.choice([None, *range(12)]), f"t{rng.randrange(8)}")
+            sign = rng.choice((1, 1, -1))
+            live[key] += sign
+            batch.append((*key, sign))
+        batches.append(batch)
+    index = None
+    for batch in batches:
+        df = spark.createDataFrame(batch, "doc_id long, text string, sign int").repartition(3)
+        changes = exact_dedup.digests(df.where("sign > 0")), exact_dedup.digests(df.where("sign < 0"))
+        index = exact_dedup.update_index(index, *changes) if index else exact_dedup.build_index(changes[0].withColumn("n", F.lit(1)).unionByName(changes[1].withColumn("n", F.lit(-1))))
+    want = {}
+    for text in {t for _, t in live}:
+        ids = {i: n for (i, t), n in live.items() if t == text and n > 0}
+        if ids:
+            keep = max(ids, key=lambda i: (i is not None, i or 0))
+            want[hashlib.sha256(text.encode()).digest()] = (keep, sum(ids.values()), ids[keep])
+    got = {bytes(r.digest): (r.keep_id, r.n, r.n_keep) for r in exact_dedup.groups_of(index).collect()}
+    assert got == want
 
 
 def brute_simhash(text, k=3):

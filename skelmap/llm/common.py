@@ -6,8 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
@@ -49,6 +51,9 @@ def buckets_of(df: DataFrame) -> int:
     return max(partitions_of(df), planned_bytes(df) // BUCKET_BYTES)
 
 
+_recorded: list[dict] = []
+
+
 def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: a short lineage that outlives executors.
 
@@ -58,14 +63,30 @@ def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
+    for tables in _recorded:
+        tables[path] = out
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table of cut() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables of cut() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for found in _recorded:
+            found.pop(df.cut_path, None)
+
+
+@contextmanager
+def recorded() -> Iterator[dict[str, DataFrame]]:
+    """The tables that cut() writes meanwhile and that weren't discarded, by path: to discard once what reads them is written."""
+    tables: dict[str, DataFrame] = {}
+    _recorded.append(tables)
+    try:
+        yield tables
+    finally:
+        _recorded.remove(tables)
 
 
 def tables_dir(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,16 +110,22 @@ def lowest_hashed(pool: DataFrame, by: str, n: int, max_groups: int) -> DataFram
     return pool.where(F.col("h") <= bound).withColumn("nth", nth).where(F.col("nth") <= n)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def row_ident(digest: Column, own: Column) -> Column:
+    """What rows of one text and one id share and no others: the digest in hex and the id."""
+    return F.concat(F.hex(digest), F.lit(":"), F.coalesce(own.cast("string"), F.lit("")))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (node, root), root the smallest node reached.
 
     Alternating large-star and small-star steps. A step is a minimum per node, which combines before its shuffle, and an
     equi-join, whose hot keys adaptive execution splits; no neighbour list is ever collected. Each round is
-    written to the shared folder, and the rounds stop when the edges no longer change.
+    written to the shared folder, and the rounds, whose number grows with the logarithm of the nodes, stop when the edges no longer
+    change.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc", "none")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # large star: neighbours above u go to the minimum of u's neighbourhood
@@ -112,7 +139,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")), allowMissingColumns=False)

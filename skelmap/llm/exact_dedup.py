@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_of, cut, partitions_of
+from .common import buckets_of, cut, partitions_of, row_ident
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -242,11 +242,10 @@ def drop_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     """
     own = docs.columns
     groups, salt = _groups(docs, text_col, id_col, None)
-    ident = lambda digest, i: F.concat(F.hex(digest), F.lit(":"), F.coalesce(i.cast("string"), F.lit("")))
     digest, i = _digest(_text(text_col), salt), F.col(id_col).cast("long")
     pairs = docs.select(digest.alias("digest"), i.alias("doc_id")).join(groups, "digest").where("NOT (doc_id <=> keep_id)")
-    gone = pairs.select(ident(F.col("digest"), F.col("doc_id")).alias("_sm_gone")).distinct()
-    rows = docs.withColumn("_sm_row", ident(digest, i))
+    gone = pairs.select(row_ident(F.col("digest"), F.col("doc_id")).alias("_sm_gone")).distinct()
+    rows = docs.withColumn("_sm_row", row_ident(digest, i))
     kept = rows.join(gone, F.col("_sm_row") == F.col("_sm_gone"), "left_anti")
     nth = F.row_number().over(Window.partitionBy("_sm_row").orderBy(F.lit(1)))
     return kept.withColumn("_sm_nth", nth).where("_sm_nth = 1").select(*own)

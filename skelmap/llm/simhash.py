@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, discard, row_ident
 
 SEED = 42
 MAX_BITS = 3
@@ -212,7 +212,8 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     Fingerprints that differ in at most 3 bits are linked; component_id is the smallest doc_id that links lead to.
     A null, empty or blank text has fingerprint zero, which links like any other. Rows with one fingerprint count as
     one point, so copies cost a count; repeated rows are all returned. A null id is returned with its class but names none,
-    unless a class has null ids only: then component_id is null. An empty table gives no rows. Other columns are not read.
+    unless a class has null ids only: then component_id is null. Very long texts are taken whole, piece by piece. An empty table gives no
+    rows. Other columns are not read.
     """
     fps = cut(fingerprints(docs, text_col, id_col, words), "simhash", "none")
     points = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
@@ -228,13 +229,13 @@ def _anchor_links(points: DataFrame) -> DataFrame:
 
 def _classes(fps: DataFrame, points: DataFrame, links: DataFrame, node: str = "fp") -> DataFrame:
     """doc_id, fingerprint and component_id of rows (doc_id, fp and node), by the links of their nodes."""
-    linked = cut(components(links.distinct()), "simhash-cc", "none")
+    linked = cut(components(links), "simhash-cc", "none")  # reads the links, and what they are read from, for the last time
     named = points.join(linked.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
     named = cut(named, "simhash-named", "none")
     names = named.join(linked.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"))
     classes = named.join(names, "root", "left").select(F.col(node).alias("_node"), F.coalesce("least", "rep").alias("component_id"))
     out = fps.join(classes, F.col(node) == F.col("_node"), "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *[c for c in fps.columns if c == "uid"])
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *[c for c in fps.columns if c == "digest"])
 
 
 # --- similarity of 0.8 ----------------------------------------------------------------------------------------------------
@@ -281,20 +282,15 @@ def sketches(docs: DataFrame, text_col: str, id_col: str, words: int) -> DataFra
             with np.errstate(over="ignore"):
                 rows = [sketch(t.as_py(), words, multipliers) for t in b.column(1)]
             fp = np.array([r[0] for r in rows], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(fp), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "uid", "node", "fp", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "digest", "fp", "sig", "bands"])
 
-    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_t"))
-    return row.withColumn("uid", _uid("doc_id", "_t")).withColumn("node", _node("_t")).mapInArrow(run, "doc_id long, uid long, node long, fp long, sig binary, bands array<bigint>")
+    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_t"), _digest(text_col).alias("digest"))
+    return row.mapInArrow(run, "doc_id long, digest binary, fp long, sig binary, bands array<bigint>")
 
 
-def _node(text_col: str) -> Column:
-    """What stands for a text where texts are linked: a hash of it."""
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-
-
-def _uid(id_col: str, text_col: str) -> Column:
-    """What tells rows apart that share an id: a hash of id and text."""
-    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+def _digest(text_col: str) -> Column:
+    """What stands for a text: its SHA-256."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -310,7 +306,7 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
+def _sets(docs: DataFrame, points: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
     """node and its set of shingles, for the nodes of `wanted` (distinct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,8 +316,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> Data
                 sets = [shingle_set(t.as_py(), words).tobytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    texts = docs.select(_node(text_col).alias("node"), F.col(text_col).cast("string").alias("_t")).join(wanted, "node", "left_semi")
-    return texts.groupBy("node").agg(F.first("_t").alias("_t")).mapInArrow(run, "node long, set binary")
+    texts = docs.select(_digest(text_col).alias("digest"), F.col(text_col).cast("string").alias("_t"))
+    named = texts.join(points.select("digest", "node").join(wanted, "node", "left_semi"), "digest")
+    return named.groupBy("node").agg(F.first("_t").alias("_t")).mapInArrow(run, "node long, set binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -352,13 +349,13 @@ def _open_pairs(root: np.ndarray, sig: np.ndarray, close) -> Iterator[tuple[np.n
             yield rows[i], j + q
 
 
-def _similar(points: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+def _similar(points: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
     """Links (a, b) of points (node, sig, bands) that share a band and whose sets of shingles have a similarity of `similarity` or more.
 
     Points of a band that no other has drop out before their min-hashes are sent. Min-hashes only choose what is judged. First
     each group of a band sends a spanning forest of the pairs whose min-hashes tell `similarity`; those that the sets confirm
     make classes. Then the pairs of a group that lie in different classes and tell LOOSE standard errors less, or more, are all
-    compared by their sets, which only the points of such pairs send. All links are links of two sets.
+    compared by their sets, which only the points of such pairs send. All links are links of two sets. With the links come the tables that they are read from.
     """
     # bytes agree by chance once in 256
     enough, loose = (HASHES * (s * (1 - 1 / 256) + 1 / 256) for s in (similarity, similarity - LOOSE * ERROR))
@@ -424,15 +421,17 @@ def _similar(points: DataFrame, docs: DataFrame, text_col: str, words: int, simi
     met = cut(rows.join(shared, "key", "left_semi").join(points.select("node", "sig"), "node").select("key", "node", "sig"), "simhash-met", "none")
     likely = cut(met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(forest, "a long, b long").distinct(), "simhash-likely", "none")
     ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    sets = cut(_sets(docs, ends, text_col, words), "simhash-sets", "none")
+    sets = cut(_sets(docs, points, ends, text_col, words), "simhash-sets", "none")
     pairs = likely.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     sure = cut(pairs.select("a", "b", "x", "y").mapInArrow(confirmed, "a long, b long"), "simhash-sure", "none")
 
+    discard(likely, sets)
     classes = met.join(components(sure), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "sig")
     left = cut(classes.repartition("key").sortWithinPartitions("key", "node").mapInArrow(still_open, "key long, node long, root long, sig binary"), "simhash-open", "none")
-    rest = left.join(_sets(docs, left.select("node").distinct(), text_col, words), "node").select("key", "node", "root", "sig", "set")
+    discard(met)
+    rest = left.join(_sets(docs, points, left.select("node").distinct(), text_col, words), "node").select("key", "node", "root", "sig", "set")
     more = rest.repartition("key").sortWithinPartitions("key", "node").mapInArrow(judged, "a long, b long")
-    return sure.unionByName(more)
+    return sure.unionByName(more), [sure, left]
 
 
 def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -441,29 +440,30 @@ def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     Every such link is that of the two sets; min-hashes only find the pairs. A pair of a similarity of 0.8 is not found with a chance of
     0.0017, as it shares no band, and a greater similarity with a lesser one (0.85: 0.0001); that its min-hashes tell LOOSE standard
     errors too little has a chance of 0.000001. Rows with one text are one point; texts with one fingerprint each keep their
-    min-hashes and are linked to the least of them. Cases are as in near_groups(); uid is a hash of a row's id and text.
+    min-hashes and are linked to the least of them. Cases are as in near_groups(); digest is the SHA-256 of a row's text.
     """
     rows = cut(sketches(docs, text_col, id_col, words), "simhash-sketches")
-    points = cut(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min(F.struct("sig", "bands")).alias("s")).select("node", "rep", "fp", "s.sig", "s.bands"), "simhash-points")
+    points = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min(F.struct("sig", "bands")).alias("s"))
+    points = cut(points.select(F.monotonically_increasing_id().alias("node"), "digest", "rep", "fp", "s.sig", "s.bands"), "simhash-points")  # written, so the numbers stay
     heads = cut(points.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "simhash-heads", "none")
     tied = points.join(heads.where("n > 1").select("fp", "head"), "fp").select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b")
     near = _anchor_links(heads).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    links = tied.unionByName(near).unionByName(_similar(points, docs, text_col, words, similarity))
-    return _classes(rows.select("doc_id", "uid", "fp", "node"), points.select("node", "rep"), links, "node")
+    similar, read = _similar(points, docs, text_col, words, similarity)
+    named = cut(points.select("digest", "node", "rep"), "simhash-nodes", "none")
+    out = _classes(rows.select("doc_id", "digest", "fp").join(named.select("digest", "node"), "digest"), named.select("node", "rep"), tied.unionByName(near).unionByName(similar), "node")
+    discard(points, heads, *read)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay, one of each class of similar_groups(): that with the smallest id, with its own columns.
 
-    Rows that are repeated with one id are one document: one of them stays. Rows with a null id all stay, as nothing tells them
-    apart. An empty table gives no rows.
+    Which rows stay is worked out on digests and ids, and the texts meet these once. Rows of one id and one text are one document: one
+    of them stays. Rows with a null id all stay, as nothing tells them apart. An empty table gives no rows.
     """
-    own = docs.columns
     keep = similar_groups(docs, text_col, id_col, words, similarity).where("doc_id = component_id")
-    ids = keep.groupBy(F.col("uid").alias("_sm_id")).agg(F.count("*").alias("_sm_rows"))
-    rows = docs.withColumn("_sm_own", _uid(id_col, text_col))
-    joined = rows.join(ids, F.col("_sm_own") == F.col("_sm_id"))
-    once = joined.where("_sm_rows = 1").select(*own)
-    again = joined.where("_sm_rows > 1").dropDuplicates(["_sm_id"]).select(*own)
-    nameless = docs.where(F.col(id_col).cast("long").isNull())
-    return once.unionByName(again).unionByName(nameless)
+    keep = keep.select(row_ident(F.col("digest"), F.col("doc_id")).alias("_sm_keep")).distinct()
+    own = F.col(id_col).cast("long")
+    rows = docs.withColumn("_sm_row", row_ident(_digest(text_col), own)).join(keep, F.col("_sm_row") == F.col("_sm_keep"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_sm_row").orderBy(F.lit(1)))
+    return rows.withColumn("_sm_nth", nth).where("_sm_nth = 1").select(*docs.columns).unionByName(docs.where(own.isNull()))

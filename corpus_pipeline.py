@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skelmap.llm import exact_dedup, mixing, quality, sentencepiece_codec, simhash
-from skelmap.llm.common import cut
+from skelmap.llm.common import cut, discard, recorded
 from skelmap.llm.queries import KEEP_ABOVE, MIX_WEIGHTS, model_file, quality_model
 
 
@@ -45,6 +45,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[DataFrame] = []
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with recorded() as made:
+            staged = stage(spark, docs, sf_dir)
+        docs = cut(staged, name.replace(" ", "-"))
+        discard(*made.values(), *before)  # nothing reads them now
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

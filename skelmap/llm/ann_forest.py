@@ -1,20 +1,24 @@
-"""Nearest neighbours by inner product with a hash-prefix forest (LSH forest)."""
+"""Nearest neighbours by inner product with a hash-prefix forest (LSH forest) that is dealt out by prefix."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES = 32
+from .common import cut, discard, partitions_of
+
+TREES = 12
 BITS = 32
-#: Rows of a forest, and queries that meet it in one task.
-FOREST_ROWS = 16_384
-QUERY_ROWS = 8_192
+#: Rows that share a prefix in the first round, at the mean; rows that one worker holds; bits that each round gives up.
+BUCKET_ROWS = 4096
+CHUNK_ROWS = 16_384
+STEP = 3
 #: Ascent ends when a neighbour as near as the k-th found is missed by all trees with at most this probability.
 MISS = 0.04
 SEED = 7
@@ -24,76 +28,60 @@ def _planes(dim: int, trees: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim, trees]).standard_normal((dim, trees * BITS)).astype(np.float32)
 
 
-def _labels(x: np.ndarray, trees: int) -> np.ndarray:
-    """Hash strings, trees x rows: BITS signs of random projections, the first in the highest bit."""
-    signs = (x.astype(np.float32) @ _planes(x.shape[1], trees) > 0).reshape(len(x), trees, BITS)
-    return np.ascontiguousarray(np.packbits(signs, axis=2).reshape(len(x), trees, 4).view(">u4")[:, :, 0].T.astype(np.uint32))
-
-
-class Forest:
-    """Sorted arrays of hash strings, one a tree, over rows lifted to one norm, so that inner product orders as the angle does."""
-
-    def __init__(self, vectors: np.ndarray, top_norm: float, trees: int = TREES):
-        self.x, self.trees, self.norm = vectors.astype(np.float64), trees, top_norm
-        self.near = vectors.astype(np.float32)  # for the first look at candidates
-        lift = np.sqrt(np.maximum(top_norm**2 - np.einsum("ij,ij->i", self.x, self.x), 0))
-        labels = _labels(np.concatenate([self.x, lift[:, None]], axis=1), trees)
-        self.order = np.argsort(labels, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(labels, self.order, axis=1).astype(np.uint64)
-
-    def _ranges(self, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """By length, tree and query: the range of rows that share the query's first `length` bits."""
-        low = np.zeros((BITS + 1, self.trees, labels.shape[1]), np.int32)
-        high = np.full_like(low, len(self.x))
-        for length in range(1, BITS + 1):
-            shift = np.uint64(BITS - length)
-            head = labels.astype(np.uint64) >> shift << shift
-            for t in range(self.trees):
-                low[length, t] = np.searchsorted(self.sorted[t], head[t])
-                high[length, t] = np.searchsorted(self.sorted[t], head[t] + (np.uint64(1) << shift))
-        return low, high
-
-    def search(self, queries: np.ndarray, k: int, enough: int, miss: float = MISS) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Places and exact scores of the k best rows found for each query, and of those that tie with the k-th.
-
-        Each query descends to its longest-prefix matches; then all trees ascend together, one bit at a time, until
-        `enough` rows are found and a row as near as the enough-th best would hardly be missed. At length 0 all rows are found.
+def labels(x: np.ndarray, lift: np.ndarray, trees: int = TREES) -> np.ndarray:
+    """Hash strings, rows x trees: BITS signs of random projections of (x, lift), the first in the highest bit."""
+    planes = _planes(x.shape[1] + 1, trees)
+    signs = (x.astype(np.float32) @ planes[:-1] + lift.astype(np.float32)[:, None] * planes[-1] > 0).reshape(len(x), trees, BITS)
+    return np.ascontiguousarray(np.packbits(signs, axis=2).reshape(len(x), trees, 4).view(">u4")[:, :, 0].astype(np.uint32))
+
+
+def _missed(cos: float, length: int, trees: int) -> float:
+    """Chance that a row at this angle shares no prefix of this length with the query in any tree."""
+    return (1 - (1 - math.acos(min(max(cos, -1), 1)) / math.pi) ** length) ** trees
+
+
+class Tree:
+    """The rows of one prefix of one tree, in the order of their hash strings."""
+
+    def __init__(self, ids: np.ndarray, strings: np.ndarray, x: np.ndarray, trees: int, shortest: int):
+        order = np.argsort(strings, kind="stable")
+        self.ids, self.strings, self.x = ids[order], strings[order].astype(np.uint64), x[order]
+        self.near = self.x.astype(np.float32)  # for the first look at candidates
+        self.trees, self.shortest = trees, shortest
+
+    def search(self, ids: np.ndarray, strings: np.ndarray, x: np.ndarray, scale: np.ndarray, k: int, miss: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query the length at which its ascent ended, and places and exact scores of the k best rows found.
+
+        A query descends to the longest prefix that it shares with k rows, and ascends bit by bit, to `shortest` at most, until a row as
+        near as its k-th best would hardly be missed by all trees, if they ascended as far.
         """
-        q = queries.astype(np.float64)
-        labels = _labels(np.concatenate([q, np.zeros((len(q), 1))], axis=1), self.trees)
-        low, high = self._ranges(labels)
-        size = np.sqrt(np.einsum("ij,ij->i", q, q)) * self.norm
-        need = min(enough, len(self.x))
-        longest = BITS - np.argmax(((high - low).sum(axis=1) >= need)[::-1], axis=0)
-        return [self._ascend(q[i], low[:, :, i], high[:, :, i], int(longest[i]), size[i], k, need, miss) for i in range(len(q))]
-
-    def _ascend(self, q: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, size: float, k: int, need: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
-        seen = np.zeros(len(self.x), bool)
-        found, rough = np.empty(0, np.int64), np.empty(0, np.float32)
-        q32 = q.astype(np.float32)
-        while True:
-            now = np.ones(len(seen), bool)
-            if length:
-                now[:] = False
-                for t in np.flatnonzero(high[length] > low[length]):
-                    now[self.order[t, low[length, t] : high[length, t]]] = True
-            new = np.flatnonzero(now & ~seen)
-            seen |= now
-            if len(new):
-                found = np.concatenate([found, new])
-                rough = np.concatenate([rough, self.near[new] @ q32])
-            if not length:
-                break
-            if len(found) >= need:
-                cos = min(max(float(np.partition(rough, len(rough) - need)[len(rough) - need]) / size, -1), 1)
-                if (1 - (1 - math.acos(cos) / math.pi) ** length) ** self.trees <= miss:
+        lengths = np.arange(self.shortest, BITS + 1, dtype=np.uint64)
+        shift = (BITS - lengths)[:, None]
+        head = strings.astype(np.uint64)[None, :] >> shift << shift
+        low = np.searchsorted(self.strings, head)
+        high = np.searchsorted(self.strings, head + (np.uint64(1) << shift))
+        for i in range(len(ids)):
+            q, q32 = x[i].astype(np.float64), x[i].astype(np.float32)
+            size = high[:, i] - low[:, i]
+            at = int(np.flatnonzero(size > k)[-1]) if size[0] > k else 0
+            a, b = int(low[at, i]), int(high[at, i])
+            rough = self.near[a:b] @ q32
+            while at:
+                # one row more than k, as the query's own is among them
+                if _missed(float(np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]) / scale[i], self.shortest + at, self.trees) <= miss:
                     break
-            length -= 1
-        # the first look rounds; what comes near the k-th score is scored again in double precision
-        if len(found) > k:
-            edge = np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-4 * size
-            found = found[rough >= edge]
-        return found, (self.x[found] * q).sum(axis=1)
+                at -= 1
+                c, d = int(low[at, i]), int(high[at, i])
+                rough = np.concatenate([self.near[c:a] @ q32, rough, self.near[b:d] @ q32])
+                a, b = c, d
+            found = np.arange(a, b)
+            if len(found) > k + 1:  # the first look rounds; what comes near the k-th score is scored again in double precision
+                edge = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] - 1e-4 * scale[i]
+                found = found[rough >= edge]
+            own = found[self.ids[found] == ids[i]]
+            found = np.setdiff1d(found, own[(self.x[own] == x[i]).all(axis=1)], assume_unique=True)
+            score = (self.x[found].astype(np.float64) * q).sum(axis=1)
+            yield self.shortest + at, found, score
 
 
 def _checked(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
@@ -116,49 +104,136 @@ def _checked(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFram
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, "id long, v binary, norm double, size int"), kind
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, miss: float = MISS, forest_rows: int = FOREST_ROWS) -> DataFrame:
+def _labelled(rows: DataFrame, kind: str, trees: int, lifted: bool) -> DataFrame:
+    """Rows (id, v, norm, size, top) with their hash strings: id, v, size, top, strings. Rows, not queries, are lifted to the norm top."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column(3).to_numpy()
+            norm, top = b.column(2).to_numpy(), b.column(4).to_numpy()
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                part = b.take(pa.array(at))
+                x = np.frombuffer(b"".join(part.column(1).to_pylist()), kind).reshape(len(at), -1)
+                lift = np.sqrt(np.maximum(top[at] ** 2 - norm[at] ** 2, 0)) if lifted else np.zeros(len(at))
+                strings = labels(x, lift, trees).view(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), part.column(4), pa.array(list(strings), pa.list_(pa.int32()))], names=["id", "v", "size", "top", "strings"])
+
+    return rows.select("id", "v", "norm", "size", "top").mapInArrow(run, "id long, v binary, size int, top double, strings array<int>")
+
+
+HITS = "query_id long, query_key binary, scale double, tree int, length int, vec_id long, vec_key binary, score double"
+
+
+def _round(rows: DataFrame, asks: DataFrame, kind: str, trees: int, shortest: int, k: int, miss: float, chunk_rows: int, first: bool) -> DataFrame:
+    """HITS' columns: what each query finds in each tree among the rows that share its first `shortest` bits.
+
+    Rows and queries go to (tree, prefix), once a tree; with no bit to share, to one tree. A prefix of over chunk_rows rows is split
+    by a hash of the ids into chunks, each of which all its queries visit. A worker holds one chunk, and queries pass by it.
+    """
+
+    def planted(df: DataFrame) -> DataFrame:
+        some = F.slice("strings", 1, 1) if not shortest else F.col("strings")
+        each = df.select(*[c for c in df.columns if c != "strings"], F.posexplode(some).alias("tree", "string"))
+        prefix = F.call_function("shiftrightunsigned", F.col("string"), F.lit(BITS - shortest)) if shortest else F.lit(0)
+        return each.withColumn("prefix", prefix)
+
+    where = ["size", "tree", "prefix"]
+    rows, asks = planted(rows), planted(asks)
+    if not first and shortest:  # later rounds ask for few prefixes
+        rows = rows.join(asks.select(*where).distinct(), where, "left_semi")
+    hot = rows.groupBy(*where).agg(F.count("*").alias("n")).where(F.col("n") > chunk_rows).select(*where, F.expr(f"cast(ceil(n / {chunk_rows}) as int)").alias("chunks"))
+    chunks = F.coalesce("chunks", F.lit(1))
+    data = rows.join(hot, where, "left").withColumns({"chunk": F.pmod(F.xxhash64("id"), chunks).cast("int"), "q": F.lit(False), "query_key": F.lit(None).cast("binary")})
+    meet = asks.join(hot, where, "left").withColumns({"chunk": F.explode(F.sequence(F.lit(0), chunks - 1)), "q": F.lit(True), "query_key": F.unhex(F.md5("v"))})
+    cols = ["size", "tree", "prefix", "chunk", "q", "id", "string", "v", "top", "query_key"]
+    both = data.select(*cols).unionByName(meet.select(*cols)).repartition(partitions_of(rows), "size", "tree", "prefix", "chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, tree = None, [], None
+        for b in batches:
+            keys = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)
+            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for i, j in zip([0, *edge], [*edge, len(keys)]):
+                if i == j:
+                    continue
+                if now != tuple(keys[i, :4]):
+                    now, held, tree = tuple(keys[i, :4]), [], None
+                part = b.slice(i, j - i)
+                ids = part.column(5).to_numpy()
+                strings = part.column(6).to_numpy().view(np.uint32)
+                x = np.frombuffer(b"".join(part.column(7).to_pylist()), kind).reshape(len(ids), -1)
+                if not keys[i, 4]:
+                    held.append((ids, strings, x))
+                    continue
+                if tree is None:  # a query may come to a prefix that no row has
+                    held = held or [(ids[:0], strings[:0], x[:0])]
+                    tree = Tree(*(np.concatenate(c) for c in zip(*held)), trees if shortest else 1, shortest)
+                scale = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)) * part.column(8).to_numpy()
+                query_keys = part.column(9).to_pylist()
+                out: list[list] = [[] for _ in range(8)]
+                for q, (length, found, score) in enumerate(tree.search(ids, strings, x, scale, k, miss)):
+                    best = np.lexsort((tree.ids[found], -score))[:k] if len(found) else None
+                    vec_ids = tree.ids[found[best]].tolist() if best is not None else [None]
+                    vec_keys = [hashlib.md5(tree.x[p].tobytes()).digest() for p in found[best]] if best is not None else [None]
+                    scores = score[best].tolist() if best is not None else [None]
+                    n = len(vec_ids)
+                    for c, v in zip(out, ([ids[q]] * n, [query_keys[q]] * n, [scale[q]] * n, [now[1]] * n, [length] * n, vec_ids, vec_keys, scores)):
+                        c.extend(v)
+                kinds = [pa.int64(), pa.binary(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["query_id", "query_key", "scale", "tree", "length", "vec_id", "vec_key", "score"])
+
+    return both.sortWithinPartitions("size", "tree", "prefix", "chunk", "q").mapInArrow(run, HITS)
+
+
+QUERY = ["query_id", "query_key"]
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    """The k best of each query among all hits, each row once."""
+    each = hits.where("vec_id IS NOT NULL").groupBy(*QUERY, "vec_id", "vec_key").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy(*QUERY).orderBy(F.col("score").desc(), "vec_id", "vec_key"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _settled(hits: DataFrame, best: DataFrame, k: int, miss: float) -> DataFrame:
+    """Queries of which a row as near as the k-th best would be missed by all trees, each at its own length, with a chance of `miss` or less."""
+    kth = best.where(F.col("rank") == k).select(*QUERY, F.col("score").alias("kth"))
+    ended = hits.groupBy(*QUERY, "tree").agg(F.max("length").alias("length"), F.max("scale").alias("scale"))
+    cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("kth") / F.col("scale")))
+    shares = F.pow(1 - F.acos(cos) / math.pi, F.col("length"))
+    odds = F.log(F.greatest(1 - shares, F.lit(1e-300)))
+    return ended.join(kth, QUERY).groupBy(*QUERY).agg(F.sum(odds).alias("odds")).where(F.col("odds") <= math.log(miss)).select(*QUERY)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, miss: float = MISS, bucket_rows: int = BUCKET_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The k nearest rows by inner product of each row for which the condition is_query (on column id) holds.
 
     Columns: query_id, rank (from 1), vec_id, score (inner product in double precision). Candidates are all rows but the
-    query's own; ties go to the smaller vec_id. Rows are dealt by a hash of their id into forests of about forest_rows, and each
-    query searches every forest. Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
-    rows with a null id; vectors of different lengths don't meet. A repeated row is one row. With fewer than k candidates all
-    are returned. An empty table gives no rows. Other columns are not read.
+    query's own; ties go to the smaller vec_id. Rows of one id and one vector are one row; those of one id and several vectors are rows of their own,
+    as candidates and as queries (each then has ranks from 1). In rounds, rows and the queries that aren't settled meet by tree and prefix: first
+    at prefixes that bucket_rows rows share at the mean, then at ones of STEP bits less, and if need be at none, where all rows are seen.
+    Each round sends a row once a tree, however many queries there are. Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
+    rows with a null id; vectors of different lengths don't meet. With fewer than k candidates all are returned. An empty table gives
+    no rows. Other columns are not read.
     """
     rows, kind = _checked(vectors, id_col, vector_col)
-    stats = rows.groupBy("size").agg(F.count("*").alias("n"), F.max("norm").alias("top"))
+    stats = cut(rows.groupBy("size").agg(F.count("*").alias("n"), F.max("norm").alias("top")), "ann-stats")
     total = stats.agg(F.max("n")).first()[0] or 1
-    forests, shares = max(1, math.ceil(total / forest_rows)), max(1, math.ceil(total / 20 / QUERY_ROWS))
-    enough = math.ceil(k / forests) + 2 if forests > 1 else k + 1
-    rows = rows.join(F.broadcast(stats.select(F.col("size").alias("s"), "top")), F.col("size") == F.col("s")).select("id", "v", "size", "top")
-    deal = lambda c, n, seed: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(n)).cast("int")
-    data = rows.select("*", F.lit(False).alias("q"), deal(F.col("id"), forests, 1).alias("forest"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
-    asks = rows.where(is_query).select("*", F.lit(True).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(forests - 1))).alias("forest"), deal(F.col("id"), shares, 2).alias("share"))
-
-    def run(table: pa.Table) -> pa.Table:
-        q = table.column("q").to_numpy(zero_copy_only=False)
-        ids = table.column("id").to_numpy()
-        x = np.frombuffer(b"".join(table.column("v").to_pylist()), kind).reshape(len(ids), -1)
-
-        def once(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            i, at = np.unique(ids[where], return_index=True)
-            return i, x[where][at]
-
-        (d_ids, d_x), (q_ids, q_x) = once(~q), once(q)
-        out: list[list[np.ndarray]] = [[], [], []]
-        if len(d_ids) and len(q_ids):
-            forest = Forest(d_x, float(table.column("top")[0].as_py()), trees)
-            for at in range(0, len(q_ids), 512):
-                for qid, (found, score) in zip(q_ids[at : at + 512], forest.search(q_x[at : at + 512], k + 1, enough, miss)):
-                    cand = d_ids[found]
-                    cand, score = cand[cand != qid], score[cand != qid]
-                    best = np.lexsort((cand, -score))[:k]
-                    for c, v in zip(out, (np.full(len(best), qid), cand[best], score[best])):
-                        c.append(v)
-        cols = [np.concatenate(c) if c else np.empty(0) for c in out]
-        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
-
-    hits = data.unionByName(asks.select(data.columns)).groupBy("size", "forest", "share").applyInArrow(run, "query_id long, vec_id long, score double")
-    # a query's hits are at most k a forest
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = rows.join(stats.select("size", "top"), "size")  # a row for each length of vectors
+    data, asks = _labelled(rows, kind, trees, True), _labelled(rows.where(is_query), kind, trees, False)
+    shortest = min(BITS, max(0, int(math.log2(total / bucket_rows)))) if total > bucket_rows else 0
+    hits, first = None, True
+    while True:
+        found = cut(_round(data, asks, kind, trees, shortest, k, miss, chunk_rows, first), "ann-hits")
+        hits = found if hits is None else hits.unionByName(found)
+        best = _best(hits, k)
+        if not shortest:
+            break
+        open_ = asks.withColumns({"query_id": F.col("id"), "query_key": F.unhex(F.md5("v"))}).join(_settled(found, best, k, miss), QUERY, "left_anti")
+        asks = cut(open_.select("id", "v", "size", "top", "strings"), "ann-open")
+        if asks.isEmpty():
+            discard(asks)
+            break
+        shortest, first = max(0, shortest - STEP), False
+    return best.select("query_id", "rank", "vec_id", "score")

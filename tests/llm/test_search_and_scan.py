@@ -36,34 +36,57 @@ def recall(got, want):
 
 @pytest.mark.parametrize("spread", [0.05, 1.0])
 def test_recall(spark, spread):
-    """Clusters and noise, unequal norms, several forests."""
+    """Clusters and noise, unequal norms, several rounds and chunks."""
     rng = np.random.default_rng(7)
     centres = rng.standard_normal((30, 24))
     x = (centres[rng.integers(0, 30, 2500)] + spread * rng.standard_normal((2500, 24))) * rng.uniform(0.7, 1.3, (2500, 1))
     table = [(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))]
-    got, want = found(ann_forest.nearest(vectors(spark, table), F.col("id") % 20 == 0, forest_rows=700)), brute_nearest(table)
+    got, want = found(ann_forest.nearest(vectors(spark, table), F.col("id") % 20 == 0, bucket_rows=150, chunk_rows=100)), brute_nearest(table)
     assert set(got) == set(want) and recall(got, want) >= 0.9
     exact = {(q, i): s for q, hits in want.items() for i, s in hits}
     assert all(exact[q, i] == pytest.approx(s, rel=1e-12, abs=1e-12) for q, hits in got.items() for i, s in hits if (q, i) in exact)
 
 
-def test_a_forest_ascends_only_as_far_as_it_must():
+def test_recall_on_the_test_table(spark):
+    """Random vectors, by prefixes of several bits."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    table = [(r.vec_id, r.embedding) for r in df.collect()]
+    for options in ({}, {"bucket_rows": 100}):
+        got, want = found(ann_forest.nearest(df.repartition(5), F.col("id") % 20 == 0, **options)), brute_nearest(table)
+        assert set(got) == set(want) and recall(got, want) >= 0.9
+
+
+def test_a_query_ascends_only_as_far_as_it_must():
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((200, 32))
     x = (centres[np.arange(8000) % 200] + 0.05 * rng.standard_normal((8000, 32))).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    forest = ann_forest.Forest(x, 1.0)
-    sizes = []
-    whole = forest._ascend
-
-    def spy(*a):
-        out = whole(*a)
-        sizes.append(len(out[0]))
-        return out
-
-    forest._ascend = spy
-    forest.search(x[:50], 20, 20)
-    assert max(sizes) < 1000
+    strings = ann_forest.labels(x, np.zeros(len(x)))[:, 0]
+    tree = ann_forest.Tree(np.arange(len(x)), strings, x, ann_forest.TREES, 0)
+    lengths = [length for length, _, _ in tree.search(np.arange(50), strings[:50], x[:50], np.ones(50), 20, ann_forest.MISS)]
+    assert min(lengths) >= 3
+
+
+def test_rows_of_one_id_and_several_vectors(spark):
+    """They are candidates of their own, also for one another."""
+    df = vectors(spark, [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (3, [2.0, 1.0]), (3, [1.0, 3.0])])
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann_forest.nearest(df, F.col("id") % 20 == 0).collect())
+    first, second = [(3, 2.0), (3, 1.0), (20, 0.0)], [(3, 3.0), (3, 1.0), (20, 0.0)]
+    assert got == sorted((20, n, i, s) for hits in (first, second) for n, (i, s) in enumerate(hits, 1))
+
+
+def test_rows_are_sent_once_a_tree(spark):
+    """However many queries there are."""
+    rng = np.random.default_rng(5)
+    df = vectors(spark, [(i, [float(v) for v in r]) for i, r in enumerate(rng.standard_normal((900, 8)))])
+    rows, kind = ann_forest._checked(df, "vec_id", "embedding")
+    rows = ann_forest._labelled(rows.withColumn("top", F.lit(9.0)), kind, 4, True)
+    sent = {}
+    for asks in (rows, rows.where("id % 20 = 0")):
+        sql = ann_forest._round(rows, asks, kind, 4, 3, 5, 0.1, 10_000, True)
+        assert sql.select("query_id", "tree").distinct().count() == 4 * asks.count()
+        sent[asks.count()] = sql._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode")
+    assert len(set(sent.values())) == 1
 
 
 def test_nearest_awkward(spark):
@@ -78,7 +101,7 @@ def test_nearest_awkward(spark):
 
 def test_many_equal_vectors(spark):
     table = [(i, [1.0, 2.0, 0.5]) for i in range(300)] + [(1000 + i, [float(i % 7), 1.0, 0.0]) for i in range(100)]
-    got, want = found(ann_forest.nearest(vectors(spark, table), F.col("id") % 20 == 0, forest_rows=90)), brute_nearest(table)
+    got, want = found(ann_forest.nearest(vectors(spark, table), F.col("id") % 20 == 0, bucket_rows=50, chunk_rows=60)), brute_nearest(table)
     for q in want:
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]]) and (q >= 300 or [i for i, _ in got[q]] == [i for i, _ in want[q]])
 

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,21 +94,30 @@ def tables_dir(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
-def lowest_hashed(pool: DataFrame, by: str, n: int, max_groups: int) -> DataFrame:
-    """At most n rows of each group of pool: those with the least h, a hash of 64 bits that pool has.
+def lowest_hashed(pool: DataFrame, by: str, n: int, total: int) -> DataFrame:
+    """At most n rows of each group of pool, and total rows in all: those with the least h, a hash of 64 bits that pool has.
 
-    Groups are counted first; then a bound on h lets through about twice what is wanted, whatever the size of the group, so
-    the ranking that follows handles few rows. A sample that comes out short of n by chance is left so.
+    Groups share the total alike; where there are more groups than that, those with most rows have one each. Groups are counted first; then a bound on h
+    lets through about twice what is wanted, whatever the size of the group, so the ranking that follows handles few rows. A
+    sample that comes out short of n by chance is left so.
     """
-    counts = pool.groupBy(by).agg(F.count("*").alias("n")).limit(max_groups + 1).collect()
-    if len(counts) > max_groups:
-        raise ValueError(f"more than {max_groups} values of {by}")
-    bound = F.lit(None).cast("long")
-    for r in counts:
-        share = min(1.0, (2 * n + 200) / r.n)
-        bound = F.when(F.col(by) == r[by], F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1))).otherwise(bound)
+    counts = pool.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), by).limit(total).collect()
+    n = max(1, min(n, total // max(1, len(counts))))
+    bounds = [(r[by], min(int(min(1.0, (2 * n + 200) / r.n) * 2**64) - 2**63, 2**63 - 1)) for r in counts]
+    kind = dict(pool.dtypes)[by]
+    table = F.broadcast(pool.sparkSession.createDataFrame(bounds, f"_by {kind}, _bound long"))  # total rows at most
     nth = F.row_number().over(Window.partitionBy(by).orderBy("h", *[c for c in pool.columns if c not in (by, "h")]))
-    return pool.where(F.col("h") <= bound).withColumn("nth", nth).where(F.col("nth") <= n)
+    few = pool.join(table, (F.col(by) == F.col("_by")) & (F.col("h") <= F.col("_bound"))).select(*pool.columns)
+    return few.withColumn("nth", nth).where(F.col("nth") <= n)
+
+
+def least(codes: np.ndarray, n: int) -> np.ndarray:
+    """The n of these distinct codes whose hashes are least, in the order of the codes."""
+    if len(codes) <= n:
+        return codes
+    h = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    return codes[np.sort(np.argpartition(h * np.uint64(0xBF58476D1CE4E5B9), n)[:n])]
 
 
 def row_ident(digest: Column, own: Column) -> Column:

@@ -11,16 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest_hashed
+from .common import least, lowest_hashed
 
-#: Bounds of the fitting sample: labelled rows, and among them landmarks, of each language.
-SAMPLE_PER_LANGUAGE = 300
-LANDMARKS_PER_LANGUAGE = 24
-MAX_LANGUAGES = 200
+#: Bounds of the fitting sample: labelled rows, and among them landmarks, of each language and in all. Languages share the latter alike.
+SAMPLE_PER_LANGUAGE, SAMPLE = 300, 12_000
+LANDMARKS_PER_LANGUAGE, LANDMARKS = 24, 960
+#: Bound of the grams of a labelled row that the fit reads: of a row with more, those whose hashes are least. Prediction reads all.
+GRAMS_PER_ROW = 8192
 RIDGE = 0.05
 #: A gram is 1 to 3 bytes of the lower-cased UTF-8 text; its code has the bytes and, above them, its length.
 SPECTRUM = 1 << 24
-LETTER = re.compile(r"[^\W\d_]")
+LATIN = re.compile("[A-Za-z]")
 CHUNK = 1 << 21
 BATCH = 128
 
@@ -46,7 +47,8 @@ def grams(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and LETTER.search(text) is not None
+    """Is there a character of a letter category? Digits, fractions and numerals aren't letters."""
+    return bool(text) and (LATIN.search(text) is not None or any(map(str.isalpha, text)))
 
 
 @dataclass
@@ -76,10 +78,11 @@ def fit(gram_sets: list[np.ndarray], langs: list[str], landmarks_per_language: i
     if not names:
         return None
     count: dict[str, int] = {}
+    landmarks_per_language = max(1, min(landmarks_per_language, LANDMARKS // len(names)))
     marks = []
     for i, x in enumerate(langs):
         count[x] = count.get(x, 0) + 1
-        if count[x] <= landmarks_per_language:
+        if count[x] <= landmarks_per_language and len(marks) < LANDMARKS:
             marks.append(i)
     vocabulary = np.unique(np.concatenate([gram_sets[i] for i in marks]))
     table = np.zeros((len(vocabulary), len(marks)), np.float32)
@@ -92,8 +95,8 @@ def fit(gram_sets: list[np.ndarray], langs: list[str], landmarks_per_language: i
     root = vectors[:, keep] / np.sqrt(values[keep])  # K_mm^(-1/2) on its range
     phi = k_nm @ root
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    share = np.array([langs.count(x) for x in names])
-    weight = np.array([1 / share[names.index(x)] for x in langs])
+    _, place, share = np.unique(np.array(langs), return_inverse=True, return_counts=True)
+    weight = 1 / share[place]
     weight *= len(langs) / weight.sum()
     mean, mean_y = np.average(phi, axis=0, weights=weight), np.average(y, axis=0, weights=weight)
     centred = (phi - mean) * weight[:, None]
@@ -109,21 +112,22 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> KernelModel | None:
     """Fit on at most per_language rows of each language, those whose ids hash lowest, outside the held-out fifth.
 
-    The sample, at most MAX_LANGUAGES * per_language rows, is the only thing that the driver holds.
+    The sample, at most SAMPLE rows of GRAMS_PER_ROW grams of four bytes, is the only thing that the driver holds, however many languages there
+    are and however long the texts are. Where there are more languages than SAMPLE, those with most rows are learned.
     """
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t"), F.col(lang_col).alias("_l"))
     pool = own.where("_id IS NOT NULL AND _l IS NOT NULL").where(~held_out("_id")).select("_id", "_l", F.xxhash64("_id").alias("h"))
-    sample = lowest_hashed(pool, "_l", per_language, MAX_LANGUAGES)
+    sample = lowest_hashed(pool, "_l", per_language, SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [has_letter(t) for t in b.column(2).to_pylist()]  # others teach nothing
             b = b.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([grams(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["nth", "lang", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([least(grams(t), GRAMS_PER_ROW).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["nth", "lang", "x"])
 
     wanted = F.broadcast(sample.select("nth", "_l", F.col("_id").alias("_w")))
     rows = own.select("_id", "_t").join(wanted, F.col("_id") == F.col("_w")).select("nth", "_l", "_t")
-    found = sorted(rows.mapInArrow(run, "nth int, lang string, x binary").collect())
+    found = rows.mapInArrow(run, "nth int, lang string, x binary").orderBy("nth", "lang", "x").limit(SAMPLE).collect()  # ids may be repeated
     return fit([np.frombuffer(r.x, np.uint32) for r in found], [r.lang for r in found])
 
 

@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest_hashed
+from .common import least, lowest_hashed
 
 BITS = 18
 #: Bound of the fitting sample: labelled rows of each grade.
 SAMPLE_PER_GRADE = 3000
-#: Bound of the features that the driver holds while fitting.
-MAX_NONZEROS = 8_000_000
+#: Bound of the features of a labelled row that the fit reads: of a row with more, those whose hashes are least. Scoring reads all.
+FEATURES_PER_ROW = 2048
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CHUNK = 1 << 20
 
@@ -120,27 +120,24 @@ def held_out(id_col: str = "doc_id", parts: int = 5):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == 0, F.lit(False))
 
 
-def train(docs: DataFrame, graded: DataFrame, n_grades: int = 3, per_grade: int = SAMPLE_PER_GRADE) -> OrdinalModel:
+def train(docs: DataFrame, graded: DataFrame, n_grades: int = 3, per_grade: int = SAMPLE_PER_GRADE, features_per_row: int = FEATURES_PER_ROW, text_col: str = "text", id_col: str = "doc_id") -> OrdinalModel:
     """Fit on at most per_grade rows of each grade, those whose ids hash lowest, outside the held-out fifth.
 
-    graded: doc_id, grade (0 to n_grades - 1). The sample is the only thing that the driver holds: its ids are broadcast, at
-    most n_grades * per_grade of them, and its features are gathered up to MAX_NONZEROS.
+    graded: doc_id, grade (0 to n_grades - 1). The sample is the only thing that the driver holds: its ids, at most
+    n_grades * per_grade of them, are broadcast, and features_per_row features of four bytes of each are gathered, however long the texts are.
+    With a document's text repeated under its id, each of these rows is read, up to the sample's bound.
     """
     pool = graded.where(~held_out()).where("doc_id IS NOT NULL AND grade IS NOT NULL").select("doc_id", "grade", F.xxhash64("doc_id").alias("h"))
-    sample = lowest_hashed(pool, "grade", per_grade, n_grades)
+    sample = lowest_hashed(pool, "grade", per_grade, n_grades * per_grade)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], names=["h", "grade", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([least(features(t.as_py()), features_per_row).tobytes() for t in b.column(2)], pa.binary())], names=["h", "grade", "x"])
 
     wanted = F.broadcast(sample.select(F.col("doc_id").alias("_id"), "grade", "h"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").alias("_text")).join(wanted, F.col("_doc") == F.col("_id")).select("h", "grade", "_text")
-    found, held = [], 0
-    for r in sorted(rows.mapInArrow(run, "h long, grade int, x binary").collect()):
-        held += len(r.x) // 4
-        if held > MAX_NONZEROS:
-            break
-        found.append(r)
+    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text")).join(wanted, F.col("_doc") == F.col("_id")).select("h", "grade", "_text")
+    read = rows.mapInArrow(run, "h long, grade int, x binary").orderBy("h", "grade", "x").limit(n_grades * per_grade)  # ids may be repeated
+    found = read.collect()
     return fit([np.frombuffer(r.x, np.int32) for r in found], np.array([r.grade for r in found], np.int64), n_grades)
 
 

@@ -55,6 +55,96 @@ def test_every_block_gets_one_slot():
         assert sorted(used) == list(range(sum(blocks.values())))
 
 
+def brute_slots(blocks, weights):
+    """The schedule slot by slot, with every source looked at for every slot and fractions for times."""
+    left, done, t0, out = dict(blocks), Counter(), 0, []
+    left = {s: n for s, n in left.items() if n}
+    while left:
+        g = __import__("math").gcd(*(weights[s] for s in left))
+        w = {s: weights[s] // g for s in left}
+        times = min(n // w[s] for s, n in left.items())
+        if not times:
+            w, times = {s: min(w[s], n) for s, n in left.items()}, 1
+        total = sum(w.values())
+        k = Counter()
+        for t in range(times * total):
+            due = []
+            for s in w:
+                release, deadline, later = (Fraction((k[s] + j) * total, w[s]) for j in (0, 1, 2))
+                if k[s] < times * w[s] and int(release) <= t:
+                    # beyond the hyperperiod's end the next deadline doesn't matter: all blocks before it are done by then
+                    due.append((-(-deadline.numerator // deadline.denominator), -(-later.numerator // later.denominator), s))
+            s = min(due)[2]
+            out.append((s, done[s] + k[s], t0 + t))
+            k[s] += 1
+        done += k
+        t0 += times * total
+        left = {s: n - k[s] for s, n in left.items() if n > k[s]}
+    return out
+
+
+def test_schedules_against_brute_force():
+    """By patterns and slot by slot."""
+    rng = random.Random(6)
+    for _ in range(60):
+        blocks = {f"s{i}": rng.randrange(0, 40) for i in range(rng.randrange(1, 6))}
+        weights = {s: rng.randrange(1, 7) for s in blocks}
+        want = sorted(brute_slots(blocks, weights))
+        assert sorted((s, b, t) for s, b, _, t, _, _ in mixing.slots(blocks, weights)) == want
+        got = []
+        for r in mixing.schedule(blocks, weights):
+            for p in r["phases"]:
+                got += [(r["source"], b, p["start"] + (b - p["b0"]) // p["w"] * p["d"] + p["places"][(b - p["b0"]) % p["w"]]) for b in range(p["b0"], p["b1"])]
+        assert sorted(got) == want
+        assert all(release <= t < deadline for *_, t, release, deadline in mixing.slots(blocks, weights))
+
+
+def xxh_long(i, seed):
+    import xxhash
+
+    return seed if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), seed)
+
+
+def test_mixture_against_brute_force(spark, sf):
+    """op9's rows on the test table: rows in the order of their hashes, blocks by the slot-by-slot schedule."""
+    from skelmap.llm import queries
+
+    docs = [(r.doc_id, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").collect()]
+    sources = {}
+    for i, s in docs:
+        h = xxh_long(i, 42)
+        h = h - (1 << 64) if h >> 63 else h
+        sources.setdefault(s or "(null)", []).append((h, i, s))
+    blocks = {s: -(-len(rows) // 8) for s, rows in sources.items()}
+    at = {(s, b): t for s, b, t in brute_slots(blocks, {s: queries.MIX_WEIGHTS.get(s, 1) for s in blocks})}
+    want = sorted((i, s, n // 8, at[key, n // 8], n % 8) for key, rows in sources.items() for n, (_, i, s) in enumerate(sorted(rows)))
+    got = sorted((r.doc_id, r.source, r.mix_block, r.mix_slot, r.mix_at) for r in queries.op9_mixing(spark, sf).collect())
+    assert got == want
+
+
+def test_sources_beyond_the_bounds(spark, monkeypatch):
+    """The same mixture, from a table instead of a broadcast."""
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, f"t{i}", None, f"s{rng.randrange(40) % rng.randrange(1, 40)}", i) for i in range(900)], DOCS)
+    want = sorted(map(repr, mixing.mix(df, {"s0": 3}, block_docs=4).collect()))
+    for name, n in (("MAX_SOURCES", 5), ("MAX_SLOTS", 30)):
+        with monkeypatch.context() as m:
+            m.setattr(mixing, name, n)
+            m.setattr(mixing, "WRITE_SLOTS", 100)
+            assert sorted(map(repr, mixing.mix(df, {"s0": 3}, block_docs=4).collect())) == want
+
+
+def test_rows_without_ids_are_spread(spark):
+    """Null and equal ids: rows are told apart by their other columns, and dealt over the hash buckets."""
+    df = spark.createDataFrame([(None if i % 2 else 7, f"t{i}", None, "a", i) for i in range(400)], DOCS)
+    old, mixing.BUCKET_ROWS = mixing.BUCKET_ROWS, 40
+    try:
+        first, second = (sorted(map(repr, mixing.mix(d, block_docs=3).collect())) for d in (df, df.repartition(5, "n_chars")))
+    finally:
+        mixing.BUCKET_ROWS = old
+    assert first == second and len(first) == 400
+
+
 def table(n=700):
     rng = random.Random(3)
     return [(i, f"t{i}", None, rng.choice(["big"] * 6 + ["mid", "mid", "small", None]), i) for i in range(n)]

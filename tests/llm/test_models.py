@@ -77,6 +77,54 @@ def test_kernel_is_the_normalised_count_of_shared_grams():
     assert np.allclose(model.scores(sets), want, atol=1e-6)
 
 
+def test_predictions_against_brute_force(spark, sf):
+    """The whole query on the test tables, with sets of grams and one row at a time."""
+    from skelmap.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train(docs)
+    code = {int(c): i for i, c in enumerate(model.vocabulary)}
+
+    def brute(text):
+        b = " ".join(text.lower().split()).encode()
+        mine = {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+        at = [code[c] for g in mine if (c := int.from_bytes(g, "little") | len(g) << 24) in code]
+        kernel = model.landmarks[at].astype(np.float64).sum(axis=0) / np.sqrt(max(len(mine), 1))
+        s = kernel @ model.out + model.bias
+        e = np.exp(4 * (s - s.max()))
+        return model.langs[int(s.argmax())], float(e.max() / e.sum())
+
+    got = {r.doc_id: r for r in queries.op2_language_id(spark, sf).collect()}
+    table = docs.collect()
+    assert len(got) == len(table)
+    for r in table:
+        if any(c.isalpha() for c in r.text or ""):
+            lang, score = brute(r.text)
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].held_out) == (lang, crc(r.doc_id)) and abs(got[r.doc_id].score - score) < 1e-4
+        else:
+            assert got[r.doc_id].lang_pred == "und"
+
+
+def test_numerals_are_no_letters():
+    for t in ("½", "²", "Ⅷ", "①", "12_3", "", None):
+        assert not language_id.has_letter(t)
+    for t in ("é", "ß", "語", "ª", "1a"):
+        assert language_id.has_letter(t)
+
+
+def test_more_languages_than_the_sample_holds(spark, monkeypatch):
+    """They share the sample, and beyond it those with most rows are learned."""
+    rng = random.Random(3)
+    table = [(i, f"{chr(97 + i % 26) * 3} {chr(97 + i % 26)}{rng.randrange(99)}", f"l{i % 26}", "s", 0) for i in range(2000)] + [(5000, "zz", "rare", "s", 0)]
+    df = spark.createDataFrame(table, DOCS)
+    monkeypatch.setattr(language_id, "SAMPLE", 52)
+    monkeypatch.setattr(language_id, "LANDMARKS", 26)
+    model = language_id.train(df)
+    assert set(model.langs) - {"rare"} == {f"l{i}" for i in range(26)} and model.landmarks.shape[1] <= 27
+    monkeypatch.setattr(language_id, "SAMPLE", 10)
+    assert len(language_id.train(df).langs) == 10
+
+
 def test_grams_of_long_texts_in_pieces():
     t = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(3000))
     whole, language_id.CHUNK = language_id.CHUNK, 1000
@@ -152,6 +200,68 @@ def test_quality_awkward(spark):
     assert quality.keep_good(df.limit(0), model).count() == 0
 
 
+def test_grades_against_brute_force(spark, sf):
+    """The whole query on the test tables: tokens from the whole text at once, weights added one by one."""
+    import re
+
+    from skelmap.llm import queries
+
+    model = queries.quality_model(spark, sf)
+
+    def brute(text):
+        part = re.findall(r"\w+|[^\w\s]+", (text or "").lower())
+        kinds = set(part)
+        if part:
+            kinds.add(f"\x01upper{min(9, 20 * len(re.findall('[A-ZÀ-ÖØ-Þ]', text)) // len(text))}")
+            kinds.add(f"\x01repeat{min(9, 20 * sum(a == b for a, b in zip(part, part[1:])) // len(part))}")
+            kinds.add(f"\x01kinds{10 * len(kinds) // (len(part) + 3) if len(part) > 30 else 'x'}")
+        f = sum(float(model.weights[zlib.crc32(t.encode()) % (1 << 18)]) for t in sorted(kinds))
+        tail = [1 / (1 + np.exp(theta - f)) for theta in model.thresholds]
+        share = [1 - tail[0], tail[0] - tail[1], tail[1]]
+        return sum(tail), tail, int(np.argmax(share)), tail[1] > queries.KEEP_ABOVE
+
+    got = {r.doc_id: r for r in queries.op6_quality(spark, sf).collect()}
+    table = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(table)
+    for r in table:
+        expected, tail, grade, kept = brute(r.text)
+        g = got[r.doc_id]
+        assert abs(g.expected_grade - expected) < 1e-9 and abs(g.p_ge_1 - tail[0]) < 1e-9 and abs(g.p_ge_2 - tail[1]) < 1e-9
+        assert (g.grade, g.kept) == (grade, kept)
+
+
+def test_fit_reaches_the_least_loss():
+    """No small step in any direction lowers the penalised loss by much, and the weights are those of a plain descent."""
+    rng = np.random.default_rng(1)
+    x = [np.unique(rng.integers(0, 12, 5)).astype(np.int32) for _ in range(600)]
+    y = np.array([int(np.clip((0 in r) + (1 in r) + rng.integers(0, 2) - (2 in r), 0, 2)) for r in x])
+    share = np.bincount(y, minlength=3)
+    weight = (len(y) / share / 3)[y]
+
+    def loss(w, theta):
+        f = np.array([w[r].sum() for r in x])
+        cdf = np.concatenate([np.zeros((len(f), 1)), 1 / (1 + np.exp(-(theta[None, :] - f[:, None]))), np.ones((len(f), 1))], axis=1)
+        p = cdf[np.arange(len(f)), y + 1] - cdf[np.arange(len(f)), y]
+        return -(weight * np.log(np.maximum(p, 1e-9))).mean() + 4e-4 * np.abs(w).sum() + 0.5e-4 * (w**2).sum()
+
+    m = quality.fit(x, y, 3, steps=600, rate=0.03)
+    w, theta = m.weights[:12].astype(float), m.thresholds.copy()
+    best = loss(w, theta)
+    for _ in range(300):
+        assert loss(w + rng.normal(0, 0.05, 12), np.sort(theta + rng.normal(0, 0.05, 2))) > best - 2e-3
+
+
+def test_long_rows_are_bounded_in_the_fit_only(spark):
+    table = [(i, " ".join(f"w{j}" for j in range(5000)) if i % 2 else "short text here", i % 3) for i in range(60)]
+    df = spark.createDataFrame(table, "doc_id long, body string, g int")
+    model = quality.train(df, df.select("doc_id", F.col("g").alias("grade")), features_per_row=100, text_col="body")
+    assert np.count_nonzero(model.weights) <= 100 + 8
+    codes = np.arange(1000, dtype=np.uint32)
+    from skelmap.llm.common import least
+
+    assert len(least(codes, 100)) == 100 and np.array_equal(least(codes, 100), np.unique(least(codes, 100))) and len(least(codes, 2000)) == 1000
+
+
 def test_features_of_long_texts_in_pieces():
     t = " ".join(f"w{i % 977}" for i in range(20_000))
     whole, quality.CHUNK = quality.CHUNK, 777

@@ -4,18 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A table under so many bytes isn't worth dealing out.
-WORTH_DEALING = 6 << 20
+#: A session that reads tables of few row groups, such as one of a single machine, may ask for their rows to be dealt out over the cores.
+DEAL = "spark.skelmap.dealRows"
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table folder/name.parquet.
-
-    A scan has no more tasks than row groups. Where these are fewer than the cores and the table isn't tiny, its rows are
-    dealt out once; a table of many row groups, as any large one is, is read as it stands.
-    """
+    """The table folder/name.parquet, as it stands; with DEAL set to true, dealt out over as many tasks as there are cores."""
     table = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    row_groups = size // (64 << 20) + len(table.inputFiles()) if size < cores * (64 << 20) else cores
-    return table.repartition(cores) if WORTH_DEALING < size and row_groups < cores else table
+    return table.repartition(spark.sparkContext.defaultParallelism) if spark.conf.get(DEAL, "false") == "true" else table

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import read_table
 
 #: Input to a bucket, which one worker holds, and to a partition of an exchange, where that is more than the session's.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 PARTITION_BYTES = 512 << 20
 
 

@@ -29,8 +29,10 @@ LEVELS = 7
 #: A round of runs, which widens every support, comes once in so many rounds; the others name pairs.
 RUN_EVERY = 8
 #: Texts are taken together up to so many bytes; a longer one is taken alone.
-GROUP_BYTES = 3 << 20
-MAX_CACHED = 500_000
+GROUP_BYTES = 2 << 20
+PIECE = 1 << 17
+WINDOWS_AT_ONCE = 400_000
+MAX_CACHED = 200_000
 _U = np.uint64
 
 
@@ -76,25 +78,38 @@ class WordNumbers(dict):
 BASE = 0x9E3779B97F4A7C15
 
 
-def _window_hashes(names: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    """A polynomial of the names of each window's words."""
+def _window_hashes(words: np.ndarray, names: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """A polynomial of the names of each window's words, worked out for PIECE words at a time. Starts ascend."""
+    out = np.empty(len(start), _U)
     with np.errstate(over="ignore"):
-        powers = np.concatenate([[_U(1)], np.full(len(names), BASE, _U)]).cumprod(dtype=_U)
-        inverse = np.concatenate([[_U(1)], np.full(len(names), pow(BASE, -1, 1 << 64), _U)]).cumprod(dtype=_U)
-        c = np.concatenate([[_U(0)], np.cumsum(names * powers[:-1], dtype=_U)])
-        return _mix((c[start + size] - c[start]) * inverse[start])
+        n = min(PIECE, len(words)) + size
+        powers = np.concatenate([[_U(1)], np.full(n, BASE, _U)]).cumprod(dtype=_U)
+        inverse = np.concatenate([[_U(1)], np.full(n, pow(BASE, -1, 1 << 64), _U)]).cumprod(dtype=_U)
+        for at in range(0, len(words), PIECE):
+            i, j = np.searchsorted(start, (at, at + PIECE))
+            part = names[words[at : at + PIECE + size]]
+            c = np.concatenate([[_U(0)], np.cumsum(part * powers[: len(part)], dtype=_U)])
+            own = start[i:j] - at
+            out[i:j] = _mix((c[own + size] - c[own]) * inverse[own])
+    return out
 
 
-def _classes(words: np.ndarray, names: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    """The class of each window, numbered from 0: windows of one class have the same words.
+def _classes(words: np.ndarray, names: np.ndarray, start: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of windows, some at a time, and the class of each, numbered from 0: windows of one class, and no others, have the same words.
 
-    words: numbers of words, names: a hash of each. Hashes bring windows together; each is then compared, word by word, with the
+    words: numbers of words, names: a hash of each number, start: ascending. Hashes bring windows together; each is then compared, word by word, with the
     first of its hash, and where one differs, the windows of that hash are told apart by their words alone.
     """
+    h = _window_hashes(words, names, start, size)
+    parts = 1 + len(h) // WINDOWS_AT_ONCE
+    for p in range(parts):
+        some = np.flatnonzero(h % _U(parts) == p)
+        if len(some):
+            yield some, _told_apart(h[some], words, start[some], size)
+
+
+def _told_apart(h: np.ndarray, words: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     n = len(start)
-    if not n:
-        return np.empty(0, np.int64)
-    h = _window_hashes(names, start, size)
     order = np.argsort(h, kind="stable")
     new = np.ones(n, bool)
     new[1:] = h[order][1:] != h[order][:-1]
@@ -269,6 +284,12 @@ def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return n[place], is_first
 
 
+def _bits(masks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the mask and of the bit, for each bit that is set."""
+    of, place = np.nonzero(np.unpackbits(masks.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :size])
+    return of.astype(np.int32), place.astype(np.uint8)
+
+
 def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
     return (_mix(names) % _U(buckets)).astype(np.int64)
 
@@ -373,7 +394,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                 words = np.concatenate(words)
                 first_of = np.cumsum(n) - n
                 each_start = np.repeat(start - first_of, n) + np.arange(n.sum())
-                count, first = _counted(_classes(words, table.hashes()[words], each_start, window))
+                count, first = np.empty(len(each_start), np.int64), np.empty(len(each_start), bool)
+                for some, cls in _classes(words, table.hashes(), each_start, window):
+                    count[some], first[some] = _counted(cls)
                 bit = _U(1) << (np.arange(len(each_start)) - np.repeat(first_of, n)).astype(_U)
                 known, sent = (np.bitwise_or.reduceat(np.where(m, bit, _U(0)), first_of) for m in (count > 1, first))
                 place = np.where(first, np.arange(len(first)) - np.repeat(first_of, n), -1)
@@ -398,17 +421,17 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records, words, names in _with_words(batches):
+            again: list[tuple[np.ndarray, np.ndarray]] = []
             key, lo, skip, known, sent, length = records
             at = np.cumsum(length.astype(np.int64)) - length
-            bits = np.flatnonzero(sent)
-            wide = (sent[bits][:, None] >> np.arange(window, dtype=_U)) & _U(1)
-            of, place = np.nonzero(wide)
-            of = bits[of]
-            cls = _classes(words, names, at[of] + place, window)
-            shift = (place + skip[of]).astype(_U)
-            weight = 1 + (known[of] >> shift & _U(1)).astype(np.int64)
-            more = np.bincount(cls, weight, minlength=1)[cls] > 1 if len(cls) else np.zeros(0, bool)
-            np.bitwise_or.at(known, of[more], _U(1) << shift[more])
+            of, place = _bits(sent, window)
+            for some, cls in _classes(words, names, at[of] + place, window):
+                mine, shift = of[some], (place[some] + skip[of[some]]).astype(_U)
+                weight = 1 + (known[mine] >> shift & _U(1)).astype(np.int64)  # those known before don't change it: they count as two
+                more = np.bincount(cls, weight)[cls] > 1
+                again.append((mine[more], shift[more]))
+            for mine, shift in again:
+                np.bitwise_or.at(known, mine, _U(1) << shift)
             some = np.flatnonzero(known)
             if len(some):
                 some = some[np.lexsort((lo[some], key["b"][some], key["a"][some]))]
@@ -434,7 +457,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                 kept = words
                 if where:
                     runs = np.frombuffer(b"".join(where), RUN)
-                    of, place = np.nonzero((runs["mask"][:, None] >> np.arange(window, dtype=_U)) & _U(1))
+                    of, place = _bits(np.ascontiguousarray(runs["mask"]), window)
                     start = np.unique(runs["lo"][of].astype(np.int64) + place)
                     mark = np.zeros(len(words) + 1, np.int64)
                     mark[start] += 1
@@ -454,21 +477,22 @@ RUN = np.dtype([("lo", "<u4"), ("mask", "<u8")])
 
 
 def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Rows come sorted by bucket: for each bucket its records, and number and hash of each of their words."""
+    """Rows come sorted by bucket: for each bucket its records, the numbers of their words, and a hash of each number."""
     held: list[list[bytes]] = []
     table, words, now = WordNumbers(), [], None
 
     def done() -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         all_words = np.concatenate(words)
-        return [np.frombuffer(b"".join(c), k).copy() for c, k in zip(zip(*held), ASKED)], all_words, table.hashes()[all_words]
+        return [np.frombuffer(b"".join(c), k).copy() for c, k in zip(zip(*held), ASKED)], all_words, table.hashes()
 
     for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(len(ASKED) + 2))):
-            if row[0] != now and held:
+        for i in range(b.num_rows):
+            bucket, *row = (c[i].as_py() for c in b.columns)
+            if bucket != now and held:
                 yield done()
                 held, table, words = [], WordNumbers(), []
-            now = row[0]
-            held.append(row[1:-1])
-            words.append(table.of(row[-1].split()))
+            now = bucket
+            words.append(table.of(row.pop().split()))
+            held.append(row)
     if held:
         yield done()

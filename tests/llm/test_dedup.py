@@ -264,7 +264,7 @@ def half_repeated(seed):
 
 def test_windows_are_compared_by_their_words(spark, monkeypatch):
     """Whatever the hashes of windows say: here all are alike."""
-    monkeypatch.setattr(substring_dedup, "_window_hashes", lambda names, start, size: np.zeros(len(start), np.uint64))
+    monkeypatch.setattr(substring_dedup, "_window_hashes", lambda words, names, start, size: np.zeros(len(start), np.uint64))
     check_repeats(spark, half_repeated(1))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,20 +12,55 @@ from pyspark.sql import functions as F
 #: Phrases whose places count as base; label and words.
 BASE = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
-#: Licence notices: label, words of the notice, and in it the key phrase that must stand whole.
+#: Licence notices and texts: label, the text, and in it the key phrase that must stand whole. Fixed values, in words of lower case.
 NOTICES = [
     ("mit", "released under the mit license", "mit license"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "copies or substantial portions of the software",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "for any purpose with or without fee is hereby granted",
+    ),
     ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "specific language governing permissions and limitations under the license",
+    ),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    (
+        "gpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        "gnu general public license as published by the free software foundation either version 3",
+    ),
     ("gpl-2", "under the terms of the gnu general public license version 2", "gnu general public license version 2"),
+    (
+        "gpl-2",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        "gnu general public license as published by the free software foundation either version 2",
+    ),
     ("lgpl-3", "under the terms of the gnu lesser general public license version 3", "gnu lesser general public license"),
     ("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("mpl-2", "subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", "mozilla public license"),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistribution and use in source and binary forms",
+    ),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "free and unencumbered software",
+    ),
 ]
 RARE = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,73 +100,59 @@ def normalised(text: Column) -> Column:
     return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
-def _places(hits: str, word: str, offset: int) -> Column:
-    """Where a template would start for its word `word`, number `offset`, to stand where it does."""
-    return F.transform(F.filter(hits, lambda h: h.w == word), lambda h: h.i - offset)
-
-
-def _cover(t: Template, starts: Column) -> Column:
-    """The largest share of the template's words in place at one of its starts: the most equal votes among these."""
-    votes = F.flatten(F.array(*[_places("hits", w, i) for i, w in enumerate(t.words)]))
-    mine = F.array_sort(F.filter(votes, lambda v: F.array_contains(starts, v)))
-    nothing = F.struct(F.lit(-(1 << 30)).alias("v"), F.lit(0).alias("n"), F.lit(0).alias("most"))
-
-    def count(a: Column, v: Column) -> Column:
-        n = F.when(a.v == v, a.n + 1).otherwise(F.lit(1))
-        return F.struct(v.alias("v"), n.alias("n"), F.greatest(a.most, n).alias("most"))
-
-    return F.when(F.size(starts) > 0, F.aggregate(mine, nothing, count, lambda a: a.most) / F.lit(float(len(t.words)))).otherwise(F.lit(0.0))
-
-
 def _fence(df: DataFrame, keep: list[str], name: str, value: Column) -> DataFrame:
     """df with value worked out once a row: a generator keeps Catalyst from putting it into each later use."""
     return df.select(*keep, F.explode(F.array(value)).alias(name))
 
 
+TEMPLATE = "struct<label:string,words:array<string>,key:array<string>,key_at:int,rare:int,base:boolean>"
+
+
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", base: dict[str, str] = BASE, notices: list[tuple[str, str, str]] = NOTICES) -> DataFrame:
     """Licence phrases and labels of every whole text.
 
-    Words are looked up by rarity: of each template the rarest words of its key phrase are posted with their offsets; the
-    starts that a document's words vote for are intersected over these postings, and a start counts if all words of the
-    key phrase stand in their places. Columns: doc_id, n_words, n_base (places of base phrases), first_word,
+    The index posts the rarest words of each template's key phrase, by IDF, with their places. A document's posted words are looked up
+    in it, and each names the start at which the template would have to stand; a start that all posted words of a template name is a
+    candidate, and counts if the words of the key phrase stand there. Columns: doc_id, n_words, n_base (places of base phrases), first_word,
     last_word (their smallest and largest start, null without one), base_labels, labels (distinct, sorted, comma-joined,
     empty without one), score (largest share of a found template's words that stand in place, 0 without one).
     A null text counts as empty. Rows keep their number, repeated ones too; ids may be null. An empty table gives no rows. Other
-    columns are not read.
+    columns are not read. The plan doesn't grow with the templates, and a text's work grows with its words and what is found, however long it is.
     """
     index = templates(base, notices)
-    vocabulary = sorted({w for t in index for w in t.words})
+    posted: dict[str, list[dict]] = {}
+    for k, t in enumerate(index):
+        for i in t.rare:
+            posted.setdefault(t.words[i], []).append({"t": k, "at": i})
+    table = [{"label": t.label, "words": t.words, "key": t.words[t.key[0] : t.key[-1] + 1], "key_at": t.key[0], "rare": len(t.rare), "base": t.base} for t in index]
+    literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)  # noqa: E731  # the optimizer makes it a constant
+    postings, found_by = literal(posted, "map<string,array<struct<t:int,at:int>>>"), literal(table, f"array<{TEMPLATE}>")
     rarest = sorted({t.words[t.rarest] for t in index})  # a document without any of these has no template
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_t"))
     rows = _fence(rows, ["doc_id"], "norm", normalised(F.col("_t")))
     n_words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) - 1
     words = F.when(F.col("norm").rlike(f" (?:{'|'.join(rarest)}) "), F.split(F.btrim("norm", F.lit(" ")), " ")).otherwise(F.array().cast("array<string>"))
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: h.w.isin(vocabulary))
-    rows = _fence(rows, ["doc_id", n_words.cast("long").alias("n_words")], "hits", hits)
-
-    def starts(t: Template) -> Column:
-        by_rare = reduce(F.array_intersect, [_places("hits", t.words[i], i) for i in t.rare])
-        rest = [i for i in t.key if i not in t.rare]
-        return reduce(F.array_intersect, [_places("hits", t.words[i], i) for i in rest], by_rare)
-
-    some = F.size("hits") > 0
-    none = F.array().cast("array<int>")
-    rows = _fence(rows, ["doc_id", "n_words", "hits"], "s", F.when(some, F.struct(*[starts(t).alias(f"t{k}") for k, t in enumerate(index)])).otherwise(F.struct(*[none.alias(f"t{k}") for k in range(len(index))])))
-    covers = [_cover(t, F.col(f"s.t{k}")) for k, t in enumerate(index)]
-    at = F.flatten(F.array(*[F.col(f"s.t{k}") for k, t in enumerate(index) if t.base]))
-
-    def names(bases_only: bool) -> Column:
-        each = [F.when(F.size(f"s.t{k}") > 0, F.lit(t.label)) for k, t in enumerate(index) if t.base or not bases_only]
-        return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*each)))), ",")
-
-    no = ~some
-    return rows.select(
-        "doc_id",
-        "n_words",
-        F.when(no, 0).otherwise(F.size(at)).cast("long").alias("n_base"),
-        F.when(some, F.array_min(at)).cast("long").alias("first_word"),
-        F.when(some, F.array_max(at)).cast("long").alias("last_word"),
-        F.when(no, "").otherwise(names(True)).alias("base_labels"),
-        F.when(no, "").otherwise(names(False)).alias("labels"),
-        F.when(no, 0.0).otherwise(F.greatest(*covers)).alias("score"),
-    )
+    rows = _fence(rows, ["doc_id", n_words.cast("long").alias("n_words")], "words", words)
+
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: h.w.isin(sorted(posted)))
+    votes = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(postings, h.w), lambda p: F.struct(p.t.alias("t"), (h.i - p.at).alias("s")))))
+    rows = _fence(rows, ["doc_id", "n_words", "words"], "votes", F.array_sort(votes))
+    # equal votes stand together: a start has them all if the vote as many places on is the same
+    vote = lambda i: F.get("votes", i)
+    firsts = F.filter(F.transform("votes", lambda v, i: F.struct(v.t.alias("t"), v.s.alias("s"), i.alias("i"))), lambda v: vote(v.i - 1).eqNullSafe(F.struct(v.t.alias("t"), v.s.alias("s"))) == F.lit(False))
+    whole = F.filter(firsts, lambda v: vote(v.i + F.get(found_by, v.t).rare - 1).eqNullSafe(F.struct(v.t.alias("t"), v.s.alias("s"))))
+    stands = lambda v: (v.s + F.get(found_by, v.t).key_at >= 0) & (F.slice("words", F.greatest(v.s + F.get(found_by, v.t).key_at, F.lit(0)) + 1, F.size(F.get(found_by, v.t).key)) == F.get(found_by, v.t).key)
+    rows = _fence(rows, ["doc_id", "n_words", "words"], "found", F.filter(whole, stands))
+
+    def cover(v: Column) -> Column:
+        own = F.get(found_by, v.t).words
+        return F.size(F.filter(F.transform(own, lambda w, i: w == F.get("words", v.s + i)), lambda same: F.coalesce(same, F.lit(False)))) / F.size(own).cast("double")
+
+    def names(found: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda v: F.get(found_by, v.t).label))), ",")
+
+    bases = F.filter("found", lambda v: F.get(found_by, v.t).base)
+    at = F.transform(bases, lambda v: v.s)
+    score = F.coalesce(F.array_max(F.transform("found", cover)), F.lit(0.0))
+    return rows.select("doc_id", "n_words", F.size(bases).cast("long").alias("n_base"), F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"), names(bases).alias("base_labels"), names(F.col("found")).alias("labels"), score.alias("score"))

@@ -152,6 +152,38 @@ def test_scan_planted(spark):
     assert rows(license_scan.scan(df)) == sorted([(i, *brute_scan(t)) for i, t in enumerate(texts)], key=repr)
 
 
+def test_scan_of_a_megabyte_of_hits(spark):
+    """The work grows with the words, and a far start is found."""
+    import time
+
+    long = "cc by nc " * 120_000
+    df = spark.createDataFrame([(1, long, None, None, None), (2, "x " * 400_000 + "under the mit license", None, None, None)], DOCS)
+    started = time.time()
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert time.time() - started < 60
+    assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (120_000, 0, 359_997, "cc-by-nc")
+    assert (got[2].n_base, got[2].first_word, got[2].base_labels) == (1, 400_000, "mit")
+
+
+def test_whole_licences_and_what_is_left_of_them(spark):
+    texts = [t for _, t, _ in license_scan.NOTICES] + [t[: len(t) // 2] for _, t, _ in license_scan.NOTICES] + ["x " + t.replace(" the ", " The\n* ").upper() for _, t, _ in license_scan.NOTICES]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = rows(license_scan.scan(df))
+    assert got == sorted([(i, *brute_scan(t)) for i, t in enumerate(texts)], key=repr)
+    by = {r[0]: r for r in got}
+    assert all(label in by[i][6].split(",") and by[i][7] == 1 for i, (label, _, _) in enumerate(license_scan.NOTICES))
+
+
+def test_the_plan_does_not_grow_with_the_templates(spark):
+    more = [(f"l{i}", f"one of word{i} the licences thing{i} here", f"word{i} the licences thing{i}") for i in range(300)]
+    df = spark.createDataFrame([(1, "word7 the licences thing7", None, None, None)], DOCS)
+    nodes = []
+    for notices in (license_scan.NOTICES, more):
+        plan = license_scan.scan(df, notices=notices)
+        nodes.append(plan._jdf.queryExecution().analyzed().treeString().count("lambdafunction"))
+    assert nodes[0] == nodes[1] and plan.first().labels == "l7"
+
+
 def test_scan_runs_no_python(spark):
     plan = license_scan.scan(docs(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "Exchange" not in plan

@@ -54,18 +54,34 @@ _BRACKET = re.compile(r"[()\[\]{}]")
 
 def _match(s: str, at: int, end: int) -> int:
     """Offset after the bracket that closes the one at `at`."""
-    stack = []
+    stack: list[str] = []
+    open_ = dict.fromkeys(_CLOSE.values(), 0)
     for m in _BRACKET.finditer(s, at, end):
         if m[0] in _CLOSE:
             stack.append(_CLOSE[m[0]])
-        elif m[0] in stack:
-            while stack.pop() != m[0]:
-                pass
+            open_[stack[-1]] += 1
+        elif open_[m[0]]:
+            while True:
+                last = stack.pop()
+                open_[last] -= 1
+                if last == m[0]:
+                    break
             if not stack:
                 return m.end()
     return end
 
 
+_SOLID = re.compile(r"\S")
+#: What an item's text so far is judged by, where it is longer: its beginning and its end.
+FRONT, BACK = 60, 140
+#: Blocks that didn't end an item, after which no block does: it is an expression.
+MANY_BLOCKS = 32
+
+
+def _seen(s: str, at: int, end: int) -> str:
+    return s[at:end] if end - at <= FRONT + BACK else s[at : at + FRONT] + s[end - BACK : end]
+
+
 def items(s: str, at: int, end: int, lines_end: bool, block_ends: Callable[[str, str], bool]) -> Iterator[Item]:
     """Items of s[at:end]. Where lines_end, a line ends an item unless the text around it must go on."""
     step = re.compile(r"[;({\[\n]")
@@ -73,7 +89,8 @@ def items(s: str, at: int, end: int, lines_end: bool, block_ends: Callable[[str,
         if s[at].isspace() or s[at] in ";,)]}":
             at += 1
             continue
-        item, pos = Item(at, end), at
+        item, pos, blocks = Item(at, end), at, 0
+        decorated = at if s[at] == "@" else -1  # decorators only up to here
         while True:
             m = step.search(s, pos, end)
             if m is None:
@@ -89,23 +106,36 @@ def items(s: str, at: int, end: int, lines_end: bool, block_ends: Callable[[str,
                 pos = _match(s, m.start(), end)
                 if item.open < 0:
                     item.open, item.close = m.start(), pos
-                rest = s[pos:end]
-                if block_ends(s[at : m.start()], rest):
+                solid = _SOLID.search(s, pos, end)
+                nxt = solid.start() if solid else end
+                blocks += 1
+                if blocks <= MANY_BLOCKS and block_ends(_seen(s, at, m.start()), s[pos : min(nxt + 1, pos + BACK)]):
                     item.end = pos
                     break
+                if nxt - pos > BACK and "\n" not in s[pos:nxt]:
+                    pos = nxt
             elif lines_end:
-                last, nxt = s[at : m.start()].rstrip(), s[pos:end].lstrip()
-                if last and not _goes_on(last, nxt):
-                    item.end = at + len(last)
+                solid = _SOLID.search(s, pos, end)
+                nxt = solid.start() if solid else end
+                stop = m.start()
+                while stop > at and s[stop - 1].isspace():
+                    stop -= 1
+                if decorated >= 0:
+                    decorated = stop if _DECORATORS.fullmatch(s, decorated, stop) else -1
+                if stop > at and decorated < 0 and not _goes_on(_seen(s, at, stop), s[nxt : nxt + 1]):
+                    item.end = stop
                     break
+                pos = nxt
         yield item
         at = max(item.end, at + 1)
 
 
+_DECORATORS = re.compile(r"\s*(?:@[\w.]++(?:\s*+\(.*\))?\s*+)+", re.S)
+
+
 def _goes_on(last: str, nxt: str) -> bool:
-    if re.match(r"@[\w.]+", last) and not re.search(r"\b(class|function|interface|enum|export|const|let|var)\b", last) and re.fullmatch(r"(@[\w.]+(\s*\(.*\))?\s*)+", last, re.S):
-        return True
-    return last[-1] in ",.=+-*%&|^?:<(" or last.endswith("=>") or nxt[:1] in (".", "?", ":", "=", "+", "*", "%", "&", "|", "^", "{") or bool(re.search(r"\b(extends|implements|export|default|const|let|var|type|return|function)$", last))
+    """Does a line that ends so, before this character, go on?"""
+    return last[-1] in ",.=+-*%&|^?:<(" or last.endswith("=>") or nxt in (".", "?", ":", "=", "+", "*", "%", "&", "|", "^", "{") or bool(re.search(r"\b(extends|implements|export|default|const|let|var|type|return|function)$", last[-12:]))
 
 
 def _usual_end(head: str, rest: str) -> bool:

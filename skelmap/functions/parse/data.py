@@ -147,10 +147,8 @@ _FLOW = re.compile(r"""(?<=[\[\]{},:\s])"(?:[^"\\]|\\.)*"|(?<=[\[\]{},:\s])'(?:[
 class _Yaml:
     """Block structure by indentation; a node is (kind, first row, last row, parts)."""
 
-    def __init__(self, out: Outline, first: int, end: int):
-        self.out, self.end = out, end
-        self.lines = out.text.split("\n")[:end]
-        self.first = first
+    def __init__(self, out: Outline, first: int, end: int, lines: list[str]):
+        self.out, self.first, self.end, self.lines = out, first, end, lines
 
     def content(self, i: int) -> int:
         """The next row with content from i."""
@@ -289,8 +287,19 @@ class _Yaml:
 
     def flow(self, i: int, column: int) -> tuple[int, list[tuple[int, str]]]:
         """Row after the flow collection at this place, and its parts with their rows."""
-        s = "\n".join(self.lines[i : self.end])
-        level, start, parts, end = 0, column + 1, [], len(s)
+        rows = 16
+        while True:  # look at more rows until it closes
+            s = "\n".join(self.lines[i : min(i + rows, self.end)])
+            end, parts = self.flow_parts(s, i, column)
+            if end >= 0 or i + rows >= self.end:
+                break
+            rows *= 4
+        return i + s.count("\n", 0, end if end >= 0 else len(s)) + 1, parts
+
+    @staticmethod
+    def flow_parts(s: str, i: int, column: int) -> tuple[int, list[tuple[int, str]]]:
+        """The end of the flow collection at column, or -1, and its parts."""
+        level, start, parts, counted, row = 0, column + 1, [], 0, i
         for m in _FLOW.finditer(s, column):
             if m[0] in ("[", "{"):
                 level += 1
@@ -299,13 +308,14 @@ class _Yaml:
             if (m[0] == "," and level == 1) or not level:
                 part = s[start : m.start()]
                 if part.strip():
-                    lead = len(part) - len(part.lstrip())
-                    parts.append((i + s.count("\n", 0, start + lead), part.strip()))
+                    lead = start + len(part) - len(part.lstrip())
+                    row += s.count("\n", counted, lead)
+                    counted = lead
+                    parts.append((row, part.strip()))
                 start = m.end()
             if not level and m[0] in ("]", "}"):
-                end = m.end()
-                break
-        return i + s.count("\n", 0, end) + 1, parts
+                return m.end(), parts
+        return -1, parts
 
     def pairs(self, parts: list[tuple[int, str]], depth: int) -> None:
         for row, part in parts:
@@ -313,8 +323,8 @@ class _Yaml:
             key, value = (m[1], m[2]) if m else (part, "")
             end = row + part.count("\n")
             if value[:1] in ("{", "["):
-                inner = _Yaml(self.out, 0, 0)
-                inner.lines, inner.end = value.split("\n"), value.count("\n") + 1
+                lines = value.split("\n")
+                inner = _Yaml(self.out, 0, len(lines), lines)
                 _, sub = inner.flow(0, 0)
                 n = len(sub)
                 self.out.add(row, end, depth, f"{key}: {{{n} {noun(n, 'key', 'keys')}}}" if value[0] == "{" else f"{key}: [{n} {noun(n, 'item', 'items')}]")
@@ -331,20 +341,21 @@ def yaml_outline(out: Outline) -> None:
     rows = out.text.split("\n")
     if rows and rows[-1] == "":
         rows.pop()
-    bounds, start = [], 0
+    bounds, start, some = [], 0, False  # some: is there content since start?
     for i, line in enumerate(rows):
-        if re.match(r"---(\s|$)", line) and any(x.strip() and not x.lstrip().startswith(("#", "%")) for x in rows[start:i]):
+        before, some = some, some or (line.strip() != "" and not line.lstrip().startswith(("#", "%")))
+        if re.match(r"---(\s|$)", line) and before:
             bounds.append((start, i))
-            start = i
+            start, some = i, True
         elif re.match(r"\.\.\.(\s|$)", line):
             bounds.append((start, i))
-            start = i + 1
+            start, some = i + 1, False
     bounds.append((start, len(rows)))
     docs = [(a, b) for a, b in bounds if any(x.strip() and not x.lstrip().startswith("#") for x in rows[a:b])]
     for n, (a, b) in enumerate(docs, 1):
         if len(docs) > 1:
             out.add(a, b - 1, 0, f"--- document {n}")
-        y = _Yaml(out, a, b)
+        y = _Yaml(out, a, b, rows)
         i = y.content(a)
         while i < b and re.match(r"(---\s*(#.*)?$|%)", rows[i]):
             i = y.content(i + 1)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from ..redact import MAX_VALUE, py_must_redact, py_shown
@@ -22,7 +25,6 @@ class Element:
 
 
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
-_MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<\?.*?(?:\?>|\Z)|<![^\[>]*(?:\[.*?\]\s*)?>|<(/?)([A-Za-z_:][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)>""", re.S)
 _ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|\w+);")
 
 # HTML elements without an end tag, those whose content is text, those that a start tag ends, and those looked through.
@@ -33,31 +35,105 @@ THROUGH = frozenset(["html", "head", "body"])
 IDENTIFYING = ("id", "class", "name", "src", "href")
 
 
+class _Marks:
+    """Marks of a text in their order. What was seen to lead nowhere isn't tried again, so all of them take one pass or a few."""
+
+    _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<\?.*?(?:\?>|\Z)", re.S)
+    _NAME = re.compile(r"<(/?)(?=[A-Za-z_:])")
+    _NAME_END = re.compile(r"[\s/>]|\Z")
+    _SUBSET_END = re.compile(r"\]\s*>")
+
+    def __init__(self, text: str):
+        self.text, self.last = text, text.rfind(">")
+        self.name_at = self.name_end = -1
+        self.failed: list[tuple[list[int], list[int]]] = []  # stretches outside quotes from which no mark's end was found
+        self.no_subset_end = self.no_declaration_end = False
+
+    def end(self, at: int) -> int:
+        """The `>` after `at` outside quotes, or -1."""
+        for starts, ends in self.failed:
+            i = bisect_right(starts, at) - 1
+            if i >= 0 and at <= ends[i]:
+                return -1
+        starts, ends, pos = [at], [], at
+        while (m := re.compile("[>\"']").search(self.text, pos)) is not None:
+            if m[0] == ">":
+                return m.start()
+            ends.append(m.start())
+            close = self.text.find(m[0], m.end())
+            if close < 0:
+                break
+            pos = close + 1
+            starts.append(pos)
+        else:
+            ends.append(len(self.text))
+        self.failed.append((starts, ends))
+        return -1
+
+    def declaration(self, at: int) -> int:
+        """Offset after a declaration such as a document type, or -1."""
+        if self.no_declaration_end:
+            return -1
+        m = re.compile(r"[\[>]").search(self.text, at + 2)
+        if m is None:
+            self.no_declaration_end = True
+            return -1
+        if m[0] == ">":
+            return m.end()
+        close = None if self.no_subset_end else self._SUBSET_END.search(self.text, m.end())
+        self.no_subset_end = close is None
+        return close.end() if close else -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str, bool] | None:
+        """Start and end of the next mark from `at`, and of a tag its slash, name, attributes and whether it closes itself."""
+        text = self.text
+        while (at := text.find("<", at)) >= 0:
+            if (m := self._COMMENT.match(text, at)) is not None:
+                return at, m.end(), "", "", "", False
+            if text.startswith("<!", at):
+                if (end := self.declaration(at)) >= 0:
+                    return at, end, "", "", "", False
+            elif at < self.last and (m := self._NAME.match(text, at)) is not None:
+                if not self.name_at <= m.end() < self.name_end:
+                    self.name_at, self.name_end = m.end(), self._NAME_END.search(text, m.end()).start()
+                close = self.end(self.name_end)
+                if close >= 0:
+                    itself = close > self.name_end and text[close - 1] == "/"
+                    return at, close + 1, m[1], text[m.end() : self.name_end], text[self.name_end : close - itself], itself
+            at += 1
+        return None
+
+
 def elements(text: str, html: bool) -> list[Element]:
     """The root elements; end tags without a start are passed over, and what stays open ends at the text's end."""
     roots: list[Element] = []
     stack: list[Element] = []
+    open_: Counter[str] = Counter()
+    marks = _Marks(text)
     at = 0
-    while m := _MARK.search(text, at):
+    while m := marks.next(at):
+        start, end, slash, name, attributes, itself = m
         if stack:
-            stack[-1].text.append(text[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+            stack[-1].text.append(text[at:start])
+        at = end
+        if not name:
             continue
-        name = m[2].lower() if html else m[2]
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), None)
-            if depth is not None:
-                for open_ in stack[depth + 1 :]:
-                    open_.end = m.start()
-                stack[depth].end, stack[depth].closed = m.end(), True
-                del stack[depth:]
+        name = name.lower() if html else name
+        if slash:
+            while open_[name]:
+                e = stack.pop()
+                open_[e.name] -= 1
+                e.end = start
+                if e.name == name:
+                    e.end, e.closed = end, True
+                    break
             continue
         while html and stack and name in ENDED_BY.get(stack[-1].name, ()):
-            stack.pop().end = m.start()
-        e = Element(name, m.start(), m.end(), _ATTRIBUTE.findall(m[3]))
+            open_[stack[-1].name] -= 1
+            stack.pop().end = start
+        e = Element(name, start, end, _ATTRIBUTE.findall(attributes))
         (stack[-1].children if stack else roots).append(e)
-        if m[4] or (html and name in VOID):
+        if itself or (html and name in VOID):
             continue
         if html and name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(text, at)
@@ -66,6 +142,7 @@ def elements(text: str, html: bool) -> list[Element]:
             at = e.end
             continue
         stack.append(e)
+        open_[name] += 1
     for e in stack:
         e.end = len(text)
     return roots
@@ -109,9 +186,20 @@ def _html_value(out: Outline, key: str | None, value: str) -> str:
     return py_shown(key, value)
 
 
+def _inside(e: Element) -> Iterator[Element]:
+    """The nearest elements in e that aren't looked through, in their order."""
+    todo = e.children[::-1]
+    while todo:
+        x = todo.pop()
+        if x.name in THROUGH:
+            todo += x.children[::-1]
+        else:
+            yield x
+
+
 def _html(out: Outline, e: Element, depth: int) -> None:
     if e.name in THROUGH:
-        for child in e.children:
+        for child in _inside(e):
             _html(out, child, depth)
         return
     shown = "".join(f' {k.lower()}="{_html_value(out, None, unquote(py_squash(v)))}"' for k, v in e.attributes if v and k.lower() in IDENTIFYING)
@@ -127,19 +215,24 @@ def _html(out: Outline, e: Element, depth: int) -> None:
             _html(out, child, depth + 1)
 
 
-def _references(out: Outline, e: Element) -> None:
-    for child in e.children:
-        _references(out, child)
-    want = {"script": "src", "link": "href"}.get(e.name)
-    out.found += [unquote(py_squash(v)) for k, v in e.attributes if want and v and k.lower() == want]
+def _references(out: Outline, roots: list[Element]) -> None:
+    """Scripts and links, those inside an element before it."""
+    todo = [(e, False) for e in reversed(roots)]
+    while todo:
+        e, seen = todo.pop()
+        if not seen:
+            todo.append((e, True))
+            todo += [(x, False) for x in reversed(e.children)]
+            continue
+        want = {"script": "src", "link": "href"}.get(e.name)
+        out.found += [unquote(py_squash(v)) for k, v in e.attributes if want and v and k.lower() == want]
 
 
 @stop_when_full
 def html_outline(out: Outline) -> None:
     """Elements with what identifies them; html, head and body are looked through, scripts and links are imports."""
     roots = elements(out.text, html=True)
-    for e in roots:
-        _references(out, e)
+    _references(out, roots)
     for e in roots:
         _html(out, e, 0)
 

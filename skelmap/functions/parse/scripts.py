@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Callable
 
 from ..text import py_squash
-from .base import Outline, header_to, stop_when_full, unquote
+from .base import MAX_HEADER, Outline, header_to, stop_when_full, unquote
 
 
 def _blanked(m: re.Match, comment: bool) -> str:
@@ -103,8 +105,10 @@ def python_outline(out: Outline) -> None:
 
 # --- Ruby ----------------------------------------------------------------------------------------------------------------
 
-_RB_OPAQUE = re.compile(r"""^=begin\b.*?^=end\b[^\n]*|\#(?!\{)[^\n]*|"(?:[^"\\]|\\.)*"?|'(?:[^'\\]|\\.)*'?|(?<![\w)\]\s])/(?:[^/\\\n]|\\.)+/|(?<=[(=,]\s)/(?:[^/\\\n]|\\.)+/""", re.S | re.M)
+_RB_OPAQUE = re.compile(r"""^=begin\b.*?(?:^=end\b[^\n]*|\Z)|\#(?!\{)[^\n]*|"(?:[^"\\]|\\.)*"?|'(?:[^'\\]|\\.)*'?|(?<![\w)\]\s])/(?:[^/\\\n]|\\.)+/|(?<=[(=,]\s)/(?:[^/\\\n]|\\.)+/""", re.S | re.M)
 _RB_WORD = re.compile(r"(?<![\w.:@$])(class|module|def|end|do|begin|case|if|unless|while|until|for)\b(?![?!:])")
+#: So much of what stands before a word on its line is looked at.
+BEFORE = 60
 _RB_REQUIRE = re.compile(r"(require\w*)\s*\(?\s*([\"'])([^\"']*)\2")
 
 
@@ -113,46 +117,55 @@ def ruby_outline(out: Outline) -> None:
     """Methods, classes and modules, members under them."""
     masked = _RB_OPAQUE.sub(lambda m: _blanked(m, m[0][0] in "#="), out.text)
     stack: list[tuple[str, int | None]] = []  # opening word, number of its declaration
+    hiding = 0  # words on the stack that open neither a class nor a module
     line_head = re.compile(r"[^\n]*\n?")
     at = 0
     while at < len(masked):
         end = line_head.match(masked, at).end()
         loop = False
+        solid = end - len(masked[at:end].lstrip())
         for m in _RB_WORD.finditer(masked, at, end):
-            word, before = m[1], masked[at : m.start()].strip()
-            visible = all(w in ("class", "module") for w, _ in stack)
+            word = m[1]
+            before = masked[max(solid, m.start() - BEFORE) : m.start()].rstrip() or masked[solid : m.start()].rstrip()[-BEFORE:]
+            visible = not hiding
             if word == "end":
                 if stack:
-                    _, number = stack.pop()
+                    opened, number = stack.pop()
+                    hiding -= opened not in ("class", "module")
                     if number is not None:
                         start, _, _, text = out.decls[number]
                         out.amend(number, out.row(m.start()), text)
             elif word in ("class", "module", "def"):
                 if word == "class" and masked[m.end() : end].lstrip().startswith("<<"):
                     stack.append(("singleton", None))
+                    hiding += 1
                     continue
                 stop = next((k for k in (masked.find(";", m.end(), end), end) if k >= 0))
-                one_line = word == "def" and re.match(r"\s+[\w.?!]+(\s*\([^\n]*\))?\s*=\s", masked[m.end() : end])
+                one_line = word == "def" and re.match(r"\s+[\w.?!]+(\s*\([^\n]*\))?\s*=\s", masked[m.end() : min(end, m.end() + MAX_HEADER)])
                 number = None
                 if visible and len(stack) <= out.depth and not (before and word != "def"):
                     # the header goes on over open brackets
-                    while masked[m.start() : stop].count("(") > masked[m.start() : stop].count(")") and stop < len(masked):
+                    while stop < min(len(masked), m.start() + MAX_HEADER) and masked[m.start() : stop].count("(") > masked[m.start() : stop].count(")"):
                         stop = line_head.match(masked, stop).end()
                     header = re.sub(r";$", "", header_to(out.text, m.start(), stop)).strip()
                     header = re.sub(r"\s+#.*$", "", header) if "#" in header and "_" not in header[-1:] else header
                     number = out.add(out.row(m.start()), out.row(m.start()), len(stack), header)
                 if not one_line:
                     stack.append((word, number))
+                    hiding += word == "def"
             elif word == "do":
                 if not loop:
                     stack.append((word, None))
+                    hiding += 1
                 loop = False
             elif word in ("while", "until", "for"):
                 if not before or before.endswith(("=", "(", ";")):
                     stack.append((word, None))
+                    hiding += 1
                     loop = True
             elif not before or before.endswith(("=", "(", ",", ";", "&&", "||", "return", "then", "do")) or word in ("begin", "case"):
                 stack.append((word, None))
+                hiding += 1
         if not stack and (m := _RB_REQUIRE.match(out.text, at)):
             out.found.append(m[3])
         at = end
@@ -160,7 +173,12 @@ def ruby_outline(out: Outline) -> None:
 
 # --- Shell ---------------------------------------------------------------------------------------------------------------
 
-_SH_OPAQUE = re.compile(r"""'[^']*'?|"(?:[^"\\]|\\.)*"?|\\.|(?:(?<=\s)|(?<=;)|^)\#[^\n]*|<<-?\s*(['"]?)(\w+)\1[^\n]*\n.*?^\s*\2$|\$\(\(.*?\)\)|\$\{[^}]*\}""", re.S | re.M)
+_SH_START = re.compile(r"""['"\\#]|<<|\$\(\(|\$\{""")
+_SH_DOUBLE = re.compile(r'"(?:[^"\\]|\\.)*"?', re.S)
+_SH_HERE = re.compile(r"""<<-?\s*(['"]?)(\w+)\1[^\n]*\n""")
+_SH_MARK = re.compile(r"^[^\S\n]*(\w+)$", re.M)
+
+
 _SH_FUNCTION = re.compile(r"(?:function\s+([\w:.-]+)\s*(?:\(\s*\))?|([\w:.-]+)\s*\(\s*\))\s*(?=[{(]|\n\s*[{(])")
 _SH_ASSIGN = re.compile(r"([A-Za-z_]\w*)(?:\[[^\]]*\])?\+?=")
 _SH_DECLARE = re.compile(r"(?:export|declare|typeset|readonly|local)\b((?:[ \t]+[^\s;&|]+)*)")
@@ -169,6 +187,56 @@ _SH_OPEN = re.compile(r"(?:if|for|while|until|case|select)\b")
 _SH_CLOSE = re.compile(r"(?:fi|done|esac)\b")
 
 
+def _sh_ends(text: str) -> Callable[[int, str], int | None]:
+    """Finds the end of what starts at a place, or None; what has no end isn't looked for again."""
+    marks: dict[str, list[int]] = {}
+    for m in _SH_MARK.finditer(text):
+        marks.setdefault(m[1], []).append(m.end())
+    missing: set[str] = set()
+
+    def closed(at: int, close: str) -> int | None:
+        j = -1 if close in missing else text.find(close, at)
+        if j < 0:
+            missing.add(close)
+            return None
+        return j + len(close)
+
+    def end(at: int, start: str) -> int | None:
+        if start == "'":
+            return closed(at + 1, "'") or len(text)
+        if start == '"':
+            return _SH_DOUBLE.match(text, at).end()
+        if start == "\\":
+            return at + 2 if at + 1 < len(text) else None
+        if start == "#":
+            if at and not (text[at - 1].isspace() or text[at - 1] == ";"):
+                return None
+            j = text.find("\n", at)
+            return j if j >= 0 else len(text)
+        if start == "<<":
+            m = _SH_HERE.match(text, at)
+            ends = marks.get(m[2], []) if m else []
+            k = bisect_left(ends, m.end() + len(m[2])) if m else 0
+            return ends[k] if k < len(ends) else None
+        return closed(at + len(start), "))" if start == "$((" else "}")
+
+    return end
+
+
+def _sh_masked(text: str) -> str:
+    """Comments as blanks; quoted texts, here-documents and expansions as underscores."""
+    end_of, parts, pos = _sh_ends(text), [], 0
+    while m := _SH_START.search(text, pos):
+        end = end_of(m.start(), m[0])
+        if end is None:
+            parts.append(text[pos : m.end()])
+            pos = m.end()
+            continue
+        parts += [text[pos : m.start()], (" " if m[0] == "#" else "_") * (end - m.start())]
+        pos = end
+    return "".join([*parts, text[pos:]])
+
+
 def _sh_close(masked: str, at: int) -> int:
     pair = {"{": "}", "(": ")"}[masked[at]]
     level = 0
@@ -182,7 +250,7 @@ def _sh_close(masked: str, at: int) -> int:
 @stop_when_full
 def shell_outline(out: Outline) -> None:
     """Functions and the names of assigned variables, at the top level; files that are sourced."""
-    masked = _SH_OPAQUE.sub(lambda m: _blanked(m, m[0].lstrip()[:1] == "#"), out.text)
+    masked = _sh_masked(out.text)
     at, nested = 0, 0
     while at < len(masked):
         if masked[at] in " \t\r\n;&|{}()":

@@ -228,11 +228,13 @@ _ALL = (doc_line_count, doc_text_summary, doc_text_functions, doc_csv_sniff, doc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .grammar_queries import grammar_queries
+    from .line_queries import line_queries
 
-    return {f.__name__: f for f in _ALL} | grammar_queries()
+    return {f.__name__: f for f in _ALL} | grammar_queries() | line_queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from .line_queries import line_sql
     from .sql import ORACLES
 
-    return dict(ORACLES)
+    return ORACLES | line_sql()

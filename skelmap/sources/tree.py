@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterator
+from heapq import nsmallest
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,48 +39,61 @@ def _wanted(name: str, is_dir: bool) -> bool:
 def walk(root: str, max_entries: int = MAX_ENTRIES, supported_only: bool = True) -> tuple[list[tuple[str, list[str], str, int, bool]], bool]:
     """Rows of SCHEMA for the files under root, and whether the walk stopped at max_entries.
 
-    Depth first, names of a folder in order; every name counts against max_entries, also one that is passed over. Symbolic links
-    and folders that can't be read are passed over.
+    Depth first, names of a folder in order: a folder is walked where its name comes, before the names after it. Every name that is come to counts
+    against max_entries, also one that is passed over; files come to before the end are kept. Of a folder no more names are held than
+    the walk can still come to. Symbolic links and folders that can't be read are passed over.
     """
-    found, left = [], max_entries
-    todo: list[tuple[str, list[str]] | tuple[str, list[str], int]] = [(root, [])]
+    found, left, stopped = [], max_entries, False
+
+    def names(path: str) -> Iterator[os.DirEntry]:
+        nonlocal stopped
+        try:
+            with os.scandir(path) as it:
+                entries = nsmallest(left + 1, it, key=lambda e: e.name)
+        except OSError:
+            return iter(())
+        stopped |= len(entries) > left
+        return iter(entries[:left])
+
+    todo: list[tuple[list[str], Iterator[os.DirEntry]]] = [([], names(root))]
     while todo:
-        top = todo.pop()
-        if len(top) == 3:
-            found.append((top[0], top[1], top[1][-1], top[2], False))
+        rel, entries = todo[-1]
+        e = next(entries, None)
+        if e is None:
+            todo.pop()
             continue
+        if left <= 0:
+            return found, True
+        left -= 1
         try:
-            with os.scandir(top[0]) as it:
-                entries = sorted(it, key=lambda e: e.name)
+            if e.is_symlink():
+                continue
+            info = e.stat(follow_symlinks=False)
         except OSError:
             continue
-        inside: list = []
-        for e in entries:
-            if left <= 0:
-                return found + [(p, r, r[-1], s, False) for p, r, s in (x for x in inside if len(x) == 3)], True
-            left -= 1
-            try:
-                if e.is_symlink():
-                    continue
-                info = e.stat(follow_symlinks=False)
-            except OSError:
-                continue
-            is_dir = stat.S_ISDIR(info.st_mode)
-            if not _wanted(e.name, is_dir):
-                continue
-            if is_dir:
-                inside.append((e.path, [*top[1], e.name]))
-            elif stat.S_ISREG(info.st_mode) and (not supported_only or py_format_of(e.name)):
-                inside.append((e.path, [*top[1], e.name], info.st_size))
-        todo.extend(reversed(inside))
-    return found, False
+        is_dir = stat.S_ISDIR(info.st_mode)
+        if not _wanted(e.name, is_dir):
+            continue
+        if is_dir:
+            todo.append(([*rel, e.name], names(e.path)))
+        elif stat.S_ISREG(info.st_mode) and (not supported_only or py_format_of(e.name)):
+            found.append((e.path, [*rel, e.name], e.name, info.st_size, False))
+    return found, stopped
 
 
 def listing(root: str) -> list[tuple[str, list[str], str, int, bool]] | None:
-    """One level of a folder, everything in it; None if it can't be read."""
+    """One level of a folder, everything in it; None if it can't be read. An entry that can't be looked at counts as an empty file."""
+
+    def row(e: os.DirEntry) -> tuple[str, list[str], str, int, bool]:
+        try:
+            is_dir = e.is_dir(follow_symlinks=False)
+            return e.path, [e.name], e.name, 0 if is_dir else e.stat(follow_symlinks=False).st_size, is_dir
+        except OSError:
+            return e.path, [e.name], e.name, 0, False
+
     try:
         with os.scandir(root) as it:
-            return sorted((e.path, [e.name], e.name, 0 if e.is_dir(follow_symlinks=False) else e.stat(follow_symlinks=False).st_size, e.is_dir(follow_symlinks=False)) for e in it)
+            return sorted(map(row, it))
     except OSError:
         return None
 

@@ -198,3 +198,50 @@ def test_stream_of_new_files(spark, tmp_path):
     got = {os.path.basename(r.path): (r.fmt, [d["text"] for d in r.decls]) for r in spark.read.parquet(out).collect()}
     assert got == {"a.py": ("Python", ["def f():"]), "b.json": ("JSON", ["{object, 1 key}", '"k": 1'])}
     shutil.rmtree(out)
+
+
+def test_the_walk_keeps_what_it_came_to(tmp_path):
+    """Depth first: a folder's files come before the names after the folder, and none is lost when the budget ends."""
+    (tmp_path / "a").mkdir()
+    for i in range(5):
+        (tmp_path / "a" / f"f{i}.py").write_text("")
+    for n in ("b.py", "c.py"):
+        (tmp_path / n).write_text("")
+    names = lambda budget: ["/".join(r[1]) for r in tree.walk(str(tmp_path), budget)[0]]
+    assert names(4) == ["a/f0.py", "a/f1.py", "a/f2.py"] and tree.walk(str(tmp_path), 4)[1]
+    assert names(7) == [f"a/f{i}.py" for i in range(5)] + ["b.py"] and tree.walk(str(tmp_path), 7)[1]
+    assert names(8) == [f"a/f{i}.py" for i in range(5)] + ["b.py", "c.py"] and not tree.walk(str(tmp_path), 8)[1]
+    assert names(2) == ["a/f0.py"]
+
+
+def test_one_bad_entry_does_not_lose_the_listing(tmp_path, monkeypatch):
+    import os
+
+    (tmp_path / "x.py").write_text("abc")
+    (tmp_path / "gone.py").write_text("")
+    own = os.scandir
+
+    class Entry:
+        def __init__(self, e):
+            self.e, self.name, self.path = e, e.name, e.path
+
+        def is_dir(self, follow_symlinks=True):
+            return self.e.is_dir(follow_symlinks=follow_symlinks)
+
+        def stat(self, follow_symlinks=True):
+            if self.name == "gone.py":
+                raise FileNotFoundError(self.path)
+            return self.e.stat(follow_symlinks=follow_symlinks)
+
+    class Listed:
+        def __init__(self, path):
+            self.it = own(path)
+
+        def __enter__(self):
+            return (Entry(e) for e in self.it)
+
+        def __exit__(self, *a):
+            self.it.close()
+
+    monkeypatch.setattr(tree.os, "scandir", Listed)
+    assert [(r[2], r[3]) for r in tree.listing(str(tmp_path))] == [("gone.py", 0), ("x.py", 3)]

@@ -3,6 +3,7 @@ import string
 
 import pytest
 
+from skelmap.functions.formats import GRAMMARS
 from skelmap.functions.parse import MAX_DECLS, parse
 from skelmap.plans.grammar_queries import SAMPLES
 
@@ -221,3 +222,31 @@ def test_strings_over_lines_end_nothing():
 def test_c_headers_with_macros_and_form_feeds():
     source = "__BEGIN_DECLS\n\nextern int f (int);\n\f\ntypedef int t;\n# define X(a) \\\n  { a\nstruct s { int x; };\n__END_DECLS\n"
     assert rows("C", source)[1] == [(3, 3, 0, "extern int f (int)"), (5, 5, 0, "typedef int t"), (8, 8, 0, "struct s")]
+
+
+HOSTILE = ["(", "{", "[", "a={}", "a,\n", "\n", "@a\n", '<a "', '<a "" ', "</b>", "<!", "<![", "x: [\n", "---\n#\n", "/*", "def f(", "class A\n", "=begin\n", "<<E\n", "${", "$((", "`", "(]", ".a{", '<x"', "public class A {"]
+
+
+@pytest.mark.parametrize("fmt", sorted(GRAMMARS))
+def test_hostile_text_takes_time_in_proportion(fmt):
+    """Four times the text takes about four times as long, and not sixteen times."""
+    import time
+
+    for piece in HOSTILE:
+        took = []
+        for size in (40_000, 160_000):
+            text = (piece * (size // len(piece) + 1))[:size]
+            started = time.perf_counter()
+            parse(fmt, text, 2, False)
+            took.append(time.perf_counter() - started)
+        assert took[1] < 0.4 or took[1] < 9 * took[0], (piece, took)
+
+
+def test_deeply_nested_html():
+    assert parse("HTML", "<body>" * 5000 + "<div>" * 5000 + "<script src='a.js'>", 2, False).imports == ["a.js"]
+
+
+def test_unclosed_quotes_and_tags():
+    found = parse("XML", '<a x="1"><b y=\'2><c/></a>', 2, False).decls
+    assert [d[3] for d in found][0].startswith("<a")
+    assert [d[3] for d in parse("XML", '<a><b q="<x>"/><c></c></a>', 2, False).decls] == ["<a> (2 children)", '<b q="<x>">', "<c>"]

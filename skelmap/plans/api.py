@@ -12,19 +12,14 @@ from ..functions.text import human_bytes, line_count, py_human_bytes
 from ..operators import directory
 from ..operators.limits import within_budget
 from ..operators.outline import MAX_FILE_BYTES, TOO_LARGE, bounded_depth, decoded, outline
+from ..operators.walk import CUT_SHORT, MISSING, MORE_ENTRIES, NO_ANCESTOR, OUTSIDE, TAIL
 from ..sources import tree
 
 # The messages.
 NO_PATH = "index: missing `path` argument."
-OUTSIDE = "index: {path} is outside the workspace; `index` is confined to the project directory. Use `read` for files outside it (host `read` can be unjailed), or copy the file in first."
-NO_ANCESTOR = "index: cannot access {asked} (No such file or directory (os error 2)). No directory above it exists inside the workspace; use `glob` to locate the file."
 NOT_LISTED = "index: no such path {asked} — `{missing}` is not in {here}, which could not be listed. Use `glob` to locate the file."
 EMPTY_FOLDER = "index: no such path {asked} — {here} is empty."
-MISSING = "index: no such path {asked} — `{missing}` is not in {here}, which contains: {entries}"
-MORE_ENTRIES = " Use `glob` if the file you want is not listed."
-TAIL = "  … and {more} more ({total} total)."
 NOTHING_HERE = "index: {display} contains no supported source files to outline.{contents} Use `grep`/`read` to explore it."
-CUT_SHORT = " — walk stopped at {limit} entries, so this is a LOWER BOUND; index a subdirectory for a complete view"
 SHOWN = " (showing {k}; index a specific file or subdirectory for the rest)"
 MAP_HEAD = "(map only — `index <file>` or `index <subdir>` for skeletons)"
 ROLLUP_HEAD = "(rolled up — `index <subdir>` to descend)"

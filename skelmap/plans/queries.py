@@ -229,12 +229,14 @@ _ALL = (doc_line_count, doc_text_summary, doc_text_functions, doc_csv_sniff, doc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .grammar_queries import grammar_queries
     from .line_queries import line_queries
+    from .request_queries import request_queries
 
-    return {f.__name__: f for f in _ALL} | grammar_queries() | line_queries()
+    return {f.__name__: f for f in _ALL} | grammar_queries() | line_queries() | request_queries()
 
 
 def oracle_sql() -> dict[str, str]:
     from .line_queries import line_sql
+    from .request_queries import request_sql
     from .sql import ORACLES
 
-    return ORACLES | line_sql()
+    return ORACLES | line_sql() | request_sql()

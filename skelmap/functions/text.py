@@ -23,7 +23,8 @@ def clip(c: Column) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    # possessive, and from the start of a run: each run is tried once
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def quote_clip(c: Column) -> Column:

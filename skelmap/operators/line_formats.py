@@ -1,11 +1,13 @@
 """Outlines of line formats: keys, sections, targets and stages as rows; digests of delimited data and logs.
 
-Input is a table of files with file_id and text. Rows come from exploded lines with windows over each file, digests from
-arrays of lines without a shuffle.
+Input is a table of files with file_id and text. Declarations and digests come from arrays of lines, in one pass without a
+shuffle; what follows a row is found by bisection of the rows of headers. `section_end` and `nested_sections` do the same for rows of a table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +26,6 @@ def looks_binary(content: Column) -> Column:
     return F.locate("\x00", F.substring(content, 1, 8192).cast("string")) > 0
 
 
-def file_lines(files: DataFrame) -> DataFrame:
-    """file_id, row (from 0), line; last_row of the file. A file without lines has no rows."""
-    each = files.select("file_id", lines(F.col("text")).alias("ls"))
-    return each.select("file_id", (F.size("ls") - 1).cast("long").alias("last_row"), F.posexplode("ls").alias("row", "line")).withColumn("row", F.col("row").cast("long"))
-
-
 def section_end(is_header: Column, by: list[str], row: str, last: Column) -> Column:
     """Row before the next header in the group, or the last row."""
     after = Window.partitionBy(*by).orderBy(row).rowsBetween(1, Window.unboundedFollowing)
@@ -58,74 +54,134 @@ def nested_sections(headings: DataFrame, by: list[str], row: str, level: str, la
     return out.drop(*[f"_{x}{k}" for x in "pn" for k in range(1, levels + 1)])
 
 
-def _decls(rows: DataFrame, wanted: Column, end: Column, indent: Column, text: Column) -> DataFrame:
-    return rows.where(wanted).select("file_id", F.col("row").alias("start"), end.cast("long").alias("end"), indent.cast("int").alias("indent"), text.alias("text"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def env_decls(files: DataFrame) -> DataFrame:
+def _after(rows: Column, row: Column) -> Column:
+    """The first of ascending rows that is after row, by bisection; null if none is."""
+    steps = F.array(*[F.lit(1 << k) for k in range(29, -1, -1)])
+    n = F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.coalesce(F.try_element_at(rows, lo + step) <= row, F.lit(False)), lo + step).otherwise(lo))
+    return F.try_element_at(rows, n + 1)
+
+
+def _decl(start: Column, end: Column, indent: Column, text: Column) -> Column:
+    return F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), indent.cast("int").alias("indent"), text.alias("text"))
+
+
+def _each(items: Column, **fields: Callable[[Column], Column]) -> Column:
+    """Structs of items with more fields; a field may use those of the items."""
+    return F.transform(items, lambda x: F.struct(x["row"].alias("row"), x["line"].alias("line"), x["t"].alias("t"), *[f(x).alias(name) for name, f in fields.items()]))
+
+
+def _rows(ls: Column) -> Column:
+    """Lines as structs of row (from 0), line and t, the line without white space at its ends."""
+    return F.transform(ls, lambda s, i: F.struct(i.alias("row"), s.alias("line"), stripped(s).alias("t")))
+
+
+def _sections(rows: Column, n_lines: Column, is_head: Callable[[Column], Column], body: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+    """body(rows, end), where end(x) is the row before the next header after x, or the last row."""
+    heads = lambda r: F.transform(F.filter(r, is_head), lambda x: x["row"])
+    return _let(rows, lambda r: _let(heads(r), lambda h: body(r, lambda x: F.greatest(x["row"], F.coalesce(_after(h, x["row"]) - 1, n_lines - 1)))))
+
+
+def env_list(ls: Column) -> Column:
     """Names of dotenv bindings, never values."""
-    t = stripped(F.col("line"))
-    rows = file_lines(files).withColumn("t", F.when(t.startswith("export "), F.regexp_replace(F.substring(t, 8, 1 << 30), r"(?U)^\s+", "")).otherwise(t)).withColumn("raw", t)
-    key = stripped(F.substring_index("t", "=", 1))
-    return _decls(rows, ~F.col("raw").startswith("#") & F.col("t").contains("=") & (key != ""), F.col("row"), F.lit(0), key)
+    bare = lambda x: F.when(x["t"].startswith("export "), F.regexp_replace(F.substring(x["t"], 8, 1 << 30), r"(?U)^\s+", "")).otherwise(x["t"])
+    rows = F.transform(_each(_rows(ls), bare=bare), lambda x: F.struct(x["row"].alias("row"), x["t"].alias("t"), x["bare"].alias("bare"), stripped(F.substring_index(x["bare"], "=", 1)).alias("key")))
+    named = F.filter(rows, lambda x: ~x["t"].startswith("#") & x["bare"].contains("=") & (x["key"] != ""))
+    return F.transform(named, lambda x: _decl(x["row"], x["row"], F.lit(0), x["key"]))
 
 
-def ini_decls(files: DataFrame) -> DataFrame:
+def ini_list(ls: Column) -> Column:
     """Sections with their spans, and names of keys."""
-    rows = file_lines(files).withColumn("t", stripped(F.col("line")))
-    rows = rows.withColumn("head", (F.octet_length("t") > 2) & F.col("t").startswith("[") & F.col("t").endswith("]"))
-    w = Window.partitionBy("file_id").orderBy("row")
-    rows = rows.withColumn("end", section_end(F.col("head"), ["file_id"], "row", F.col("last_row"))).withColumn("inside", F.coalesce(F.max(F.col("head").cast("int")).over(w), F.lit(0)))
-    key = stripped(F.regexp_extract("t", "^([^=:]*)[=:]", 1))
-    spoken = (F.col("t") != "") & ~F.col("t").startswith(";") & ~F.col("t").startswith("#")
-    return _decls(rows, spoken & (F.col("head") | (key != "")), F.when(F.col("head"), F.col("end")).otherwise(F.col("row")), F.when(F.col("head"), 0).otherwise(F.col("inside")), clip(F.when(F.col("head"), F.col("t")).otherwise(key)))
+    head = lambda x: (F.octet_length(x["t"]) > 2) & x["t"].startswith("[") & x["t"].endswith("]")
+    rows = _each(_rows(ls), head=head, key=lambda x: stripped(F.regexp_extract(x["t"], "^([^=:]*)[=:]", 1)))
 
+    def body(r: Column, end: Callable[[Column], Column]) -> Column:
+        first = F.element_at(F.concat(F.transform(F.slice(F.filter(r, lambda x: x["head"]), 1, 1), lambda x: x["row"]), F.array(F.lit((1 << 31) - 1))), 1)
+        spoken = F.filter(r, lambda x: (x["t"] != "") & ~x["t"].startswith(";") & ~x["t"].startswith("#") & (x["head"] | (x["key"] != "")))
+        return _let(first, lambda at: F.transform(spoken, lambda x: F.when(x["head"], _decl(x["row"], end(x), F.lit(0), clip(x["t"]))).otherwise(_decl(x["row"], x["row"], (x["row"] > at).cast("int"), clip(x["key"])))))
 
-def make_decls(files: DataFrame) -> DataFrame:
+    return _sections(rows, F.size(ls), lambda x: x["head"], body)
+
+
+def make_list(ls: Column) -> Column:
     """Make targets with the span to the next target, and names of variables."""
-    line = F.col("line")
-    name = stripped(F.substring_index(line, ":", 1))
-    flush = ~line.rlike("^[ \t]") & (stripped(line) != "")
-    target = flush & line.contains(":") & ~line.rlike("^[^:]*(:=|::=)") & (name != "") & ~name.contains("=")
-    rows = file_lines(files).withColumn("target", target)
-    rows = rows.withColumn("end", section_end(F.col("target"), ["file_id"], "row", F.col("last_row")))
-    variable = stripped(F.regexp_replace(F.substring_index("line", "=", 1), "[:?+!]+$", ""))
-    is_variable = ~line.rlike("^[ \t]") & line.contains("=") & (variable != "") & ~variable.rlike(r"(?U)\s")
-    wanted = ~line.startswith("\t") & ~line.rlike(r"(?U)^\s*#") & (F.col("target") | is_variable)
-    text = F.when(F.col("target"), squash(line)).otherwise(F.concat(variable, F.lit(" =")))
-    return _decls(rows, wanted, F.when(F.col("target"), F.col("end")).otherwise(F.col("row")), F.lit(0), clip(text))
 
+    def target(x: Column) -> Column:
+        line = x["line"]
+        name = stripped(F.substring_index(line, ":", 1))
+        return ~line.rlike("^[ \t]") & (x["t"] != "") & line.contains(":") & ~line.rlike("^[^:]*(:=|::=)") & (name != "") & ~name.contains("=")
 
-def docker_decls(files: DataFrame, parity: bool = False) -> DataFrame:
+    def is_variable(x: Column) -> Column:
+        return ~x["line"].rlike("^[ \t]") & x["line"].contains("=") & (x["variable"] != "") & ~x["variable"].rlike(r"(?U)\s")
+
+    def body(r: Column, end: Callable[[Column], Column]) -> Column:
+        wanted = F.filter(r, lambda x: ~x["line"].startswith("\t") & ~x["line"].rlike(r"(?U)^\s*#") & (x["target"] | is_variable(x)))
+        return F.transform(wanted, lambda x: F.when(x["target"], _decl(x["row"], end(x), F.lit(0), clip(squash(x["line"])))).otherwise(_decl(x["row"], x["row"], F.lit(0), clip(F.concat(x["variable"], F.lit(" ="))))))
+
+    rows = _each(_rows(ls), target=target, variable=lambda x: stripped(F.regexp_replace(F.substring_index(x["line"], "=", 1), r"(?<![:?+!])[:?+!]++$", "")))
+    return _sections(rows, F.size(ls), lambda x: x["target"], body)
+
+
+def docker_list(ls: Column, parity: bool = False) -> Column:
     """Build stages with their spans, and the instructions in them; names only of ENV and ARG.
 
     An instruction whose text looks like a secret is shown by its name only, and `ENV NAME value` without its value;
     with parity both are shown as they stand.
     """
-    t = stripped(F.col("line"))
-    rows = file_lines(files).withColumn("t", t).withColumn("word", F.upper(F.regexp_extract("t", r"(?U)^(\S+)", 1)))
-    starts = F.upper(F.regexp_replace("line", r"(?U)^\s+", "")).startswith("FROM ")
-    rows = rows.withColumn("end", section_end(starts, ["file_id"], "row", F.col("last_row")))
-    seen = F.coalesce(F.max((F.col("word") == "FROM").cast("int")).over(Window.partitionBy("file_id").orderBy("row")), F.lit(0))
-    rows = rows.withColumn("seen", seen)
-    words = F.slice(F.split(squash(F.col("t")), " "), F.lit(2), F.lit(1 << 30))
-    names = F.filter(F.transform(words, lambda w: F.substring_index(w, "=", 1)), lambda w: w != "")
-    if not parity:
+
+    def names(word: Column, words: Column) -> Column:
+        found = F.filter(F.transform(words, lambda w: F.substring_index(w, "=", 1)), lambda w: w != "")
+        if parity:
+            return found
         bare = F.array_compact(F.array(F.try_element_at(words, F.lit(1))))
-        names = F.when(F.size(words) == 0, words).when(words[0].contains("="), F.transform(F.filter(words, lambda w: w.rlike("^[A-Za-z_][A-Za-z0-9_]*=")), lambda w: F.substring_index(w, "=", 1))).when(F.col("word") == "ENV", bare).otherwise(names)
-    shown = squash(F.col("t"))
-    if not parity:
-        shown = F.when(value_looks_secret(shown), F.concat(F.col("word"), F.lit(" <redacted>"))).otherwise(shown)
-    text = F.when(F.col("word").isin("ENV", "ARG"), F.concat(F.col("word"), F.lit(" "), F.array_join(names, " "))).otherwise(shown)
-    stage = F.col("word") == "FROM"
-    wanted = ~F.col("t").startswith("#") & F.col("word").isin(INSTRUCTIONS)
-    return _decls(rows, wanted, F.when(stage, F.col("end")).otherwise(F.col("row")), F.when(stage, 0).otherwise(F.col("seen")), clip(text))
+        return F.when(F.size(words) == 0, words).when(words[0].contains("="), F.transform(F.filter(words, lambda w: w.rlike("^[A-Za-z_][A-Za-z0-9_]*=")), lambda w: F.substring_index(w, "=", 1))).when(word == "ENV", bare).otherwise(found)
+
+    def text(x: Column) -> Column:
+        words = F.slice(F.split(squash(x["t"]), " "), F.lit(2), F.lit(1 << 30))
+        shown = squash(x["t"])
+        if not parity:
+            shown = F.when(value_looks_secret(shown), F.concat(x["word"], F.lit(" <redacted>"))).otherwise(shown)
+        return clip(F.when(x["word"].isin("ENV", "ARG"), _let(words, lambda w: F.concat(x["word"], F.lit(" "), F.array_join(names(x["word"], w), " ")))).otherwise(shown))
+
+    def body(r: Column, end: Callable[[Column], Column]) -> Column:
+        stage = lambda x: x["word"] == "FROM"
+        first = F.element_at(F.concat(F.transform(F.slice(F.filter(r, stage), 1, 1), lambda x: x["row"]), F.array(F.lit((1 << 31) - 1))), 1)
+        wanted = F.filter(r, lambda x: ~x["t"].startswith("#") & x["word"].isin(INSTRUCTIONS))
+        return _let(first, lambda at: F.transform(wanted, lambda x: _decl(x["row"], F.when(stage(x), end(x)).otherwise(x["row"]), F.when(stage(x), 0).otherwise((x["row"] >= at).cast("int")), text(x))))
+
+    rows = _each(_rows(ls), word=lambda x: F.upper(F.regexp_extract(x["t"], r"(?U)^(\S+)", 1)))
+    return _sections(rows, F.size(ls), lambda x: F.upper(F.regexp_replace(x["line"], r"(?U)^\s+", "")).startswith("FROM "), body)
+
+
+def _decls(files: DataFrame, scan: Callable[[Column], Column]) -> DataFrame:
+    """file_id, start, end, indent, text of each declaration; no shuffle."""
+    return files.select("file_id", F.inline(_let(lines(F.col("text")), scan)))
+
+
+def env_decls(files: DataFrame) -> DataFrame:
+    return _decls(files, env_list)
+
+
+def ini_decls(files: DataFrame) -> DataFrame:
+    return _decls(files, ini_list)
+
+
+def make_decls(files: DataFrame) -> DataFrame:
+    return _decls(files, make_list)
+
+
+def docker_decls(files: DataFrame, parity: bool = False) -> DataFrame:
+    return _decls(files, lambda ls: docker_list(ls, parity))
 
 
-def csv_digest(files: DataFrame) -> DataFrame:
+def csv_digest(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """header (null if the first line is all numbers or empty), n_cols, n_rows, delimiter of each file."""
-    rows = files.select("file_id", lines(F.col("text")).alias("ls"))
-    rows = rows.select("file_id", F.size("ls").cast("long").alias("total"), F.coalesce(F.try_element_at("ls", F.lit(1)), F.lit("")).alias("first"))
+    rows = files.select("file_id", *keep, lines(F.col("text")).alias("ls"))
+    rows = rows.select("file_id", *keep, F.size("ls").cast("long").alias("total"), F.coalesce(F.try_element_at("ls", F.lit(1)), F.lit("")).alias("first"))
     tab, semi, comma = (F.length("first") - F.length(F.replace("first", F.lit(c), F.lit(""))) for c in ("\t", ";", ","))
     most = F.greatest(tab, semi, comma)
     rows = rows.withColumn("d", F.when((most == 0) | (comma == most), ",").when(semi == most, ";").otherwise("\t"))
@@ -134,6 +190,7 @@ def csv_digest(files: DataFrame) -> DataFrame:
     names = clip(F.array_join(F.transform("cols", stripped), ", "))
     return rows.select(
         "file_id",
+        *keep,
         F.when(head, names).alias("header"),
         F.size("cols").cast("long").alias("n_cols"),
         F.when(head, F.greatest(F.col("total") - 1, F.lit(0))).otherwise(F.col("total")).cast("long").alias("n_rows"),
@@ -141,13 +198,13 @@ def csv_digest(files: DataFrame) -> DataFrame:
     )
 
 
-def log_digest(files: DataFrame) -> DataFrame:
+def log_digest(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Line and byte counts, first and last line with text, lines that hold each severity word, first line with ERROR.
 
     One pass over an array of lines: no explode and no shuffle. files has file_id, text and, if it differs, size.
     """
     size = F.col("size") if "size" in files.columns else F.octet_length("text")
-    rows = files.select("file_id", size.cast("long").alias("bytes"), lines(F.col("text")).alias("ls"))
+    rows = files.select("file_id", *keep, size.cast("long").alias("bytes"), lines(F.col("text")).alias("ls"))
     full = F.filter(F.transform("ls", lambda s, i: F.struct((i + 1).cast("long").alias("row"), s.alias("s"))), lambda x: stripped(x.s) != "")
     rows = rows.withColumn("full", full)
     first, last = F.try_element_at("full", F.lit(1)), F.try_element_at("full", F.lit(-1))
@@ -155,6 +212,7 @@ def log_digest(files: DataFrame) -> DataFrame:
     error = F.array_position(F.transform("ls", lambda s: s.contains("ERROR")), True)
     return rows.select(
         "file_id",
+        *keep,
         F.size("ls").cast("long").alias("n_lines"),
         "bytes",
         human_bytes(F.col("bytes")).alias("size_text"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +12,6 @@ from ..functions.formats import GRAMMARS, extension
 from ..functions.parse import MAX_DECLS, parse
 from ..functions.text import base_name
 from . import line_formats
-from .limits import first_rows
 
 MAX_DEPTH = 8
 MAX_FILE_BYTES = 2 * 1024 * 1024
@@ -61,16 +60,13 @@ def grammar_decls(files: DataFrame, depth: int = 1, parity: bool = False, keep:
     return rows.mapInPandas(run, f"{schema}, imports array<string>, decls {DECLS}, truncated boolean")
 
 
-def line_decls(files: DataFrame, parity: bool = False) -> DataFrame:
-    """file_id, decls, truncated of dotenv, INI, Make and Docker files, at most 500 declarations each."""
-    scan = {"dotenv": line_formats.env_decls, "INI": line_formats.ini_decls, "Makefile": line_formats.make_decls, "Dockerfile": lambda f: line_formats.docker_decls(f, parity)}
-    each = [f(files.where(F.col("fmt") == name).select("file_id", "text")) for name, f in scan.items()]
-    rows = each[0]
-    for more in each[1:]:
-        rows = rows.unionByName(more)
-    kept = first_rows(rows, ["file_id"], [F.col("start")], MAX_DECLS + 1, "nth")
-    some = F.struct("start", "end", "indent", "text")
-    return kept.groupBy("file_id").agg(F.array_sort(F.collect_list(F.when(F.col("nth") <= MAX_DECLS, some))).alias("decls"), (F.max("nth") > MAX_DECLS).alias("truncated"))
+def _line_body(fmt: Column, ls: Column, parity: bool) -> Column:
+    """Text of a dotenv, INI, Make or Docker file: at most 500 declarations."""
+    found = F.when(fmt == "dotenv", line_formats.env_list(ls)).when(fmt == "INI", line_formats.ini_list(ls)).when(fmt == "Makefile", line_formats.make_list(ls)).otherwise(line_formats.docker_list(ls, parity))
+    table = F.create_map(*[F.lit(x) for pair in NOTHING.items() for x in pair])
+    foot = F.when(fmt == "dotenv", VALUES_OMITTED).otherwise("")
+    some = lambda d: F.concat(decl_lines(F.slice(d, 1, MAX_DECLS), F.size(d) > MAX_DECLS), foot)
+    return F.transform(F.array(found), lambda d: F.when(F.size(d) == 0, table[fmt]).otherwise(some(d)))[0]
 
 
 def decl_lines(decls: Column, truncated: Column) -> Column:
@@ -96,37 +92,49 @@ def _log_text() -> Column:
     return F.concat(F.format_string(LOG_HEAD, "n_lines", "size_text"), ends, matches, F.lit(LOG_FOOT))
 
 
-def outline(files: DataFrame, depth: int | None = 1, parity: bool = False) -> DataFrame:
-    """Outline of files (file_id, name, fmt, content): file_id, name, fmt, text, is_error.
+def _grammar_scan(depth: int, parity: bool) -> Callable[..., Column]:
+    @F.pandas_udf(f"imports array<string>, decls {DECLS}, truncated boolean")
+    def scan(fmt: pd.Series, text: pd.Series) -> pd.DataFrame:
+        found = [None if t is None else parse(f, t, depth, parity) for f, t in zip(fmt, text)]
+        decls = [x and [{"start": a, "end": b, "indent": i, "text": s} for a, b, i, s in x.decls] for x in found]
+        return pd.DataFrame({"imports": [x and x.imports for x in found], "decls": decls, "truncated": [x and x.truncated for x in found]})
+
+    return scan
+
+
+def outline(files: DataFrame, depth: int | None = 1, parity: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """Outline of files (file_id, name, fmt, content): file_id, the columns keep, name, fmt, text, is_error.
 
     name heads the text. Files over 2 MiB, without content or of no known format get a message and is_error. With parity,
-    quirks stay that are mended otherwise (README).
+    quirks stay that are mended otherwise (README). One pass over the files, without a join or shuffle: only texts of grammars go to Python
+    workers, and a row's format chooses the expression that is worked out. file_id may be null or repeated.
     """
-    depth = bounded_depth(depth)
-    size = F.length("content").cast("long")
-    rows = files.select("file_id", "name", "fmt", "content", size.alias("size"))
-    known = rows.where((F.col("size") <= MAX_FILE_BYTES) & F.col("fmt").isNotNull()).withColumn("binary", line_formats.looks_binary(F.col("content"))).withColumn("text", decoded(F.col("content")))
-    is_line = ~F.col("fmt").isin(list(GRAMMARS))
-    clear = known.where(is_line & ~F.col("binary"))
-
-    g = grammar_decls(known, depth, parity)
-    imports = F.when(F.size("imports") > 0, F.concat(F.lit("  imports: "), F.array_join("imports", ", "), F.lit("\n"))).otherwise("")
-    nothing = F.when((F.size("imports") == 0) & (F.size("decls") == 0), NO_DECLS).otherwise("")
-    bodies = g.select("file_id", F.concat(imports, decl_lines(F.col("decls"), F.col("truncated")), nothing).alias("body"))
-
-    scanned = clear.where(F.col("fmt").isin(list(NOTHING))).select("file_id", "fmt").join(line_decls(clear, parity), "file_id", "left")
-    table = F.create_map(*[F.lit(x) for pair in NOTHING.items() for x in pair])
-    foot = F.when(F.col("decls").isNull(), table[F.col("fmt")]).when(F.col("fmt") == "dotenv", VALUES_OMITTED).otherwise("")
-    bodies = bodies.unionByName(scanned.select("file_id", F.concat(F.coalesce(decl_lines(F.col("decls"), F.col("truncated")), F.lit("")), foot).alias("body")))
-    bodies = bodies.unionByName(line_formats.csv_digest(clear.where("fmt = 'CSV'")).select("file_id", _csv_text().alias("body")))
-    bodies = bodies.unionByName(line_formats.log_digest(clear.where("fmt = 'log/text'")).select("file_id", _log_text().alias("body")))
-    bodies = bodies.unionByName(known.where(is_line & F.col("binary")).select("file_id", F.lit(BINARY).alias("body")))
-
-    good = rows.select("file_id", "name", "fmt").join(bodies, "file_id").select("file_id", "name", "fmt", F.concat("name", F.lit("\n"), "body").alias("text"), F.lit(False).alias("is_error"))
-    bad = rows.where(F.col("content").isNull() | (F.col("size") > MAX_FILE_BYTES) | F.col("fmt").isNull())
+    size, fmt = F.length("content").cast("long"), F.col("fmt")
+    is_grammar = fmt.isin(list(GRAMMARS))
+    good = F.coalesce((size <= MAX_FILE_BYTES) & fmt.isNotNull(), F.lit(False))
+    rows = files.select("file_id", *keep, "name", "fmt", "content", size.alias("size"), good.alias("_good"), (good & ~is_grammar & line_formats.looks_binary(F.col("content"))).alias("_binary"))
+    text = F.when(F.col("_good") & ~F.col("_binary"), decoded(F.col("content")))
+    rows = rows.select(*keep, "file_id", "name", "fmt", "size", "_good", "_binary", F.col("content").isNull().alias("_unread"), text.alias("text"))
+    kept = [*keep, "name", "fmt", "size", "_good", "_binary", "_unread"]
+
+    scan = _grammar_scan(bounded_depth(depth), parity)
+    rows = rows.withColumn("_g", scan("fmt", F.when(is_grammar, F.col("text"))))
+    g = F.col("_g")
+    imports = F.when(F.size(g["imports"]) > 0, F.concat(F.lit("  imports: "), F.array_join(g["imports"], ", "), F.lit("\n"))).otherwise("")
+    nothing = F.when((F.size(g["imports"]) == 0) & (F.size(g["decls"]) == 0), NO_DECLS).otherwise("")
+    scanned = F.transform(F.array(line_formats.lines(F.col("text"))), lambda ls: _line_body(fmt, ls, parity))[0]
+    body = F.when(is_grammar, F.concat(imports, decl_lines(g["decls"], g["truncated"]), nothing)).when(F.col("_binary"), BINARY).when(fmt.isin(list(NOTHING)), scanned)
+    rows = rows.select("file_id", *kept, F.when(~fmt.isin(*GRAMMARS, *NOTHING), F.col("text")).alias("text"), F.when(F.col("_good"), body).alias("_body"))
+
+    logs = F.when(fmt == "log/text", F.col("text"))
+    rows = line_formats.csv_digest(rows.withColumn("_log", logs).withColumn("text", F.when(fmt == "CSV", F.col("text"))), [*kept, "_body", "_log"])
+    rows = rows.select("file_id", *kept, F.coalesce("_body", F.when(F.col("_good") & (fmt == "CSV"), _csv_text())).alias("_body"), F.col("_log").alias("text"))
+    rows = line_formats.log_digest(rows, [*kept, "_body"])
+    rows = rows.withColumn("_body", F.coalesce("_body", F.when(F.col("_good") & (fmt == "log/text"), _log_text())))
+
     message = (
-        F.when(F.col("content").isNull(), F.format_string(UNREADABLE, "name"))
+        F.when(F.col("_unread"), F.format_string(UNREADABLE, "name"))
         .when(F.col("size") > MAX_FILE_BYTES, F.format_string(TOO_LARGE, "size"))
         .otherwise(F.format_string(UNSUPPORTED, extension(base_name(F.col("name")))))
     )
-    return good.unionByName(bad.select("file_id", "name", "fmt", message.alias("text"), F.lit(True).alias("is_error")))
+    return rows.select("file_id", *keep, "name", "fmt", F.when(F.col("_good"), F.concat("name", F.lit("\n"), "_body")).otherwise(message).alias("text"), (~F.col("_good")).alias("is_error"))

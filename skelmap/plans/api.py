@@ -95,7 +95,7 @@ def files_table(spark: SparkSession, path: str, **options) -> DataFrame:
 def outline_tree(spark: SparkSession, path: str, depth: int | None = 1, parity: bool = False) -> DataFrame:
     """Outlines of all supported files of a tree, however many: rel, name, fmt, text, is_error. Nothing is gathered."""
     files = tree.with_content(files_table(spark, path, maxEntries=str(1 << 62)).where(F.col("size") <= MAX_FILE_BYTES))
-    keyed = files.withColumn("file_id", F.xxhash64("path")).withColumn("name", F.array_join("rel", "/"))
+    keyed = files.withColumn("file_id", F.col("path")).withColumn("name", F.array_join("rel", "/"))
     return outline(keyed, depth, parity).withColumnRenamed("name", "rel")
 
 
@@ -107,9 +107,9 @@ def _note(cut: int) -> str:
 def _skeletons(files: DataFrame, display: str, depth: int, n: int, cut: int) -> str:
     bodies = tree.with_content(files).where(F.col("content").isNotNull())
     head = F.concat(F.array_join("rel", "/"), F.lit(" ("), line_count(decoded(F.col("content"))).cast("string"), F.lit(" lines, "), human_bytes(F.length("content")), F.lit(")"))
-    keyed = bodies.withColumn("file_id", F.xxhash64("path")).withColumn("name", head)
-    text = outline(keyed, depth).where(~F.col("is_error")).select("file_id", F.concat("text", F.lit("\n")).alias("text"))
-    rows = text.join(keyed.select("file_id", "rel"), "file_id").withColumn("bytes", F.octet_length("text")).withColumn("one", F.lit(1))
+    keyed = bodies.withColumn("file_id", F.col("path")).withColumn("name", head)
+    text = outline(keyed, depth, keep=["rel"]).where(~F.col("is_error")).select("rel", F.concat("text", F.lit("\n")).alias("text"))
+    rows = text.withColumn("bytes", F.octet_length("text")).withColumn("one", F.lit(1))
     kept = within_budget(rows, ["one"], [F.col("rel")], "bytes", directory.MAX_SHOWN_FILES, directory.MAX_SHOWN_BYTES)
     shown = [r.text for r in kept.orderBy("rel").select("text").collect()]  # under 200 files and 256 KiB
     some = SHOWN.format(k=len(shown)) if len(shown) < n else ""

@@ -245,3 +245,18 @@ def test_one_bad_entry_does_not_lose_the_listing(tmp_path, monkeypatch):
 
     monkeypatch.setattr(tree.os, "scandir", Listed)
     assert [(r[2], r[3]) for r in tree.listing(str(tmp_path))] == [("gone.py", 0), ("x.py", 3)]
+
+
+def test_a_tree_is_read_once(spark, small):
+    """One listing, one read of bodies, one trip to Python workers for grammars, no join and no shuffle."""
+    plan = api.outline_tree(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert [plan.count(w) for w in ("BatchScan", "MapInPandas", "ArrowEvalPython", "Exchange", "Join")] == [1, 1, 1, 0, 0]
+
+
+def test_files_may_share_an_id(spark):
+    from skelmap.operators.outline import outline
+
+    rows = [(1, "a.py", "Python", bytearray(b"import os\n"), 10), (1, "b.env", "dotenv", bytearray(b"A=1\n"), 20), (None, "c.log", "log/text", bytearray(b"x"), 30), (None, "d.md", "Markdown", None, 40)]
+    got = {r.tag: (r.name, r.is_error, r.text) for r in outline(spark.createDataFrame(rows, "file_id long, name string, fmt string, content binary, tag int"), keep=["tag"]).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {10: ("a.py", False), 20: ("b.env", False), 30: ("c.log", False), 40: ("d.md", True)}
+    assert got[20][2] == "b.env\n  [1-1]      A\n  (values omitted — .env may contain secrets)\n"

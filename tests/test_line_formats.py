@@ -128,3 +128,47 @@ def test_within_budget(spark):
     assert got == {("g", i) for i in range(5)} | {("h", 0)}
     got = {(r.g, r.i) for r in limits.within_budget(df, ["g"], [F.col("i")], "size", 3, 10**9).collect()}
     assert got == {("g", i) for i in range(3)} | {("h", 0), ("h", 1)}
+
+
+def test_spans_against_a_loop(spark):
+    """Stages and sections end before the next header, told by a loop over the lines."""
+    rng = random.Random(6)
+    texts = ["\n".join(rng.choice(["FROM a", "FROM\tb", "  from c", "RUN x", "# FROM no", "", "[s]", "k=v", "; [n]", "[]"]) for _ in range(rng.randrange(0, 40))) for _ in range(60)]
+    got = {}
+    for r in lf.docker_decls(files(spark, *texts)).collect():
+        got.setdefault(r.file_id, {})[r.start] = (r.end, r.indent)
+    sections = {}
+    for r in lf.ini_decls(files(spark, *texts)).collect():
+        sections.setdefault(r.file_id, {})[r.start] = (r.end, r.indent)
+    for i, text in enumerate(texts):
+        ls, stages, parts = text.split("\n")[: None if not text.endswith("\n") else -1] if text else [], {}, {}
+        upper = [s.strip().upper() for s in ls]
+        starts = [n for n, s in enumerate(ls) if s.lstrip().upper().startswith("FROM ")]
+        first = next((n for n, s in enumerate(upper) if s.split()[:1] == ["FROM"]), 10**9)
+        heads = [n for n, s in enumerate(ls) if s == "[s]"]
+        for n, s in enumerate(upper):
+            after = lambda found: next((m - 1 for m in found if m > n), len(ls) - 1)
+            if s.split()[:1] == ["FROM"]:
+                stages[n] = (after(starts), 0)
+            elif s.startswith("RUN"):
+                stages[n] = (n, int(n > first))
+            if ls[n] == "[s]":
+                parts[n] = (after(heads), 0)
+            elif ls[n] == "k=v":
+                parts[n] = (n, int(bool(heads) and n > heads[0]))
+        assert got.get(i, {}) == stages and sections.get(i, {}) == parts, text
+
+
+def test_long_runs_take_time_in_proportion(spark):
+    import time
+
+    df = files(spark, "x" + " " * 300_000 + "=1", "x" + ":" * 300_000 + "y=1", "FROM x\n" * 40_000, "[s]\n" * 40_000, None, "")
+    began = time.time()
+    for scan in (lf.env_decls, lf.ini_decls, lf.make_decls, lf.docker_decls):
+        scan(df).count()
+    assert time.time() - began < 60
+
+
+def test_declarations_don_t_shuffle(spark):
+    for scan in (lf.env_decls, lf.ini_decls, lf.make_decls, lf.docker_decls):
+        assert "Exchange" not in scan(files(spark, "a=1"))._jdf.queryExecution().executedPlan().toString()

@@ -160,3 +160,10 @@ e AS (SELECT *, CASE WHEN base = '.env' OR starts_with(base, '.env.') THEN 'env'
 SELECT page_id, base, ext, f.name AS format FROM e LEFT JOIN (VALUES {_FORMATS}) AS f(x, name) ON f.x = lower(ext)""",
     **grammar_sql(),
 }
+
+# Every binding of a document, and every host, where the two above take the first binding and hosts of at most 300 pages.
+_BINDING = r"([A-Za-z_]+) *[=:] *(\S+)"
+ORACLES["doc_secret_bindings"] = f"""
+WITH b AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_BINDING}', 0)) AS b FROM documents), d AS (SELECT doc_id, regexp_extract(b, '{_BINDING}', 1) AS k, regexp_extract(b, '{_BINDING}', 2) AS v FROM b),
+""" + ORACLES["doc_secret_scan"].split("\n", 2)[2]
+ORACLES["page_order_all"] = ORACLES["page_order"].replace(" SEMI JOIN small USING (host)", "")

@@ -64,6 +64,19 @@ def test_declarations_are_capped(fmt):
     assert len(few.decls) == 500 and not few.truncated
 
 
+#: fmt: a declaration, and an import that stands after more of them than are kept
+LATE = {
+    "CSS": (".a {{ x: y }}\n", '@import url("late");\n'),
+}
+
+
+@pytest.mark.parametrize("fmt", LATE)
+def test_imports_are_found_after_the_last_declaration_that_is_kept(fmt):
+    piece, late = LATE[fmt]
+    out = parse(fmt, "".join(piece.format(i) for i in range(MAX_DECLS + 1)) + late, 2)
+    assert out.imports == ["late"] and len(out.decls) == MAX_DECLS and out.truncated
+
+
 def test_wide_header_is_clipped():
     (_, _, _, text), = rows("Go", "func f(" + ", ".join(f"a{i} int" for i in range(400)) + ") {\n}\n")[1]
     assert len(text) == 201 and text.endswith("…")

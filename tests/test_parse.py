@@ -77,6 +77,21 @@ def test_imports_are_found_after_the_last_declaration_that_is_kept(fmt):
     assert out.imports == ["late"] and len(out.decls) == MAX_DECLS and out.truncated
 
 
+#: fmt: a declaration that is open when the cap is reached, a part of it, its end, and its row in the outline
+OPEN = {
+    "JSON": ("{\n", '"k{}": 1,\n', "}\n", (1, 602, 0, "{object, 600 keys}")),
+    "TOML": ("[t]\n", "k{} = 1\n", "", (1, 601, 0, "[t]")),
+}
+
+
+@pytest.mark.parametrize("fmt", OPEN)
+def test_declarations_that_are_open_at_the_cap_get_their_end(fmt):
+    head, part, foot, row = OPEN[fmt]
+    text = head + "".join(part.format(i) for i in range(600)) + foot
+    out = parse(fmt, text, 2)
+    assert rows(fmt, text, 2)[1][0] == row and len(out.decls) == MAX_DECLS and out.truncated
+
+
 def test_wide_header_is_clipped():
     (_, _, _, text), = rows("Go", "func f(" + ", ".join(f"a{i} int" for i in range(400)) + ") {\n}\n")[1]
     assert len(text) == 201 and text.endswith("…")

@@ -67,6 +67,7 @@ def test_declarations_are_capped(fmt):
 #: fmt: a declaration, and an import that stands after more of them than are kept
 LATE = {
     "CSS": (".a {{ x: y }}\n", '@import url("late");\n'),
+    "Ruby": ("def f{}\nend\n", "require 'late'\n"),
 }
 
 
@@ -81,6 +82,7 @@ def test_imports_are_found_after_the_last_declaration_that_is_kept(fmt):
 OPEN = {
     "JSON": ("{\n", '"k{}": 1,\n', "}\n", (1, 602, 0, "{object, 600 keys}")),
     "TOML": ("[t]\n", "k{} = 1\n", "", (1, 601, 0, "[t]")),
+    "Ruby": ("class C\n", "def f{}; end\n", "end\n", (1, 602, 0, "class C")),
 }
 
 

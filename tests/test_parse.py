@@ -67,6 +67,7 @@ def test_declarations_are_capped(fmt):
 #: fmt: a declaration, and an import that stands after more of them than are kept
 LATE = {
     "CSS": (".a {{ x: y }}\n", '@import url("late");\n'),
+    "JavaScript": ("function f{}() {{}}\n", "import x from 'late';\n"),
     "Java": ("class C{} {{ int go() {{ return 1; }} }}\n", "import late;\n"),
     "Ruby": ("def f{}\nend\n", "require 'late'\n"),
 }

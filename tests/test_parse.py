@@ -68,6 +68,7 @@ def test_declarations_are_capped(fmt):
 LATE = {
     "CSS": (".a {{ x: y }}\n", '@import url("late");\n'),
     "JavaScript": ("function f{}() {{}}\n", "import x from 'late';\n"),
+    "Rust": ("fn f{}() {{}}\n", "use late;\n"),
     "Java": ("class C{} {{ int go() {{ return 1; }} }}\n", "import late;\n"),
     "Ruby": ("def f{}\nend\n", "require 'late'\n"),
 }

@@ -71,6 +71,7 @@ LATE = {
     "TSX": ("const V{} = () => <b/>;\n", "import x from 'late';\n"),
     "Rust": ("fn f{}() {{}}\n", "use late;\n"),
     "TypeScript": ("interface I{} {{ a: b }}\n", "import x from 'late';\n"),
+    "Go": ("func f{}() {{}}\n", 'import "late"\n'),
     "Java": ("class C{} {{ int go() {{ return 1; }} }}\n", "import late;\n"),
     "Ruby": ("def f{}\nend\n", "require 'late'\n"),
 }

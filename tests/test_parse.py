@@ -74,6 +74,7 @@ LATE = {
     "Go": ("func f{}() {{}}\n", 'import "late"\n'),
     "Java": ("class C{} {{ int go() {{ return 1; }} }}\n", "import late;\n"),
     "Ruby": ("def f{}\nend\n", "require 'late'\n"),
+    "Shell": ("f{}() {{\n  :\n}}\n", "source late\n"),
 }
 
 

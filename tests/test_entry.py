@@ -134,3 +134,16 @@ def test_secret_scan_judges_every_binding(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.doc_id, r.k, r.redact) for r in entry.queries()["doc_secret_scan"](spark, str(tmp_path)).collect())
     assert got == [(0, "color", False), (0, "password", True), (0, "url", True), (3, "a", False), (3, "b", False), (4, "token", True)]
+
+
+def test_secret_scan_takes_values_with_vertical_tabs(spark, tmp_path):
+    """A value ends where the SQL's does: at a blank, tab, line end or form feed."""
+    import duckdb
+
+    texts = ["password=\x0bhunter2", "token: 1\x0babc", "salt =\x0c5 dsn=a\tb", "key=a\rb"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in entry.queries()["doc_secret_scan"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(entry.oracle_sql()["doc_secret_scan"]).fetchall())
+    assert [(r[0], r[1], r[-1]) for r in got] == [(0, "password", True), (1, "token", True), (2, "dsn", True), (3, "key", True)]

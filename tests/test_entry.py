@@ -147,3 +147,17 @@ def test_secret_scan_takes_values_with_vertical_tabs(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(con.execute(entry.oracle_sql()["doc_secret_scan"]).fetchall())
     assert [(r[0], r[1], r[-1]) for r in got] == [(0, "password", True), (1, "token", True), (2, "dsn", True), (3, "key", True)]
+
+
+def test_page_order_takes_odd_addresses(spark, tmp_path):
+    """Pages without an address or host are ranked among themselves, missing paths last; the query string goes, line separators in it too."""
+    import duckdb
+
+    urls = ["http://h.org/b", "", None, "/", "?x/y", "http://h.org/a?q\r/z", "http://h.org/a# ", "http://h.org", None, "http://h.org/a?q\n/z", "http://h.org/a?q\n"]
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = {(r[0], r[1], r[2]) for r in con.execute(entry.oracle_sql()["page_order_all"]).fetchall()}
+    got = [(r.page_id, r.host, r.place) for r in entry.queries()["page_order"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(urls) and set(got) == want
+    assert [i for i, host, _ in sorted(got, key=lambda r: r[2]) if host is None] == [1, 3, 4, 2, 8]

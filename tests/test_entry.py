@@ -161,3 +161,23 @@ def test_page_order_takes_odd_addresses(spark, tmp_path):
     got = [(r.page_id, r.host, r.place) for r in entry.queries()["page_order"](spark, str(tmp_path)).collect()]
     assert len(got) == len(urls) and set(got) == want
     assert [i for i, host, _ in sorted(got, key=lambda r: r[2]) if host is None] == [1, 3, 4, 2, 8]
+
+
+def test_typescript_lines_beyond_the_caps_against_sql(spark, tmp_path):
+    """Documents with declarations around the cap of 500, the cap between an interface and its member too, and imports after it."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(11)
+    mixed = ["\n".join("export class {"[: 4 * rng.randrange(3)] + "x" * k for k in rng.choices(range(4), [rng.random() for _ in range(4)], k=rng.randrange(300, 900))) for _ in range(30)]
+    one_kind = ["\n".join(["xxx"] * n + ["x"] * m + [""] * 50) for n in (249, 250, 251) for m in (0, 1, 2)]
+    spark.createDataFrame(list(enumerate([*mixed, *one_kind, None])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["lines_typescript"])
+    columns = [d[0] for d in want.description]
+    want = sorted(want.fetchall(), key=repr)
+    got = sorted((tuple(r) for r in entry.queries()["lines_typescript"](spark, str(tmp_path)).select(*columns).collect()), key=repr)
+    late = {r[0] for r in want if r[columns.index("truncated")]}
+    assert got == want and len(late) > 10

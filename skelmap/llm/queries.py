@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, chat_preference, exact_dedup, language_id, license_scan, mixing, quality, sentencepiece_codec, simhash, substring_dedup
+from . import ann_forest, byte_bpe, chat_preference, exact_dedup, importance, language_id, license_scan, mixing, quality, sentencepiece_codec, simhash, substring_dedup
 from .common import tables_dir
 
 #: Target weights of the mixture; other sources have weight 1.
@@ -68,5 +68,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.code_texts(tables_dir(spark, sf_dir, "documents"), model_file())
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(tables_dir(spark, sf_dir, "documents"), tables_dir(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.code_texts(tables_dir(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_preference, op2_language_id, op3_simhash, op4_exact_dedup, op5_ann_forest, op6_quality, op7_license_scan, op8_substring_dedup, op9_mixing, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_chat_preference, op2_language_id, op3_simhash, op4_exact_dedup, op5_ann_forest, op6_quality, op7_license_scan, op8_substring_dedup, op9_mixing, op10_sentencepiece, op11_importance, op13_byte_bpe)}

@@ -80,6 +80,32 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kep
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+OP11 = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS t),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT row, unnest(ws) AS w FROM d),
+bw AS (SELECT unnest(ws) AS w FROM b),
+words AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+codes AS (
+  SELECT w, xor(list_reduce(list_transform(range(0, length(x), 2), lambda i: CAST(CAST('0x' || substr(x, i + 1, 2) AS INT) AS BIGINT)),
+                lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM words, crc),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN codes USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN codes USING (w) GROUP BY 1),
+every AS (SELECT (SELECT coalesce(sum(n), 0)::DOUBLE FROM s) AS s, (SELECT coalesce(sum(n), 0)::DOUBLE FROM t) AS t),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * (every.s + 10000) / ((s.n::DOUBLE + 1) * (every.t + 10000)))) AS BIGINT) AS g
+  FROM s LEFT JOIN t USING (bucket), every),
+weights AS (SELECT row, sum(g) AS g FROM dw JOIN codes USING (w) JOIN gain USING (bucket) GROUP BY row),
+h AS (
+  SELECT d.row, doc_id, CAST(len(ws) AS BIGINT) AS n_features, CAST(coalesce(g, 0) AS BIGINT) AS weight,
+         CAST(CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) AS h
+  FROM d LEFT JOIN weights ON weights.row = d.row),
+scored AS (SELECT row, doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM h),
+ranked AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (row)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_preference": OP1, "op4_exact_dedup": OP4, "op7_license_scan": op7(), "op8_substring_dedup": OP8}
+    return {"op1_chat_preference": OP1, "op4_exact_dedup": OP4, "op7_license_scan": op7(), "op8_substring_dedup": OP8, "op11_importance": OP11}

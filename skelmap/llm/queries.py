@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, byte_bpe, chat_preference, exact_dedup, importance, language_id, license_scan, mixing, quality, sentencepiece_codec, simhash, substring_dedup
+from . import ann_forest, byte_bpe, chat_preference, collocations, exact_dedup, importance, language_id, license_scan, mixing, quality, sentencepiece_codec, simhash, substring_dedup
 from .common import tables_dir
 
 #: Target weights of the mixture; other sources have weight 1.
@@ -72,6 +72,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(tables_dir(spark, sf_dir, "documents"), tables_dir(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(tables_dir(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,4 +83,4 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_preference, op2_language_id, op3_simhash, op4_exact_dedup, op5_ann_forest, op6_quality, op7_license_scan, op8_substring_dedup, op9_mixing, op10_sentencepiece, op11_importance, op13_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat_preference, op2_language_id, op3_simhash, op4_exact_dedup, op5_ann_forest, op6_quality, op7_license_scan, op8_substring_dedup, op9_mixing, op10_sentencepiece, op11_importance, op12_collocations, op13_byte_bpe)}

@@ -106,6 +106,29 @@ ranked AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS rank,
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (row)
 """
 
+_OP12_CUTS = " UNION ALL ".join(
+    f"SELECT c.*, {k} AS k, l.f AS l, r.f AS r FROM c JOIN grams l ON l.lang = c.lang AND l.ws = c.ws[:{k}] JOIN grams r ON r.lang = c.lang AND r.ws = c.ws[{k + 1}:] WHERE len(c.ws) > {k}"
+    for k in range(1, 5)
+)
+_OP12_INSIDE = " UNION ALL ".join(
+    f"SELECT lang, ws[{i + 1}:{i + m}] AS ws, f FROM c WHERE len(ws) >= {i + m} AND len(ws) > {m}" for m in range(2, 5) for i in range(6 - m)
+)
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS ws FROM d),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+runs AS ({" UNION ALL ".join(f"SELECT lang, unnest(list_transform(range(1, len(ws) - {m - 2}), lambda i: ws[i:i + {m - 1}])) AS ws FROM p WHERE len(ws) >= {m}" for m in range(1, 6))}),
+grams AS (SELECT lang, ws, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT * FROM grams WHERE len(ws) > 1),
+cuts AS ({_OP12_CUTS}),
+scored AS (SELECT cuts.*, n, CAST(1000::HUGEINT * f * n // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts JOIN total USING (lang)),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+inside AS (SELECT lang, ws, max(f) AS longer FROM ({_OP12_INSIDE}) GROUP BY ALL),
+kept AS (SELECT best.*, array_to_string(best.ws, ' ') AS phrase FROM best LEFT JOIN inside USING (lang, ws) WHERE longer IS NULL OR 100 * longer < 100 * f)
+SELECT lang, row_number() OVER w AS rank, phrase, f AS a, l, r, n, score FROM kept
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_preference": OP1, "op4_exact_dedup": OP4, "op7_license_scan": op7(), "op8_substring_dedup": OP8, "op11_importance": OP11}
+    return {"op1_chat_preference": OP1, "op4_exact_dedup": OP4, "op7_license_scan": op7(), "op8_substring_dedup": OP8, "op11_importance": OP11, "op12_collocations": OP12}

@@ -240,14 +240,18 @@ def _classes(fps: DataFrame, points: DataFrame, links: DataFrame, node: str = "f
 
 # --- similarity of 0.8 ----------------------------------------------------------------------------------------------------
 #
-# Texts with a Jaccard similarity of 0.8 differ in about 10 bits of 64, far beyond what anchors can cover. So where a similarity is
-# asked for, min-hashes name more candidates, and the sets of shingles judge them; links within 3 bits come from the anchors as before.
+# Texts with a Jaccard similarity of 0.8 differ in about 10 bits of 64, far beyond what anchors can cover, and texts within 3 bits may be less alike. So
+# where a similarity is asked for, min-hashes name candidates beside those of the anchors, and the sets of shingles judge them all.
 
 HASHES = 256
 BANDS, BAND = 16, 5
 #: Standard error of the similarity that HASHES min-hashes tell, near 0.8; pairs that tell up to LOOSE of it less than asked for are judged.
 ERROR = 0.025
 LOOSE = 5
+#: Rows of a band that are compared with one another in one task; a larger band is laid out in tiles of so many by so many.
+TILE = 512
+#: Shingles that are counted at a time for the similarities of a tile.
+COLUMNS = 4096
 
 
 def _multipliers() -> np.ndarray:
@@ -338,24 +342,68 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
         yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
 
 
-def _open_pairs(root: np.ndarray, sig: np.ndarray, close) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Block by block, the places of all pairs of one group that are close and have different roots. Some come in both orders."""
-    _, number, count = np.unique(root, return_inverse=True, return_counts=True)
-    rest = np.flatnonzero(number != count.argmax())  # the rows of the largest root are met by the others
-    for p in range(0, len(rest), 128):
-        rows = rest[p : p + 128]
-        for q in range(0, len(root), 128):
-            i, j = np.nonzero((number[rows][:, None] != number[None, q : q + 128]) & close(sig[rows][:, None], sig[None, q : q + 128]))
-            yield rows[i], j + q
-
-
-def _similar(points: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
-    """Links (a, b) of points (node, sig, bands) that share a band and whose sets of shingles have a similarity of `similarity` or more.
-
-    Points of a band that no other has drop out before their min-hashes are sent. Min-hashes only choose what is judged. First
-    each group of a band sends a spanning forest of the pairs whose min-hashes tell `similarity`; those that the sets confirm
+def _open_pairs(root: np.ndarray, sig: np.ndarray, source: np.ndarray, target: np.ndarray, close) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Block by block, the places of all pairs of a source and a target that are close and have different roots. Some come in both orders."""
+    _, number = np.unique(root, return_inverse=True)
+    sources, targets = np.flatnonzero(source), np.flatnonzero(target)
+    for p in range(0, len(sources), 128):
+        rows = sources[p : p + 128]
+        for q in range(0, len(targets), 128):
+            others = targets[q : q + 128]
+            i, j = np.nonzero((number[rows][:, None] != number[None, others]) & close(sig[rows][:, None], sig[None, others]))
+            yield rows[i], others[j]
+
+
+def similarities(sets: list[np.ndarray], source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Jaccard similarities of the sources' sets with the targets', by matrix products over the shingles that several sets have."""
+    size = np.array([len(s) for s in sets], np.int64)
+    shingle, which, count = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    row = np.repeat(np.arange(len(sets)), size)
+    many = count[which] > 1
+    row, column = row[many], shared[which[many]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(source), len(target)))
+    for at in range(0, int(shared[-1]) + 1 if len(shared) else 0, COLUMNS):
+        here = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+        present = np.zeros((len(sets), COLUMNS), np.float32)
+        present[row[here], column[here] - at] = 1
+        both += present[source] @ present[target].T
+    every = size[source][:, None] + size[target][None, :] - both
+    return np.where(every > 0, both / np.maximum(every, 1), 1.0)
+
+
+def _tiles(classes: DataFrame) -> DataFrame:
+    """The rows of bands whose points are of several classes, laid out in tiles: key, tile, node, root, sig, source, target.
+
+    The points of a band's largest class are met by the others, which are the sources; all its points are targets. Sources and targets
+    are dealt to blocks of about TILE, and each block of the ones meets each of the others in a tile of its own. So a band whose points are nearly
+    all of one class stays linear, and one of many classes is spread over tasks that each hold two blocks.
+    """
+    sizes = classes.groupBy("key", "root").agg(F.count("*").alias("n"))
+    bands = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("n > top.n")
+    blocks = lambda n: F.ceil(n / F.lit(TILE)).cast("int")
+    bands = bands.select(F.col("key").alias("_key"), F.col("top.root").alias("_top"), blocks(F.col("n")).alias("_across"), blocks(F.col("n") - F.col("top.n")).alias("_down"))
+    rows = classes.join(bands, F.col("key") == F.col("_key")).withColumn("_is", F.col("root") != F.col("_top"))
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    tile = lambda down, across: F.struct(down.alias("down"), across.alias("across"))
+    as_target = F.transform(span(F.col("_down")), lambda d: tile(d, block(F.col("_across"))))
+    as_source = F.transform(span(F.col("_across")), lambda a: tile(block(F.col("_down")), a))
+    tiles = F.when(F.col("_is"), F.array_union(as_target, as_source)).otherwise(as_target)
+    source = F.col("_is") & (F.col("tile.down") == block(F.col("_down")))
+    target = F.col("tile.across") == block(F.col("_across"))
+    return rows.withColumn("tile", F.explode(tiles)).select(F.xxhash64("key", "tile").alias("tile"), "key", "node", "root", "sig", source.alias("source"), target.alias("target"))
+
+
+def _similar(points: DataFrame, docs: DataFrame, more: DataFrame, text_col: str, words: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) of points (node, sig, bands) whose sets of shingles have a similarity of `similarity` or more.
+
+    Candidates share a band, or are pairs of `more`. Points of a band that no other has drop out before their min-hashes are sent. Min-hashes only choose
+    what is judged. First each group of a band sends links, linear in its size, of pairs whose min-hashes tell `similarity`; those that the sets confirm
     make classes. Then the pairs of a group that lie in different classes and tell LOOSE standard errors less, or more, are all
-    compared by their sets, which only the points of such pairs send. All links are links of two sets. With the links come the tables that they are read from.
+    compared by their sets, tile by tile, which only the points of such pairs send. All links are links of two sets. With the links come the tables that they are read from.
     """
     # bytes agree by chance once in 256
     enough, loose = (HASHES * (s * (1 - 1 / 256) + 1 / 256) for s in (similarity, similarity - LOOSE * ERROR))
@@ -373,74 +421,77 @@ def _similar(points: DataFrame, docs: DataFrame, text_col: str, words: int, simi
         for i in np.flatnonzero(close(v[1:], v[:-1])):
             f.join(int(i), int(i) + 1)
 
+    def link_run(v: np.ndarray) -> list[tuple[int, int]]:
+        if len(v) <= 4 * SHORT:
+            return _link_run(v, close, ahead, block=128)
+        f = Forest(len(v))
+        ahead(v, f)
+        return f.links
+
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def load(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
             return b.column(1).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, HASHES)
 
-        return _link_groups(batches, load, close, lambda v: _link_run(v, close, ahead, dense=256, block=128))
+        return _link_groups(batches, load, close, link_run)
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = ([np.frombuffer(s, np.uint64) for s in c.to_pylist()] for c in b.columns[2:])
             yield b.select([0, 1]).filter(pa.array([jaccard(*xy) >= similarity for xy in zip(x, y)], pa.bool_()))
 
-    def columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        node, root = (t.column(c).to_numpy() for c in ("node", "root"))
-        return node, root, np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-
     def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t in _groups(batches):
-            node, root, sig = columns(t)
-            if (root == root[0]).all():
-                continue
-            mark = np.zeros(len(node), bool)
-            for i, j in _open_pairs(root, sig, perhaps):
+        for _, t in _groups(batches):
+            root, source, target = (t.column(c).to_numpy() for c in ("root", "source", "target"))
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+            mark = np.zeros(len(root), bool)
+            for i, j in _open_pairs(root, sig, source, target, perhaps):
                 mark[i] = mark[j] = True
             if mark.any():
-                kept = t.filter(pa.array(mark)).select(["key", "node", "root", "sig"])
-                yield from kept.to_batches(max_chunksize=4096)
+                yield from t.filter(pa.array(mark)).select(["tile", "node", "root", "source", "target"]).to_batches(max_chunksize=4096)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in _groups(batches):
-            node, root, sig = columns(t)
+            node, root = (t.column(c).to_numpy() for c in ("node", "root"))
+            source, target = (np.flatnonzero(t.column(c).to_numpy()) for c in ("source", "target"))
             sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
             f = Forest(len(node))
             first: dict[int, int] = {}
             for i, r in enumerate(root.tolist()):
                 f.join(first.setdefault(r, i), i)
             f.links.clear()  # those of one root are joined already
-            for i, j in _open_pairs(root, sig, perhaps):
-                for x, y in zip(i.tolist(), j.tolist()):
-                    if f.root(x) != f.root(y) and jaccard(sets[x], sets[y]) >= similarity:
-                        f.join(x, y)
+            for x, y in zip(*np.nonzero(similarities(sets, source, target) >= similarity)):
+                f.join(int(source[x]), int(target[y]))
             links = node[np.array(f.links, np.int64).reshape(-1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(links.max(axis=1, initial=-(2**63))), pa.array(links.min(axis=1, initial=2**63 - 1))], names=["a", "b"])
 
     rows = points.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = cut(rows.join(shared, "key", "left_semi").join(points.select("node", "sig"), "node").select("key", "node", "sig"), "simhash-met", "none")
-    likely = cut(met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(forest, "a long, b long").distinct(), "simhash-likely", "none")
+    likely = met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(forest, "a long, b long")
+    likely = cut(likely.unionByName(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct(), "simhash-likely", "none")
     ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
     sets = cut(_sets(docs, points, ends, text_col, words), "simhash-sets", "none")
     pairs = likely.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     sure = cut(pairs.select("a", "b", "x", "y").mapInArrow(confirmed, "a long, b long"), "simhash-sure", "none")
 
     discard(likely, sets)
-    classes = met.join(components(sure), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "sig")
-    left = cut(classes.repartition("key").sortWithinPartitions("key", "node").mapInArrow(still_open, "key long, node long, root long, sig binary"), "simhash-open", "none")
-    discard(met)
-    rest = left.join(_sets(docs, points, left.select("node").distinct(), text_col, words), "node").select("key", "node", "root", "sig", "set")
-    more = rest.repartition("key").sortWithinPartitions("key", "node").mapInArrow(judged, "a long, b long")
-    return sure.unionByName(more), [sure, left]
+    joined = cut(components(sure), "simhash-roots", "none")
+    classes = met.join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "sig")
+    open_rows = _tiles(classes).select("tile", "node", "root", "sig", "source", "target")
+    left = cut(open_rows.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(still_open, "tile long, node long, root long, source boolean, target boolean"), "simhash-open", "none")
+    discard(met, joined)
+    rest = left.join(_sets(docs, points, left.select("node").distinct(), text_col, words), "node").select("tile", "node", "root", "source", "target", "set")
+    found = rest.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(judged, "a long, b long")
+    return sure.unionByName(found), [sure, left]
 
 
 def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """near_groups() that also links texts whose shingle sets have a Jaccard similarity of `similarity` or more.
+    """Classes of texts whose shingle sets have a Jaccard similarity of `similarity` or more, as near_groups() gives its own.
 
-    Every such link is that of the two sets; min-hashes only find the pairs. A pair of a similarity of 0.8 is not found with a chance of
-    0.0017, as it shares no band, and a greater similarity with a lesser one (0.85: 0.0001); that its min-hashes tell LOOSE standard
-    errors too little has a chance of 0.000001. Rows with one text are one point; texts with one fingerprint each keep their
-    min-hashes and are linked to the least of them. Cases are as in near_groups(); digest is the SHA-256 of a row's text.
+    Candidates are fingerprints that meet at an anchor within MAX_BITS, texts with one fingerprint, and texts that share a band of min-hashes; every link is judged by
+    the two sets. A pair of a similarity of 0.8 whose fingerprints aren't near is not found with a chance of 0.0017, as it shares no band,
+    and a greater similarity with a lesser one (0.85: 0.0001); that its min-hashes tell LOOSE standard errors too little has a chance of
+    0.000001. Rows with one text are one point. Cases are as in near_groups(); digest is the SHA-256 of a row's text.
     """
     rows = cut(sketches(docs, text_col, id_col, words), "simhash-sketches")
     points = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min(F.struct("sig", "bands")).alias("s"))
@@ -448,9 +499,9 @@ def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     heads = cut(points.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "simhash-heads", "none")
     tied = points.join(heads.where("n > 1").select("fp", "head"), "fp").select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b")
     near = _anchor_links(heads).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    similar, read = _similar(points, docs, text_col, words, similarity)
+    links, read = _similar(points, docs, tied.unionByName(near), text_col, words, similarity)
     named = cut(points.select("digest", "node", "rep"), "simhash-nodes", "none")
-    out = _classes(rows.select("doc_id", "digest", "fp").join(named.select("digest", "node"), "digest"), named.select("node", "rep"), tied.unionByName(near).unionByName(similar), "node")
+    out = _classes(rows.select("doc_id", "digest", "fp").join(named.select("digest", "node"), "digest"), named.select("node", "rep"), links, "node")
     discard(points, heads, *read)
     return out
 

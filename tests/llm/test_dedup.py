@@ -398,12 +398,12 @@ def edge_table(seed=4):
 
 
 def brute_classes(table, k=5):
-    """Classes by the links within 3 bits and of a similarity of 0.8, all with all."""
-    sets, fps = [shingles(r[1], k) for r in table], [brute_simhash(r[1], k) for r in table]
+    """Classes by the links of a similarity of 0.8, all with all."""
+    sets = [shingles(r[1], k) for r in table]
     up = list(range(len(table)))
     for i in range(len(table)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 3 or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
                 a, b = up[i], up[j]
                 up = [min(a, b) if x in (a, b) else x for x in up]
     return up
@@ -431,4 +431,58 @@ def test_texts_of_one_fingerprint_keep_their_own_links(spark):
     assert len(set(fps[::2])) == 1 and len(set(fps[1::2])) == 12
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(table, DOCS)).collect()}
     want = brute_classes(table)
-    assert set(want) == {0} and got == dict.fromkeys(got, 0)
+    assert want == [i // 2 * 2 for i in range(24)] and got == dict(enumerate(want))  # one fingerprint links no texts that aren't alike
+
+
+def template_table(n, shared=250, own=45, seed=0):
+    """Texts of one template: all pairs have a similarity of about 0.73."""
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(shared)]
+    return [(i, " ".join(common + [f"o{i}x{j}x{rng.random()}" for j in range(own)]), None, None, None) for i in range(n)]
+
+
+def test_texts_of_a_template_below_the_similarity_all_stay(spark, monkeypatch):
+    """Their fingerprints are often within 3 bits and they share bands, in tiles and without."""
+    table = template_table(150)
+    assert 0.7 < len(shingles(table[0][1]) & shingles(table[1][1])) / len(shingles(table[0][1]) | shingles(table[1][1])) < 0.76
+    fps = [simhash.simhash(r[1], 5) for r in table]
+    assert any(bin(x ^ y).count("1") <= 3 for i, x in enumerate(fps) for y in fps[:i])
+    for tile in (simhash.TILE, 40):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        assert simhash.drop_near_copies(spark.createDataFrame(table, DOCS)).count() == 150
+
+
+def test_pairs_within_a_template_are_found_in_tiles(spark, monkeypatch):
+    """Near copies among many texts of one template, over several tiles, against all pairs."""
+    monkeypatch.setattr(simhash, "TILE", 16)
+    rng, table = random.Random(8), template_table(60, own=60)
+    for i in range(60, 140):
+        w = table[rng.randrange(60)][1].split()
+        for k in rng.sample(range(len(w)), rng.randrange(1, 10)):
+            w[k] = f"new{i}x{k}"
+        table.append((i, " ".join(w), None, None, None))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(table, DOCS)).collect()}
+    assert got == dict(enumerate(brute_classes(table)))
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs of a similarity of 0.8 to 0.9, each with words of its own."""
+    rng, table = random.Random(12), []
+    for g in range(200):
+        base = [f"g{g}w{i}" for i in range(rng.randrange(120, 300))]
+        cut = round(len(base) * rng.uniform(0.81, 0.9))
+        table += [(len(table), " ".join(base), None, None, None), (len(table) + 1, " ".join(base[:cut]), None, None, None)]
+    sets = [shingles(r[1]) for r in table]
+    alike = [i for i in range(0, len(table), 2) if len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(table, DOCS)).collect()}
+    assert len(alike) > 150 and sum(got[i + 1] == i for i in alike) >= 0.98 * len(alike)
+
+
+def test_similarities_of_a_tile(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 0, 1, 5, 30, 30, 90, 200)]
+    source, target = np.array([0, 3, 4, 7]), np.array([1, 2, 4, 5, 6])
+    want = [[simhash.jaccard(sets[i], sets[j]) for j in target] for i in source]
+    assert np.allclose(simhash.similarities(sets, source, target), want)
+    assert simhash.similarities([], np.empty(0, int), np.empty(0, int)).shape == (0, 0)

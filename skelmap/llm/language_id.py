@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import least, lowest_hashed
@@ -112,7 +112,7 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> KernelModel | None:
     """Fit on at most per_language rows of each language, those whose ids hash lowest, outside the held-out fifth.
 
-    The sample, at most SAMPLE rows of GRAMS_PER_ROW grams of four bytes, is the only thing that the driver holds, however many languages there
+    A row is learned under its own language and no other: ids may be repeated, and a row without a language teaches nothing. The sample, at most SAMPLE rows of GRAMS_PER_ROW grams of four bytes, is the only thing that the driver holds, however many languages there
     are and however long the texts are. Where there are more languages than SAMPLE, those with most rows are learned.
     """
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t"), F.col(lang_col).alias("_l"))
@@ -125,9 +125,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             b = b.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([least(grams(t), GRAMS_PER_ROW).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["nth", "lang", "x"])
 
-    wanted = F.broadcast(sample.select("nth", "_l", F.col("_id").alias("_w")))
-    rows = own.select("_id", "_t").join(wanted, F.col("_id") == F.col("_w")).select("nth", "_l", "_t")
-    found = rows.mapInArrow(run, "nth int, lang string, x binary").orderBy("nth", "lang", "x").limit(SAMPLE).collect()  # ids may be repeated
+    # labelled rows are met by id and language, each once; of the rows of one id and language, a sample's worth at most
+    wanted = F.broadcast(sample.groupBy(F.col("_id").alias("_wi"), F.col("_l").alias("_wl")).agg(F.min("nth").alias("nth")))
+    met = own.join(wanted, (F.col("_id") == F.col("_wi")) & (F.col("_l") == F.col("_wl")))
+    place = F.row_number().over(Window.partitionBy("_l").orderBy("nth", F.xxhash64("_t")))
+    rows = met.withColumn("_at", place).where(F.col("_at") <= per_language).select(F.col("_at").alias("nth"), "_l", "_t")
+    found = rows.mapInArrow(run, "nth int, lang string, x binary").orderBy("nth", "lang", "x").limit(SAMPLE).collect()
     return fit([np.frombuffer(r.x, np.uint32) for r in found], [r.lang for r in found])
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_of, partitions_of
+from .common import buckets_of, cut, partitions_of
 
 WINDOW = 35
 LEVELS = 7
@@ -305,19 +305,30 @@ def _row_key(own, text, salt: int) -> list:
     return [F.xxhash64(F.lit(salt), own, text).alias("ka"), F.hash(F.lit(salt), own, text).alias("kb")]
 
 
-def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """doc_id, text and a key (ka, kb) of each row that no other id or text has.
+#: Result rows of one id and one text that are written together.
+COPIES_AT_A_TIME = 10_000
 
-    That is made sure of: ids and SHA-256 digests of all rows are grouped by key, and where a key has two of them, another
-    salt is tried. Rows of one id and one text share a key.
+
+def _keyed(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, bool]:
+    """doc_id, text, copies and a key (ka, kb), one row for each id and text; with them, whether any row has copies.
+
+    That no two share a key is made sure of: ids and SHA-256 digests of all rows are grouped by key, and where a key has two of them, another
+    salt is tried. Rows of one id and one text collapse before they are sent.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = F.col(id_col).cast("long")
     for salt in numbers():
         rows = docs.select(own.alias("doc_id"), text.alias("text"), *_row_key(own, text, salt))
-        each = rows.select("ka", "kb", "doc_id", F.sha2("text", 256).alias("digest")).distinct()
-        if each.groupBy("ka", "kb").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-            return rows
+        each = rows.groupBy("ka", "kb", "doc_id", F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("copies"))
+        most = each.groupBy("ka", "kb").agg(F.count("*").alias("n"), F.max("copies").alias("copies")).agg(F.max("n").alias("n"), F.max("copies").alias("copies")).first()
+        if (most.n or 1) > 1:
+            continue
+        if (most.copies or 1) == 1:
+            return rows.withColumn("copies", F.lit(1).cast("long")), False
+        again = cut(each.where("copies > 1").select("ka", "kb", "copies"), "substring-copies", "none")
+        one = rows.join(again, ["ka", "kb"], "left_anti").withColumn("copies", F.lit(1).cast("long"))
+        many = rows.join(again, ["ka", "kb"], "left_semi").groupBy("ka", "kb").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+        return cut(one.unionByName(many), "substring-rows"), True
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, levels: int = LEVELS, buckets: int | None = None, emit_text: bool = False) -> DataFrame:
@@ -332,7 +343,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """
     if not 2 <= window <= 63:
         raise ValueError("window must be from 2 to 63 words")
-    rows = _keyed(docs, text_col, id_col)
+    rows, repeated_rows = _keyed(docs, text_col, id_col)
     partitions, buckets = partitions_of(rows), buckets or buckets_of(rows)
     texts = rows.repartition(partitions, "ka", "kb")  # both joins read this exchange: they ask for the same columns of it
 
@@ -444,18 +455,21 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays(cols, names=["ka", "kb", "runs"])
 
     kinds = "key binary, lo binary, skip binary, known binary, sent binary, length binary, words binary"
-    windows = texts.join(asked, ["ka", "kb"]).select("doc_id", "ka", "kb", "text", "ask").mapInArrow(spans, f"bucket int, {kinds}")
+    windows = texts.join(asked, ["ka", "kb"]).select("doc_id", "ka", "kb", "text", "ask", "copies").mapInArrow(spans, f"bucket int, {kinds}")
     again = windows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(repeated, "ka long, kb int, runs binary")
     gone = again.groupBy("ka", "kb").agg(F.collect_list("runs").alias("gone"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * emit_text
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * emit_text
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * emit_text + ", copies long"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for text, where in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
+            for text, where, copies in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()):
                 words = text.encode("utf-8", "surrogatepass").split()
                 kept = words
-                if where:
+                if copies > 1 and len(words) >= window:  # each window starts in each copy
+                    kept = []
+                elif where:
                     runs = np.frombuffer(b"".join(where), RUN)
                     of, place = _bits(np.ascontiguousarray(runs["mask"]), window)
                     start = np.unique(runs["lo"][of].astype(np.int64) + place)
@@ -467,9 +481,15 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                 for c, x in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if emit_text else None)):
                     c.append(x)
             cols = [b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(out[3], pa.string())] * emit_text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * emit_text)
-
-    return texts.join(gone, ["ka", "kb"], "left").select("doc_id", "ka", "kb", "text", "gone").mapInArrow(finish, schema)
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(out[3], pa.string())] * emit_text + [b.column(5)], names=[*names, "copies"])
+
+    out = texts.join(gone, ["ka", "kb"], "left").select("doc_id", "ka", "kb", "text", "gone", "copies").mapInArrow(finish, schema)
+    if not repeated_rows:
+        return out.select(*names)
+    # a row for each copy: the numbers of copies are parted and dealt out before rows are made of them
+    times = F.transform(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES_AT_A_TIME)), lambda k: F.least(F.col("copies") - k * COPIES_AT_A_TIME, F.lit(COPIES_AT_A_TIME)))
+    dealt = out.select(*names, F.explode(times).alias("_times")).repartition(partitions)
+    return dealt.select(*names, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*names)
 
 
 #: First window of a run and which of the windows from there repeat.

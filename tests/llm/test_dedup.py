@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from helpers import DOCS, clashing, docs, rows
 from pyspark.sql import functions as F
@@ -294,6 +295,17 @@ def test_one_passage_in_every_text(spark):
         substring_dedup.GROUP_BYTES = old
 
 
+@pytest.mark.parametrize("at_a_time", [10_000, 3])
+def test_many_rows_of_one_id_and_text(spark, monkeypatch, at_a_time):
+    """Copies with one id or none collapse before they are sent; their windows still count for other texts, and each row is returned."""
+    monkeypatch.setattr(substring_dedup, "COPIES_AT_A_TIME", at_a_time)
+    line = " ".join(f"w{i}" for i in range(60))
+    table = [(1, line)] * 25 + [(None, "n " + line[:200])] * 10 + [(2, "own words " + " ".join(f"w{i}" for i in range(10, 50)) + " end"), (3, "short"), (3, "short"), (4, "a " * 40), (5, None), (5, None), (1, "another text of id 1")]
+    want = [(i, *removed) for (i, _), removed in zip(table, brute_repeats([t or "" for _, t in table]))]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(table, "doc_id long, text string").repartition(3))
+    assert rows(got) == sorted(want, key=repr)
+
+
 def test_kept_text(spark):
     line = " ".join(f"p{i}" for i in range(40))
     df = spark.createDataFrame([(1, "a " + line + " b"), (2, line + " c"), (3, "short")], "doc_id long, text string")

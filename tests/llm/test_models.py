@@ -1,6 +1,8 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -27,6 +29,23 @@ def crc(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
 
+def test_rows_of_one_id_keep_their_own_languages(spark):
+    """Rows of one id with other languages, one of them null, and many rows of one id."""
+    words = {"en": "the cat and the dog were here", "fr": "le chat et le chien sont ici"}
+    i = next(i for i in range(100) if crc32(str(i).encode()) % 5)
+    table = [(i, words[x] + f" {x} {k}", x, None, None) for x in words for k in range(40)] + [(i, "xyzzy plugh " * 3, None, None, None)] * 40
+    seen = []
+    old, language_id.fit = language_id.fit, lambda sets, langs, *a: seen.append(Counter(langs)) or old(sets, langs, *a)
+    try:
+        model = language_id.train(spark.createDataFrame(table, DOCS), per_language=25)
+    finally:
+        language_id.fit = old
+    assert seen == [{"en": 25, "fr": 25}]
+    got = language_id.predict(spark.createDataFrame(table, DOCS), model).select("lang_pred").collect()
+    assert [r.lang_pred for r in got[:80]] == ["en"] * 40 + ["fr"] * 40
+    assert not np.isin(language_id.grams("zzy"), model.vocabulary).all()  # no fitted row has it
+
+
 def test_language_is_found_on_held_out_rows(spark):
     table = texts(1500)
     df = spark.createDataFrame(table, DOCS)

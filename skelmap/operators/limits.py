@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def first_rows(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, name: str = "nth") -> DataFrame:
     """The first n rows of each group, numbered from 1. Groups are cut to n before the shuffle as well as after it."""
@@ -15,14 +16,29 @@ def first_rows(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n: i
     return rows.withColumn(name, nth).where(F.col(name) <= n)
 
 
+def numbered(rows: DataFrame, order: Sequence[Column], name: str = "nth") -> DataFrame:
+    """rows numbered from 1 in an order without ties, however many they are.
+
+    Rows are dealt out by ranges of the order, which are written once; a row's number is its place in the range, plus the rows of the
+    ranges before. Only counts of ranges, a row for each partition, are gathered in one place. The written table is the result's attribute `reads`.
+    """
+    at = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    ranges = at.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = F.broadcast(ranges.select("_range", (F.col("_first") - before).alias("_less")))
+    out = at.join(ranges, F.shiftright("_at", 33) == F.col("_range")).select(*rows.columns, (F.col("_at") - F.col("_less") + 1).alias(name))
+    out.reads = at
+    return out
+
+
 def ranked(rows: DataFrame, by: str, order: Sequence[str], name: str = "nth") -> DataFrame:
     """rows (of `by` and other columns) numbered from 1 in each group, in an order without ties, nulls last; a group of any size.
 
     Rows are dealt out by ranges of group and order and numbered by their place; a group's number is that place less its first one in
-    the range, plus its rows in the ranges before. The ranges are held, as both the places and the counts must come from the same.
+    the range, plus its rows in the ranges before. The ranges are written once, as both the places and the counts must come from the same.
     """
     keys = [F.col(by), *map(F.asc_nulls_last, order)]
-    at = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    at = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranked")
     at = at.withColumn("_part", F.shiftright("_at", 33))
     parts = at.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_p")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_by").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -13,7 +13,7 @@ from ..operators import directory
 from ..operators.limits import within_budget
 from ..operators.outline import MAX_FILE_BYTES, TOO_LARGE, bounded_depth, decoded, outline
 from ..operators.walk import CUT_SHORT, MISSING, MORE_ENTRIES, NO_ANCESTOR, OUTSIDE, TAIL
-from ..sources import tree
+from ..sources import frontier, tree
 
 # The messages.
 NO_PATH = "index: missing `path` argument."
@@ -93,8 +93,9 @@ def files_table(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def outline_tree(spark: SparkSession, path: str, depth: int | None = 1, parity: bool = False) -> DataFrame:
-    """Outlines of all supported files of a tree, however many: rel, name, fmt, text, is_error. Nothing is gathered."""
-    files = tree.with_content(files_table(spark, path, maxEntries=str(1 << 62)).where(F.col("size") <= MAX_FILE_BYTES))
+    """Outlines of all supported files of a tree, however many: rel, name, fmt, text, is_error. Folders are listed in tasks, and tasks read alike many bytes."""
+    found = frontier.walk_tree(spark, path).files.where(F.col("size") <= MAX_FILE_BYTES).withColumn("fmt", format_of(F.col("base")))
+    files = tree.with_content(frontier.packed(found))
     keyed = files.withColumn("file_id", F.col("path")).withColumn("name", F.array_join("rel", "/"))
     return outline(keyed, depth, parity).withColumnRenamed("name", "rel")
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import format_of, py_format_of
-from ..functions.text import human_bytes, line_count, py_human_bytes
+from ..functions.text import line_count, py_human_bytes
 from ..operators import directory
-from ..operators.limits import within_budget
 from ..operators.outline import MAX_FILE_BYTES, TOO_LARGE, bounded_depth, decoded, outline
+from ..operators.skeletons import SHOWN, shown_skeletons, skeleton_head
 from ..operators.walk import CUT_SHORT, MISSING, MORE_ENTRIES, NO_ANCESTOR, OUTSIDE, TAIL
 from ..sources import frontier, tree
 
@@ -20,7 +20,6 @@ NO_PATH = "index: missing `path` argument."
 NOT_LISTED = "index: no such path {asked} — `{missing}` is not in {here}, which could not be listed. Use `glob` to locate the file."
 EMPTY_FOLDER = "index: no such path {asked} — {here} is empty."
 NOTHING_HERE = "index: {display} contains no supported source files to outline.{contents} Use `grep`/`read` to explore it."
-SHOWN = " (showing {k}; index a specific file or subdirectory for the rest)"
 MAP_HEAD = "(map only — `index <file>` or `index <subdir>` for skeletons)"
 ROLLUP_HEAD = "(rolled up — `index <subdir>` to descend)"
 UNREAD = "({n} line counts skipped past a {budget} read budget — sizes above are exact)"
@@ -93,9 +92,21 @@ def files_table(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def outline_tree(spark: SparkSession, path: str, depth: int | None = 1, parity: bool = False) -> DataFrame:
-    """Outlines of all supported files of a tree, however many: rel, name, fmt, text, is_error. Folders are listed in tasks, and tasks read alike many bytes."""
+    """Outlines of all supported files of a tree, which the driver lists: rel, name, fmt, text, is_error. Bodies are never gathered."""
+    files = tree.with_content(files_table(spark, path, maxEntries=str(1 << 62)).where(F.col("size") <= MAX_FILE_BYTES))
+    return _tree_outlines(files, depth, parity)
+
+
+def outline_large_tree(spark: SparkSession, path: str, depth: int | None = 1, parity: bool = False) -> DataFrame:
+    """outline_tree() of a tree of any size: folders are listed in tasks, a level of the tree a round, and tasks read alike many bytes.
+
+    It writes its listing to the shared folder, which costs some seconds a level; nothing but counts comes to the driver.
+    """
     found = frontier.walk_tree(spark, path).files.where(F.col("size") <= MAX_FILE_BYTES).withColumn("fmt", format_of(F.col("base")))
-    files = tree.with_content(frontier.packed(found))
+    return _tree_outlines(tree.with_content(frontier.packed(found)), depth, parity)
+
+
+def _tree_outlines(files: DataFrame, depth: int | None, parity: bool) -> DataFrame:
     keyed = files.withColumn("file_id", F.col("path")).withColumn("name", F.array_join("rel", "/"))
     return outline(keyed, depth, parity).withColumnRenamed("name", "rel")
 
@@ -106,15 +117,15 @@ def _note(cut: int) -> str:
 
 
 def _skeletons(files: DataFrame, display: str, depth: int, n: int, cut: int) -> str:
-    bodies = tree.with_content(files).where(F.col("content").isNotNull())
-    head = F.concat(F.array_join("rel", "/"), F.lit(" ("), line_count(decoded(F.col("content"))).cast("string"), F.lit(" lines, "), human_bytes(F.length("content")), F.lit(")"))
-    keyed = bodies.withColumn("file_id", F.col("path")).withColumn("name", head)
-    text = outline(keyed, depth, keep=["rel"]).where(~F.col("is_error")).select("rel", F.concat("text", F.lit("\n")).alias("text"))
-    rows = text.withColumn("bytes", F.octet_length("text")).withColumn("one", F.lit(1))
-    kept = within_budget(rows, ["one"], [F.col("rel")], "bytes", directory.MAX_SHOWN_FILES, directory.MAX_SHOWN_BYTES)
-    shown = [r.text for r in kept.orderBy("rel").select("text").collect()]  # under 200 files and 256 KiB
+    """The skeletons of one directory; only files that are come to within its budget are read."""
+
+    def bodies(some: DataFrame) -> DataFrame:
+        some = tree.with_content(some).where(F.col("content").isNotNull())
+        return some.withColumn("name", skeleton_head(F.array_join("rel", "/"), F.col("content")))
+
+    shown = shown_skeletons(files.withColumn("one", F.lit(1)), "one", bodies, depth).orderBy("nth").select("text").collect()  # under 200 files and 256 KiB
     some = SHOWN.format(k=len(shown)) if len(shown) < n else ""
-    return f"{display} — {n} supported files{some}{_note(cut)}\n\n" + "".join(shown)
+    return f"{display} — {n} supported files{some}{_note(cut)}\n\n" + "".join(r.text for r in shown)
 
 
 def _scale(files: DataFrame, display: str, cut: int) -> str:

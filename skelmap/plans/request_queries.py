@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import format_of
-from ..operators import outline, walk
+from ..operators import links, outline, skeletons, walk
 from ..sources.tables import read_table
-from .sql import PAGES, clip, human, lines, strip
+from .sql import PAGES, breaks, clip, human, lines, strip
 
 ENTRIES = 25
+SKELETON_FILES, SKELETON_BYTES = 60, 9_000
+LINKS = 6
 FOLDERS = ["src", "node_modules", ".git", ".github", "pkg", ".env", "build"]
 NAMES = ["a.py", ".env.local", ".hidden.py", "Makefile", "image.png", "README.md", "target", "dockerfile.dev", ".gitlab", "x.", "z.JSON"]
 FILES = ["d.log", "d.csv", "d.zig", "Makefile.txt", "gone.log"]
@@ -58,6 +60,26 @@ def path_confined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", path.alias("path"), is_inside.alias("is_inside"), said.alias("said"))
 
 
+def path_confined_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path_confined's paths where folders are links: by the lengths of its names a host's folder is one to a folder beside it, to a shared one, out of the workspace, or to itself."""
+    from .queries import _pages
+
+    pages = _pages(spark, sf_dir)
+    back = F.array_repeat(F.lit(".."), (F.col("page_id") % 5).cast("int"))
+    paths = pages.select("page_id", "host", F.concat(F.array(F.lit("work"), F.lit("."), F.col("host")), F.col("rel"), F.array(F.lit("leaf"), F.lit("")), back).alias("parts"))
+    name = F.try_element_at("rel", F.lit(1))
+    folders = pages.where(F.size("rel") > 0).select("host", name.alias("name")).distinct()
+    kind = (F.length("host") + F.length("name")) % 5
+    target = F.when(kind == 1, "alias").when(kind == 2, "../shared/./x").when(kind == 3, F.concat(F.lit("/outside/"), "host")).when(kind == 4, F.col("name"))
+    at = F.array(F.lit("work"), F.col("host"), F.col("name"))
+    placed = folders.select(at.alias("at"), target.alias("target")).where(F.col("target").isNotNull())
+    aliases = pages.select("host").distinct().select(F.array(F.lit("work"), F.col("host"), F.lit("alias")).alias("at"), F.lit("deep/../er").alias("target"))
+    shared = aliases.limit(1).select(F.array(F.lit("work"), F.lit("shared"), F.lit("x")).alias("at"), F.lit("/work/real").alias("target"))
+    out = links.resolved(paths, placed.unionByName(aliases).unionByName(shared), max_links=LINKS)
+    path = F.concat(F.lit("/"), F.array_join("real", "/"))
+    return out.select("page_id", path.alias("path"), "looped", walk.inside(F.col("real"), F.array(F.lit("work"), F.col("host"))).alias("is_inside"))
+
+
 def path_miss_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The message for each page's path with its last or its last two components replaced by what isn't there."""
     from .queries import _pages
@@ -78,8 +100,26 @@ def doc_file_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.outline(files).select(F.col("file_id").alias("doc_id"), "text", "is_error")
 
 
+def page_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each host as a directory whose pages are logs, in the order of their paths and ids: the skeletons that SKELETON_FILES and SKELETON_BYTES let through.
+
+    Each seventh page can't be read.
+    """
+    from .queries import _pages
+
+    rel = F.concat("rel", F.array(F.concat(F.lpad(F.col("page_id").cast("string"), 12, "0"), F.lit(".log"))))
+    html = F.when(F.col("page_id") % 7 != 3, F.col("html")).cast("binary")
+    files = _pages(spark, sf_dir).select("host", "page_id", rel.alias("rel"), F.lit("log/text").alias("fmt"), html.alias("content"))
+
+    def bodies(some: DataFrame) -> DataFrame:
+        return some.where(F.col("content").isNotNull()).withColumn("name", skeletons.skeleton_head(F.array_join("rel", "/"), F.col("content")))
+
+    shown = skeletons.shown_skeletons(files, "host", bodies, max_files=SKELETON_FILES, max_bytes=SKELETON_BYTES, first=20)
+    return skeletons.render_skeletons(files, shown, "host")
+
+
 def request_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (path_walk, path_walk_heading, path_confined, path_miss_message, doc_file_outcome)}
+    return {f.__name__: f for f in (path_walk, path_walk_heading, path_confined, path_confined_links, path_miss_message, doc_file_outcome, page_skeletons)}
 
 
 def _list(values: list[str]) -> str:
@@ -113,6 +153,18 @@ WITH {PAGES}, n AS (SELECT page_id, host, len(rel) - page_id % 5 AS deep, rel FR
 q AS (SELECT page_id, deep, '/' || array_to_string(CASE WHEN deep >= 0 THEN list_concat(['work', host], rel[:deep]) WHEN deep = -1 THEN ['work'] ELSE [] END, '/') AS path, array_to_string(rel[:greatest(deep, 0)], '/') AS rest FROM n)
 SELECT page_id, path, deep >= 0 AS is_inside, CASE WHEN deep = 0 THEN '.' WHEN deep > 0 THEN rest
        ELSE 'index: ' || path || ' is outside the workspace; `index` is confined to the project directory. Use `read` for files outside it (host `read` can be unjailed), or copy the file in first.' END AS said FROM q""",
+        "path_confined_links": f"""
+WITH RECURSIVE {PAGES.strip()},
+folders AS (SELECT DISTINCT host, rel[1] AS name, (length(host) + length(rel[1])) % 5 AS kind FROM p WHERE len(rel) > 0),
+l AS (SELECT 'work/' || host || '/' || name AS place, CASE kind WHEN 1 THEN 'alias' WHEN 2 THEN '../shared/./x' WHEN 3 THEN '/outside/' || host ELSE name END AS target FROM folders WHERE kind > 0
+      UNION ALL SELECT DISTINCT 'work/' || host || '/alias', 'deep/../er' FROM p UNION ALL SELECT 'work/shared/x', '/work/real' WHERE EXISTS (SELECT 1 FROM p)),
+s AS (
+  SELECT page_id, host, CAST([] AS VARCHAR[]) AS done, list_concat(['work', '.', host], rel, ['leaf', ''], list_transform(range(page_id % 5), lambda x: '..')) AS rest, 0 AS hops FROM p
+  UNION ALL
+  SELECT page_id, host, CASE WHEN rest[1] IN ('', '.') THEN done WHEN rest[1] = '..' THEN done[:greatest(len(done) - 1, 0)] WHEN target IS NULL THEN list_append(done, rest[1]) WHEN target[1] = '/' THEN [] ELSE done END,
+         CASE WHEN target IS NULL THEN rest[2:] ELSE list_concat(string_split(target, '/'), rest[2:]) END, hops + (target IS NOT NULL)::INT
+  FROM s LEFT JOIN l ON rest[1] NOT IN ('', '.', '..') AND place = array_to_string(list_append(done, rest[1]), '/') WHERE len(rest) > 0 AND hops <= {LINKS})
+SELECT page_id, CASE WHEN hops <= {LINKS} THEN '/' || array_to_string(done, '/') END AS path, hops > {LINKS} AS looped, CASE WHEN hops <= {LINKS} THEN done[:2] = ['work', host] END AS is_inside FROM s WHERE len(rest) = 0 OR hops > {LINKS}""",
         "path_miss_message": f"""
 WITH {PAGES}, dirs AS (SELECT DISTINCT coalesce(array_to_string(full_[1:n], '/'), '') AS dir FROM p, unnest(range(0, len(full_))) AS u(n)),
 kids AS (SELECT DISTINCT coalesce(array_to_string(full_[1:n - 1], '/'), '') AS dir, full_[n] || CASE WHEN n < len(full_) THEN '/' ELSE '' END AS kid FROM p, unnest(range(1, len(full_) + 1)) AS u(n)),
@@ -123,6 +175,18 @@ b AS (SELECT page_id, any_value(asked) AS asked, arg_max(dir, n) AS dir, arg_max
 SELECT page_id, 'index: no such path ' || array_to_string(asked, '/') || ' — `' || missing || '` is not in ' || CASE WHEN dir = '' THEN 'the workspace root' ELSE dir || '/' END || ', which contains: ' || array_to_string(ks[:50], '  ')
        || CASE WHEN len(ks) > 50 THEN '  … and ' || (len(ks) - 50) || ' more (' || len(ks) || ' total). Use `glob` if the file you want is not listed.' ELSE '' END AS message
 FROM b JOIN l USING (dir)""",
+        "page_skeletons": f"""
+WITH {PAGES}, q AS (SELECT page_id, host, list_append(rel, lpad(CAST(page_id AS VARCHAR), 12, '0') || '.log') AS rel, html, {lines('html')} AS ls FROM p),
+f AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: {strip('ls[i]')} <> '') AS full_, list_filter(range(1, len(ls) + 1), lambda i: contains(ls[i], 'ERROR')) AS e, array_to_string([{counts}], ', ') AS found FROM q),
+b AS (SELECT host, rel, array_to_string(rel, '/') || ' (' || {breaks('html')} || ' lines, ' || {human('strlen(html)')} || ')' || chr(10) || '  lines: ' || len(ls) || '   bytes: ' || {human('strlen(html)')} || chr(10)
+       || CASE WHEN len(full_) > 0 THEN '  first: [' || full_[1] || '] "' || {clip(strip('ls[full_[1]]'))} || '"' || chr(10) || '  last:  [' || full_[-1] || '] "' || {clip(strip('ls[full_[-1]]'))} || '"' || chr(10) ELSE '' END
+       || CASE WHEN found <> '' THEN '  matches: ' || found || CASE WHEN len(e) > 0 THEN '  (first ERROR at [' || e[1] || '])' ELSE '' END || chr(10) ELSE '' END || '  (use `read` offset/limit to page through it)' || chr(10) || chr(10) AS text
+  FROM f WHERE page_id % 7 <> 3),
+r AS (SELECT *, coalesce(sum(strlen(text)) OVER w, 0) AS before, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY host ORDER BY rel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT host, count(*) AS k, string_agg(text, '' ORDER BY rel) AS body FROM r WHERE n < {SKELETON_FILES} AND before < {SKELETON_BYTES} GROUP BY host),
+t AS (SELECT host, count(*) AS n FROM q GROUP BY host)
+SELECT host, n AS n_files, coalesce(k, 0) AS n_shown, host || ' — ' || n || ' supported files' || CASE WHEN coalesce(k, 0) < n THEN ' (showing ' || coalesce(k, 0) || '; index a specific file or subdirectory for the rest)' ELSE '' END || chr(10) || chr(10) || coalesce(body, '') AS text
+FROM t LEFT JOIN s USING (host)""",
         "doc_file_outcome": f"""
 WITH d AS (SELECT doc_id, doc_id % {len(FILES)} AS kind, {file_names}[doc_id % {len(FILES)} + 1] AS name, text, {lines('text')} AS ls FROM documents),
 f AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: {strip('ls[i]')} <> '') AS full_, list_filter(range(1, len(ls) + 1), lambda i: contains(ls[i], 'ERROR')) AS e, array_to_string([{counts}], ', ') AS found, coalesce(ls[1], '') AS head FROM d),

@@ -1,0 +1,80 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from skelmap.operators import skeletons
+from skelmap.plans import api
+
+
+def brute(files, texts, max_files, max_bytes):
+    """by -> paths shown, in plain Python."""
+    out = {}
+    for by in {f[0] for f in files}:
+        shown, size = [], 0
+        for _, rel in sorted(f for f in files if f[0] == by):
+            if len(shown) >= max_files or size >= max_bytes:
+                break
+            if (text := texts.get((by, rel))) is not None:
+                shown.append(rel)
+                size += len(text.encode())
+        out[by] = shown
+    return out
+
+
+@pytest.mark.parametrize("max_files,max_bytes,first", [(5, 10**6, 4), (100, 700, 1), (7, 900, 2), (100, 10**6, 3)])
+def test_many_directories_against_brute_force(spark, max_files, max_bytes, first):
+    rng = random.Random(6)
+    rows = []
+    for d in ("a", "b", "c", "deep", "none"):
+        for i in range(rng.randrange(1, 40)):
+            body = None if rng.random() < 0.25 or d == "none" else "".join(f"K{j}=v\n" for j in range(rng.randrange(9)))
+            rows.append((d, [f"{i:02}.env"], "dotenv" if rng.random() < 0.9 else None, body))
+    files = spark.createDataFrame(rows, "host string, rel array<string>, fmt string, body string").repartition(3)
+    read = []
+
+    def bodies(some):
+        read.extend((r.host, r.rel[0]) for r in some.select("host", "rel").collect())
+        some = some.withColumn("content", F.col("body").cast("binary")).where("content IS NOT NULL")
+        return some.withColumn("name", skeletons.skeleton_head(F.array_join("rel", "/"), F.col("content")))
+
+    shown = skeletons.shown_skeletons(files, "host", bodies, max_files=max_files, max_bytes=max_bytes, first=first)
+    got = {}
+    for r in shown.orderBy("host", "nth").collect():
+        got.setdefault(r.host, []).append(r)
+    texts = {}
+    every = skeletons.shown_skeletons(files, "host", lambda some: some.withColumn("content", F.col("body").cast("binary")).where("content IS NOT NULL").withColumn("name", skeletons.skeleton_head(F.array_join("rel", "/"), F.col("content"))), max_files=10**6, max_bytes=10**9, first=64)
+    for r in every.collect():
+        texts[r.host, r.rel[0]] = r.text
+    want = brute([(d, rel[0]) for d, rel, _, _ in rows], texts, max_files, max_bytes)
+    assert {d: [r.rel[0] for r in got.get(d, [])] for d in want} == want
+    for d in want:  # nothing far beyond the budget was read, and nothing twice
+        mine = [rel for h, rel in read if h == d]
+        assert len(mine) == len(set(mine))
+        order = sorted(r[1][0] for r in rows if r[0] == d)
+        open_ = len(want[d]) < max_files and sum(len(texts[d, x].encode()) for x in want[d]) < max_bytes
+        come_to = len(order) if open_ else order.index(want[d][-1]) + 1
+        assert len(mine) <= max(first, 2 * come_to + first) and sorted(mine) == order[: len(mine)]
+    out = {r.host: r for r in skeletons.render_skeletons(files, shown, "host").collect()}
+    for d, names in want.items():
+        n = sum(r[0] == d for r in rows)
+        some = f" (showing {len(names)}; index a specific file or subdirectory for the rest)" if len(names) < n else ""
+        assert out[d].text == f"{d} — {n} supported files{some}\n\n" + "".join(texts[d, x] for x in names)
+
+
+def test_files_past_the_budget_are_never_read(spark, tmp_path, monkeypatch):
+    """Of a directory whose first files use up its bytes, the others are not opened."""
+    for i in range(30):
+        (tmp_path / f"f{i:02}.md").write_text("".join(f"# heading {j} {'x' * 150}\n" for j in range(499)))
+    opened = []
+    own = api.tree.with_content
+    monkeypatch.setattr(api.tree, "with_content", lambda files: opened.extend(r.base for r in files.select("base").collect()) or own(files))
+    text, is_error = api.index(spark, str(tmp_path), 1, cwd=str(tmp_path))
+    assert not is_error and "(showing 3; " in text
+    assert sorted(opened) == [f"f{i:02}.md" for i in range(4)]
+
+
+def test_no_files(spark):
+    none = spark.createDataFrame([], "host string, rel array<string>, fmt string, content binary, name string")
+    shown = skeletons.shown_skeletons(none, "host", lambda some: some)
+    assert shown.collect() == [] and skeletons.render_skeletons(none, shown, "host").collect() == []

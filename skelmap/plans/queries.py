@@ -71,7 +71,7 @@ def conv_docker_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_decls(line_formats.docker_decls(files)).withColumnRenamed("doc_id", "conv_id")
 
 
-def doc_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_secret_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each `name = value` of each document, judged by name and by value; none gives no row."""
     docs = read_table(spark, sf_dir, "documents")
     # possessive, and from the start of a word: each word is tried once; \S would end a value at a vertical tab too, which the SQL's does not
@@ -159,7 +159,7 @@ def page_read_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("host", F.col("x.files.page_id").alias("page_id"), F.col("x.files.size").alias("size"), F.col("x.r.read").alias("is_read"), F.col("x.r.skipped").alias("skipped"))
 
 
-def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank of each page of a host by the components of its path; an address without components has no host."""
     full = read_table(spark, sf_dir, "pages").select("page_id", _rel(F.col("url")).alias("full"))
     pages = full.select("page_id", F.get("full", F.lit(0)).alias("host"), F.slice("full", F.lit(2), F.lit(1 << 30)).alias("rel"))
@@ -225,7 +225,7 @@ def format_of_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", base.alias("base"), extension(base).alias("ext"), format_of(base).alias("format"))
 
 
-_ALL = (doc_line_count, doc_text_summary, doc_text_functions, doc_csv_sniff, doc_env_keys, doc_ini_keys, conv_make_targets, conv_docker_stages, doc_secret_scan, event_log_severity, event_props_keys, page_links_capped, page_landmarks, page_rollup, page_tier, page_map, page_read_budget, page_order, page_outline, doc_markdown_outline, conv_sections, conv_nested_sections, decl_cap, skeleton_budget, path_miss_ancestor, format_of_url)
+_ALL = (doc_line_count, doc_text_summary, doc_text_functions, doc_csv_sniff, doc_env_keys, doc_ini_keys, conv_make_targets, conv_docker_stages, doc_secret_bindings, event_log_severity, event_props_keys, page_links_capped, page_landmarks, page_rollup, page_tier, page_map, page_read_budget, page_order_all, page_outline, doc_markdown_outline, conv_sections, conv_nested_sections, decl_cap, skeleton_budget, path_miss_ancestor, format_of_url)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -233,8 +233,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .line_queries import line_queries
     from .request_queries import request_queries
 
-    whole = {"doc_secret_bindings": doc_secret_scan, "page_order_all": page_order}  # with SQL over whole tables
-    return {f.__name__: f for f in _ALL} | whole | grammar_queries() | line_queries() | request_queries()
+    whole = {"doc_secret_bindings": doc_secret_bindings, "page_order_all": page_order}  # with SQL over whole tables
+    return {f.__name__: f for f in _ALL} | grammar_queries() | line_queries() | request_queries()
 
 
 def oracle_sql() -> dict[str, str]:

@@ -47,6 +47,7 @@ _WORDS = "[" + ", ".join(f"'{w}'" for w in KEY_WORDS) + "]"
 _PLAIN = ", ".join(f"'{w}'" for w in PLAIN)
 _SECRET = "(" + " OR ".join(f"contains({{0}}, '{m}')" for m in VALUE_MARKS) + " OR regexp_matches({0}, '^.*?://[^/?#@]*:[^/?#@]*@'))"
 _FORMATS = ", ".join(f"('{e}', '{n}')" for e, n in BY_EXTENSION.items())
+_BINDING = r"([A-Za-z_]+) *[=:] *(\S+)"
 
 ORACLES: dict[str, str] = {
     "doc_line_count": f"SELECT doc_id, CAST({breaks('text')} AS BIGINT) AS n_breaks, CAST(len({lines('text')}) AS BIGINT) AS n_lines FROM documents",
@@ -91,8 +92,8 @@ w AS (SELECT *, coalesce(min(CASE WHEN role = 'user' THEN r END) OVER (PARTITION
 SELECT conv_id, r + 1 AS first, CASE WHEN role = 'user' THEN greatest(e, r) ELSE r END + 1 AS last, CAST(CASE WHEN role = 'user' THEN 0 ELSE seen END AS BIGINT) AS indent,
        CASE WHEN role IN ('user', 'assistant') THEN CASE WHEN role = 'assistant' AND {_SECRET.format('lower(q)')} THEN 'RUN <redacted>' ELSE {clip('q')} END ELSE 'ENV A B' END AS text
 FROM w""",
-    "doc_secret_scan": f"""
-WITH d AS (SELECT doc_id, regexp_extract(text, '([A-Za-z_]+) *[=:] *(\\S+)', 1) AS k, regexp_extract(text, '([A-Za-z_]+) *[=:] *(\\S+)', 2) AS v FROM documents),
+    "doc_secret_bindings": f"""
+WITH b AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_BINDING}', 0)) AS b FROM documents), d AS (SELECT doc_id, regexp_extract(b, '{_BINDING}', 1) AS k, regexp_extract(b, '{_BINDING}', 2) AS v FROM b),
 s AS (SELECT doc_id, k, list_has_any(string_split_regex(lower(regexp_replace(k, '([a-z])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]'), {_WORDS}) AS sensitive, {_SECRET.format("lower(k || '=' || v)")} AS secret, {_SECRET.format('lower(v)')} AS own, trim(v, '''"') AS bare FROM d WHERE k <> ''),
 p AS (SELECT *, bare = '' OR lower(bare) IN ({_PLAIN}) OR regexp_full_match(lower(bare), '{FLOAT}') AS plain FROM s)
 SELECT doc_id, k, sensitive, secret, plain, NOT plain AND (sensitive OR own) AS redact FROM p""",
@@ -122,8 +123,8 @@ f AS (
   UNION ALL
   SELECT o.host, o.page_id, o.size, o.n, o.size <= f.rest AND o.size <= 9000, o.size > f.rest, f.rest - CASE WHEN o.size <= f.rest AND o.size <= 9000 THEN o.size ELSE 0 END FROM f JOIN o ON o.host = f.host AND o.n = f.n + 1)
 SELECT host, page_id, size, is_read, skipped FROM f""",
-    "page_order": f"""
-WITH {PAGES} SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY rel, page_id) AS place FROM p SEMI JOIN small USING (host)""",
+    "page_order_all": f"""
+WITH {PAGES} SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY rel, page_id) AS place FROM p""",
     "doc_markdown_outline": f"""
 WITH {LINES}, h AS (SELECT doc_id, r, last, length(line) % 3 + 1 AS level, {squash("(repeat('#', CAST(length(line) % 3 + 1 AS INT)) || ' ' || line)")} AS t FROM l WHERE length(line) < 40),
 d AS (SELECT *, (SELECT count(*) FROM h g WHERE g.doc_id = h.doc_id AND g.r < h.r AND g.level < h.level AND NOT EXISTS (SELECT 1 FROM h m WHERE m.doc_id = h.doc_id AND m.r > g.r AND m.r < h.r AND m.level <= g.level)) AS depth,
@@ -160,10 +161,3 @@ e AS (SELECT *, CASE WHEN base = '.env' OR starts_with(base, '.env.') THEN 'env'
 SELECT page_id, base, ext, f.name AS format FROM e LEFT JOIN (VALUES {_FORMATS}) AS f(x, name) ON f.x = lower(ext)""",
     **grammar_sql(),
 }
-
-# Every binding of a document, and every host, where the two above take the first binding and hosts of at most 300 pages.
-_BINDING = r"([A-Za-z_]+) *[=:] *(\S+)"
-ORACLES["doc_secret_bindings"] = f"""
-WITH b AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_BINDING}', 0)) AS b FROM documents), d AS (SELECT doc_id, regexp_extract(b, '{_BINDING}', 1) AS k, regexp_extract(b, '{_BINDING}', 2) AS v FROM b),
-""" + ORACLES["doc_secret_scan"].split("\n", 2)[2]
-ORACLES["page_order_all"] = ORACLES["page_order"].replace(" SEMI JOIN small USING (host)", "")

@@ -55,7 +55,7 @@ def test_the_library_does_not_lean_on_llm():
 
 def test_built_ins_stay_in_the_engine(spark, sf):
     """Queries of built-in expressions run no Python; those over one table without groups don't shuffle."""
-    for name in ("doc_line_count", "doc_text_summary", "doc_csv_sniff", "doc_secret_scan", "page_landmarks", "page_links_capped", "format_of_url"):
+    for name in ("doc_line_count", "doc_text_summary", "doc_csv_sniff", "doc_secret_bindings", "page_landmarks", "page_links_capped", "format_of_url"):
         plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("EvalPython|InPandas|InArrow|Exchange", plan), name
 
@@ -119,7 +119,7 @@ def test_page_order_ranks_hosts_of_any_size(spark, tmp_path):
     old = spark.conf.get(name)
     spark.conf.set(name, "false")
     try:
-        got = {r.page_id: (r.host, r.place) for r in entry.queries()["page_order"](spark, str(tmp_path)).collect()}
+        got = {r.page_id: (r.host, r.place) for r in entry.queries()["page_order_all"](spark, str(tmp_path)).collect()}
     finally:
         spark.conf.set(name, old)
     want, n = {}, {}
@@ -132,7 +132,7 @@ def test_page_order_ranks_hosts_of_any_size(spark, tmp_path):
 def test_secret_scan_judges_every_binding(spark, tmp_path):
     texts = ["color = red and password: hunter2\nurl=https://a:b@c.d", "nothing here", None, "a=1 b=2", "x" * 5000 + " token = abc"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((r.doc_id, r.k, r.redact) for r in entry.queries()["doc_secret_scan"](spark, str(tmp_path)).collect())
+    got = sorted((r.doc_id, r.k, r.redact) for r in entry.queries()["doc_secret_bindings"](spark, str(tmp_path)).collect())
     assert got == [(0, "color", False), (0, "password", True), (0, "url", True), (3, "a", False), (3, "b", False), (4, "token", True)]
 
 
@@ -142,10 +142,10 @@ def test_secret_scan_takes_values_with_vertical_tabs(spark, tmp_path):
 
     texts = ["password=\x0bhunter2", "token: 1\x0babc", "salt =\x0c5 dsn=a\tb", "key=a\rb"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(tuple(r) for r in entry.queries()["doc_secret_scan"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in entry.queries()["doc_secret_bindings"](spark, str(tmp_path)).collect())
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    assert got == sorted(con.execute(entry.oracle_sql()["doc_secret_scan"]).fetchall())
+    assert got == sorted(con.execute(entry.oracle_sql()["doc_secret_bindings"]).fetchall())
     assert [(r[0], r[1], r[-1]) for r in got] == [(0, "password", True), (1, "token", True), (2, "dsn", True), (3, "key", True)]
 
 
@@ -158,7 +158,7 @@ def test_page_order_takes_odd_addresses(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     want = {(r[0], r[1], r[2]) for r in con.execute(entry.oracle_sql()["page_order_all"]).fetchall()}
-    got = [(r.page_id, r.host, r.place) for r in entry.queries()["page_order"](spark, str(tmp_path)).collect()]
+    got = [(r.page_id, r.host, r.place) for r in entry.queries()["page_order_all"](spark, str(tmp_path)).collect()]
     assert len(got) == len(urls) and set(got) == want
     assert [i for i, host, _ in sorted(got, key=lambda r: r[2]) if host is None] == [1, 3, 4, 2, 8]
 

@@ -233,7 +233,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .line_queries import line_queries
     from .request_queries import request_queries
 
-    whole = {"doc_secret_bindings": doc_secret_bindings, "page_order_all": page_order}  # with SQL over whole tables
     return {f.__name__: f for f in _ALL} | grammar_queries() | line_queries() | request_queries()
 
 

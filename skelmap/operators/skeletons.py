@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import human_bytes, line_count
 from ..sources.shared import drop_written, written
 from . import directory
+from .limits import ranked
 from .outline import decoded, outline
 from .walk import filled
 
@@ -44,10 +45,9 @@ def shown_skeletons(
     skeleton. Files are taken in the order of rel; one that can't be read or outlined is passed over and costs nothing. A file is
     shown while fewer than max_files were shown and their texts are under max_bytes in all, so the last may go beyond. Rounds are as
     many as the doublings from `first` to what a directory takes, and no more than twice what is come to, plus `first`, is read. A null directory is one like
-    the others. Files that share a path come in the order of rows.
+    the others. Files that share a path come in the order of rows. Files are numbered by ranges of the order, so a directory may have any number of them.
     """
-    nth = F.row_number().over(Window.partitionBy(by).orderBy("rel"))
-    placed = written(files.withColumn("nth", nth.cast("long")), "skeleton-files")
+    placed = written(ranked(files.withColumn("_row", F.monotonically_increasing_id()), by, ["rel", "_row"], "nth").drop("_row"), "skeleton-files")
     state = placed.groupBy(by).agg(F.max("nth").alias("_n")).select(F.col(by).alias("_by"), "_n", F.lit(0).cast("long").alias("_shown"), F.lit(0).cast("long").alias("_bytes"))
     state = written(state, "skeleton-state")
     rounds: list[DataFrame] = []

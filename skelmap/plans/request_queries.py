@@ -101,7 +101,7 @@ def doc_file_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each host as a directory whose pages are logs, in the order of their paths and ids: the skeletons that SKELETON_FILES and SKELETON_BYTES let through.
+    """Each host's pages, 500 ids to a directory, as logs in the order of their paths and ids: the skeletons that SKELETON_FILES and SKELETON_BYTES let through.
 
     Each seventh page can't be read.
     """
@@ -109,13 +109,14 @@ def page_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rel = F.concat("rel", F.array(F.concat(F.lpad(F.col("page_id").cast("string"), 12, "0"), F.lit(".log"))))
     html = F.when(F.col("page_id") % 7 != 3, F.col("html")).cast("binary")
-    files = _pages(spark, sf_dir).select("host", "page_id", rel.alias("rel"), F.lit("log/text").alias("fmt"), html.alias("content"))
+    folder = F.concat("host", F.lit("/"), F.floor(F.col("page_id") / 500).cast("string"))
+    files = _pages(spark, sf_dir).select(folder.alias("folder"), "page_id", rel.alias("rel"), F.lit("log/text").alias("fmt"), html.alias("content"))
 
     def bodies(some: DataFrame) -> DataFrame:
         return some.where(F.col("content").isNotNull()).withColumn("name", skeletons.skeleton_head(F.array_join("rel", "/"), F.col("content")))
 
-    shown = skeletons.shown_skeletons(files, "host", bodies, max_files=SKELETON_FILES, max_bytes=SKELETON_BYTES, first=20)
-    return skeletons.render_skeletons(files, shown, "host")
+    shown = skeletons.shown_skeletons(files, "folder", bodies, max_files=SKELETON_FILES, max_bytes=SKELETON_BYTES, first=20)
+    return skeletons.render_skeletons(files, shown, "folder")
 
 
 def request_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -176,17 +177,17 @@ SELECT page_id, 'index: no such path ' || array_to_string(asked, '/') || ' — `
        || CASE WHEN len(ks) > 50 THEN '  … and ' || (len(ks) - 50) || ' more (' || len(ks) || ' total). Use `glob` if the file you want is not listed.' ELSE '' END AS message
 FROM b JOIN l USING (dir)""",
         "page_skeletons": f"""
-WITH {PAGES}, q AS (SELECT page_id, host, list_append(rel, lpad(CAST(page_id AS VARCHAR), 12, '0') || '.log') AS rel, html, {lines('html')} AS ls FROM p),
+WITH {PAGES}, q AS (SELECT page_id, host || '/' || (page_id // 500) AS folder, list_append(rel, lpad(CAST(page_id AS VARCHAR), 12, '0') || '.log') AS rel, html, {lines('html')} AS ls FROM p),
 f AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: {strip('ls[i]')} <> '') AS full_, list_filter(range(1, len(ls) + 1), lambda i: contains(ls[i], 'ERROR')) AS e, array_to_string([{counts}], ', ') AS found FROM q),
-b AS (SELECT host, rel, array_to_string(rel, '/') || ' (' || {breaks('html')} || ' lines, ' || {human('strlen(html)')} || ')' || chr(10) || '  lines: ' || len(ls) || '   bytes: ' || {human('strlen(html)')} || chr(10)
+b AS (SELECT folder, rel, array_to_string(rel, '/') || ' (' || {breaks('html')} || ' lines, ' || {human('strlen(html)')} || ')' || chr(10) || '  lines: ' || len(ls) || '   bytes: ' || {human('strlen(html)')} || chr(10)
        || CASE WHEN len(full_) > 0 THEN '  first: [' || full_[1] || '] "' || {clip(strip('ls[full_[1]]'))} || '"' || chr(10) || '  last:  [' || full_[-1] || '] "' || {clip(strip('ls[full_[-1]]'))} || '"' || chr(10) ELSE '' END
        || CASE WHEN found <> '' THEN '  matches: ' || found || CASE WHEN len(e) > 0 THEN '  (first ERROR at [' || e[1] || '])' ELSE '' END || chr(10) ELSE '' END || '  (use `read` offset/limit to page through it)' || chr(10) || chr(10) AS text
   FROM f WHERE page_id % 7 <> 3),
-r AS (SELECT *, coalesce(sum(strlen(text)) OVER w, 0) AS before, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY host ORDER BY rel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s AS (SELECT host, count(*) AS k, string_agg(text, '' ORDER BY rel) AS body FROM r WHERE n < {SKELETON_FILES} AND before < {SKELETON_BYTES} GROUP BY host),
-t AS (SELECT host, count(*) AS n FROM q GROUP BY host)
-SELECT host, n AS n_files, coalesce(k, 0) AS n_shown, host || ' — ' || n || ' supported files' || CASE WHEN coalesce(k, 0) < n THEN ' (showing ' || coalesce(k, 0) || '; index a specific file or subdirectory for the rest)' ELSE '' END || chr(10) || chr(10) || coalesce(body, '') AS text
-FROM t LEFT JOIN s USING (host)""",
+r AS (SELECT *, coalesce(sum(strlen(text)) OVER w, 0) AS before, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY folder ORDER BY rel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT folder, count(*) AS k, string_agg(text, '' ORDER BY rel) AS body FROM r WHERE n < {SKELETON_FILES} AND before < {SKELETON_BYTES} GROUP BY folder),
+t AS (SELECT folder, count(*) AS n FROM q GROUP BY folder)
+SELECT folder, n AS n_files, coalesce(k, 0) AS n_shown, folder || ' — ' || n || ' supported files' || CASE WHEN coalesce(k, 0) < n THEN ' (showing ' || coalesce(k, 0) || '; index a specific file or subdirectory for the rest)' ELSE '' END || chr(10) || chr(10) || coalesce(body, '') AS text
+FROM t LEFT JOIN s USING (folder)""",
         "doc_file_outcome": f"""
 WITH d AS (SELECT doc_id, doc_id % {len(FILES)} AS kind, {file_names}[doc_id % {len(FILES)} + 1] AS name, text, {lines('text')} AS ls FROM documents),
 f AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: {strip('ls[i]')} <> '') AS full_, list_filter(range(1, len(ls) + 1), lambda i: contains(ls[i], 'ERROR')) AS e, array_to_string([{counts}], ', ') AS found, coalesce(ls[1], '') AS head FROM d),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import format_of
+from ..sources.shared import written
 from ..sources.tree import DENIED, MAX_ENTRIES, SHOWN_HIDDEN
 from . import directory
 from .limits import first_rows
@@ -97,12 +98,10 @@ def miss_messages(asked: DataFrame, files: DataFrame, key: str, path: str = "rel
 
     asked: key, path (components); files: rel. Names are listed only for folders that are named in a message, and cut to 50 before their shuffle.
     """
-    n = F.explode(F.sequence(F.lit(1), F.size("rel")))
-    steps = files.where(F.size("rel") > 0).select("rel", n.alias("_n"))
-    name = F.concat(F.col("rel")[F.col("_n") - 1], F.when(F.col("_n") < F.size("rel"), "/").otherwise(""))
-    children = steps.select(F.array_join(F.slice("rel", F.lit(1), F.col("_n") - 1), "/").alias("_dir"), name.alias("_name")).distinct()
-    dirs = files.select(F.explode(directory.prefixes(F.col("rel"))).alias("rel")).distinct()
-    best = asked.select(key, F.array_join(path, "/").alias("_asked")).join(directory.nearest_ancestors(asked, dirs, key, path), key)
+    dirs = written(directory.folders(files), "folders")
+    named_in = lambda rows, tail: rows.where(F.size("rel") > 0).select(F.array_join(F.slice("rel", F.lit(1), F.size("rel") - 1), "/").alias("_dir"), F.concat(F.element_at("rel", -1), F.lit(tail)).alias("_name"))
+    children = named_in(files, "").unionByName(named_in(dirs, "/")).distinct()
+    best = directory.nearest_ancestors(asked, dirs, key, path).withColumn("_asked", F.array_join(path, "/"))
     named = children.join(best.select(F.col("ancestor").alias("_dir")).distinct(), "_dir", "left_semi")
     totals = named.groupBy("_dir").agg(F.count("*").alias("_total"))
     some = first_rows(named, ["_dir"], [F.col("_name")], directory.MAX_LISTED).groupBy("_dir").agg(F.array_join(F.array_sort(F.collect_list("_name")), "  ").alias("_names"))

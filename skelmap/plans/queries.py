@@ -213,10 +213,9 @@ def skeleton_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_miss_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's path with its last or its last two components replaced: the deepest folder that exists, and what is missing."""
     pages = _pages(spark, sf_dir).select("page_id", F.concat(F.array("host"), F.col("rel")).alias("rel"))
-    dirs = pages.select(F.explode(directory.prefixes(F.col("rel"))).alias("rel")).distinct()
     depth = F.greatest(F.size("rel") - 1 - (F.col("page_id") % 2).cast("int"), F.lit(0))
     asked = pages.select("page_id", F.concat(F.slice("rel", F.lit(1), depth), F.array(F.lit("nowhere"), F.lit("x.py"))).alias("rel"))
-    return directory.nearest_ancestors(asked, dirs, "page_id")
+    return directory.nearest_ancestors(asked, directory.folders(pages), "page_id").drop("rel")
 
 
 def format_of_url(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """Outlines of line formats: keys, sections, targets and stages as rows; digests of delimited data and logs.
 
 Input is a table of files with file_id and text. Declarations and digests come from arrays of lines, in one pass without a
-shuffle; what follows a row is found by bisection of the rows of headers. `section_end` and `nested_sections` do the same for rows of a table.
+shuffle; what follows a row is found by bisection of the rows of headers. `nested_sections` does the same for rows of a table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.redact import value_looks_secret
@@ -26,32 +26,46 @@ def looks_binary(content: Column) -> Column:
     return F.locate("\x00", F.substring(content, 1, 8192).cast("string")) > 0
 
 
-def section_end(is_header: Column, by: list[str], row: str, last: Column) -> Column:
-    """Row before the next header in the group, or the last row."""
-    after = Window.partitionBy(*by).orderBy(row).rowsBetween(1, Window.unboundedFollowing)
-    end = F.coalesce(F.min(F.when(is_header, F.col(row))).over(after) - 1, last)
-    return F.greatest(end, F.col(row))
-
-
-def nested_sections(headings: DataFrame, by: list[str], row: str, level: str, last: Column, levels: int = 6) -> DataFrame:
-    """Depth and end of nested sections: headings of level 1 to `levels` in the order of row.
+def nested_sections(headings: DataFrame, by: list[str], row: str, level: str, last: Column | None = None, levels: int = 6, block: int = 1 << 16) -> DataFrame:
+    """Depth and end of nested sections: headings of level 1 to `levels` in the order of row, a group of any size.
 
     depth counts the enclosing headings: for each lower level, its last heading before this one encloses it if no heading of
-    a lower level came after. A section ends before the next heading of its level or a lower one.
+    a lower level came after. A section ends before the next heading of its level or a lower one, else at `last`, by default the last
+    row of the group. Rows of a higher level than `levels` bound nothing.
+
+    A group is taken in blocks of `block` row numbers, each a group of the windows. Of other blocks a heading needs, for each level, only the
+    last row before its block and the first one after it; those are worked out from one row a block, and stand in the block as rows of
+    their own, at most 2 * levels + 1, until its windows are done. So a task holds no group, but a block, or one row for each block of a group. What
+    follows is found in the opposite order, so that time is linear. Row numbers are whole; null ones, and null groups, stand like any others. Rows of one number
+    are of one block, and are taken in the order of their levels. An empty table gives no rows.
     """
-    before = Window.partitionBy(*by).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*by).orderBy(row).rowsBetween(1, Window.unboundedFollowing)
-    out = headings
-    for k in range(1, levels + 1):
-        mine = F.when(F.col(level) == k, F.col(row))
-        out = out.withColumn(f"_p{k}", F.coalesce(F.max(mine).over(before), F.lit(-1))).withColumn(f"_n{k}", F.min(mine).over(after))
+    ks = range(1, levels + 1)
+    kind = headings.schema[row].dataType
+    mine = {k: F.when(F.col(level) == k, F.col(row)) for k in ks}
+    out = headings.withColumn("_block", F.floor(F.col(row) / block).cast("long"))
+    blocks = out.groupBy(*by, "_block").agg(*[F.max(mine[k]).alias(f"_hi{k}") for k in ks], *[F.min(mine[k]).alias(f"_lo{k}") for k in ks], F.max(row).alias("_hi"))
+    before, after = _around([*by], [F.col("_block")], [F.col("_block").desc()])
+    place = lambda at, k: F.struct(at.cast(kind).alias("_r"), F.lit(k).alias("_k"))
+    edges = [place(F.max(f"_hi{k}").over(before), k) for k in ks] + [place(F.min(f"_lo{k}").over(after), k) for k in ks] + [place(F.max("_hi").over(after), levels + 1)]
+    edges = blocks.select(*by, "_block", F.array(*edges).alias("_xs")).select(*by, "_block", F.explode(F.filter("_xs", lambda x: x["_r"].isNotNull())).alias("_x"))
+    edges = edges.select(*by, "_block", F.col("_x._r").alias(row), F.col("_x._k").cast(headings.schema[level].dataType).alias(level), F.lit(True).alias("_edge"))
+
+    rows = out.withColumn("_edge", F.lit(False)).unionByName(edges, allowMissingColumns=True)
+    before, after = _around([*by, "_block"], [F.col(row), F.col(level)], [F.col(row).desc(), F.col(level).desc()])
+    rows = rows.select("*", *[F.coalesce(F.max(mine[k]).over(before), F.lit(-1)).alias(f"_p{k}") for k in ks], *[F.min(mine[k]).over(after).alias(f"_n{k}") for k in ks], F.max(row).over(Window.partitionBy(*by, "_block")).alias("_last"))
     depth = F.lit(0)
     for k in range(1, levels):
-        lower = [F.col(f"_p{m}") for m in range(1, k)] + [F.lit(-1), F.lit(-1)]
-        depth = depth + F.when((F.col(level) > k) & (F.col(f"_p{k}") > F.greatest(*lower)), 1).otherwise(0)
-    ends = F.least(*[F.when(F.col(level) >= k, F.col(f"_n{k}")) for k in range(1, levels + 1)], F.lit(None).cast("long"))
-    out = out.withColumn("depth", depth.cast("int")).withColumn("end", F.greatest(F.coalesce(ends - 1, last), F.col(row)))
-    return out.drop(*[f"_{x}{k}" for x in "pn" for k in range(1, levels + 1)])
+        lower = [F.col(f"_p{m}") for m in range(1, k)] + [F.lit(0), F.lit(0)]
+        depth = depth + F.when((F.col(level) > k) & (F.col(f"_p{k}") >= F.greatest(*lower)), 1).otherwise(0)
+    ends = F.least(*[F.when(F.col(level) >= k, F.col(f"_n{k}")) for k in ks], F.lit(None).cast("long"))
+    end = F.greatest(F.coalesce(ends - 1, F.col("_last") if last is None else last), F.col(row))
+    return rows.where(~F.col("_edge")).select(*headings.columns, depth.cast("int").alias("depth"), end.alias("end"))
+
+
+def _around(by: list[str], order: list[Column], reverse: list[Column]) -> tuple[WindowSpec, WindowSpec]:
+    """Windows over the rows of a group before a row and after it; the latter in the opposite order, as Spark goes over a frame that ends with the group anew for each row."""
+    frame = (Window.unboundedPreceding, -1)
+    return Window.partitionBy(*by).orderBy(*order).rowsBetween(*frame), Window.partitionBy(*by).orderBy(*reverse).rowsBetween(*frame)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import extension, format_of
@@ -181,17 +181,16 @@ def doc_markdown_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conv_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of turns: a user turn is a header, its section ends before the next one."""
-    t = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), (F.col("role") == "user").alias("head"))
-    last = F.max("turn").over(Window.partitionBy("conv_id"))
-    rows = t.withColumn("end_turn", line_formats.section_end(F.col("head"), ["conv_id"], "turn", last))
-    return rows.where("head").select("conv_id", "turn", "end_turn")
+    level = F.when(F.col("role") == "user", 1).otherwise(2)
+    t = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), level.alias("level"))
+    rows = line_formats.nested_sections(t, ["conv_id"], "turn", "level", levels=1)
+    return rows.where("level = 1").select("conv_id", "turn", F.col("end").alias("end_turn"))
 
 
 def conv_nested_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth and span of turns as headings whose level is the length of their text modulo 6, plus 1."""
     t = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("row"), (F.length("text") % 6 + 1).alias("level"))
-    t = t.withColumn("last", F.max("row").over(Window.partitionBy("conv_id")))
-    out = line_formats.nested_sections(t, ["conv_id"], "row", "level", F.col("last"))
+    out = line_formats.nested_sections(t, ["conv_id"], "row", "level")
     return out.select("conv_id", F.col("row").alias("turn"), F.col("level").cast("long").alias("level"), F.col("depth").cast("long").alias("depth"), F.col("end").alias("end_turn"))
 
 

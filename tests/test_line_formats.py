@@ -93,6 +93,48 @@ def test_nested_sections_against_a_stack(spark):
     assert got == docs
 
 
+def test_nested_sections_in_blocks(spark):
+    """Groups of one row to several thousand, blocks of any size, level 7 as text between headings, null groups, clashing columns."""
+    rng = random.Random(8)
+    for block in (1, 3, 64, 1 << 16):
+        rows, want = [], {}
+        for d in (None, 1, 2, 3, 4):
+            n, at, found = rng.choice((1, 40, 3000)), rng.randrange(300), []
+            for _ in range(n):
+                at += rng.randrange(1, 4)
+                found.append((at, rng.choice((1, 2, 3, 3, 4, 5, 5, 6, 6, 7, 7, 7))))
+            rows += [(d, r, k, "x", 1) for r, k in found]
+            heads = [(r, k) for r, k in found if k < 7]
+            want[d] = stack_model(heads, at)
+        df = spark.createDataFrame(rows, "d long, row long, level int, _by0 string, last long")
+        out = lf.nested_sections(df, ["d"], "row", "level", block=block)
+        assert out.columns == [*df.columns, "depth", "end"]
+        got = {d: [] for d in want}
+        for r in sorted(out.where("level < 7").collect(), key=lambda r: r.row):
+            got[r.d].append((r.row, r.depth, r.end))
+        assert got == want and out.count() == len(rows)
+        assert lf.nested_sections(df.limit(0), ["d"], "row", "level", block=block).collect() == []
+
+
+def test_nested_sections_of_repeated_and_null_rows(spark):
+    df = spark.createDataFrame([(1, 5, 2), (1, 5, 1), (1, 5, 1), (1, None, 1), (1, 9, None), (1, 12, 3)], "d long, row long, level int")
+    got = sorted(((r.row, r.level, r.depth, r.end) for r in lf.nested_sections(df, ["d"], "row", "level", block=4).collect()), key=repr)
+    stack = stack_model([(5, 1), (5, 1), (5, 2), (12, 3)], 12)
+    assert got == sorted([(r, k, depth, end) for (r, depth, end), k in zip(stack, (1, 1, 2, 3))] + [(None, 1, 0, 4), (9, None, 0, 12)], key=repr)
+
+
+def test_one_large_group_is_dealt_over_tasks(spark):
+    n = 400_000
+    df = spark.range(n).select(F.lit(1).alias("d"), F.col("id").alias("row"), (F.when(F.col("id") == 0, 1).otherwise(2 + F.col("id") % 3)).cast("int").alias("level"))
+    out = lf.nested_sections(df, ["d"], "row", "level", block=1 << 12)
+    # row 0 is the only one of level 1; then levels 3, 4, 2, 3, 4, 2, ...
+    wrong = out.where((F.col("row") > 2) & ((F.col("depth") != F.col("level") - 1) | (F.col("end") != F.least(F.lit(n - 1), F.col("row") + F.when(F.col("level") == 2, 2).when(F.col("level") == 3, 1).otherwise(0)))))
+    assert out.count() == n and wrong.count() == 0
+    assert out.where("row = 0").select("depth", "end").first() == (0, n - 1)
+    sizes = [r.n for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) < n / 2
+
+
 def test_markdown_headings():
     lines = ["# A", "", "```", "# no", "```", "Set", "===", "- item", "---", "para", "more", "---", "    # code", "#nospace", "###### six", "####### seven"]
     assert markup.headings(lines) == [(0, 1, "# A"), (5, 1, "Set"), (9, 2, "para"), (14, 6, "###### six")]

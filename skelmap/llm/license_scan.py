@@ -12,6 +12,29 @@ from pyspark.sql import functions as F
 #: Phrases whose places count as base; label and words.
 BASE = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
+#: Licences known by a name and a version: label, name, versions. Fixed values, in words of lower case.
+FAMILIES = [
+    ("gpl", "gnu general public license", ["1", "2", "3"]),
+    ("lgpl", "gnu lesser general public license", ["2 1", "3"]),
+    ("agpl", "gnu affero general public license", ["1", "3"]),
+    ("mpl", "mozilla public license", ["1 0", "1 1", "2 0"]),
+]
+#: How a version follows a name.
+FORMS = ["version {}", "v{}", "v {}", "as published by the free software foundation version {}", "as published by the free software foundation either version {}"]
+
+
+def family_notices(families: list[tuple[str, str, list[str]]] = FAMILIES) -> list[tuple[str, str, str]]:
+    """Each name, alone and with each version in each form; the label of a version leaves out a last 0. A version of two numbers may follow the name by itself."""
+    out = []
+    for label, name, versions in families:
+        out.append((label, name, name))
+        for v in versions:
+            texts = [f"{name} {form.format(v)}" for form in FORMS] + ([f"{name} {v}"] if " " in v else [])
+            major, _, minor = v.partition(" ")
+            out += [(f"{label}-{major}" + (f".{minor}" if minor not in ("", "0") else ""), t, t) for t in texts]
+    return out
+
+
 #: Licence notices and texts: label, the text, and in it the key phrase that must stand whole. Fixed values, in words of lower case.
 NOTICES = [
     ("mit", "released under the mit license", "mit license"),
@@ -35,25 +58,21 @@ NOTICES = [
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
     (
         "gpl-3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
         "gnu general public license as published by the free software foundation either version 3",
     ),
-    ("gpl-2", "under the terms of the gnu general public license version 2", "gnu general public license version 2"),
     (
         "gpl-2",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
         "gnu general public license as published by the free software foundation either version 2",
     ),
-    ("lgpl-3", "under the terms of the gnu lesser general public license version 3", "gnu lesser general public license"),
-    ("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", "mozilla public license"),
+    ("mpl-2", "subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", "mozilla public license v 2 0"),
     (
         "bsd",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-        "redistribution and use in source and binary forms",
+        "redistribution and use in source and binary forms with or without modification are permitted",
     ),
     ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
     (
@@ -61,6 +80,7 @@ NOTICES = [
         "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
         "free and unencumbered software",
     ),
+    *family_notices(),
 ]
 RARE = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,7 +128,7 @@ def _fence(df: DataFrame, keep: list[str], name: str, value: Column) -> DataFram
 TEMPLATE = "struct<label:string,words:array<string>,key:array<string>,key_at:int,rare:int,base:boolean>"
 
 
-def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", base: dict[str, str] = BASE, notices: list[tuple[str, str, str]] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", base: dict[str, str] = BASE, notices: list[tuple[str, str, str]] = NOTICES, families: list[tuple[str, str, list[str]]] = FAMILIES) -> DataFrame:
     """Licence phrases and labels of every whole text.
 
     The index posts the rarest words of each template's key phrase, by IDF, with their places. A document's posted words are looked up
@@ -116,6 +136,7 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", base:
     candidate, and counts if the words of the key phrase stand there. Columns: doc_id, n_words, n_base (places of base phrases), first_word,
     last_word (their smallest and largest start, null without one), base_labels, labels (distinct, sorted, comma-joined,
     empty without one), score (largest share of a found template's words that stand in place, 0 without one).
+    A family's label (gpl) is left out where one of its versions (gpl-2) is found too, so it tells that no known version is named.
     A null text counts as empty. Rows keep their number, repeated ones too; ids may be null. An empty table gives no rows. Other
     columns are not read. The plan doesn't grow with the templates, and a text's work grows with its words and what is found, however long it is.
     """
@@ -152,7 +173,13 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", base:
     def names(found: Column) -> Column:
         return F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda v: F.get(found_by, v.t).label))), ",")
 
+    plain = F.array(*[F.lit(label) for label, _, _ in families]).cast("array<string>")
+    all_names = F.array_distinct(F.transform("found", lambda v: F.get(found_by, v.t).label))
+    versioned = lambda name: F.array_contains(plain, name) & F.exists("names", lambda other: other.startswith(F.concat(name, F.lit("-"))))
+    labels = F.array_join(F.array_sort(F.filter("names", lambda name: ~versioned(name))), ",")
+    rows = _fence(rows, ["doc_id", "n_words", "words", "found"], "names", all_names)
+
     bases = F.filter("found", lambda v: F.get(found_by, v.t).base)
     at = F.transform(bases, lambda v: v.s)
     score = F.coalesce(F.array_max(F.transform("found", cover)), F.lit(0.0))
-    return rows.select("doc_id", "n_words", F.size(bases).cast("long").alias("n_base"), F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"), names(bases).alias("base_labels"), names(F.col("found")).alias("labels"), score.alias("score"))
+    return rows.select("doc_id", "n_words", F.size(bases).cast("long").alias("n_base"), F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"), names(bases).alias("base_labels"), labels.alias("labels"), score.alias("score"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat_preference import CLOSE, OPEN
-from .license_scan import LOWER, UPPER, templates
+from .license_scan import FAMILIES, LOWER, UPPER, templates
 
 OP1 = f"""
 WITH t AS (
@@ -56,8 +56,12 @@ def op7() -> str:
     bases = [k for k, t in enumerate(index) if t.base]
     at = "list_concat(" + ", ".join(f"t{k}" for k in bases) + ")"
 
+    def unversioned(label: str) -> list[str]:
+        family = any(label == name for name, _, _ in FAMILIES)
+        return [f"len(t{j}) = 0" for j, t in enumerate(index) if family and t.label.startswith(label + "-")]
+
     def names(ks: list[int]) -> str:
-        each = ", ".join(f"CASE WHEN len(t{k}) > 0 THEN '{index[k].label}' END" for k in ks)
+        each = ", ".join(f"CASE WHEN {' AND '.join([f'len(t{k}) > 0', *unversioned(index[k].label)])} THEN '{index[k].label}' END" for k in ks)
         return f"coalesce(array_to_string(list_sort(list_distinct([{each}])), ','), '')"
 
     return f"""

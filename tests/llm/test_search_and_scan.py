@@ -124,6 +124,7 @@ def brute_scan(text):
             if tpl.base:
                 base.add(tpl.label)
                 starts += at
+    labels = {x for x in labels if x not in ("gpl", "lgpl", "agpl", "mpl") or not any(y.startswith(x + "-") for y in labels)}
     return (len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), best)
 
 
@@ -174,6 +175,34 @@ def test_whole_licences_and_what_is_left_of_them(spark):
     assert all(label in by[i][6].split(",") and by[i][7] == 1 for i, (label, _, _) in enumerate(license_scan.NOTICES))
 
 
+def test_versions_are_those_that_a_text_names(spark):
+    gnu = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; {} of the License, or (at your option) any later version."
+    planted = {
+        "GNU Lesser General Public License version 2.1": "lgpl-2.1",
+        "under the GNU Lesser General Public License v3.0": "lgpl-3",
+        "the GNU Lesser General Public License, see COPYING": "lgpl",
+        gnu.format("Lesser General Public License", "either version 2.1"): "lgpl-2.1",
+        gnu.format("General Public License", "version 2"): "gpl-2",
+        gnu.format("General Public License", "either version 3") + " See the GNU General Public License for more details.": "gpl-3",
+        gnu.format("Affero General Public License", "either version 3"): "agpl-3",
+        "GNU Affero General Public License, version 1": "agpl-1",
+        "licensed under the GNU General Public License.": "gpl",
+        "GNU General Public License v2 or GNU General Public License v3": "gpl-2,gpl-3",
+        "Mozilla Public License Version 1.1": "mpl-1.1",
+        "Mozilla Public License 2.0": "mpl-2",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2",
+        "the Mozilla Public License": "mpl",
+        "the Mozilla Public License and the GNU General Public License version 2": "gpl-2,mpl",
+        "Redistribution and use in source and binary forms are forbidden": "",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that": "bsd",
+        "the Lesser General Public version 3": "",
+        "general public license version 2": "",
+    }
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(planted)], DOCS)
+    got = {r.doc_id: r.labels for r in license_scan.scan(df).collect()}
+    assert {t: got[i] for i, t in enumerate(planted)} == planted
+
+
 def test_the_plan_does_not_grow_with_the_templates(spark):
     more = [(f"l{i}", f"one of word{i} the licences thing{i} here", f"word{i} the licences thing{i}") for i in range(300)]
     df = spark.createDataFrame([(1, "word7 the licences thing7", None, None, None)], DOCS)

@@ -227,11 +227,11 @@ def _anchor_links(points: DataFrame) -> DataFrame:
     return _replicas(spaced).select("anchor", "fp").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a long, b long")
 
 
-def _classes(fps: DataFrame, points: DataFrame, links: DataFrame, node: str = "fp") -> DataFrame:
-    """doc_id, fingerprint and component_id of rows (doc_id, fp and node), by the links of their nodes."""
-    linked = cut(components(links), "simhash-cc", "none")  # reads the links, and what they are read from, for the last time
+def _classes(fps: DataFrame, points: DataFrame, links: DataFrame, node: str = "fp", n_points: int | None = None, n_links: int | None = None) -> DataFrame:
+    """doc_id, fingerprint and component_id of rows (doc_id, fp and node), by the links of their nodes. n_points, n_links: their numbers at most, where known."""
+    linked = cut(components(links, n_links), "simhash-cc", "none", n_links)  # reads the links, and what they are read from, for the last time
     named = points.join(linked.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
-    named = cut(named, "simhash-named", "none")
+    named = cut(named, "simhash-named", "none", n_points)
     names = named.join(linked.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"))
     classes = named.join(names, "root", "left").select(F.col(node).alias("_node"), F.coalesce("least", "rep").alias("component_id"))
     out = fps.join(classes, F.col(node) == F.col("_node"), "left")
@@ -250,6 +250,8 @@ ERROR = 0.025
 LOOSE = 5
 #: Rows of a band that are compared with one another in one task; a larger band is laid out in tiles of so many by so many.
 TILE = 512
+#: Texts, or pairs of them, whose shingles one task takes at least, if there are so many.
+FILE_TEXTS = 2000
 #: Shingles that are counted at a time for the similarities of a tile.
 COLUMNS = 4096
 
@@ -397,8 +399,8 @@ def _tiles(classes: DataFrame) -> DataFrame:
     return rows.withColumn("tile", F.explode(tiles)).select(F.xxhash64("key", "tile").alias("tile"), "key", "node", "root", "sig", source.alias("source"), target.alias("target"))
 
 
-def _similar(points: DataFrame, docs: DataFrame, more: DataFrame, text_col: str, words: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
-    """Links (a, b) of points (node, sig, bands) whose sets of shingles have a similarity of `similarity` or more.
+def _similar(points: DataFrame, docs: DataFrame, more: DataFrame, text_col: str, words: int, similarity: float, n_points: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) of the n_points points (node, sig, bands) whose sets of shingles have a similarity of `similarity` or more.
 
     Candidates share a band, or are pairs of `more`. Points of a band that no other has drop out before their min-hashes are sent. Min-hashes only choose
     what is judged. First each group of a band sends links, linear in its size, of pairs whose min-hashes tell `similarity`; those that the sets confirm
@@ -466,16 +468,17 @@ def _similar(points: DataFrame, docs: DataFrame, more: DataFrame, text_col: str,
 
     rows = points.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = cut(rows.join(shared, "key", "left_semi").join(points.select("node", "sig"), "node").select("key", "node", "sig"), "simhash-met", "none")
+    met = cut(rows.join(shared, "key", "left_semi").join(points.select("node", "sig"), "node").select("key", "node", "sig"), "simhash-met", "none", n_points * BANDS)
     likely = met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(forest, "a long, b long")
-    likely = cut(likely.unionByName(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct(), "simhash-likely", "none")
+    likely = cut(likely.unionByName(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct(), "simhash-likely", "none", met.count() + n_points)
+    n_likely = likely.count()
     ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    sets = cut(_sets(docs, points, ends, text_col, words), "simhash-sets", "none")
+    sets = cut(_sets(docs, points, ends, text_col, words), "simhash-sets", "none", n_points, FILE_TEXTS)
     pairs = likely.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    sure = cut(pairs.select("a", "b", "x", "y").mapInArrow(confirmed, "a long, b long"), "simhash-sure", "none")
+    sure = cut(pairs.select("a", "b", "x", "y").mapInArrow(confirmed, "a long, b long"), "simhash-sure", "none", n_likely, FILE_TEXTS)
 
     discard(likely, sets)
-    joined = cut(components(sure), "simhash-roots", "none")
+    joined = cut(components(sure, n_likely), "simhash-roots", "none", n_likely)
     classes = met.join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "sig")
     open_rows = _tiles(classes).select("tile", "node", "root", "sig", "source", "target")
     left = cut(open_rows.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(still_open, "tile long, node long, root long, source boolean, target boolean"), "simhash-open", "none")
@@ -495,13 +498,15 @@ def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """
     rows = cut(sketches(docs, text_col, id_col, words), "simhash-sketches")
     points = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min(F.struct("sig", "bands")).alias("s"))
-    points = cut(points.select(F.monotonically_increasing_id().alias("node"), "digest", "rep", "fp", "s.sig", "s.bands"), "simhash-points")  # written, so the numbers stay
-    heads = cut(points.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "simhash-heads", "none")
+    points = cut(points.select(F.monotonically_increasing_id().alias("node"), "digest", "rep", "fp", "s.sig", "s.bands"), "simhash-points", rows=rows.count())  # written, so the numbers stay
+    n_points = points.count()
+    heads = cut(points.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "simhash-heads", "none", n_points)
     tied = points.join(heads.where("n > 1").select("fp", "head"), "fp").select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b")
     near = _anchor_links(heads).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    links, read = _similar(points, docs, tied.unionByName(near), text_col, words, similarity)
-    named = cut(points.select("digest", "node", "rep"), "simhash-nodes", "none")
-    out = _classes(rows.select("doc_id", "digest", "fp").join(named.select("digest", "node"), "digest"), named.select("node", "rep"), links, "node")
+    links, read = _similar(points, docs, tied.unionByName(near), text_col, words, similarity, n_points)
+    named = cut(points.select("digest", "node", "rep"), "simhash-nodes", "none", n_points)
+    n_links = sum(t.count() for t in read)  # a tile of `read` sends fewer links than it has rows
+    out = _classes(rows.select("doc_id", "digest", "fp").join(named.select("digest", "node"), "digest"), named.select("node", "rep"), links, "node", n_points, n_links)
     discard(points, heads, *read)
     return out
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,8 +9,8 @@ import xxhash
 from helpers import DOCS, clashing, docs, rows
 from pyspark.sql import functions as F
 
-from skelmap.llm import exact_dedup, simhash, substring_dedup
-from skelmap.llm.common import components
+from skelmap.llm import common, exact_dedup, simhash, substring_dedup
+from skelmap.llm.common import components, cut
 
 
 def test_cuckoo_index_inserts_deletes_and_grows():
@@ -498,3 +499,36 @@ def test_similarities_of_a_tile(monkeypatch):
     want = [[simhash.jaccard(sets[i], sets[j]) for j in target] for i in source]
     assert np.allclose(simhash.similarities(sets, source, target), want)
     assert simhash.similarities([], np.empty(0, int), np.empty(0, int)).shape == (0, 0)
+
+
+def test_small_tables_are_few_files_whatever_the_partitions(spark, monkeypatch):
+    """Each file is a task and, on a local disk, processes that the executor's JVM starts: 211 partitions wrote 20 tables of up to 211 files each."""
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(60)] for _ in range(200)]
+    table = docs(spark, [(2 * i + k, " ".join(t + ["more"] * k), None, None, 0) for i, t in enumerate(texts) for k in (0, 1)])
+    want = rows(simhash.similar_groups(table))
+    files = []
+
+    def counted(*args, **kwargs):
+        out = cut(*args, **kwargs)
+        files.append((args[1], len(list(Path(out.cut_path.removeprefix("file:")).glob("part-*")))))
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    monkeypatch.setattr(common, "cut", counted)
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got = rows(simhash.similar_groups(table))
+        small = [f for f in files if f[0] not in ("simhash-sketches", "simhash-open")]
+        points = spark.range(50).repartition(24, "id").withColumn("node", F.monotonically_increasing_id())
+        parted = common.cut(points, "parted", rows=50, a_file=10)
+        assert sorted(r.id for r in parted.collect()) == list(range(50)) and parted.select("node").distinct().count() == 50
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want and files[-1] == ("parted", 6)
+    assert len(small) > 12 and {n for _, n in small} == {1}
+    assert {r[0] // 2 * 2 for r in want} == {r[2] for r in want}  # each pair is linked
